@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing
 
 QUERIES = {
     "op7_mixing": mixing.op7_mixing,
+    "op8_packing": packing.op8_packing,
 }
 
 ORACLES: dict[str, str] = {}
