@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import mixing, packing, separators, token_files
 
 QUERIES = {
+    "op3_token_counts": separators.op3_token_counts,
+    "op4_orc_tokens": token_files.op4_orc_tokens,
     "op7_mixing": mixing.op7_mixing,
     "op8_packing": packing.op8_packing,
 }
