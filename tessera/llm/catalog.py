@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, separators, token_files
+from . import mixing, packing, separators, token_files, topk
 
 QUERIES = {
     "op3_token_counts": separators.op3_token_counts,
     "op4_orc_tokens": token_files.op4_orc_tokens,
     "op7_mixing": mixing.op7_mixing,
     "op8_packing": packing.op8_packing,
+    "op10_topk": topk.op10_topk,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op10_topk": topk.ORACLE,
+}
