@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, separators, token_files, topk
+from . import mixing, packing, quality, separators, token_files, topk, toxicity
 
 QUERIES = {
     "op3_token_counts": separators.op3_token_counts,
     "op4_orc_tokens": token_files.op4_orc_tokens,
+    "op6_quality": quality.op6_quality,
     "op7_mixing": mixing.op7_mixing,
     "op8_packing": packing.op8_packing,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_topk": topk.op10_topk,
 }
 
