@@ -26,7 +26,9 @@ from .common import read_table
 from .labelled import held_out, labelled_sample
 
 SAMPLE_ROWS = 8_000
-FEATURES = 400
+FEATURES = 600
+#: Bytes of the word beginnings that are features beside whole words.
+BEGINNINGS = (4, 5, 6, 7)
 COUNTERFACTUALS = 20_000
 THRESHOLD = 0.7
 
@@ -51,9 +53,9 @@ def words_of(text: bytes) -> set[bytes]:
 
 
 def features_of(words: set[bytes]) -> set[bytes]:
-    """Each word, and its first 4, 5 and 6 bytes with a mark behind them."""
+    """Each word, and its first 4 to 7 bytes with a mark behind them."""
     found = set(words)
-    for k in (4, 5, 6):
+    for k in BEGINNINGS:
         found.update(w[:k] + b"*" for w in words if len(w) > k)
     return found
 
@@ -69,7 +71,7 @@ class Model:
             return self.bias
         words = words_of(text)
         total = self.bias
-        for k in (None, 4, 5, 6):
+        for k in (None, *BEGINNINGS):
             for f in {w[:k] + b"*" for w in words if len(w) > k} if k else words:
                 v = get(f)
                 if v is not None:
@@ -91,10 +93,17 @@ def chosen_features(sample: DataFrame, most: int = FEATURES) -> list[bytes]:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(np.full(len(found), y.as_py()))], ["feature", "y"])
 
     toxic, other = sample.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0.0))).first()
-    seen = sample.select("text", "y").mapInArrow(run, "feature binary, y double").groupBy("feature").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).filter("p + n >= 5")
+    seen = sample.select("text", "y").mapInArrow(run, "feature binary, y double").groupBy("feature").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).filter("p >= 3")
     odds = F.log((F.col("p") + 0.5) / (F.lit(toxic) - F.col("p") + 0.5)) - F.log((F.col("n") + 0.5) / (F.lit(other) - F.col("n") + 0.5))
-    ranked = seen.withColumn("z", odds / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))).filter("z > 3").orderBy(F.desc("z"), "feature").limit(most)
-    return [bytes(r[0]) for r in ranked.select("feature").collect()]
+    ranked = seen.withColumn("z", odds / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))).filter("z > 2.5").orderBy(F.desc("z"), "feature").limit(most)
+    share = {bytes(r["feature"]): r["p"] / (r["p"] + r["n"]) for r in ranked.collect()}
+
+    def told(f: bytes) -> bool:
+        """Whether a shorter beginning among the features is as sure, and meets more words."""
+        body = f.removesuffix(b"*")
+        return any(share.get(body[:k] + b"*", -1.0) >= share[f] - 0.02 for k in BEGINNINGS if k < len(body))
+
+    return [f for f in share if not told(f)]
 
 
 def counterfactuals(sample: DataFrame, identities: tuple = IDENTITIES, most: int = COUNTERFACTUALS) -> DataFrame:
@@ -127,7 +136,7 @@ def _matrix(feature_sets: list[set[bytes]], features: list[bytes]) -> np.ndarray
     return x
 
 
-def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, ridge: float = 0.05, penalty: float = 10.0, rounds: int = 12) -> tuple[np.ndarray, float]:
+def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, ridge: float = 0.01, penalty: float = 10.0, rounds: int = 12) -> tuple[np.ndarray, float]:
     """Newton steps on log loss + ridge |w|^2 + penalty * mean((swaps w)^2); swaps: features after minus before."""
     p = (y.sum() + 0.5) / (len(y) + 1.0)
     w, b = np.zeros(x.shape[1]), float(np.log(p / (1 - p)))
