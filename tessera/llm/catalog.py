@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, packing, quality, separators, token_files, topk, toxicity
+from . import fingerprint, mixing, ngram_join, packing, quality, separators, token_files, topk, toxicity
 
 QUERIES = {
     "op2_fingerprints": fingerprint.op2_fingerprints,
     "op3_token_counts": separators.op3_token_counts,
     "op4_orc_tokens": token_files.op4_orc_tokens,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_quality": quality.op6_quality,
     "op7_mixing": mixing.op7_mixing,
     "op8_packing": packing.op8_packing,
