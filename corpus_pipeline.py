@@ -1,10 +1,64 @@
-"""Corpus pipeline: STAGES in order, each written as Parquet and read again by the next."""
+"""Corpus pipeline: STAGES in order, each written as Parquet and read again as the next one's documents.
+
+Every stage takes the columns of ``documents`` and works on all its predecessor kept; all but the last
+return the same columns.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import language, mixing, ngram_join, packing, toxicity
+from tessera.llm.common import read_table, written
+from tessera.llm.labelled import held_out
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; the classifier learns from labels of the whole table."""
+    model = toxicity.fitted(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), held_out(3, 1))
+    return toxicity.scored(docs, model).filter(F.col("toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose language has most of the posterior; lang becomes what was identified."""
+    found = language.identify_documents(docs).filter(F.col("has_letters") & (F.col("posterior") >= language.LEAST_POSTERIOR))
+    return found.withColumn("lang", F.col("identified")).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id, once; without an id, one of each text."""
+    groups = ngram_join.near_duplicates(docs)
+    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.filter("doc_id IS NULL").dropDuplicates(["text"])
+    return named.select(*docs.columns).unionByName(nameless)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document."""
+    return mixing.mixed_texts(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids and their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", keep_identified),
+    ("ngram_join", one_of_each_group),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: SQL can express neither the trained stages nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

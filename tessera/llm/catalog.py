@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, ngram_join, packing, quality, separators, token_files, topk, toxicity
+from . import fingerprint, language, mixing, ngram_join, packing, quality, separators, token_files, topk, toxicity
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
     "op2_fingerprints": fingerprint.op2_fingerprints,
     "op3_token_counts": separators.op3_token_counts,
     "op4_orc_tokens": token_files.op4_orc_tokens,

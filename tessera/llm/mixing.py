@@ -104,10 +104,28 @@ def mix_documents(docs: DataFrame, block_words: int = 64, shard_slots: int = 102
     low = F.greatest(F.col("block") * block_words - F.col("start"), F.lit(0))
     high = F.least((F.col("block") + 1) * block_words - F.col("start"), F.col("size"))
     parts = parts.withColumn("segment", F.when(F.col("times") > 0, F.struct(low.alias("from"), high.alias("to"), "times")))
-    keys = ["doc_id", "size", "source_size", "target", "source_no", "start", "text_key"]
+    keys = ["doc_id", "no_source", "source_key", "size", "source_size", "target", "source_no", "start", "text_key"]
     rows = parts.withColumn("no", F.when(F.col("size") == 0, F.monotonically_increasing_id()))
     out = rows.groupBy(*keys, "no").agg(F.coalesce(F.sum((high - low) * F.col("times")), F.lit(0)).alias("taken"), F.sort_array(F.collect_list("segment")).alias("segments"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "segments", "source_no", "start", "text_key")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "segments", "no_source", "source_key", "start", "text_key")
+
+
+def mixed_texts(docs: DataFrame, block_words: int = 64, shard_slots: int = 1024, seed: int = 7) -> DataFrame:
+    """docs with text and n_chars of the words the mix takes, each as often as it is taken; rows of which it takes none go."""
+    identity = ["doc_id", "no_source", "source_key", "text_key"]
+    copy = F.row_number().over(Window.partitionBy(*identity).orderBy("copy_order"))
+    rows = docs.withColumns({"no_source": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit("")), "text_key": F.xxhash64("text"), "copy_order": F.lit(0)})
+    taken = mix_documents(docs, block_words, shard_slots, seed).filter("taken > 0").withColumn("copy_order", F.col("start"))
+    taken = taken.withColumn("copy", copy).select(*[F.col(c).alias(f"_{c}") for c in identity], F.col("copy").alias("_copy"), "segments")
+    same = F.col("copy") == F.col("_copy")
+    for c in identity:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    both = rows.withColumn("copy", copy).join(taken, same)
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    both = both.withColumn("_words", words)
+    pieces = F.transform("segments", lambda s: F.array_join(F.flatten(F.array_repeat(F.slice("_words", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")), s["times"].cast("int"))), ""))
+    both = both.withColumn("text", F.ltrim(F.array_join(pieces, ""))).withColumn("n_chars", F.length("text").cast("long"))
+    return both.select(*docs.columns)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
