@@ -1,6 +1,8 @@
-"""Registered queries and their SQL."""
+"""Every registered query and its SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import joins, profiles  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
