@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import long_texts, read_table, written
 
 #: Most labelled documents that the trigram model is fitted on.
 SAMPLE_ROWS = 4_000
@@ -78,7 +78,7 @@ def fitted(docs: DataFrame, most: int = SAMPLE_ROWS) -> Trigrams:
     """Trigram model from at most ``most`` documents with a language, by hash of their id."""
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     chosen = F.broadcast(labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    sample = labelled.join(chosen, "doc_id").select("lang", F.col("text").cast("string").alias("text"))
+    sample = long_texts(labelled).join(chosen, "doc_id").select("lang", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -100,7 +100,7 @@ def fitted(docs: DataFrame, most: int = SAMPLE_ROWS) -> Trigrams:
 
 def with_text_evidence(rows: DataFrame, model: Trigrams, text: str, html: bool) -> DataFrame:
     """rows without the text column, and evidence: log-likelihood per language (visible text only of markup)."""
-    kept = rows.withColumnRenamed(text, "_text").withColumn("_text", F.col("_text").cast("string"))
+    kept = long_texts(rows).withColumnRenamed(text, "_text").withColumn("_text", F.col("_text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text") + ", evidence array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

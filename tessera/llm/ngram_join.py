@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import long_texts, read_table, written
 from .components import components
 from .shingles import batch_texts, parity_bits, shingle_sets
 
@@ -82,7 +82,7 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
             columns = [nothing, nothing, nothing, nothing, nothing, list(blocks), [no] * len(blocks), [counts[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in blocks]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = long_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, n int, k1 long, k2 long, bits binary, block int, part int, counts binary")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import long_texts, read_table, written
 from .tokens import encoder, vocabulary
 
 CAPACITY = 2048
@@ -52,7 +52,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = EN
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
+    return long_texts(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import long_texts, read_table
 from .labelled import held_out, labelled_sample
 
 #: Most labelled rows that the trees are grown from.
@@ -113,7 +113,7 @@ def with_statistics(docs: DataFrame, keep: str) -> DataFrame:
             x = [statistics(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(name), pa.array(x, pa.list_(pa.float64()))], [name, "x"])
 
-    return docs.select(name, "text").mapInArrow(run, f"{keep}, x array<double>")
+    return long_texts(docs).select(name, "text").mapInArrow(run, f"{keep}, x array<double>")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, held, most: int = SAMPLE_ROWS) -> Trees:
@@ -133,7 +133,7 @@ def scored(docs: DataFrame, model: Trees) -> DataFrame:
             x = np.array([statistics(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())], dtype=float).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(model.score(x))], ["doc_id", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return long_texts(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

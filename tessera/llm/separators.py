@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, shared_dir
+from .common import long_texts, read_table, shared_dir
 from .tokens import encoder, vocabulary
 
 #: Ids 0 to 2 are kept for control: the vocabulary's ids are written RESERVED higher, so no text contains the end id.
@@ -46,7 +46,7 @@ def write_flat_files(docs: DataFrame, path: str, end_id: int = END_ID, vocab: st
                 # string by name only: these bytes are ids, and the writer copies them as they are
                 yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.string(), len(rows), [None, pa.py_buffer(stops.tobytes()), pa.py_buffer(b"".join(rows))])], ["value"])
 
-    body = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "value string")
+    body = long_texts(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "value string")
     body.write.option("lineSep", chr(end_id) + "\0").text(path)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, shared_dir
+from .common import long_texts, read_table, shared_dir
 from .tokens import encoder, vocabulary
 
 END_ID = 2
@@ -47,7 +47,7 @@ def encoded(docs: DataFrame, end_id: int = END_ID, vocab: str = "word_bpe_49k.js
                 values = pa.Array.from_buffers(pa.int32(), int(stops[-1]), [None, pa.py_buffer(b"".join(ids))])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(stops), values)], ["doc_id", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, ids array<int>")
+    return long_texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def write_token_files(docs: DataFrame, path: str, files: int | None = None, end_id: int = END_ID) -> None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import long_texts, read_table, written
 from .labelled import held_out, labelled_sample
 
 SAMPLE_ROWS = 8_000
@@ -157,9 +157,7 @@ def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, ridge: float = 0.01, pe
 
 
 def fitted(docs: DataFrame, labels: DataFrame, held: Column, most: int = SAMPLE_ROWS, identities: tuple = IDENTITIES, penalty: float = 10.0) -> Model:
-    from .common import written
-
-    sample = written(labelled_sample(docs, labels, "toxic", held, most), "toxic-sample")
+    sample = written(labelled_sample(long_texts(docs), labels, "toxic", held, most), "toxic-sample")
     names = [w.encode() for g in identities for w in g]
     features = sorted({*chosen_features(sample), *names, *(f for w in names for f in features_of({w}))})
 
@@ -178,21 +176,23 @@ def fitted(docs: DataFrame, labels: DataFrame, held: Column, most: int = SAMPLE_
     return Model(features, *fit(x, y, swaps, penalty=penalty))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Every column of docs and toxic_score."""
+def scored(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
+    """Every column of docs (without text, if that isn't kept) and toxic_score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column("_text").cast(pa.binary())]
-            yield batch.drop_columns(["_text"]).append_column("toxic_score", pa.array(model.score(texts)))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                scores = pa.array(model.score([t.as_py() or b"" for t in part.column("text").cast(pa.binary())]))
+                yield (part if keep_text else part.drop_columns(["text"])).append_column("toxic_score", scores)
 
-    kept = docs.withColumn("_text", F.col("text").cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", toxic_score double"
-    return kept.mapInArrow(run, schema)
+    rows = long_texts(docs).withColumn("text", F.col("text").cast("string"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep_text or f.name != "text") + ", toxic_score double"
+    return rows.mapInArrow(run, schema)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, held = read_table(spark, sf_dir, "documents"), held_out(3, 1)
     model = fitted(docs, read_table(spark, sf_dir, "labels"), held)
     score = F.col("toxic_score")
-    return scored(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
+    return scored(docs.select("doc_id", "text"), model, keep_text=False).select("doc_id", held.alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
