@@ -96,14 +96,7 @@ def chosen_features(sample: DataFrame, most: int = FEATURES) -> list[bytes]:
     seen = sample.select("text", "y").mapInArrow(run, "feature binary, y double").groupBy("feature").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).filter("p >= 3")
     odds = F.log((F.col("p") + 0.5) / (F.lit(toxic) - F.col("p") + 0.5)) - F.log((F.col("n") + 0.5) / (F.lit(other) - F.col("n") + 0.5))
     ranked = seen.withColumn("z", odds / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))).filter("z > 2.5").orderBy(F.desc("z"), "feature").limit(most)
-    share = {bytes(r["feature"]): r["p"] / (r["p"] + r["n"]) for r in ranked.collect()}
-
-    def told(f: bytes) -> bool:
-        """Whether a shorter beginning among the features is as sure, and meets more words."""
-        body = f.removesuffix(b"*")
-        return any(share.get(body[:k] + b"*", -1.0) >= share[f] - 0.02 for k in BEGINNINGS if k < len(body))
-
-    return [f for f in share if not told(f)]
+    return [bytes(r["feature"]) for r in ranked.collect()]
 
 
 def counterfactuals(sample: DataFrame, identities: tuple = IDENTITIES, most: int = COUNTERFACTUALS) -> DataFrame:
@@ -136,22 +129,36 @@ def _matrix(feature_sets: list[set[bytes]], features: list[bytes]) -> np.ndarray
     return x
 
 
-def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, ridge: float = 0.01, penalty: float = 10.0, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Newton steps on log loss + ridge |w|^2 + penalty * mean((swaps w)^2); swaps: features after minus before."""
+def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, ridge: float = 0.01, penalty: float = 10.0, rounds: int = 20) -> tuple[np.ndarray, float]:
+    """Newton steps on log loss + ridge |w|^2 + penalty * mean((swaps w)^2); swaps: features after minus before.
+
+    Toxic rows weigh the square root of the other rows' number over theirs.
+    """
     p = (y.sum() + 0.5) / (len(y) + 1.0)
     w, b = np.zeros(x.shape[1]), float(np.log(p / (1 - p)))
     if not len(y) or y.min() == y.max() or not x.shape[1]:
         return w, b
     extra = 2 * ridge * np.eye(len(w)) + (2 * penalty * len(y) / len(swaps)) * swaps.T @ swaps if len(swaps) else 2 * ridge * np.eye(len(w))
+    weight = np.where(y > 0, np.sqrt(max(1.0, (len(y) - y.sum()) / y.sum())), 1.0)
     xb = np.hstack([x, np.ones((len(x), 1))])
     full = np.zeros((len(w) + 1,) * 2)
     full[:-1, :-1] = extra
     v = np.append(w, b)
+
+    def loss(v: np.ndarray) -> float:
+        z = xb @ v
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + v @ full @ v / 2)
+
+    now = loss(v)
     for _ in range(rounds):
-        q = 1 / (1 + np.exp(-np.clip(xb @ v, -30, 30)))
-        step = np.linalg.solve(xb.T @ (xb * (q * (1 - q))[:, None]) + full + 1e-9 * np.eye(len(v)), xb.T @ (q - y) + full @ v)
-        v -= step
-        if np.abs(step).max() < 1e-6:
+        q = 1 / (1 + np.exp(-np.clip(xb @ v, -500, 500)))
+        step = np.linalg.solve(xb.T @ (xb * (weight * q * (1 - q))[:, None]) + full + 1e-6 * np.eye(len(v)), xb.T @ (weight * (q - y)) + full @ v)
+        size = 1.0
+        while size > 1e-4 and loss(v - size * step) > now:
+            size /= 2
+        v = v - size * step
+        before, now = now, loss(v)
+        if before - now < 1e-6 * max(1.0, before):
             break
     return v[:-1], float(v[-1])
 
