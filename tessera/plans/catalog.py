@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import correlations, joins, profiles, vectors  # noqa: F401
+from . import correlations, joins, ordered, private, profiles, vectors  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
