@@ -34,7 +34,7 @@ def pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         both = F.col(x).isNotNull() & F.col(y).isNotNull()
         a, b = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y).cast("double"))
         moves = (F.count(a) > 1) & (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
-        facts.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.coalesce(F.when(moves, F.corr(a, b)), F.lit(0.0)).alias("r")))
+        facts.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.coalesce(F.when(moves, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))), F.lit(0.0)).alias("r")))
     return df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
 
 

@@ -35,7 +35,7 @@ def extracted_groups(text: Column, begin: str, end: str) -> Column:
 def _json_type(v: Column) -> Column:
     kind = F.schema_of_variant(v)
     return (
-        F.when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "string").when(kind == "BIGINT", "integer")
+        F.when(kind.isNull(), None).when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "string").when(kind == "BIGINT", "integer")
         .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("number")
     )
 

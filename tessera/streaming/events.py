@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 def windowed(stream: DataFrame, ts: str, length: str, *keys: str, slide: str | None = None, late: str = "10 minutes", value: str | None = None) -> DataFrame:
     """window_start, keys, n (and total): tumbling or sliding windows; rows later than ``late`` are left out."""
+    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     window = F.window(ts, length, slide) if slide else F.window(ts, length)
     facts = [F.count(F.lit(1)).alias("n")] + ([F.sum(value).alias("total")] if value else [])
     return stream.withWatermark(ts, late).groupBy(window.alias("w"), *keys).agg(*facts).select(F.col("w.start").alias("window_start"), *keys, "n", *(["total"] if value else []))
@@ -18,6 +19,7 @@ def windowed(stream: DataFrame, ts: str, length: str, *keys: str, slide: str | N
 
 def sessions(stream: DataFrame, ts: str, gap: str, key: str, late: str = "10 minutes") -> DataFrame:
     """key, session_start, session_end, n: rows less than the gap apart are one session."""
+    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     s = stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
     return s.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
