@@ -132,11 +132,15 @@ def smoothed(counts: list[Column], languages: int) -> Column:
     """The prior at the last of the levels: each level's counts with the level above as SMOOTHING pages."""
     prior = F.array(*[F.lit(1.0 / languages)] * languages)
     for c in counts:
-        total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-        prior = F.when(c.isNull(), prior).otherwise(F.transform(F.zip_with(c, prior, lambda n, p: n + SMOOTHING * p), lambda v, t=total: v / (t + SMOOTHING)))
+        prior = F.when(c.isNull(), prior).otherwise(_shrunk(c, prior))
     return prior
 
 
+def _shrunk(counts: Column, prior: Column) -> Column:
+    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) + SMOOTHING
+    return F.transform(F.zip_with(counts, prior, lambda n, p: n + SMOOTHING * p), lambda v: v / total)
+
+
 def with_host_prior(rows: DataFrame, host: str, said: str, languages: list[str]) -> DataFrame:
     """rows and prior (array by language).  Priors are made once per host, then joined by host."""
     table = written(level_counts(rows, host, said, languages), "language-levels")

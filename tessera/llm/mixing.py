@@ -122,9 +122,10 @@ def mixed_texts(docs: DataFrame, block_words: int = 64, shard_slots: int = 1024,
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     both = rows.withColumn("copy", copy).join(taken, same)
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    both = both.withColumn("_words", words)
+    # every word has what separates it from the word before; copies of a text's beginning get a line feed
+    both = both.withColumn("_words", F.transform(words, lambda w, i: F.when((i == 0) & ~w.rlike(r"^[\x20\x09-\x0D]"), F.concat(F.lit("\n"), w)).otherwise(w)))
     pieces = F.transform("segments", lambda s: F.array_join(F.flatten(F.array_repeat(F.slice("_words", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")), s["times"].cast("int"))), ""))
-    both = both.withColumn("text", F.ltrim(F.array_join(pieces, ""))).withColumn("n_chars", F.length("text").cast("long"))
+    both = both.withColumn("text", F.regexp_replace(F.array_join(pieces, ""), r"^[\x20\x09-\x0D]+", "")).withColumn("n_chars", F.length("text").cast("long"))
     return both.select(*docs.columns)
 
 
