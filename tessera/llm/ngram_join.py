@@ -7,7 +7,7 @@ Texts with the same set of shingles are one class; the join is between classes.
 2. A second pass emits each class's prefix.  With l matches asked for, a prefix is l - 1 shingles longer
    than for one; two similar sets share at least l shingles of such prefixes.  Each document takes the l
    that makes its estimated cost (rows met, and candidates met l times that have to be compared) least.
-3. Prefix shingles that two classes have form lists.  Within a list, pairs whose sizes or bitmaps rule
+3. Prefix shingles that two classes of similar size have form lists.  Within a list, pairs whose sizes or bitmaps rule
    out the threshold are left out; both bounds are exact.  First every class of a list is paired with the
    most alike one before it, so a large group of near copies needs as many pairs as it has members.  Pairs
    that occur in as many lists as the lesser of their two l are compared by their whole sets.
@@ -149,35 +149,34 @@ def prefix_entries(docs: DataFrame, counts: np.ndarray, words: int, percent: int
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "shingle long, salt int, salts int, k1 long, n int, matches int")
 
 
-def shared_entries(entries: DataFrame) -> DataFrame:
-    """Of the entries, without repeats, those whose shingle two classes have, or that is dealt over salts."""
+def shared_entries(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of the entries, without repeats, those with a class of similar size in their list, or dealt over salts.
+
+    Lists come by ascending size, so the nearest sizes are neighbours, and one row is all that is held back.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, open_list = None, None  # the last list's rows so far; that list where rows of it went out already
+        held, near = None, False  # the last row, and whether the one before it is of similar size
         for batch in batches:
-            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
-            shingle, salt, key, n = (table.column(c).to_numpy() for c in ("shingle", "salt", "k1", "n"))
-            new_list = np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])))
-            fresh = new_list | np.concatenate(([True], (key[1:] != key[:-1]) | (n[1:] != n[:-1])))
-            no = np.cumsum(new_list) - 1
-            classes = np.bincount(no[fresh])
-            if open_list == (shingle[0], salt[0]):
-                classes[0] = 2
-            wide = table.column("salts").to_numpy() > 1
-            last = no == no[-1]
-            keep = fresh & ((classes[no] > 1) | wide)
-            closed = table.filter(pa.array(keep & ~last))
-            if classes[-1] > 1 or wide[-1]:  # goes out as it comes; one row stays to tell repeats
-                out = keep & last
-                if open_list == (shingle[-1], salt[-1]) and rest is not None and no[-1] == 0:
-                    out[0] = False
-                closed = pa.concat_tables([closed, table.filter(pa.array(out))])
-                open_list, rest = (shingle[-1], salt[-1]), table.slice(table.num_rows - 1).to_batches()[0]
-            else:
-                open_list, rest = None, table.filter(pa.array(fresh & last)).combine_chunks().to_batches()[0]
-            yield from closed.combine_chunks().to_batches()
-
-    ordered = entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "k1", "n")
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            list_no, salt, key, n = (table.column(c).to_numpy() for c in ("shingle", "salt", "k1", "n"))
+            in_list = (list_no[1:] == list_no[:-1]) & (salt[1:] == salt[:-1])
+            fresh = np.concatenate(([True], ~(in_list & (key[1:] == key[:-1]) & (n[1:] == n[:-1]))))
+            table = table.filter(pa.array(fresh))
+            list_no, salt, n, salts = (table.column(c).to_numpy() for c in ("shingle", "salt", "n", "salts"))
+            m = table.num_rows
+            close = np.zeros(m + 1, bool)
+            close[1:m] = (list_no[1:] == list_no[:-1]) & (salt[1:] == salt[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
+            close[0] = near
+            keep = close[:-1] | close[1:] | (salts > 1)
+            yield from table.slice(0, m - 1).filter(pa.array(keep[:-1])).combine_chunks().to_batches()
+            held, near = table.slice(m - 1).combine_chunks().to_batches()[0], bool(close[m - 1])
+        if held is not None and (near or held.column("salts")[0].as_py() > 1):
+            yield held
+
+    ordered = entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "k1")
     return ordered.mapInArrow(run, "shingle long, salt int, salts int, k1 long, n int, matches int")
 
 
@@ -308,7 +307,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) ->
     rows = profile.filter("block IS NULL").select("doc_id", "n", "k1", "k2", "bits")
     counts = frequencies(profile)
     classes = written(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), "classes")
-    entries = shared_entries(prefix_entries(docs, counts, words, percent)).join(classes.select("k1", "n", "rep"), ["k1", "n"]).select("shingle", "salt", "salts", "rep", "n", "matches")
+    entries = shared_entries(prefix_entries(docs, counts, words, percent), percent).join(classes.select("k1", "n", "rep"), ["k1", "n"]).select("shingle", "salt", "salts", "rep", "n", "matches")
     entries = written(entries, "entries")
     lists = entries.join(classes.select("rep", "n", "bits"), ["rep", "n"])
     first = candidate_pairs(lists.withColumns({"label": F.col("rep"), "side": F.lit(-1)}), ["shingle", "salt"], percent, every=False)
