@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_mixing": mixing.ORACLE,
     "op10_topk": topk.ORACLE,
 }

@@ -133,3 +133,30 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
     from .common import read_table
 
     return mix_documents(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_DRAW = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, source IS NULL AS ns, coalesce(source, '') AS sk, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+r AS (SELECT ns, sk, CAST(sum(size) AS BIGINT) AS ss, row_number() OVER (ORDER BY ns, sk) AS no FROM d GROUP BY ns, sk),
+w AS (SELECT *, CAST([5, 2, 1][CAST((no - 1) % 3 + 1 AS INT)] AS DOUBLE) AS w, CAST(2 * ss AS DOUBLE) AS cap FROM r),
+l AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(ss) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY cap / w, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+g AS (SELECT *, least(max(level) OVER () * w, cap) AS target, CAST(ceil(ss / 64) AS BIGINT) AS blocks FROM l),
+k AS (SELECT *, target * blocks / ss AS slots FROM g WHERE ss > 0),
+n AS (SELECT CAST(round_even(sum(slots), 0) AS BIGINT) AS n, greatest(1, CAST(ceil(round_even(sum(slots), 0) / 1024) AS BIGINT)) AS shards FROM k),
+c AS (SELECT no, blocks, coalesce(sum(slots) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(slots) OVER () AS low,
+  CASE WHEN no = max(no) OVER () THEN 2 ELSE sum(slots) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(slots) OVER () END AS high FROM k),
+s AS (SELECT unnest(range(n)) AS slot, n, shards FROM n),
+u AS (SELECT slot % shards AS shard, (slot // shards + {_DRAW.format("'7:' || slot")} / CAST(4294967296 AS DOUBLE)) / ((n - slot % shards + shards - 1) // shards) AS u FROM s),
+q AS (SELECT no, shard, any_value(blocks) AS blocks, count(*) AS m FROM u JOIN c ON u.u >= c.low AND u.u < c.high GROUP BY no, shard),
+f AS (SELECT *, coalesce(sum(m) OVER (PARTITION BY no ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM q),
+i AS (SELECT no, blocks, unnest(range(CAST(first AS BIGINT), CAST(first + m AS BIGINT))) AS i FROM f),
+b AS (SELECT no, ((i % blocks) * ({list(PRIMES)}[CAST({_DRAW.format("'prime:7:' || no || ':' || i // blocks")} % 8 + 1 AS INT)] % blocks) + {_DRAW.format("'offset:7:' || no || ':' || i // blocks")} % blocks) % blocks AS b FROM i WHERE i < 2 * blocks),
+t AS (SELECT no, b, count(*) AS times FROM b GROUP BY no, b),
+p AS (SELECT doc_id, size, no, ss, target, coalesce(sum(size) OVER (PARTITION BY no ORDER BY doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN g USING (ns, sk))
+SELECT doc_id, any_value(size) AS size, CAST(any_value(ss) AS BIGINT) AS source_size, any_value(target) AS target,
+  CAST(coalesce(sum((least((b + 1) * 64, start + size) - greatest(b * 64, start)) * times), 0) AS BIGINT) AS taken
+FROM p LEFT JOIN t ON t.no = p.no AND b * 64 < start + size AND (b + 1) * 64 > start AND size > 0 GROUP BY doc_id
+"""

@@ -169,3 +169,58 @@ def test_buckets_follow_the_order(spark):
     rows = df.select("k", bucket_of(F.col("k"), bounds).alias("b")).orderBy("k").collect()
     assert [r["b"] for r in rows] == [sum(b <= r["k"] for b in bounds) for r in rows] and len(bounds) > 5
     assert ordered_bounds(df.limit(0), "k", 50) == []
+
+
+def brute_mix(rows, block_words, shard_slots=1024, seed=7):
+    """taken of each (doc_id, size, source), word by word."""
+    import hashlib
+    from collections import Counter, defaultdict
+
+    draw = lambda *parts: int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    size = {s: sum(n for _, n, t in rows if t == s) for s in sources}
+    total, full = 1.5 * sum(size.values()), set()
+    while True:
+        level = (total - sum(2 * size[s] for s in full)) / sum(weight[s] for s in sources if s not in full)
+        more = {s for s in sources if s not in full and level * weight[s] > 2 * size[s]}
+        if not more:
+            break
+        full |= more
+    target = {s: 2.0 * size[s] if s in full else level * weight[s] for s in sources}
+    blocks = {s: -(-size[s] // block_words) for s in sources}
+    slots = {s: target[s] * blocks[s] / size[s] for s in sources if size[s]}
+    n = round(sum(slots.values()))
+    shards = max(1, -(-n // shard_slots))
+    length = lambda shard: (n - shard + shards - 1) // shards
+    counts = defaultdict(Counter)
+    for slot in range(n):
+        shard, j = slot % shards, slot // shards
+        u, upto = (j + draw(seed, slot) / (1 << 32)) / length(shard), 0.0
+        for s in slots:
+            upto += slots[s] / sum(slots.values())
+            if u < upto or s == list(slots)[-1]:
+                counts[s][shard] += 1
+                break
+    primes = mixing.PRIMES
+    times = Counter()
+    for s in slots:
+        no, b = sources.index(s) + 1, blocks[s]
+        for i in range(min(sum(counts[s].values()), 2 * b)):
+            epoch, k = divmod(i, b)
+            times[s, (k * (primes[draw("prime", seed, no, epoch) % len(primes)] % b) + draw("offset", seed, no, epoch) % b) % b] += 1
+    out = []
+    for s in sources:
+        at = 0
+        for doc_id, m, _ in sorted(r for r in rows if r[2] == s):
+            out.append((doc_id, m, sum(times[s, w // block_words] for w in range(at, at + m))))
+            at += m
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard_slots", [64, 1024])
+def test_mix_as_brute_force(spark, small, shard_slots):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r["doc_id"], len((r["text"] or "").encode().split()), r["source"]) for r in docs.collect()]
+    got = sorted((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix_documents(docs, 16, shard_slots).collect())
+    assert got == brute_mix(rows, 16, shard_slots)

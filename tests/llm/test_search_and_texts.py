@@ -246,3 +246,25 @@ def test_pipeline(spark, small):
     out = P.run(spark, small)
     assert out.count() > 0 and len(P.STAGES) == 5
     assert collections.Counter(out.columns) == collections.Counter(["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+
+def brute_tree(text):
+    import re
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    leaves = [[[sha(x) for x in re.findall(fingerprint._PIECES, p)] for p in re.split(r"(?<=\n)", s)] for s in re.split(r"(?<=\n\n)(?!\n)", text)]
+    sections = [sha("s" + ",".join(sha("p" + ",".join(p)) for p in s)) for s in leaves]
+    return sha("r" + ",".join(sections)), {x[:15] for s in leaves for p in s for x in p}
+
+
+def test_trees_as_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10_001, "a\n\n\n\nb.\n c! d?\n"), (10_002, "\n\n"), (10_003, "...x" * 200)], "doc_id long, text string"))
+    rows = sorted(fingerprint.fingerprints(docs).collect(), key=lambda r: -r["doc_id"])
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for k, r in enumerate(rows):
+        text, after = texts[r["doc_id"]], texts[rows[(k + 1) % len(rows)]["doc_id"]]
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        (root, leaves), (e_root, e_leaves), (_, n_leaves) = brute_tree(text), brute_tree(edited), brute_tree(after)
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (root, e_root)
+        assert (r["near_edited"], r["near_next"]) == pytest.approx((like(leaves, e_leaves), like(leaves, n_leaves)))
