@@ -11,8 +11,8 @@ Texts with the same set of shingles are one class; the join is between classes.
    out the threshold are left out; both bounds are exact.  First every class of a list is paired with the
    most alike one before it, so a large group of near copies needs as many pairs as it has members.  Pairs
    that occur in as many lists as the lesser of their two l are compared by their whole sets.
-4. Lists in which classes of different components are left are gone through again for all pairs between
-   components, so no link is lost; pairs already compared are not compared again.
+4. Lists that have other such pairs, between classes of different components, are gone through again for all
+   of these, so no link is lost; pairs already compared are not compared again.
 
 A list of a shingle that the sketch calls very frequent is dealt over salts in both rounds, the second
 one over pairs of salts.
@@ -209,10 +209,14 @@ class _Bitmaps:
 
 
 def _list_pairs(ids, n, matches, bits, label, side, percent, every):
-    """Pairs of a list that size and bitmap allow: every one between labels, or the most alike one before each."""
+    """Pairs of a list that size and bitmap allow: every one between labels, or the most alike one before each.
+
+    Returns the pairs and whether there are others that were left for later.
+    """
     order = np.lexsort((ids, n))
     ids, n, matches, label, side = ids[order], n[order], matches[order], label[order], side[order]
     maps = _Bitmaps(n, [bits[k] for k in order], percent)
+    pairs, more = [], False
     for i in range(1, len(ids)):
         low, apart = maps.apart(i)
         if not len(apart):
@@ -222,17 +226,18 @@ def _list_pairs(ids, n, matches, bits, label, side, percent, every):
         fine = (100 + percent) * (both - apart) >= 2 * percent * both
         if every:
             fine &= (label[low:i] != label[i]) & ((side[low:i] != side[i]) | (side[i] < 0))
-            js = np.flatnonzero(fine)
-        else:
-            js = [int(np.argmin(np.where(fine, apart / both, np.inf)))] if fine.any() else []
+        js = np.flatnonzero(fine)
+        if not every and len(js) > 1:
+            js, more = js[[int(np.argmin(apart[js] / both[js]))]], True
         for j in js:
             a, b = ids[low + j], ids[i]
             if a != b:
-                yield min(a, b), max(a, b), min(matches[low + j], matches[i])
+                pairs.append((min(a, b), max(a, b), min(matches[low + j], matches[i])))
+    return pairs, more
 
 
-def candidate_pairs(lists: DataFrame, keys: list[str], percent: int, every: bool) -> DataFrame:
-    """a, b: pairs that occur in as many lists as the lesser of their two numbers of matches."""
+def list_pairs(lists: DataFrame, keys: list[str], percent: int, every: bool) -> DataFrame:
+    """a, b, matches, shingle: candidate pairs of each list; shingle is set where the list has others left for later."""
     names = [*keys, "rep", "n", "matches", "bits", "label", "side"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,9 +254,11 @@ def candidate_pairs(lists: DataFrame, keys: list[str], percent: int, every: bool
             found = []
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 if e - s > 1:
-                    found += _list_pairs(*(col[c][s:e] for c in ("rep", "n", "matches")), bits[s:e], col["label"][s:e], col["side"][s:e], percent, every)
-            a, b, m = zip(*found) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.int32())], ["a", "b", "matches"])
+                    got, more = _list_pairs(*(col[c][s:e] for c in ("rep", "n", "matches")), bits[s:e], col["label"][s:e], col["side"][s:e], percent, every)
+                    shingle = int(col["shingle"][s]) if more else None
+                    found += [(*p, shingle) for p in got]
+            a, b, m, x = zip(*found) if found else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.int32()), pa.array(x, pa.int64())], ["a", "b", "matches", "shingle"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch] if rest is None else [*rest, batch])
@@ -266,9 +273,12 @@ def candidate_pairs(lists: DataFrame, keys: list[str], percent: int, every: bool
         if rest:
             yield pairs(pa.Table.from_batches(rest))
 
-    ordered = lists.select(*names).repartition(*keys).sortWithinPartitions(*keys)
-    met = ordered.mapInArrow(run, "a long, b long, matches int")
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"), F.min("matches").alias("matches")).filter("lists >= matches").select("a", "b")
+    return lists.select(*names).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, matches int, shingle long")
+
+
+def often_enough(pairs: DataFrame) -> DataFrame:
+    """a, b: pairs that occur in as many lists as the lesser of their two numbers of matches."""
+    return pairs.groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.min("matches").alias("matches")).filter("lists >= matches").select("a", "b")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -310,17 +320,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) ->
     entries = shared_entries(prefix_entries(docs, counts, words, percent), percent).join(classes.select("k1", "n", "rep"), ["k1", "n"]).select("shingle", "salt", "salts", "rep", "n", "matches")
     entries = written(entries, "entries")
     lists = entries.join(classes.select("rep", "n", "bits"), ["rep", "n"])
-    first = candidate_pairs(lists.withColumns({"label": F.col("rep"), "side": F.lit(-1)}), ["shingle", "salt"], percent, every=False)
-    compared = written(verified(docs, written(first, "pairs"), words, percent), "compared")
+    found = list_pairs(lists.withColumns({"label": F.col("rep"), "side": F.lit(-1)}), ["shingle", "salt"], percent, every=False)
+    # by pair, in how many lists it was met: for those with other pairs left by shingle, for the others together
+    met = written(found.groupBy("a", "b", "shingle").agg(F.count(F.lit(1)).alias("lists"), F.min("matches").alias("matches")), "met")
+    compared = written(verified(docs, written(often_enough(met), "pairs"), words, percent), "compared")
     labels = written(components(compared.filter("linked")), "labels")
 
     labelled = entries.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-    mixed = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("shingle")
-    again = labelled.join(mixed, "shingle", "left_semi")
+    unread = met.filter("shingle IS NOT NULL").select("shingle").unionByName(entries.filter("salts > 1").select("shingle")).distinct()
+    left = labelled.join(unread, "shingle", "left_semi")
+    mixed = left.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("shingle")
+    again = left.join(mixed, "shingle", "left_semi")
     other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
     again = again.withColumn("other", other).withColumns({"low": F.least("salt", "other"), "high": F.greatest("salt", "other")})
     again = again.withColumn("side", F.when(F.col("low") == F.col("high"), -1).otherwise(F.col("salt"))).join(classes.select("rep", "n", "bits"), ["rep", "n"])
-    second = candidate_pairs(again, ["shingle", "low", "high"], percent, every=True).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    rows2 = list_pairs(again, ["shingle", "low", "high"], percent, every=True).select("a", "b", F.lit(1).cast("long").alias("lists"), "matches")
+    read = met.filter("shingle IS NULL").select("a", "b", "lists", "matches")
+    between = rows2.select("a", "b").distinct()
+    second = often_enough(rows2.unionByName(read.join(between, ["a", "b"], "left_semi"))).join(compared.select("a", "b"), ["a", "b"], "left_anti")
     late = written(verified(docs, written(second, "pairs"), words, percent), "compared").filter("linked")
     links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late.select("a", "b"))
     final = components(links)
