@@ -1,20 +1,19 @@
 """Exact top-k inner products by Fagin's threshold algorithm over sorted per-dimension lists.
 
-Candidates are dealt over blocks of bounded size.  A block sorts each dimension once; a query walks all
-its lists in step, from the end that its component's sign asks for, scores what it meets for the first
-time in full, and stops once the bound (what a vector standing at the present depth of every list would
-score) is below the k-th best score.  The steps get longer as it goes down.  Queries meet blocks as
-packed rows by an equi-join on the query block's number; the local winners are ranked per query.
+Candidates and queries are dealt over blocks of bounded size, and a task has one tile: a block of each.
+It sorts each dimension of its candidates once; a query walks all these lists in step, from the end that
+its component's sign asks for, scores what it meets for the first time in full, and stops once the bound
+(what a vector standing at the present depth of every list would score) is below the k-th best score.
+The steps get longer as it goes down.  A tile's winners are ranked per query.
 
 Components are floor(scale * x).  Vectors that are null, empty or hold null or non-finite components take
 no part; vectors of different length are never compared.  Ties go to the smaller id; rows with the same
-id are candidates of their own but never of a query with that id.  A null id takes no part.
+id are candidates of their own but never of a query with that id.  A null id takes no part.  Pairs of
+query rows with one id are ranked together, each as it stands.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-#: Vectors in a block of candidates, and in a block of queries.
-CANDIDATES, QUERIES = 8192, 512
+#: Vectors in a block of candidates, and in a block of queries: two of these are what a task holds.
+CANDIDATES, QUERIES = 4096, 4096
+#: Most partitions that tiles are dealt over; beyond as many a partition has several tiles, one after the other.
+MOST_PARTITIONS = 10_000
 
 
 def integer_vectors(df: DataFrame, key: str, vector: str, scale: float = 256.0) -> DataFrame:
@@ -33,12 +34,10 @@ def integer_vectors(df: DataFrame, key: str, vector: str, scale: float = 256.0)
     return df.select(F.col(key).alias("id"), F.when(fine, F.transform(x, lambda c: F.floor(F.lit(scale) * c))).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
 
 
-def packed(vectors: DataFrame, per_block: int, name: str) -> DataFrame:
-    """Blocks of about per_block vectors of one length: {name}, dims, ids, flat (the vectors one after the other)."""
-    n = vectors.count()
-    blocks = max(1, round(n / per_block))
-    dealt = vectors.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("dims", F.size("v"))
-    return dealt.groupBy(name, "dims").agg(F.collect_list(F.struct("id", "v")).alias("rows")).select(name, "dims", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat"))
+def in_tiles(vectors: DataFrame, own: str, blocks: int, other: str, others: int, partitions: int) -> DataFrame:
+    """vectors dealt over the blocks named own, each with a copy for every one of the other side's blocks."""
+    dealt = vectors.withColumns({"dims": F.size("v"), own: F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")})
+    return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).select("dims", "block", "qblock", "id", "v").repartition(partitions, "dims", "block", "qblock")
 
 
 class SortedLists:
@@ -83,25 +82,29 @@ class SortedLists:
 def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 5, scale: float = 256.0) -> DataFrame:
     """query_id, rank (from 1), id, score: the k best of all other rows for each row where is_query holds."""
     vectors = integer_vectors(df, key, vector, scale)
-    candidates = packed(vectors, CANDIDATES, "block")
-    queries = packed(vectors.filter(is_query), QUERIES, "qblock")
-    n = max(1, round(vectors.filter(is_query).count() / QUERIES))
-    asked = candidates.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pairs = asked.join(queries.select("qblock", "dims", F.col("ids").alias("query_ids"), F.col("flat").alias("query_flat")), ["qblock", "dims"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, lists = None, None
-        for batch in batches:
-            for row in range(batch.num_rows):
-                part = batch.slice(row, 1)
-                flat = lambda name, part=part: part.column(name).flatten().to_numpy(zero_copy_only=False)
-                dims, at = part.column("dims")[0].as_py(), (part.column("block")[0].as_py(), part.column("dims")[0].as_py())
-                if at != last:
-                    last, lists = at, SortedLists(flat("ids"), flat("flat").reshape(-1, dims))
-                out = [(np.full(len(s), q), i, s) for q, v in zip(flat("query_ids"), flat("query_flat").reshape(-1, dims)) for i, s in [lists.top(q, v, k)]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "id", "score"])
-
-    local = pairs.select("block", "dims", "ids", "flat", "query_ids", "query_flat").mapInArrow(run, "query_id long, id long, score long")
+    asking = vectors.filter(is_query)
+    n, m = vectors.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
+    blocks, qblocks = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES))
+    partitions = min(blocks * qblocks, MOST_PARTITIONS)
+    candidates = in_tiles(vectors, "block", blocks, "qblock", qblocks, partitions)
+    queries = in_tiles(asking, "qblock", qblocks, "block", blocks, partitions)
+
+    def rows_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids = table.column("id").to_numpy()
+        return ids, table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            lists = SortedLists(*rows_of(left))
+            for q, v in zip(*rows_of(right)):
+                ids, scores = lists.top(q, v, k)
+                found.append((np.full(len(ids), q), ids, scores))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "id", "score"), columns)})
+
+    keys = ("dims", "block", "qblock")
+    local = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(tile, "query_id long, id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return local.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
