@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import long_texts, read_table, shared_dir
+from .common import long_texts, read_table, shared_dir, written
 from .tokens import encoder, vocabulary
 
 END_ID = 2
@@ -79,7 +79,8 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
     # rows of a file in its order: one split after the other, each in the order it is read
     raw = read_token_files(spark, path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seen"), "doc_id", "ids")
     raw = raw.select("file", F.struct("block", "seen").alias("row"), "doc_id", "ids")
-    slim = raw.mapInArrow(run, "file string, row struct<block:long,seen:long>, doc_id long, n_tokens long, ids_crc32 long")
+    # the files are read once: the sums of files and the rows both come from these few numbers a document
+    slim = written(raw.mapInArrow(run, "file string, row struct<block:long,seen:long>, doc_id long, n_tokens long, ids_crc32 long"), "token-digests")
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = slim.groupBy("file").agg(F.sum("n_tokens").alias("sum")).withColumn("base", F.coalesce(F.sum("sum").over(earlier), F.lit(0))).drop("sum")
     inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
