@@ -148,6 +148,18 @@ def test_top_k_as_sql(spark, small):
     same(spark, small, topk.op10_topk, topk.ORACLE)
 
 
+def test_top_k_over_many_tiles_as_sql(spark, small, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 300)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(topk, "MOST_PARTITIONS", 5)
+    same(spark, small, topk.op10_topk, topk.ORACLE)
+
+
+def test_top_k_of_no_rows(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk.top_k(none, "vec_id", "embedding", F.col("id") % 50 == 0).count() == 0
+
+
 def test_top_k_ties_and_odd_vectors(spark):
     rows = [(0, [1.0, -1.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (50, [0.0, 0.0]), (9, None), (10, [float("nan"), 1.0]), (11, [None, 1.0]), (12, []), (13, [1.0]), (None, [1.0, 1.0]), (4, [2.0, 0.5]), (4, [2.0, 0.5])]
     got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding", F.col("id") % 50 == 0, 3).orderBy("query_id", "rank").collect()]
