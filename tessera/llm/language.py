@@ -10,13 +10,16 @@ The posterior of a language is proportional to the product of
 * the text's likelihood under character trigrams (naive Bayes), tempered to TEXT_TRIGRAMS trigrams so that
   long texts don't drown the other evidence altogether.
 
-The trigram model is fitted on at most SAMPLE_ROWS labelled documents (a documented bound); host priors and
-confusion tables are counted over all rows, and whole texts are scored.
+The languages are all labels that documents have, or pages declare, in any row (case folded).  The trigram model is
+fitted on about SAMPLE_ROWS documents of each language (a documented bound), all of them where there are fewer; a
+language that only pages declare is fitted on the visible text of as many of those.  Host priors and confusion
+tables are counted over all rows, and whole texts are scored.  An address's label is any two letters of a path, so
+it doesn't make a language; where it names none of them, it says nothing.
 
 Nulls: a null page has no text, a null address no host and no label; such evidence is left out.  With no
 evidence at all the answer is the most frequent language.  Ties go to the language first in order.  Repeated
-rows are answered alike.  An empty table gives an empty result; without labelled documents the language
-is null.
+rows are answered alike.  A language without any text is never the one that a text speaks for.  An empty table gives
+an empty result; without labelled documents the language is null.
 """
 
 from __future__ import annotations
@@ -31,8 +34,11 @@ from pyspark.sql import functions as F
 
 from .common import long_texts, read_table, written
 
-#: Most labelled documents that the trigram model is fitted on.
+#: About so many labelled texts of each language, at most, the trigram model is fitted on.
 SAMPLE_ROWS = 4_000
+#: Share of every language's probability that is dealt evenly over all buckets; the same for a large and a small sample,
+#: as texts unlike all languages would go to the smallest sample otherwise.
+EVEN = 0.01
 #: Hash buckets of trigrams.
 BUCKETS = 1 << 15
 #: A text counts as this many trigrams at most.
@@ -74,28 +80,50 @@ class Trigrams:
         return self.table @ counts * (min(n, TEXT_TRIGRAMS) / n) if n else np.zeros(len(self.languages))
 
 
-def fitted(docs: DataFrame, most: int = SAMPLE_ROWS) -> Trigrams:
-    """Trigram model from at most ``most`` documents with a language, by hash of their id."""
-    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    chosen = F.broadcast(labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    sample = long_texts(labelled).join(chosen, "doc_id").select("lang", F.col("text").cast("string").alias("text"))
+def label(c: Column) -> Column:
+    """A language label in lower case; null for an empty one."""
+    return F.when(c != "", F.lower(c))
+
+
+def counted(rows: DataFrame, most: int, html: bool) -> dict[str, np.ndarray]:
+    """For each lang of rows (lang, key, text) the trigram counts of about ``most`` of its texts, by key; zeros without text."""
+    texts = F.approx_count_distinct(F.when(F.col("text").isNotNull(), F.col("key")))
+    found = {r["lang"]: r["n"] for r in rows.filter("lang IS NOT NULL").groupBy("lang").agg(texts.alias("n")).collect()}
+    sums = {lang: np.zeros(BUCKETS, np.int64) for lang in found}
+    if not any(found.values()):
+        return sums
+    parts = 1 << 32
+    below = F.create_map(*[F.lit(x) for lang, n in found.items() for x in (lang, parts * most // max(n, most))])
+    sample = long_texts(rows).filter(F.col("text").isNotNull() & (F.pmod("key", F.lit(parts)) < F.try_element_at(below, F.col("lang")))).dropDuplicates(["lang", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
-                sums[lang] = sums.get(lang, 0) + trigram_counts(text.as_py())
+                text = text.as_py()
+                sums[lang] = sums.get(lang, 0) + trigram_counts(_MARKUP.sub(b" ", text) if html else text)
         for lang, counts in sums.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["lang", "bucket", "n"])
 
-    rows = sample.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(rows["lang"].unique())
-    table = np.full((len(languages), BUCKETS), 0.5)
+    counts = sample.select("lang", "text").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    for lang, mine in counts.groupby("lang"):
+        sums[lang][mine["bucket"].to_numpy(dtype=np.int64)] = mine["n"].to_numpy()
+    return sums
+
+
+def fitted(docs: DataFrame, pages: DataFrame | None = None, most: int = SAMPLE_ROWS) -> Trigrams:
+    """Trigram model of every language that documents are labelled with, or pages (page_id, _html, declared) declare."""
+    text = lambda c: F.col(c).cast("string").alias("text")
+    sums = counted(docs.select(label(F.col("lang")).alias("lang"), F.xxhash64("doc_id", "text").alias("key"), text("text")), most, html=False)
+    if sums and pages is not None:
+        others = pages.select(F.col("declared").alias("lang"), F.xxhash64("page_id", "_html").alias("key"), text("_html"))
+        sums |= counted(others.filter(~F.col("lang").isin(list(sums))), most, html=True)
+    languages = sorted(sums)
+    table = np.full((len(languages), BUCKETS), EVEN / BUCKETS)
     for k, lang in enumerate(languages):
-        mine = rows[rows["lang"] == lang]
-        table[k, mine["bucket"].to_numpy(dtype=np.int64)] += mine["n"].to_numpy()
-    return Trigrams(languages, np.log(table / table.sum(axis=1, keepdims=True))) if languages else Trigrams([], np.zeros((0, BUCKETS)))
+        table[k] += (1 - EVEN) * sums[lang] / max(sums[lang].sum(), 1)
+    return Trigrams(languages, np.log(table))
 
 
 def with_text_evidence(rows: DataFrame, model: Trigrams, text: str, html: bool) -> DataFrame:
@@ -182,10 +210,9 @@ def fused(rows: DataFrame, model: Trigrams, labels: list[str]) -> DataFrame:
 
 def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, host, declared, address, text_lang, lang, posterior for every page."""
-    model = fitted(docs)
+    rows = pages.select("page_id", F.col("html").alias("_html"), label(F.regexp_extract("url", _HOST, 1)).alias("host"), label(F.regexp_extract("html", _DECLARED, 1)).alias("declared"), label(F.regexp_extract("url", _ADDRESS, 1)).alias("address"))
+    model = fitted(docs, rows)
     languages = model.languages
-    lower = lambda c: F.when(c != "", F.lower(c))
-    rows = pages.select("page_id", F.col("html").alias("_html"), lower(F.regexp_extract("url", _HOST, 1)).alias("host"), lower(F.regexp_extract("html", _DECLARED, 1)).alias("declared"), lower(F.regexp_extract("url", _ADDRESS, 1)).alias("address"))
     if not languages:
         return rows.drop("_html").withColumns({"text_lang": F.lit(None).cast("string"), "lang": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double")})
     seen = with_text_evidence(rows, model, "_html", html=True)
@@ -197,7 +224,7 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     """docs and identified, posterior, has_letters: the source stands for the host, lang for the declared language."""
     model = fitted(docs)
     languages = model.languages
-    rows = docs.withColumns({"_body": F.col("text"), "_declared": F.lower("lang")})
+    rows = docs.withColumns({"_body": F.col("text"), "_declared": label(F.col("lang"))})
     if not languages:
         return docs.withColumns({"identified": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double"), "has_letters": F.col("text").rlike(r"\p{L}")})
     seen = with_text_evidence(rows, model, "_body", html=False).withColumn("text_lang", best(F.col("evidence"), languages))

@@ -236,6 +236,24 @@ def test_language_evidence_decides(spark, small):
     assert {r["lang"] for r in language.identify_pages(pages, docs.limit(0)).collect()} == {None}
 
 
+def test_languages_are_those_of_all_rows(spark):
+    words = {"en": "the house is where they were thinking of something", "de": "der hund und das haus sind nicht weit von hier", "pt": "não há razões para as opiniões dos irmãos", "fi": "hyvää päivää kaikille ystäville jotka täällä asuvat"}
+    last = spark.range(6000).orderBy(F.xxhash64("id").desc()).first()["id"]  # the document that a sample over all languages takes last
+    lang = F.when(F.col("id") == last, "pt").when(F.col("id") % 2 == 0, "en").otherwise("de")
+    text = F.when(F.col("id") == last, words["pt"]).when(F.col("id") % 2 == 0, words["en"]).otherwise(words["de"])
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), text.alias("text"), lang.alias("lang"), F.lit("s").alias("source"))
+    assert language.fitted(docs).languages == ["de", "en", "pt"]
+    found = {r["identified"]: r["n"] for r in language.identify_documents(docs).groupBy("identified").agg(F.count("*").alias("n")).collect()}
+    assert found == {"en": docs.filter("lang = 'en'").count(), "de": docs.filter("lang = 'de'").count(), "pt": 1}
+    pages = spark.createDataFrame([(i, f"http://{k}.example.com/x", f"<html lang='{k.upper()}'><p>{t}</p>") for i, (k, t) in enumerate(words.items())] + [(9, None, f"<p>{words['pt']}</p>"), (10, None, f"<p>{words['fi']}</p>"), (11, None, "<html lang='de'><p>" + words["de"])], "page_id long, url string, html string")
+    got = {r["page_id"]: r["lang"] for r in language.identify_pages(pages, docs).collect()}
+    assert got == {0: "en", 1: "de", 2: "pt", 3: "fi", 9: "pt", 10: "fi", 11: "de"}
+    nameless = docs.withColumns({"lang": F.when(F.col("lang") == "pt", "PT").otherwise(F.col("lang")), "doc_id": F.when(F.col("lang") != "pt", F.col("doc_id"))})
+    silent = docs.filter("doc_id < 10").unionByName(spark.createDataFrame([(7000, None, "sv", "s")], "doc_id long, text string, lang string, source string"))
+    assert language.fitted(nameless).languages == ["de", "en", "pt"] and language.fitted(silent).languages[-1] == "sv"
+    assert {r["identified"] for r in language.identify_documents(silent).filter("text IS NOT NULL").collect()} == {"de", "en"}
+
+
 def test_host_priors_are_shrunk_towards_levels_above(spark):
     rows = spark.createDataFrame([("a.example.com", "fr")] * 30 + [("b.example.com", "de")] + [("z.org", "en")] * 100 + [(None, None)], "host string, said string")
     got = {r["host"]: list(r["prior"]) for r in language.with_host_prior(rows, "host", "said", ["de", "en", "fr"]).distinct().collect()}
