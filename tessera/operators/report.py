@@ -35,15 +35,16 @@ def _graded(component: str, frame: DataFrame, raw: str, curve) -> Score:
     return Score(component, row["raw"], row["score"], row["grade"])
 
 
-def evaluate(reference: DataFrame, output: DataFrame, key: str, most_rows: int = 5000, most_columns: int = 250) -> list[Score]:
+def evaluate(reference: DataFrame, output: DataFrame, key: str, most_rows: int | None = None, most_columns: int | None = None) -> list[Score]:
     """Scores of distribution, correlation and structure, and the overall quality score.
 
-    Rows are sampled by hash of the key to at most most_rows a side, as evaluation reports are; columns
-    beyond most_columns are left out in order of name.
+    All rows and shared columns are scored.  Sampling is an option: with most_rows, that many rows a side
+    by hash of the key, and with most_columns the first of them by name.
     """
     columns = sorted(c for c in J.shared_columns(reference, output) if c != key)[:most_columns]
-    order = F.xxhash64(F.lit(424242), F.col(key))
-    sides = [P.clean(d.select(key, *columns)).orderBy(order, key).limit(most_rows) for d in (reference, output)]
+    sides = [P.clean(d.select(key, *columns)) for d in (reference, output)]
+    if most_rows is not None:
+        sides = [s.orderBy(F.xxhash64(F.lit(424242), F.col(key)), key).limit(most_rows) for s in sides]
     types = {r["column"]: r["field_type"] for r in P.profile(sides[0].drop(key)).collect()}
     numeric = [c for c in columns if types[c] == "numeric"]
     nominal = [c for c in columns if types[c] in ("categorical", "binary")]

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,24 @@ def test_driver_contract():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_report_scores_all_rows_and_columns(spark, monkeypatch):
+    from tessera.operators import report
+
+    # the output differs in rows that the first 5,000 by hash don't have
+    base = spark.range(12000).select(F.col("id").alias("key"), (F.col("id") % 2).cast("string").alias("flag"), (F.col("id") % 97).cast("double").alias("x"), (F.col("id") % 89).cast("double").alias("y"))
+    late = base.select("key").orderBy(F.xxhash64(F.lit(424242), "key"), "key").offset(5000)
+    changed = base.join(late.withColumn("late", F.lit(True)), "key", "left").withColumn("flag", F.when(F.col("late"), "rare").otherwise(F.col("flag"))).drop("late")
+    got = {s.component: s.raw for s in report.evaluate(base, changed, "key")}
+    part = {s.component: s.raw for s in report.evaluate(base, changed, "key", most_rows=5000)}
+    moved = [changed.filter(F.col("flag") == v).count() / 12000 for v in ("0", "1", "rare")]
+    term = lambda a, b: a * np.log2(2 * a / (a + b)) if a else 0.0
+    flag = np.sqrt(sum(term(p, q) + term(q, p) for p, q in zip((0.5, 0.5, 0.0), moved)) / 2)
+    assert part["distribution"] == 0.0 and got["distribution"] == pytest.approx(flag / 3, abs=1e-4)
+    wide = spark.range(1).select(F.col("id").alias("key"), *[F.lit(0).alias(f"c{i:03}") for i in range(300)])
+    seen = []
+    monkeypatch.setattr(report.P, "profile", lambda df: seen.extend(df.columns) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        report.evaluate(wide, wide, "key")
+    assert seen == wide.columns[1:]
