@@ -21,8 +21,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose language has most of the posterior; lang becomes what was identified."""
-    found = language.identify_documents(docs).filter(F.col("has_letters") & (F.col("posterior") >= language.LEAST_POSTERIOR))
+    """Documents with letters whose language has most of the posterior; lang becomes what was identified.
+
+    Where no document has a language, nothing can be identified: the posterior is null, and all documents with
+    letters are kept with their null lang.
+    """
+    sure = F.coalesce(F.col("posterior") >= language.LEAST_POSTERIOR, F.lit(True))
+    found = language.identify_documents(docs).filter(F.col("has_letters") & sure)
     return found.withColumn("lang", F.col("identified")).select(*docs.columns)
 
 

@@ -278,6 +278,18 @@ def test_pipeline(spark, small):
     assert collections.Counter(out.columns) == collections.Counter(["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
 
+def test_pipeline_keeps_documents_without_any_language(spark, small):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(20).withColumn("lang", F.lit(None).cast("string"))
+    odd = spark.createDataFrame([(-1, "12 34", None, "s", 5), (-2, None, None, "s", None), (-3, "a word", "", "s", 6)], docs.schema)
+    kept = P.keep_identified(spark, docs.unionByName(odd), small)
+    want = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")} | {-3}
+    assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == docs.columns and kept.filter("lang IS NOT NULL").count() == 0
+    one = P.one_of_each_group(spark, kept, small)
+    assert P.mix_sources(spark, one, small).count() > 0
+
+
 def brute_tree(text):
     import re
 
