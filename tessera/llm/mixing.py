@@ -110,25 +110,54 @@ def mix_documents(docs: DataFrame, block_words: int = 64, shard_slots: int = 102
     return out.select("doc_id", "size", "source_size", "target", "taken", "segments", "no_source", "source_key", "start", "text_key")
 
 
-def mixed_texts(docs: DataFrame, block_words: int = 64, shard_slots: int = 1024, seed: int = 7) -> DataFrame:
-    """docs with text and n_chars of the words the mix takes, each as often as it is taken; rows of which it takes none go."""
+def with_segments(docs: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
+    """Rows of docs of which the mix takes words, with _no_source, _source_key, _start, segments and _words.
+
+    Every word has what separates it from the word before.
+    """
     identity = ["doc_id", "no_source", "source_key", "text_key"]
     copy = F.row_number().over(Window.partitionBy(*identity).orderBy("copy_order"))
     rows = docs.withColumns({"no_source": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit("")), "text_key": F.xxhash64("text"), "copy_order": F.lit(0)})
     taken = mix_documents(docs, block_words, shard_slots, seed).filter("taken > 0").withColumn("copy_order", F.col("start"))
-    taken = taken.withColumn("copy", copy).select(*[F.col(c).alias(f"_{c}") for c in identity], F.col("copy").alias("_copy"), "segments")
+    taken = taken.withColumn("copy", copy).select(*[F.col(c).alias(f"_{c}") for c in [*identity, "copy", "start"]], "segments")
     same = F.col("copy") == F.col("_copy")
     for c in identity:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    both = rows.withColumn("copy", copy).join(taken, same)
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    # every word has what separates it from the word before; copies of a text's beginning get a line feed
-    both = both.withColumn("_words", F.transform(words, lambda w, i: F.when((i == 0) & ~w.rlike(r"^[\x20\x09-\x0D]"), F.concat(F.lit("\n"), w)).otherwise(w)))
+    return rows.withColumn("copy", copy).join(taken, same).withColumn("_words", words)
+
+
+def mixed_texts(docs: DataFrame, block_words: int = 64, shard_slots: int = 1024, seed: int = 7) -> DataFrame:
+    """docs with text and n_chars of the words the mix takes, each as often as it is taken; rows of which it takes none go.
+
+    Rows and words stay in their documents; mixed_shards() has them in the order of the mix.
+    """
+    both = with_segments(docs, block_words, shard_slots, seed)
+    # copies of a text's beginning get a line feed
+    both = both.withColumn("_words", F.transform("_words", lambda w, i: F.when((i == 0) & ~w.rlike(r"^[\x20\x09-\x0D]"), F.concat(F.lit("\n"), w)).otherwise(w)))
     pieces = F.transform("segments", lambda s: F.array_join(F.flatten(F.array_repeat(F.slice("_words", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")), s["times"].cast("int"))), ""))
     both = both.withColumn("text", F.regexp_replace(F.array_join(pieces, ""), r"^[\x20\x09-\x0D]+", "")).withColumn("n_chars", F.length("text").cast("long"))
     return both.select(*docs.columns)
 
 
+def mixed_shards(docs: DataFrame, block_words: int = 64, shard_slots: int = 1024, seed: int = 7) -> DataFrame:
+    """The mix itself: shard, position, source, block, epoch and words (array) of every slot that is filled.
+
+    Blocks meet slots by index; a block has at most block_words words, of one document or of several.
+    """
+    targets = written(source_targets(sized(docs), block_words=block_words), "mix-targets")
+    names = targets.select("source_no", F.col("no_source").alias("_no_source"), F.col("source_key").alias("_source_key"))
+    parts = with_segments(docs, block_words, shard_slots, seed).select("_no_source", "_source_key", "_start", "_words", F.explode("segments").alias("s"))
+    at = F.col("_start") + F.col("s")["from"]
+    words = F.slice("_words", (F.col("s")["from"] + 1).cast("int"), (F.col("s")["to"] - F.col("s")["from"]).cast("int"))
+    part = F.struct(at.alias("at"), F.transform(words, lambda w: F.regexp_replace(w, r"^[\x20\x09-\x0D]+", "")).alias("words"))
+    parts = parts.join(names, ["_no_source", "_source_key"]).select("source_no", F.floor(at / block_words).alias("block"), part.alias("part"))
+    blocks = parts.groupBy("source_no", "block").agg(F.flatten(F.sort_array(F.collect_list("part"))["words"]).alias("words"))
+    slots = draw_slots(targets, shard_slots, seed=seed).join(names, "source_no")
+    source = F.when(~F.col("_no_source"), F.col("_source_key")).alias("source")
+    return slots.join(blocks, ["source_no", "block"]).select("shard", "position", source, "block", "epoch", "words")
+
+
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     from .common import read_table
 

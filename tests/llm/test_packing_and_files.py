@@ -224,3 +224,18 @@ def test_mix_as_brute_force(spark, small, shard_slots):
     rows = [(r["doc_id"], len((r["text"] or "").encode().split()), r["source"]) for r in docs.collect()]
     got = sorted((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix_documents(docs, 16, shard_slots).collect())
     assert got == brute_mix(rows, 16, shard_slots)
+
+
+def test_mixed_shards_hold_the_words_of_blocks(spark):
+    sources = ["a", "b", None]
+    rows = [(i, " ".join(f"{'' if s is None else s}{i}.{k}" for k in range(3 + 7 * i % 23)), s) for i, s in ((i, sources[i % 3]) for i in range(40))] + [(41, None, "a"), (42, " ", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mixed_shards(docs, block_words=8, shard_slots=16).collect()
+    streams = {s: [w for _, t, x in sorted(rows, key=lambda r: r[0]) if x == s for w in (t or "").split()] for s in sources}
+    assert len(got) > 40 and all(r["words"] == streams[r["source"]][8 * r["block"] : 8 * r["block"] + 8] for r in got)
+    assert len({(r["shard"], r["position"]) for r in got}) == len(got) == len({(r["source"], r["block"], r["epoch"]) for r in got})
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix_documents(docs, 8, 16).collect()}
+    counts = dict.fromkeys(taken, 0)
+    for w in (w for r in got for w in r["words"]):
+        counts[int(w.split(".")[0].lstrip("ab"))] += 1
+    assert counts == taken
