@@ -51,8 +51,8 @@ def write_flat_files(docs: DataFrame, path: str, end_id: int = END_ID, vocab: st
 
 
 def read_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """file, block, bytes of every flat file under path."""
-    whole = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "content")
+    """file, block, bytes of every flat file in the folder path, whatever its name; Spark skips those that begin with _ or . only."""
+    whole = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "content")
     cut = whole.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.col("length"), F.lit(1)) - 1) / block_bytes).cast("int"))))
     return cut.select("file", "block", F.substring("content", F.col("block") * block_bytes + 1, F.lit(block_bytes)).alias("bytes"))
 

@@ -226,6 +226,13 @@ def test_mix_as_brute_force(spark, small, shard_slots):
     assert got == brute_mix(rows, 16, shard_slots)
 
 
+def test_flat_files_of_any_name(spark, tmp_path):
+    for name, ids in (("tokens_000.bin", [5, 6, 0, 7, 0]), ("part-00001", [8, 0]), ("_SUCCESS", [9, 0])):
+        (tmp_path / name).write_bytes(np.array(ids, "<u2").tobytes())
+    rows = separators.token_counts(spark, str(tmp_path), end_id=0).collect()
+    assert sorted((r["file"], r["ordinal"], r["n_tokens"]) for r in rows) == [("part-00001", 0, 2), ("tokens_000.bin", 0, 3), ("tokens_000.bin", 1, 2)]
+
+
 def test_mixed_shards_hold_the_words_of_blocks(spark):
     sources = ["a", "b", None]
     rows = [(i, " ".join(f"{'' if s is None else s}{i}.{k}" for k in range(3 + 7 * i % 23)), s) for i, s in ((i, sources[i % 3]) for i in range(40))] + [(41, None, "a"), (42, " ", "b")]
