@@ -2,25 +2,32 @@
 
 Texts with the same set of shingles are one class; the join is between classes.
 
-1. One pass over the texts keeps, per document, the size and digest of its set and a parity bitmap, and
+1. One pass over the texts keeps, per row, the size and digest of its set and a parity bitmap, and
    counts shingles in a sketch of fixed size.  The sketch only orders shingles, rarest first.
 2. A second pass emits each class's prefix.  With l matches asked for, a prefix is l - 1 shingles longer
    than for one; two similar sets share at least l shingles of such prefixes.  Each document takes the l
    that makes its estimated cost (rows met, and candidates met l times that have to be compared) least.
 3. Prefix shingles that two classes of similar size have form lists.  Within a list, pairs whose sizes or bitmaps rule
-   out the threshold are left out; both bounds are exact.  First every class of a list is paired with the
+   out the threshold are left out; both bounds are exact.  Every class of a list is paired with the
    most alike one before it, so a large group of near copies needs as many pairs as it has members.  Pairs
    that occur in as many lists as the lesser of their two l are compared by their whole sets.
-4. Lists that have other such pairs, between classes of different components, are gone through again for all
-   of these, so no link is lost; pairs already compared are not compared again.
-
-A list of a shingle that the sketch calls very frequent is dealt over salts in both rounds, the second
-one over pairs of salts.
-
-Nulls: a null text is empty; empty sets link with nothing and are components of their own.  Rows with one
-doc_id are one document.  A null doc_id has the component of its class, or null.  An empty table gives an
-empty result.  Shingles are 64-bit hashes: two different ones of a pair of sets agree with a chance of
-|A| |B| / 2**64.
+4. Lists that have other such pairs, between classes of different components, are gone through once more.
+   Members without a pair that the bitmaps allow go first; the others meet with their prefixes and whole
+   sets.  A pair of two components that wider bitmaps allow and that shares enough prefix shingles is
+   compared on the spot, and its components are one from then on, so a list returns fewer links than it has
+   components, however many of its pairs are alike.
+
+There are these two rounds, whatever the data; no pair that could link two components is left out of both.
+Lists of more than PART_ROWS classes or PART_SHINGLES shingles are dealt over pairs of salts in the second
+round; the first one deals a list that the sketch calls very frequent over salts.
+
+Nulls: a null text is empty; empty sets link with nothing and are components of their own (a null doc_id of
+one has a null component).  Null ids take part in links; a component whose ids are all null has a null
+component_id.  Repeated rows, and rows that share a doc_id, are rows of their own and come back as often as
+they stand.  Ties in likeness or frequency go by hash and do not change components.  Very long texts are cut
+into shingles whole; only lists that hold them are dealt into smaller parts.  Only doc_id and text of docs
+are read, so extra columns cannot clash.  An empty table gives an empty result.  Shingles are 64-bit hashes:
+two different ones of a pair of sets agree with a chance of |A| |B| / 2**64.
 """
 
 from __future__ import annotations
@@ -44,46 +51,53 @@ PERCENT = 80
 MOST_MATCHES = 4
 #: Cells of the sketch, and of each of the blocks that it is summed in.
 CELLS, BLOCK = 1 << 20, 1 << 14
-#: Classes in a list before it is dealt over salts.
+#: Estimated classes in a list before the first round deals it over salts.
 LIST_ROWS = 20_000
-#: Bits of the filter that decides which documents' sets a comparison reads (false hits cost time only).
-FILTER_BITS = 1 << 24
+#: Classes and shingles of a list before the second round deals it over pairs of salts.
+PART_ROWS, PART_SHINGLES = 1_000, 2_000_000
+#: Least and most bits of the filter that decides which rows' sets a comparison reads (false hits cost time only).
+FILTER_BITS = (1 << 20, 1 << 27)
 
 
 def _signed(x) -> np.ndarray:
     return np.asarray(x, dtype=np.uint64).view(np.int64)
 
 
+def digests(s: np.ndarray) -> tuple[int, int]:
+    """A set's two keys."""
+    return tuple(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist())
+
+
+def slim(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and key, by which a row is found again (rows that share it are read in vain)."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.withColumn("key", F.xxhash64("doc_id", "text"))
+
+
 def profiles(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of documents (doc_id, n, k1, k2, bits) and rows of sketch blocks (block, part, counts)."""
+    """Rows of documents (doc_id, key, n, k1, k2, bits) and rows of sketch blocks (block, part, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        names = ["doc_id", "n", "k1", "k2", "bits", "block", "part", "counts"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["doc_id", "key", "n", "k1", "k2", "bits", "block", "part", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
         counts, seen = np.zeros(CELLS, np.uint32), False
         for batch in batches:
             for part, texts in batch_texts(batch):
-                rows, met = [], []
-                for s in shingle_sets(texts, words):
-                    key = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                    rows.append((len(s), int(key[0]), int(key[1]), parity_bits(s)))
-                    met.append(s)
-                cells = np.concatenate(met or [np.zeros(0, np.uint64)]) & np.uint64(CELLS - 1)
+                sets = list(shingle_sets(texts, words))
+                cells = np.concatenate(sets or [np.zeros(0, np.uint64)]) & np.uint64(CELLS - 1)
                 counts += np.bincount(cells.astype(np.int64), minlength=CELLS).astype(np.uint32)
                 seen = True
-                columns = [part.column("doc_id"), *zip(*rows), *[[None] * len(rows)] * 3]
+                keys = zip(*[digests(s) for s in sets])
+                columns = [part.column("doc_id"), part.column("key"), [len(s) for s in sets], *keys, [parity_bits(s) for s in sets], *[[None] * len(sets)] * 3]
                 yield pa.RecordBatch.from_arrays([c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds)], names)
         if seen:
             blocks = range(CELLS // BLOCK)
-            no = TaskContext.get().partitionId()
-            nothing = [None] * len(blocks)
-            columns = [nothing, nothing, nothing, nothing, nothing, list(blocks), [no] * len(blocks), [counts[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in blocks]]
+            columns = [*[[None] * len(blocks)] * 6, list(blocks), [TaskContext.get().partitionId()] * len(blocks), [counts[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in blocks]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-    slim = long_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n int, k1 long, k2 long, bits binary, block int, part int, counts binary")
+    return slim(long_texts(docs)).mapInArrow(run, "doc_id long, key long, n int, k1 long, k2 long, bits binary, block int, part int, counts binary")
 
 
 def frequencies(profile: DataFrame) -> np.ndarray:
@@ -132,7 +146,7 @@ def prefix_entries(docs: DataFrame, counts: np.ndarray, words: int, percent: int
             for _, texts in batch_texts(batch):
                 out = []
                 for s in shingle_sets(texts, words):
-                    key = int(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)[0])
+                    key = digests(s)[0]
                     if not len(s) or key in done:  # what this task has emitted need not come again
                         continue
                     if len(done) >= 500_000:
@@ -208,72 +222,140 @@ class _Bitmaps:
         return low, np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-def _list_pairs(ids, n, matches, bits, label, side, percent, every):
-    """Pairs of a list that size and bitmap allow: every one between labels, or the most alike one before each.
+def _nearest_pairs(n, bits, percent):
+    """Of each member of a list, in ascending order of n, the most alike one before it that size and bitmap allow.
 
-    Returns the pairs and whether there are others that were left for later.
+    Returns the pairs of places and whether there are others that were left for later.
     """
-    order = np.lexsort((ids, n))
-    ids, n, matches, label, side = ids[order], n[order], matches[order], label[order], side[order]
-    maps = _Bitmaps(n, [bits[k] for k in order], percent)
-    pairs, more = [], False
-    for i in range(1, len(ids)):
+    maps, pairs, more = _Bitmaps(n, bits, percent), [], False
+    for i in range(1, len(n)):
         low, apart = maps.apart(i)
-        if not len(apart):
-            continue
         both = n[low:i].astype(np.int64) + int(n[i])
-        # (both - apart) / 2 shared at most; similar from percent / (100 + percent) of both
-        fine = (100 + percent) * (both - apart) >= 2 * percent * both
-        if every:
-            fine &= (label[low:i] != label[i]) & ((side[low:i] != side[i]) | (side[i] < 0))
-        js = np.flatnonzero(fine)
-        if not every and len(js) > 1:
-            js, more = js[[int(np.argmin(apart[js] / both[js]))]], True
-        for j in js:
-            a, b = ids[low + j], ids[i]
-            if a != b:
-                pairs.append((min(a, b), max(a, b), min(matches[low + j], matches[i])))
+        js = np.flatnonzero(_allowed(both, apart, percent))
+        if len(js):
+            more |= len(js) > 1
+            pairs.append((low + int(js[np.argmin(apart[js] / both[js])]), i))
     return pairs, more
 
 
-def list_pairs(lists: DataFrame, keys: list[str], percent: int, every: bool) -> DataFrame:
-    """a, b, matches, shingle: candidate pairs of each list; shingle is set where the list has others left for later."""
-    names = [*keys, "rep", "n", "matches", "bits", "label", "side"]
+def _allowed(both, apart, percent):
+    # (both - apart) / 2 shared at most; similar from percent / (100 + percent) of both
+    return (100 + percent) * (both - apart) >= 2 * percent * both
+
+
+def _between(label, side, low: int, i: int):
+    """Which members from low to i - 1 are of another component and, in a part of two salts, of the other salt."""
+    return (label[low:i] != label[i]) & ((side[low:i] != side[i]) | (side[i] < 0))
+
+
+def _open_members(n, bits, label, side, percent):
+    """Which members of a list have a pair with another component that size and bitmap allow."""
+    maps, open_ = _Bitmaps(n, bits, percent), np.zeros(len(n), bool)
+    for i in range(1, len(n)):
+        low, apart = maps.apart(i)
+        both = n[low:i].astype(np.int64) + int(n[i])
+        fine = _allowed(both, apart, percent) & _between(label, side, low, i)
+        open_[low:i] |= fine
+        open_[i] |= fine.any()
+    return open_
+
+
+def _list_links(n, label, side, matches, heads, sets, percent):
+    """Pairs of places that link components of a list; two components that a pair has linked count as one."""
+    maps, label, links = _Bitmaps(n, [parity_bits(s, 8) for s in sets], percent), label.copy(), []
+    for i in range(1, len(n)):
+        low, apart = maps.apart(i)
+        both = n[low:i].astype(np.int64) + int(n[i])
+        js = np.flatnonzero(_allowed(both, apart, percent) & _between(label, side, low, i))
+        js = js[np.argsort(apart[js] / both[js], kind="stable")]
+        for j in (low + js).tolist():
+            if label[j] == label[i] or len(np.intersect1d(heads[j], heads[i], assume_unique=True)) < min(matches[j], matches[i]):
+                continue
+            shared = len(np.intersect1d(sets[j], sets[i], assume_unique=True))
+            if 100 * shared >= percent * (len(sets[j]) + len(sets[i]) - shared):
+                links.append((j, i))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _by_list(rows: DataFrame, keys: list[str], of_list, schema: str) -> DataFrame:
+    """of_list(table), a RecordBatch or None, of every list: the rows that agree in keys, by ascending n and rep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest = []
 
-        def pairs(part: pa.Table):
-            col = {c: part.column(c).to_numpy() for c in [*keys, "rep", "n", "matches", "label", "side"]}
-            bits = part.column("bits").to_pylist()
+        def lists(part: pa.Table):
             change = np.zeros(part.num_rows, bool)
             change[0] = True
             for k in keys:
-                change[1:] |= col[k][1:] != col[k][:-1]
-            starts = np.append(np.flatnonzero(change), part.num_rows)
-            found = []
-            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                if e - s > 1:
-                    got, more = _list_pairs(*(col[c][s:e] for c in ("rep", "n", "matches")), bits[s:e], col["label"][s:e], col["side"][s:e], percent, every)
-                    shingle = int(col["shingle"][s]) if more else None
-                    found += [(*p, shingle) for p in got]
-            a, b, m, x = zip(*found) if found else ((), (), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.int32()), pa.array(x, pa.int64())], ["a", "b", "matches", "shingle"])
+                column = part.column(k).to_numpy()
+                change[1:] |= column[1:] != column[:-1]
+            starts = np.append(np.flatnonzero(change), part.num_rows).tolist()
+            out = [of_list(part.slice(s, e - s)) for s, e in zip(starts, starts[1:]) if e - s > 1]
+            if out := [x for x in out if x is not None]:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
         for batch in batches:
-            table = pa.Table.from_batches([batch] if rest is None else [*rest, batch])
-            same = np.ones(table.num_rows, bool)
+            if not batch.num_rows:
+                continue
+            same = np.ones(batch.num_rows, bool)
             for k in keys:
-                column = table.column(k).to_numpy()
+                column = batch.column(k).to_numpy()
                 same &= column == column[-1]
+            # the last list may go on in the next batch
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if cut:
-                yield pairs(table.slice(0, cut))
-            rest = table.slice(cut).to_batches()
+            whole = cut > 0 or (rest and any(rest[-1].column(k)[-1] != batch.column(k)[0] for k in keys))
+            if whole:
+                yield from lists(pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks())
+                rest = []
+            rest.append(batch.slice(cut))
         if rest:
-            yield pairs(pa.Table.from_batches(rest))
+            yield from lists(pa.Table.from_batches(rest).combine_chunks())
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "n", "rep").mapInArrow(run, schema)
+
+
+def nearest_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """a, b, matches, shingle of each list's pairs; shingle is set where the list has others left for later."""
+
+    def of_list(part: pa.Table) -> pa.RecordBatch | None:
+        n, rep, matches = (part.column(c).to_numpy() for c in ("n", "rep", "matches"))
+        pairs, more = _nearest_pairs(n, part.column("bits").to_pylist(), percent)
+        if not pairs:
+            return None
+        i, j = np.array(pairs).T
+        shingle = pa.array([part.column("shingle")[0].as_py() if more else None] * len(i), pa.int64())
+        columns = [pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j])), pa.array(np.minimum(matches[i], matches[j])), shingle]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "matches", "shingle"])
 
-    return lists.select(*names).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, matches int, shingle long")
+    return _by_list(lists.select("shingle", "salt", "rep", "n", "matches", "bits"), ["shingle", "salt"], of_list, "a long, b long, matches int, shingle long")
+
+
+def open_members(lists: DataFrame, percent: int) -> DataFrame:
+    """shingle, low, high, rep, n, label, side: members with a pair to another component that is not ruled out."""
+    names = ["shingle", "low", "high", "rep", "n", "label", "side"]
+
+    def of_list(part: pa.Table) -> pa.RecordBatch | None:
+        n, label, side = (part.column(c).to_numpy() for c in ("n", "label", "side"))
+        found = part.select(names).filter(pa.array(_open_members(n, part.column("bits").to_pylist(), label, side, percent)))
+        return found.combine_chunks().to_batches()[0] if found.num_rows else None
+
+    return _by_list(lists.select(*names, "bits"), ["shingle", "low", "high"], of_list, "shingle long, low int, high int, rep long, n int, label long, side int")
+
+
+def list_links(lists: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between components, found list by list with whole sets."""
+
+    def of_list(part: pa.Table) -> pa.RecordBatch | None:
+        n, rep, label, side, matches = (part.column(c).to_numpy() for c in ("n", "rep", "label", "side", "matches"))
+        heads, sets = ([x.values.to_numpy() for x in part.column(c)] for c in ("head", "s"))
+        links = _list_links(n, label, side, matches, heads, sets, percent)
+        if not links:
+            return None
+        i, j = np.array(links).T
+        return pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], ["a", "b"])
+
+    return _by_list(lists, ["shingle", "low", "high"], of_list, "a long, b long")
 
 
 def often_enough(pairs: DataFrame) -> DataFrame:
@@ -281,70 +363,93 @@ def often_enough(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.min("matches").alias("matches")).filter("lists >= matches").select("a", "b")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b, linked: pairs compared by their whole sets."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
+    """rep, s, head, matches of the wanted classes (rep, key, k1, k2), each once: set and prefix, both ascending."""
     spark = docs.sparkSession
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    # at most FILTER_BITS / 64 rows
-    filled = ids.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
+    bits = min(max(FILTER_BITS[0], 1 << (16 * wanted.count()).bit_length()), FILTER_BITS[1])
+    # at most FILTER_BITS[1] / 64 rows
+    filled = wanted.select(F.pmod("key", F.lit(bits)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
     table[filled["word"].to_numpy(dtype=np.int64)] = filled["bits"].to_numpy(dtype=np.int64)
-    flags = spark.sparkContext.broadcast(table)
+    shared = spark.sparkContext.broadcast((table, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_set = flags.value
+        (flags, others), done = shared.value, set()
         for batch in batches:
-            at = batch.column("bit").to_numpy()
-            wanted = (words_set[at >> 6] >> (at & 63)) & 1
-            some = batch.filter(pa.array(wanted.astype(bool)))
-            for part, texts in batch_texts(some):
-                sets = [_signed(s) for s in shingle_sets(texts, words)]
-                stops = np.cumsum([0] + [len(s) for s in sets], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate(sets)))], ["id", "s"])
-
-    slim = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = slim.select("id", bit.alias("bit"), "text").mapInArrow(run, "id long, s array<long>")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+            at = batch.column("at").to_numpy()
+            some = batch.filter(pa.array(((flags[at >> 6] >> (at & 63)) & 1).astype(bool)))
+            for _, texts in batch_texts(some):
+                out = []
+                for s in shingle_sets(texts, words):
+                    k1, k2 = digests(s)
+                    if not len(s) or (k1, k2) in done:  # what this task has emitted need not come again
+                        continue
+                    if len(done) >= 500_000:
+                        done.clear()
+                    done.add((k1, k2))
+                    first, matches, _ = prefix(s, others, percent)
+                    out.append((k1, k2, _signed(s), _signed(np.sort(first)), matches))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()))], ["k1", "k2", "s", "head", "matches"])
+
+    read = slim(docs).select("text", F.pmod("key", F.lit(bits)).alias("at"))
+    sets = read.mapInArrow(run, "k1 long, k2 long, s array<long>, head array<long>, matches int").dropDuplicates(["k1", "k2"])
+    return sets.join(wanted.select("k1", "k2", "rep"), ["k1", "k2"]).drop("k1", "k2")
+
+
+def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b: those of the pairs that link, compared by their whole sets."""
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    linked = 100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)
-    return both.select("a", "b", linked.alias("linked"))
+    return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row."""
+def grouped(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
+    """doc_id, key, n_shingles, component (a number for each, null for empty sets), component_id of every row."""
     profile = written(profiles(docs, words), "profiles")
-    rows = profile.filter("block IS NULL").select("doc_id", "n", "k1", "k2", "bits")
+    rows = profile.filter("block IS NULL").select("doc_id", "key", "n", "k1", "k2", "bits")
     counts = frequencies(profile)
-    classes = written(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), "classes")
+    # classes get numbers as they are written; they are read from there ever after
+    classes = rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("bits").alias("bits"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     entries = shared_entries(prefix_entries(docs, counts, words, percent), percent).join(classes.select("k1", "n", "rep"), ["k1", "n"]).select("shingle", "salt", "salts", "rep", "n", "matches")
     entries = written(entries, "entries")
-    lists = entries.join(classes.select("rep", "n", "bits"), ["rep", "n"])
-    found = list_pairs(lists.withColumns({"label": F.col("rep"), "side": F.lit(-1)}), ["shingle", "salt"], percent, every=False)
+    maps = classes.select("rep", "n", "bits")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = written(classes.select("rep", "key", "k1", "k2").join(ids.select("rep").distinct(), "rep", "left_semi"), "wanted")
+        return written(whole_sets(docs, wanted, counts, words, percent), "sets")
+
     # by pair, in how many lists it was met: for those with other pairs left by shingle, for the others together
+    found = nearest_pairs(entries.join(maps, ["rep", "n"]), percent)
     met = written(found.groupBy("a", "b", "shingle").agg(F.count(F.lit(1)).alias("lists"), F.min("matches").alias("matches")), "met")
-    compared = written(verified(docs, written(often_enough(met), "pairs"), words, percent), "compared")
-    labels = written(components(compared.filter("linked")), "labels")
+    pairs = written(often_enough(met), "pairs")
+    early = written(verified(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep"))), pairs, percent), "linked")
+    labels = written(components(early), "labels")
 
     labelled = entries.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
     unread = met.filter("shingle IS NOT NULL").select("shingle").unionByName(entries.filter("salts > 1").select("shingle")).distinct()
-    left = labelled.join(unread, "shingle", "left_semi")
-    mixed = left.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("shingle")
-    again = left.join(mixed, "shingle", "left_semi")
-    other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
-    again = again.withColumn("other", other).withColumns({"low": F.least("salt", "other"), "high": F.greatest("salt", "other")})
-    again = again.withColumn("side", F.when(F.col("low") == F.col("high"), -1).otherwise(F.col("salt"))).join(classes.select("rep", "n", "bits"), ["rep", "n"])
-    rows2 = list_pairs(again, ["shingle", "low", "high"], percent, every=True).select("a", "b", F.lit(1).cast("long").alias("lists"), "matches")
-    read = met.filter("shingle IS NULL").select("a", "b", "lists", "matches")
-    between = rows2.select("a", "b").distinct()
-    second = often_enough(rows2.unionByName(read.join(between, ["a", "b"], "left_semi"))).join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    late = written(verified(docs, written(second, "pairs"), words, percent), "compared").filter("linked")
-    links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late.select("a", "b"))
+    left = labelled.select("shingle", "rep", "n", "label").join(unread, "shingle", "left_semi")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / PART_ROWS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int")
+    mixed = left.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), parts.alias("parts")).filter("least <> most").select("shingle", "parts")
+    again = left.join(mixed, "shingle").withColumn("salt", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("salt", "other"), "high": F.greatest("salt", "other")})
+    again = again.withColumn("side", F.when(F.col("low") == F.col("high"), -1).otherwise(F.col("salt")))
+    opened = written(open_members(again.join(maps, ["rep", "n"]), percent), "open")
+    late = list_links(opened.join(sets_of(opened), "rep"), percent)
+    links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late)
     final = components(links)
 
-    named = classes.select("k1", "k2", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = classes.select("k1", "k2", "n", "rep", "least").join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(ids, "component").select("k1", "k2", "n", "component", "component_id")
+    out = rows.select("doc_id", "key", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
+    return out.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), "component", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row."""
+    return grouped(docs, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -98,11 +98,11 @@ def batch_texts(batch: pa.RecordBatch, column: str = "text", rows: int = 512) ->
         yield part, [t.as_py() or b"" for t in part.column(column).cast(pa.binary())]
 
 
-def parity_bits(shingles: np.ndarray) -> bytes:
-    """A bitmap of at least a bit a shingle, each bit the parity of the shingles that fall on it.
+def parity_bits(shingles: np.ndarray, spread: int = 1) -> bytes:
+    """A bitmap of at least spread bits a shingle, each bit the parity of the shingles that fall on it.
 
     The bits in which two sets' bitmaps differ are at most the shingles in which the sets differ.
     """
-    width = max(64, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 64
-    odd = np.bincount((shingles & _U(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+    width = max(64, 1 << (spread * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    odd = np.bincount((shingles.view(_U) & _U(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").tobytes()

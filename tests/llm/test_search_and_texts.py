@@ -75,10 +75,41 @@ def test_lists_dealt_over_salts_lose_nothing(spark, monkeypatch):
     real = ngram_join.prefix_entries
     many = lambda *a: real(*a).withColumns({"salts": F.lit(4), "salt": F.pmod("k1", F.lit(4)).cast("int")})
     monkeypatch.setattr(ngram_join, "prefix_entries", many)
+    monkeypatch.setattr(ngram_join, "PART_ROWS", 7)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_link_through_null_ids_and_keep_rows(spark):
+    text = [f"word{i}" for i in range(200)]
+    rows = [(9, " ".join(text), 1, "a"), (None, " ".join([*text, "one"]), 2, "b"), (4, " ".join([*text, "one", "two"]), 3, "c"), (None, " ".join(text[100:]) + " tail", 4, "d"), (None, None, 5, "e"), (7, "", 6, "f"), (9, " ".join(text[:50]), 7, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component long, k1 string")
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df).collect())
+    assert got == [(-1, 0, None), (-1, 97, None), (-1, 197, 4), (4, 198, 4), (7, 0, 7), (9, 46, 9), (9, 196, 4)]
+
+
+def test_near_duplicates_of_a_large_group_of_near_copies(spark):
+    """Copies around one text, whose pairs are on either side of the threshold; candidate pairs stay in proportion."""
+    rnd = random.Random(8)
+    words = [f"y{i}" for i in range(3000)]
+    base = [rnd.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        for at in rnd.sample(range(60), i % 4):
+            w[at] = rnd.choice(words)
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_near_duplicates_of_a_very_long_text(spark):
+    text = [f"v{i}" for i in range(150_000)]
+    rows = [(1, " ".join(text)), (2, " ".join(text[10_000:])), (3, " ".join(text[40_000:]))]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 149_996, 1), (2, 139_996, 1), (3, 109_996, 3 if 109_996 / 149_996 < 0.8 and 109_996 / 139_996 < 0.8 else 1)]
+
+
 def test_prefixes_of_similar_sets_share_the_matches_asked_for():
     rng = np.random.default_rng(2)
     counts = rng.integers(0, 50_000, ngram_join.CELLS).astype(np.uint32)
