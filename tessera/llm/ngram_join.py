@@ -11,15 +11,16 @@ Texts with the same set of shingles are one class; the join is between classes.
    out the threshold are left out; both bounds are exact.  Every class of a list is paired with the
    most alike one before it, so a large group of near copies needs as many pairs as it has members.  Pairs
    that occur in as many lists as the lesser of their two l are compared by their whole sets.
-4. Lists that have other such pairs, between classes of different components, are gone through once more.
-   Members without a pair that the bitmaps allow go first; the others meet with their prefixes and whole
-   sets.  A pair of two components that wider bitmaps allow and that shares enough prefix shingles is
-   compared on the spot, and its components are one from then on, so a list returns fewer links than it has
+4. Lists that have other such pairs, between classes of different components, are gone through once more: each
+   returns a spanning forest of these pairs, so fewer rows than it has members.  What the forests of all lists
+   connect is one cluster, and every class is sent to its cluster once, with its prefix and whole set.
+   There, a pair of two components that wider bitmaps allow and that shares enough prefix shingles is
+   compared on the spot, and its components are one from then on, so a cluster returns fewer links than it has
    components, however many of its pairs are alike.
 
 There are these two rounds, whatever the data; no pair that could link two components is left out of both.
-Lists of more than PART_ROWS classes or PART_SHINGLES shingles are dealt over pairs of salts in the second
-round; the first one deals a list that the sketch calls very frequent over salts.
+In the second round, lists and clusters of more than PART_ROWS classes or PART_SHINGLES shingles are dealt over
+pairs of salts; the first one deals a list that the sketch calls very frequent over salts.
 
 Nulls: a null text is empty; empty sets link with nothing and are components of their own (a null doc_id of
 one has a null component).  Null ids take part in links; a component whose ids are all null has a null
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import long_texts, read_table, written
@@ -53,7 +54,7 @@ MOST_MATCHES = 4
 CELLS, BLOCK = 1 << 20, 1 << 14
 #: Estimated classes in a list before the first round deals it over salts.
 LIST_ROWS = 20_000
-#: Classes and shingles of a list before the second round deals it over pairs of salts.
+#: Classes and shingles of a list or cluster before the second round deals it over pairs of salts.
 PART_ROWS, PART_SHINGLES = 1_000, 2_000_000
 #: Least and most bits of the filter that decides which rows' sets a comparison reads (false hits cost time only).
 FILTER_BITS = (1 << 20, 1 << 27)
@@ -68,10 +69,14 @@ def digests(s: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
+def row_key(docs: DataFrame) -> Column:
+    """By which a row is found again; rows that share it are read in vain."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
 def slim(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and key, by which a row is found again (rows that share it are read in vain)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.withColumn("key", F.xxhash64("doc_id", "text"))
+    """doc_id, text and key."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs).alias("key"))
 
 
 def profiles(docs: DataFrame, words: int) -> DataFrame:
@@ -248,20 +253,22 @@ def _between(label, side, low: int, i: int):
     return (label[low:i] != label[i]) & ((side[low:i] != side[i]) | (side[i] < 0))
 
 
-def _open_members(n, bits, label, side, percent):
-    """Which members of a list have a pair with another component that size and bitmap allow."""
-    maps, open_ = _Bitmaps(n, bits, percent), np.zeros(len(n), bool)
+def _open_edges(n, bits, label, side, percent):
+    """A spanning forest of a list's pairs with another component that size and bitmap allow, as pairs of places."""
+    maps, tree, edges = _Bitmaps(n, bits, percent), np.arange(len(n)), []
     for i in range(1, len(n)):
         low, apart = maps.apart(i)
         both = n[low:i].astype(np.int64) + int(n[i])
-        fine = _allowed(both, apart, percent) & _between(label, side, low, i)
-        open_[low:i] |= fine
-        open_[i] |= fine.any()
-    return open_
+        js = low + np.flatnonzero(_allowed(both, apart, percent) & _between(label, side, low, i))
+        for t, j in zip(*np.unique(tree[js], return_index=True)):
+            if t != tree[i]:
+                edges.append((js[j], i))
+                tree[tree == t] = tree[i]
+    return edges
 
 
-def _list_links(n, label, side, matches, heads, sets, percent):
-    """Pairs of places that link components of a list; two components that a pair has linked count as one."""
+def _cluster_links(n, label, side, matches, heads, sets, percent):
+    """Pairs of places that link components of a cluster; two components that a pair has linked count as one."""
     maps, label, links = _Bitmaps(n, [parity_bits(s, 8) for s in sets], percent), label.copy(), []
     for i in range(1, len(n)):
         low, apart = maps.apart(i)
@@ -331,31 +338,42 @@ def nearest_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return _by_list(lists.select("shingle", "salt", "rep", "n", "matches", "bits"), ["shingle", "salt"], of_list, "a long, b long, matches int, shingle long")
 
 
-def open_members(lists: DataFrame, percent: int) -> DataFrame:
-    """shingle, low, high, rep, n, label, side: members with a pair to another component that is not ruled out."""
-    names = ["shingle", "low", "high", "rep", "n", "label", "side"]
+def open_edges(lists: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges that connect all classes of a list with a pair to another component that is not ruled out."""
 
     def of_list(part: pa.Table) -> pa.RecordBatch | None:
-        n, label, side = (part.column(c).to_numpy() for c in ("n", "label", "side"))
-        found = part.select(names).filter(pa.array(_open_members(n, part.column("bits").to_pylist(), label, side, percent)))
-        return found.combine_chunks().to_batches()[0] if found.num_rows else None
+        n, rep, label, side = (part.column(c).to_numpy() for c in ("n", "rep", "label", "side"))
+        edges = _open_edges(n, part.column("bits").to_pylist(), label, side, percent)
+        if not edges:
+            return None
+        i, j = np.array(edges).T
+        return pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], ["a", "b"])
 
-    return _by_list(lists.select(*names, "bits"), ["shingle", "low", "high"], of_list, "shingle long, low int, high int, rep long, n int, label long, side int")
+    return _by_list(lists.select("shingle", "low", "high", "rep", "n", "label", "side", "bits"), ["shingle", "low", "high"], of_list, "a long, b long")
 
 
-def list_links(lists: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between components, found list by list with whole sets."""
+def in_parts(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, rep, n, label) of keys with several labels, dealt over pairs of salts: low, high and side (-1, or the row's salt) added."""
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / PART_ROWS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int")
+    mixed = rows.groupBy(key).agg(F.min("label").alias("least"), F.max("label").alias("most"), parts.alias("parts")).filter("least <> most").select(key, "parts")
+    dealt = rows.join(mixed, key).withColumn("salt", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("salt", "other"), "high": F.greatest("salt", "other")})
+    return dealt.withColumn("side", F.when(F.col("low") == F.col("high"), -1).otherwise(F.col("salt"))).drop("parts", "salt", "other")
+
+
+def cluster_links(clusters: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between components, found cluster by cluster with whole sets."""
 
     def of_list(part: pa.Table) -> pa.RecordBatch | None:
         n, rep, label, side, matches = (part.column(c).to_numpy() for c in ("n", "rep", "label", "side", "matches"))
         heads, sets = ([x.values.to_numpy() for x in part.column(c)] for c in ("head", "s"))
-        links = _list_links(n, label, side, matches, heads, sets, percent)
+        links = _cluster_links(n, label, side, matches, heads, sets, percent)
         if not links:
             return None
         i, j = np.array(links).T
         return pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], ["a", "b"])
 
-    return _by_list(lists, ["shingle", "low", "high"], of_list, "a long, b long")
+    return _by_list(clusters, ["cluster", "low", "high"], of_list, "a long, b long")
 
 
 def often_enough(pairs: DataFrame) -> DataFrame:
@@ -427,16 +445,13 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFram
     early = written(verified(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep"))), pairs, percent), "linked")
     labels = written(components(early), "labels")
 
-    labelled = entries.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    labelled = lambda rows: rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
     unread = met.filter("shingle IS NOT NULL").select("shingle").unionByName(entries.filter("salts > 1").select("shingle")).distinct()
-    left = labelled.select("shingle", "rep", "n", "label").join(unread, "shingle", "left_semi")
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / PART_ROWS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int")
-    mixed = left.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), parts.alias("parts")).filter("least <> most").select("shingle", "parts")
-    again = left.join(mixed, "shingle").withColumn("salt", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-    again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("salt", "other"), "high": F.greatest("salt", "other")})
-    again = again.withColumn("side", F.when(F.col("low") == F.col("high"), -1).otherwise(F.col("salt")))
-    opened = written(open_members(again.join(maps, ["rep", "n"]), percent), "open")
-    late = list_links(opened.join(sets_of(opened), "rep"), percent)
+    left = labelled(entries.select("shingle", "rep", "n")).join(unread, "shingle", "left_semi")
+    edges = open_edges(in_parts(left, "shingle").join(maps, ["rep", "n"]), percent)
+    clusters = components(edges).withColumnsRenamed({"node": "rep", "component": "cluster"})
+    members = written(in_parts(labelled(clusters.join(classes.select("rep", "n"), "rep")), "cluster"), "clusters")
+    late = cluster_links(members.join(sets_of(members), "rep"), percent)
     links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late)
     final = components(links)
 
