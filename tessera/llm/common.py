@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Most bounds that ordered_bounds() brings to the driver.
-MAX_BOUNDS = 1024
+#: Most bounds that ordered_bounds() brings to the driver, and of which its aggregation is accurate.
+MAX_BOUNDS = 16384
 #: The characters that separate words: blank, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,9 +17,14 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); own only where that is unset."""
+    """A new path in the folder that all executors share, spark.checkpoint.dir.
+
+    Only a local session, whose executors are threads of this process, may do without that setting.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tessera-")
         _OWN[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -67,6 +72,30 @@ def bucket_of(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= n) & (F.element_at(table, F.least(at + s, F.lit(n))) <= key), at + s).otherwise(at))
 
 
+def ordered_rows(df: DataFrame, order: list[str], rows_per_bucket: int = 500_000) -> DataFrame:
+    """df and row_no, unique, and bucket: rows of one bucket are all before those of the next in (order, row_no).
+
+    Buckets are Spark's range partitions, as many as the table's size asks for; row_no also parts equal rows, so
+    that no value, null included, makes a bucket large.  The result has to be written before it is used twice.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_per_bucket))
+    rows = df.withColumn("row_no", F.monotonically_increasing_id())
+    return rows.repartitionByRange(n, *order, "row_no").withColumn("bucket", F.spark_partition_id())
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it while df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row: inside, it is a lambda's variable that the optimizer cannot copy."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running_sum(df: DataFrame, group: list[str], bucket: str, order: list, value: str, out: str) -> DataFrame:
     """Adds out: the sum of value over the rows before, within group, by bucket and then order.
 

@@ -1,3 +1,5 @@
+import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -153,12 +155,50 @@ def test_mix_of_odd_rows(spark, odd):
     assert mixing.mix_documents(odd.limit(0)).count() == 0 and mixing.mixed_texts(odd.limit(0)).count() == 0
 
 
+def brute_permuted(i, n, key):
+    wide = math.isqrt(n - 1) + 1 if n > 1 else 1
+    tall = n // wide
+    for half in (0, 1):
+        row, col = divmod(i, wide)
+        for k in range(4):
+            f = lambda x: ((x * mixing.FACTOR + key * (4 * half + k + 1) * 7919 % mixing.PRIME) % mixing.PRIME) ** 2 % mixing.PRIME
+            if k % 2 == 0:
+                row = (row + f(col)) % max(tall, 1)
+            else:
+                col = (col + f(row)) % wide
+        i = row * wide + col if i < tall * wide else i
+        i = i if half else (i + key) % n
+    return i
+
+
 def test_permutations_are_bijections(spark):
     from pyspark.sql import functions as F
 
-    for n in (1, 2, 10, 997):
-        got = [r["p"] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), "k", F.lit(n)).alias("p")).collect()]
-        assert sorted(got) == list(range(n))
+    for n in (1, 2, 3, 10, 997, 1024, 5000):
+        rows = spark.range(n).withColumn("p", mixing.permuted(F.col("id"), F.lit(n), mixing.draw("k", n)))
+        got = {r["id"]: r["p"] for r in rows.collect()}
+        assert sorted(got.values()) == list(range(n)) and rows.columns == ["id", "p"]
+        key = int(hashlib.md5(f"k:{n}".encode()).hexdigest()[:8], 16)
+        assert got == {i: brute_permuted(i, n, key) for i in range(n)}
+    # neighbours do not keep a stride
+    steps = {got[i + 1] - got[i] for i in range(4999)}
+    assert len(steps) > 2000
+    big = 3 << 40
+    far = [r["p"] for r in spark.range(big - 1000, big).select(mixing.permuted(F.col("id"), F.lit(big), F.lit(12345)).alias("p")).collect()]
+    assert len(set(far)) == 1000 and all(0 <= x < big for x in far)
+
+
+def test_shard_counts_are_multinomial_and_meet_the_totals(spark):
+    targets = spark.createDataFrame([(1, 3000), (2, 900), (3, 100), (4, 0)], "source_no int, slots long")
+    rows = mixing.shard_counts(targets, 100).collect()
+    by, shards = {}, {}
+    for r in rows:
+        by.setdefault(r["source_no"], {})[r["shard"]] = r["slots"]
+        shards[r["shard"]] = shards.get(r["shard"], 0) + r["slots"]
+    assert {s: sum(c.values()) for s, c in by.items()} == {1: 3000, 2: 900, 3: 100} and set(shards.values()) == {100} and len(shards) == 40
+    # the variance of a multinomial, not of one stratum a slot
+    spread = np.var([by[1][s] for s in shards])
+    assert 8 < spread < 45
 
 
 def test_buckets_follow_the_order(spark):
@@ -190,25 +230,42 @@ def brute_mix(rows, block_words, shard_slots=1024, seed=7):
     target = {s: 2.0 * size[s] if s in full else level * weight[s] for s in sources}
     blocks = {s: -(-size[s] // block_words) for s in sources}
     slots = {s: target[s] * blocks[s] / size[s] for s in sources if size[s]}
-    n = round(sum(slots.values()))
+    want, upto, rounded = {}, 0.0, 0
+    for s in sources:
+        upto += slots.get(s, 0.0)
+        want[s], rounded = min(math.floor(upto + 0.5) - rounded, 2 * blocks[s]), math.floor(upto + 0.5)
+    order = [s for s in sources if want[s]]
+    n = sum(want.values())
     shards = max(1, -(-n // shard_slots))
-    length = lambda shard: (n - shard + shards - 1) // shards
-    counts = defaultdict(Counter)
+    counts = {s: [0] * shards for s in order}
     for slot in range(n):
-        shard, j = slot % shards, slot // shards
-        u, upto = (j + draw(seed, slot) / (1 << 32)) / length(shard), 0.0
-        for s in slots:
-            upto += slots[s] / sum(slots.values())
-            if u < upto or s == list(slots)[-1]:
-                counts[s][shard] += 1
+        u, high = draw(seed, slot) / (1 << 32), 0
+        for s in order:
+            high += want[s]
+            if u < high / n or s == order[-1]:
+                counts[s][slot % shards] += 1
                 break
-    primes = mixing.PRIMES
+    got = {s: sum(counts[s]) for s in order}
+    freed = []
+    for shard in range(shards):
+        for s in order:
+            if got[s] > want[s]:
+                part = lambda x: want[s] if x >= got[s] else math.floor(x * (want[s] / got[s]))
+                before = sum(counts[s][:shard])
+                freed += [(shard, s)] * (counts[s][shard] - (part(before + counts[s][shard]) - part(before)))
+    lack = [s for s in order for _ in range(max(0, want[s] - got[s]))]
+    key = draw(seed, "freed")
+    for shard, s in freed:
+        counts[s][shard] -= 1
+    for r, (shard, _) in enumerate(freed):
+        counts[lack[brute_permuted(r, len(lack), key)]][shard] += 1
     times = Counter()
-    for s in slots:
+    for s in order:
         no, b = sources.index(s) + 1, blocks[s]
-        for i in range(min(sum(counts[s].values()), 2 * b)):
+        assert sum(counts[s]) == want[s]
+        for i in range(want[s]):
             epoch, k = divmod(i, b)
-            times[s, (k * (primes[draw("prime", seed, no, epoch) % len(primes)] % b) + draw("offset", seed, no, epoch) % b) % b] += 1
+            times[s, brute_permuted(k, b, draw(seed, no, epoch))] += 1
     out = []
     for s in sources:
         at = 0
