@@ -3,24 +3,28 @@
 Sentences of labelled documents that name a group are rewritten with the other groups' names, and the
 squared change of their score enters the loss, so that naming a group moves no score by itself.
 
-Fitting uses a sample of labelled rows whose size is a documented parameter (SAMPLE_ROWS), at most FEATURES
-features with the clearest association, and at most COUNTERFACTUALS rewritten sentences; scores are of
-whole texts.
+Fitting uses a sample of labelled rows whose size is a documented parameter (SAMPLE_ROWS) and at most FEATURES
+features with the clearest association.  All rewritten sentences of the sample count; they are added up where
+they are made, as sums of products of feature changes, so no sentence leaves its task.  Scores are of whole texts.
 
 Nulls: a null text counts as empty and is scored; a null doc_id is scored and not held out.  Repeated
-rows are scored alike.  An empty table gives an empty result.  Without labels the score is 0.5; without
-any toxic label it is the smoothed share of toxic rows.
+rows are scored alike.  Very long texts are scored whole, by their set of words.  Features that are as clear as
+each other are taken in byte order.  Columns of any name are kept; the score takes a name that is free.  An empty
+table gives an empty result.  Without labels the score is 0.5; without any toxic label it is the smoothed share
+of toxic rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import long_texts, read_table, written
 from .labelled import held_out, labelled_sample
@@ -29,7 +33,6 @@ SAMPLE_ROWS = 8_000
 FEATURES = 600
 #: Bytes of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7)
-COUNTERFACTUALS = 20_000
 THRESHOLD = 0.7
 
 #: Names that are swapped with each other: groups of the same kind, singular or plural alike.
@@ -99,38 +102,49 @@ def chosen_features(sample: DataFrame, most: int = FEATURES) -> list[bytes]:
     return [bytes(r["feature"]) for r in ranked.collect()]
 
 
-def counterfactuals(sample: DataFrame, identities: tuple = IDENTITIES, most: int = COUNTERFACTUALS) -> DataFrame:
-    """before, after: sentences of the sample that name a group, and the same with another group's name."""
+def rewritten(text: bytes, group: dict[bytes, list[bytes]]) -> Iterator[tuple[bytes, bytes]]:
+    """Each sentence that names a group, and the same with another group's name, for every name and other."""
+    if group.keys().isdisjoint(words_of(text)):
+        return
+    for sentence in _SENTENCE.findall(text.lower()):
+        for name in sorted(group.keys() & words_of(sentence)):
+            for other in group[name]:
+                yield sentence, re.sub(rb"\b" + name + rb"\b", other, sentence)
+
+
+def swap_products(sample: DataFrame, features: list[bytes], identities: tuple = IDENTITIES) -> tuple[np.ndarray, int]:
+    """The sum, over all rewritten sentences of the sample, of the products of their feature changes; and their number."""
     group = {w.encode(): [o.encode() for o in g if o != w] for g in identities for w in g}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {f: i for i, f in enumerate(features)}
+        sums, n = Counter(), 0
         for batch in batches:
-            before, after = [], []
             for t in batch.column("text").cast(pa.binary()):
-                text = t.as_py() or b""
-                if group.keys().isdisjoint(words_of(text)):
-                    continue
-                for sentence in _SENTENCE.findall(text.lower()):
-                    for name in group.keys() & words_of(sentence):
-                        for other in group[name]:
-                            before.append(sentence)
-                            after.append(re.sub(rb"\b" + name + rb"\b", other, sentence))
-            yield pa.RecordBatch.from_arrays([pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["before", "after"])
-
-    pairs = sample.select("text").mapInArrow(run, "before binary, after binary").distinct()
-    return pairs.orderBy(F.xxhash64("before", "after"), "before", "after").limit(most)
-
-
-def _matrix(feature_sets: list[set[bytes]], features: list[bytes]) -> np.ndarray:
-    at = {f: i for i, f in enumerate(features)}
-    x = np.zeros((len(feature_sets), len(features)))
-    for row, found in enumerate(feature_sets):
-        x[row, [at[f] for f in found if f in at]] = 1.0
-    return x
-
-
-def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, ridge: float = 0.01, penalty: float = 10.0, rounds: int = 20) -> tuple[np.ndarray, float]:
-    """Newton steps on log loss + ridge |w|^2 + penalty * mean((swaps w)^2); swaps: features after minus before.
+                for before, after in rewritten(t.as_py() or b"", group):
+                    old, new = (features_of(words_of(x)) for x in (before, after))
+                    change = [(at[f], 1.0) for f in new - old if f in at] + [(at[f], -1.0) for f in old - new if f in at]
+                    n += 1
+                    for i, x in change:
+                        for j, y in change:
+                            sums[i, j] += x * y
+        rows = [(-1, -1, float(n)), *((i, j, x) for (i, j), x in sums.items())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.float64()))], ["i", "j", "x"])
+
+    products, n = np.zeros((len(features), len(features))), 0
+    # at most a row for each pair of features
+    for r in sample.select("text").mapInArrow(run, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
+        if r["i"] < 0:
+            n = int(r["x"])
+        else:
+            products[r["i"], r["j"]] = r["x"]
+    return products, n
+
+
+def fit(x: np.ndarray, y: np.ndarray, products: np.ndarray, swaps: int, ridge: float = 0.01, penalty: float = 10.0, rounds: int = 20) -> tuple[np.ndarray, float]:
+    """Newton steps on log loss + ridge |w|^2 + penalty * rows * w' products w / swaps.
+
+    products is the sum over swaps of change' change, so the last term is the mean squared change of score a row.
 
     Toxic rows weigh the square root of the other rows' number over theirs.
     """
@@ -138,7 +152,7 @@ def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, ridge: float = 0.01, pe
     w, b = np.zeros(x.shape[1]), float(np.log(p / (1 - p)))
     if not len(y) or y.min() == y.max() or not x.shape[1]:
         return w, b
-    extra = 2 * ridge * np.eye(len(w)) + (2 * penalty * len(y) / len(swaps)) * swaps.T @ swaps if len(swaps) else 2 * ridge * np.eye(len(w))
+    extra = 2 * ridge * np.eye(len(w)) + 2 * penalty * len(y) / max(swaps, 1) * products
     weight = np.where(y > 0, np.sqrt(max(1.0, (len(y) - y.sum()) / y.sum())), 1.0)
     xb = np.hstack([x, np.ones((len(x), 1))])
     full = np.zeros((len(w) + 1,) * 2)
@@ -178,23 +192,23 @@ def fitted(docs: DataFrame, labels: DataFrame, held: Column, most: int = SAMPLE_
     x, y = np.zeros((len(rows), len(features))), np.array([r[0] for r in rows])
     for i, (_, found) in enumerate(rows):
         x[i, found] = 1.0
-    pairs = counterfactuals(sample, identities).collect()
-    swaps = _matrix([features_of(words_of(bytes(r[1]))) for r in pairs], features) - _matrix([features_of(words_of(bytes(r[0]))) for r in pairs], features)
-    return Model(features, *fit(x, y, swaps, penalty=penalty))
+    return Model(features, *fit(x, y, *swap_products(sample, features, identities), penalty=penalty))
 
 
-def scored(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
-    """Every column of docs (without text, if that isn't kept) and toxic_score."""
+def scored(docs: DataFrame, model: Model, keep_text: bool = True, score: str = "toxic_score") -> DataFrame:
+    """Every column of docs (without text, if that isn't kept) and the score, whose name docs must not have."""
+    if score.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {score} already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 scores = pa.array(model.score([t.as_py() or b"" for t in part.column("text").cast(pa.binary())]))
-                yield (part if keep_text else part.drop_columns(["text"])).append_column("toxic_score", scores)
+                yield (part if keep_text else part.drop_columns(["text"])).append_column(score, scores)
 
     rows = long_texts(docs).withColumn("text", F.col("text").cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep_text or f.name != "text") + ", toxic_score double"
+    schema = StructType([f for f in rows.schema if keep_text or f.name != "text"]).add(score, "double")
     return rows.mapInArrow(run, schema)
 
 
