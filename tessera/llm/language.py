@@ -2,11 +2,13 @@
 
 The posterior of a language is proportional to the product of
 
-* the host prior: the languages that the host's pages declare, shrunk towards those of its registered
-  domain, of its top-level domain and of the whole table (Dirichlet smoothing at each level), from one
-  grouped aggregation with grouping by level;
-* the likelihoods of the declared markup language and of the address's language label, from confusion
-  tables counted between what pages declare and what their text alone says;
+* the host prior: the languages that the host's other pages declare, shrunk towards those of its registered
+  domain and of the whole table (Dirichlet smoothing at each level), from one grouped aggregation with grouping
+  by level; a page's own declaration is left out of it, as it is evidence of its own;
+* the likelihood of the address's suffix (its host's last label): how many of the pages whose text alone says a
+  language have it, counted per suffix by grouped aggregation;
+* the likelihoods of the declared markup language and of a language label in the address's path, from confusion
+  tables counted between what pages say and what their text alone says;
 * the text's likelihood under character trigrams (naive Bayes), tempered to TEXT_TRIGRAMS trigrams so that
   long texts don't drown the other evidence altogether.
 
@@ -16,10 +18,11 @@ language that only pages declare is fitted on the visible text of as many of tho
 tables are counted over all rows, and whole texts are scored.  An address's label is any two letters of a path, so
 it doesn't make a language; where it names none of them, it says nothing.
 
-Nulls: a null page has no text, a null address no host and no label; such evidence is left out.  With no
+Nulls: a null page has no text, a null address no host, suffix and label; such evidence is left out.  With no
 evidence at all the answer is the most frequent language.  Ties go to the language first in order.  Repeated
-rows are answered alike.  A language without any text is never the one that a text speaks for.  An empty table gives
-an empty result; without labelled documents the language is null.
+rows are answered alike.  Very long texts are read whole, and their trigrams tempered as said.  A language without
+any text is never the one that a text speaks for.  Other columns of documents may have any name: they are carried
+inside one struct.  An empty table gives an empty result; without labelled documents the language is null.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from .common import long_texts, read_table, written
 
@@ -45,11 +49,14 @@ BUCKETS = 1 << 15
 TEXT_TRIGRAMS = 200.0
 #: Weight, in pages, of the level above in a level's prior, and of evenness in the top one.
 SMOOTHING = 5.0
+#: Levels of the host prior: everything, registered domain, host.
+LEVELS = 3
 #: A document is kept from this posterior on, where it has letters at all.
 LEAST_POSTERIOR = 0.5
 
-_MARKUP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;")
-_DECLARED = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b"
+#: What is left open runs to the end, so that no mark makes the search start anew over the rest.
+_MARKUP = re.compile(rb"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^<>]*>|&[#\w]+;")
+_DECLARED = r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b"
 _ADDRESS = r"^[a-z][a-z0-9+.-]*://[^/]*/([a-z]{2})(?:[/?#-]|$)"
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)"
 
@@ -129,7 +136,7 @@ def fitted(docs: DataFrame, pages: DataFrame | None = None, most: int = SAMPLE_R
 def with_text_evidence(rows: DataFrame, model: Trigrams, text: str, html: bool) -> DataFrame:
     """rows without the text column, and evidence: log-likelihood per language (visible text only of markup)."""
     kept = long_texts(rows).withColumnRenamed(text, "_text").withColumn("_text", F.col("_text").cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text") + ", evidence array<double>"
+    schema = StructType([f for f in kept.schema if f.name != "_text"]).add("evidence", ArrayType(DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,11 +148,11 @@ def with_text_evidence(rows: DataFrame, model: Trigrams, text: str, html: bool)
 
 
 def host_levels(host: Column) -> Column:
-    """array of (level, name): the host (3), its last two labels (2), its last label (1), everything (0)."""
+    """array of (level, name): the host (2), its last two labels (1), everything (0)."""
     labels = F.split(F.lower(host), r"\.")
     tail = lambda k: F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - k + 1, F.lit(1)), k))
     level = lambda k, name: F.struct(F.lit(k).alias("level"), name.alias("name"))
-    return F.when(host.isNull(), F.array(level(0, F.lit("")))).otherwise(F.array(level(0, F.lit("")), level(1, tail(1)), level(2, tail(2)), level(3, F.lower(host))))
+    return F.when(host.isNull(), F.array(level(0, F.lit("")))).otherwise(F.array(level(0, F.lit("")), level(1, tail(2)), level(2, F.lower(host))))
 
 
 def level_counts(rows: DataFrame, host: str, said: str, languages: list[str]) -> DataFrame:
@@ -170,16 +177,31 @@ def _shrunk(counts: Column, prior: Column) -> Column:
 
 
 def with_host_prior(rows: DataFrame, host: str, said: str, languages: list[str]) -> DataFrame:
-    """rows and prior (array by language).  Priors are made once per host, then joined by host."""
+    """rows and prior (array by language), from the other rows: priors are made once per host and label, then joined by both."""
     table = written(level_counts(rows, host, said, languages), "language-levels")
     at = lambda k: table.filter(F.col("level") == k).select(F.col("name").alias(f"name{k}"), F.col("counts").alias(f"counts{k}"))
-    hosts = rows.select(host).distinct().withColumn("levels", host_levels(F.col(host)))
-    for k in range(4):
+    hosts = rows.select(F.col(host).alias("_host"), F.col(said).alias("_said")).distinct().withColumn("levels", host_levels(F.col("_host")))
+    for k in range(LEVELS):
         hosts = hosts.withColumn(f"name{k}", F.get("levels", F.lit(k))["name"])
-    for k in range(4):
+    own = F.array(*[F.when(F.col("_said") == lang, 1.0).otherwise(0.0) for lang in languages])
+    others = lambda k: F.zip_with(f"counts{k}", own, lambda n, x: n - x)
+    for k in range(LEVELS):
         hosts = hosts.join(at(k), f"name{k}", "left")
-    hosts = hosts.select(F.col(host).alias("_host"), smoothed([F.col(f"counts{k}") for k in range(4)], len(languages)).alias("prior"))
-    return rows.join(hosts, rows[host].eqNullSafe(hosts["_host"]), "left").drop("_host")
+    hosts = hosts.select("_host", "_said", smoothed([others(k) for k in range(LEVELS)], len(languages)).alias("prior"))
+    return rows.join(hosts, rows[host].eqNullSafe(hosts["_host"]) & rows[said].eqNullSafe(hosts["_said"]), "left").drop("_host", "_said")
+
+
+def with_suffix_evidence(rows: DataFrame, host: str, languages: list[str]) -> DataFrame:
+    """rows, with log P(suffix of the host | language) added to evidence; nothing for a null host."""
+    suffix = F.lower(F.substring_index(F.col(host), ".", -1))
+    seen = rows.groupBy(suffix.alias("_suffix"), "text_lang").agg(F.count(F.lit(1)).alias("n")).filter("_suffix IS NOT NULL")
+    sums = [F.coalesce(F.sum(F.when(F.col("text_lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, lang in enumerate(languages)]
+    table = written(seen.groupBy("_suffix").agg(*sums), "language-suffixes")
+    # one row: pages by language, and the number of suffixes
+    all_ = table.agg(F.count(F.lit(1)), *[F.sum(f"n{k}") for k in range(len(languages))]).first()
+    logs = [F.log((F.col(f"n{k}") + 1.0) / F.lit(float((all_[k + 1] or 0) + all_[0]))) for k in range(len(languages))]
+    joined = rows.withColumn("_suffix", suffix).join(table.select("_suffix", F.array(*logs).alias("_logs")), "_suffix", "left")
+    return joined.withColumn("evidence", F.when(F.col("_logs").isNull(), F.col("evidence")).otherwise(F.zip_with("evidence", "_logs", lambda a, x: a + x))).drop("_suffix", "_logs")
 
 
 def best(scores: Column, languages: list[str]) -> Column:
@@ -217,21 +239,27 @@ def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
         return rows.drop("_html").withColumns({"text_lang": F.lit(None).cast("string"), "lang": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double")})
     seen = with_text_evidence(rows, model, "_html", html=True)
     seen = written(seen.withColumn("text_lang", best(F.col("evidence"), languages)), "language-evidence")
-    return fused(with_host_prior(seen, "host", "declared", languages), model, ["declared", "address"]).drop("evidence", "prior")
+    seen = with_suffix_evidence(with_host_prior(seen, "host", "declared", languages), "host", languages)
+    return fused(seen, model, ["declared", "address"]).drop("evidence", "prior")
 
 
-def identify_documents(docs: DataFrame) -> DataFrame:
-    """docs and identified, posterior, has_letters: the source stands for the host, lang for the declared language."""
+def identified_rows(docs: DataFrame) -> DataFrame:
+    """row (a struct of docs' columns), identified, posterior, has_letters: the source stands for the host, lang for the declared language."""
     model = fitted(docs)
     languages = model.languages
-    rows = docs.withColumns({"_body": F.col("text"), "_declared": label(F.col("lang"))})
+    letters = F.coalesce(F.col("row.text").rlike(r"\p{L}"), F.lit(False)).alias("has_letters")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("_body"), F.col("source").cast("string").alias("host"), label(F.col("lang")).alias("declared"))
     if not languages:
-        return docs.withColumns({"identified": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double"), "has_letters": F.col("text").rlike(r"\p{L}")})
-    seen = with_text_evidence(rows, model, "_body", html=False).withColumn("text_lang", best(F.col("evidence"), languages))
-    seen = written(seen.withColumnRenamed("lang", "_lang"), "language-evidence")
-    found = fused(with_host_prior(seen, "source", "_declared", languages), model, ["_declared"])
-    found = found.withColumnRenamed("lang", "identified").withColumnRenamed("_lang", "lang").withColumn("has_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return found.select(*docs.columns, "identified", "posterior", "has_letters")
+        return rows.select("row", F.lit(None).cast("string").alias("identified"), F.lit(None).cast("double").alias("posterior"), letters)
+    seen = written(with_text_evidence(rows, model, "_body", html=False).withColumn("text_lang", best(F.col("evidence"), languages)), "language-evidence")
+    found = fused(with_host_prior(seen, "host", "declared", languages), model, ["declared"])
+    return found.select("row", F.col("lang").alias("identified"), "posterior", letters)
+
+
+def identify_documents(docs: DataFrame) -> DataFrame:
+    """docs, identified, posterior, has_letters; columns of docs with these names give way (identified_rows() keeps them)."""
+    new = ["identified", "posterior", "has_letters"]
+    return identified_rows(docs).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in new], *new)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
