@@ -2,12 +2,13 @@
 
 A text is cut without loss: sections end behind a run of empty lines, paragraphs behind a line feed,
 pieces behind a sentence's closing marks or after PIECE characters.  A piece's digest is its SHA-256, an
-inner node's the SHA-256 of its children's.  Equal roots mean equal texts; where two roots differ, the
-sections, paragraphs and pieces whose digests differ locate the edit.  The likeness of two trees is the
+inner node's the SHA-256 of its children's.  Equal roots mean equal texts; where two roots differ, the sections
+that differ, in these the paragraphs and in these the pieces locate the edit.  The likeness of two trees is the
 Jaccard similarity of their piece digests (two empty texts: 1).
 
 Only DataFrame functions run here.  Nulls: a null text is empty; a null doc_id sorts as the smallest.
-Repeated rows are ordered by text.  A single row is followed by itself.  An empty table gives an empty result.
+Repeated rows are ordered by text.  A single row is followed by itself.  Very long texts have as many pieces as they
+need.  Only doc_id and text are read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, ordered_bounds, read_table
+from .common import bucket_of, let, ordered_bounds, read_table
 
 PIECE = 160
 _PIECES = rf"(?s)[^.!?]{{1,{PIECE}}}[.!?]*|[.!?]+"
@@ -51,14 +52,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
+def _changed(before: Column, after: Column) -> Column:
+    """struct<at, removed, added>: where two arrays of digests differ, from their common beginning to their common end."""
+    same = lambda a, b: F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False).cast("int")
+    least = F.least(F.size(before), F.size(after))
+    return let(
+        same(before, after),
+        lambda p: let(
+            F.struct((F.when(p == 0, least + 1).otherwise(p) - 1).alias("at")),
+            lambda x: let(
+                same(F.reverse(F.slice(before, x["at"] + 1, F.size(before))), F.reverse(F.slice(after, x["at"] + 1, F.size(after)))),
+                lambda q: let(
+                    F.when(q == 0, least - x["at"]).otherwise(q - 1),
+                    lambda end: F.struct(x["at"].alias("at"), (F.size(before) - x["at"] - end).alias("removed"), (F.size(after) - x["at"] - end).alias("added")),
+                ),
+            ),
+        ),
+    )
+
+
 def edits(before: Column, after: Column) -> Column:
-    """array<struct<section, paragraph>>: paragraphs of ``before`` (numbered from 0) that ``after`` has not in that place."""
-    def of_section(s: Column, i: Column) -> Column:
-        other = F.coalesce(F.get(after, i), F.array().cast("array<array<string>>"))
-        differs = F.transform(s, lambda p, j: F.when(~F.coalesce(F.get(other, j) == p, F.lit(False)), F.struct(i.alias("section"), j.alias("paragraph"))))
-        return F.filter(differs, lambda d: d.isNotNull())
+    """array<struct<at, removed, added>>: the edit that makes ``after`` of ``before``, from the sections downwards.
+
+    Numbered from 0 in the node above.  A level is looked into only where one node of each tree differs there, so the
+    last entry is the edit: nodes from at on that are removed, and how many stand there instead; with equal roots
+    there is none.  Levels: sections, paragraphs, pieces.
+    """
+    one = lambda c: (c["removed"] == 1) & (c["added"] == 1)
+    paragraphs = lambda s: F.transform(s, lambda p: _node("p", p))
+
+    def of_pieces(a: Column, b: Column, c: Column) -> Column:
+        return F.when(one(c), F.array(_changed(F.element_at(a, c["at"] + 1), F.element_at(b, c["at"] + 1)))).otherwise(F.array())
+
+    def of_paragraphs(c: Column) -> Column:
+        a, b = (F.element_at(x, c["at"] + 1) for x in (before, after))
+        return F.when(one(c), let(_changed(paragraphs(a), paragraphs(b)), lambda d: F.concat(F.array(d), of_pieces(a, b, d)))).otherwise(F.array())
 
-    return F.flatten(F.transform(before, of_section))
+    top = let(_changed(section_digests(before), section_digests(after)), lambda c: F.concat(F.array(c), of_paragraphs(c)))
+    return F.when(root(before) == root(after), F.array()).otherwise(top)
 
 
 def with_next(docs: DataFrame, per_bucket: int = 256) -> DataFrame:
@@ -88,7 +119,7 @@ def with_next(docs: DataFrame, per_bucket: int = 256) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and the edited paragraphs."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and the edits (from the text to the edited one)."""
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
@@ -97,10 +128,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), root(F.col("tree")).alias("fingerprint"), root(F.col("edited_tree")).alias("edited_fingerprint"),
         likeness(F.col("leaves"), leaves(F.col("edited_tree"))).alias("near_edited"), likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
-        edits(F.col("edited_tree"), F.col("tree")).alias("edited_paragraphs"),
+        edits(F.col("tree"), F.col("edited_tree")).alias("edits"),
     )
 
 
 def op2_fingerprints(spark, sf_dir: str) -> DataFrame:
     found = fingerprints(read_table(spark, sf_dir, "documents"))
-    return found.withColumn("first_edit", F.when(F.size("edited_paragraphs") > 0, F.concat_ws(".", F.col("edited_paragraphs")[0]["section"].cast("string"), F.col("edited_paragraphs")[0]["paragraph"].cast("string")))).drop("edited_paragraphs")
+    return found.withColumn("edited_at", F.nullif(F.concat_ws(".", F.transform("edits", lambda e: e["at"].cast("string"))), F.lit(""))).drop("edits")

@@ -2,10 +2,11 @@
 
 Documents are range-partitioned and sorted by doc_id before they are encoded, so files ascend in doc_id,
 a reader prunes files and stripes by the id's statistics, row groups by the row index, and point lookups
-by the Bloom filter; stripes are read in parallel.
+by the Bloom filter; stripes are read in parallel.  There are as many files as the table's rows ask for.
 
-Nulls: a null text is empty and has its end id only; a null doc_id sorts first.  Repeated rows are kept,
-ordered by text.  An empty table gives files without rows.  Extra columns are ignored.
+Nulls: a null text is empty and has its end id only; a null doc_id sorts first.  Repeated rows are kept; rows
+that share a doc_id, null included, go by a hash of the text and may be in several files.  Very long texts
+are encoded whole.  An empty table gives files without rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import long_texts, read_table, shared_dir, written
 from .tokens import encoder, vocabulary
 
 END_ID = 2
+#: Rows of a file, where there are more than shuffle partitions of so many.
+FILE_ROWS = 100_000
 #: ORC writer settings: stripes small enough to be read in parallel, a row index entry every 1,000 rows.
 ORC = {
     "orc.bloom.filter.columns": "doc_id",
@@ -53,9 +56,10 @@ def encoded(docs: DataFrame, end_id: int = END_ID, vocab: str = "word_bpe_49k.js
 def write_token_files(docs: DataFrame, path: str, files: int | None = None, end_id: int = END_ID) -> None:
     """Writes every document's ids to ORC files under path, in ascending doc_id order."""
     spark = docs.sparkSession
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // FILE_ROWS))
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    ordered = slim.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", F.xxhash64("text"))
+    ordered = slim.repartitionByRange(n, *order).sortWithinPartitions(*order)
     encoded(ordered, end_id).write.options(**ORC).orc(path)
 
 

@@ -1,6 +1,8 @@
 import collections
 import hashlib
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -168,10 +170,22 @@ def test_fingerprints_as_brute_force(spark):
     assert alone["near_next"] == 1.0
 
 
+def located(spark, before, after):
+    df = spark.createDataFrame([(before, after)], "x string, y string")
+    row = df.select(fingerprint.edits(fingerprint.tree(F.col("x")), fingerprint.tree(F.col("y"))).alias("e")).first()
+    return [tuple(e) for e in row["e"]]
+
+
 def test_edits_are_located(spark):
-    df = spark.createDataFrame([("a\nb\n\nc\nd", "a\nX\n\nc\nd")], "x string, y string")
-    row = df.select(fingerprint.edits(fingerprint.tree(F.col("x")), fingerprint.tree(F.col("y"))).alias("e"), fingerprint.root(fingerprint.tree(F.col("x"))).alias("r")).first()
-    assert [(e["section"], e["paragraph"]) for e in row["e"]] == [(0, 1)]
+    # section 0, in it paragraph 1, in it piece 0
+    assert located(spark, "a\nb\n\nc\nd", "a\nX\n\nc\nd") == [(0, 1, 1), (1, 1, 1), (0, 1, 1)]
+    assert located(spark, "a\nb\n\nc\nd", "a\nb\n\nc\nd") == []
+    # an inserted, a deleted paragraph, and one behind the last
+    assert located(spark, "a\nb\nc\n\nz", "a\nN\nb\nc\n\nz") == [(0, 1, 1), (1, 0, 1)]
+    assert located(spark, "a\nb\nc\n\nz", "a\nc\n\nz") == [(0, 1, 1), (1, 1, 0)]
+    assert located(spark, "a\n\nz", "a\n\nz\n\ny\n\nw") == [(1, 1, 3)]
+    assert located(spark, "", "a") == [(0, 1, 1), (0, 1, 1), (0, 0, 1)]
+    df = spark.range(1)
     assert df.select((fingerprint.root(fingerprint.tree(F.lit("a\n\nb"))) == fingerprint.root(fingerprint.tree(F.lit("a\n\n\nb")))).alias("s")).first()["s"] is False
 
 
@@ -249,6 +263,125 @@ def test_classifiers_take_odd_rows(spark):
     assert quality.scored(docs.limit(0), quality.fitted(docs, labels.limit(0), held_out(4, 2))).count() == 0
 
 
+def test_gradient_is_zero_where_the_fit_ends():
+    """The gradient of the stated loss by differences, and no better point near by."""
+    rng = np.random.default_rng(0)
+    x, y = (rng.random((300, 12)) < 0.3).astype(float), (rng.random(300) < 0.3).astype(float)
+    swaps = rng.integers(-1, 2, (40, 12)).astype(float)
+    w, b = toxicity.fit(x, y, swaps.T @ swaps, len(swaps), rounds=50)
+    weight = np.where(y > 0, np.sqrt((len(y) - y.sum()) / y.sum()), 1.0)
+
+    def loss(v):
+        z = x @ v[:-1] + v[-1]
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 0.01 * v[:-1] @ v[:-1] + 10.0 * len(y) * np.mean((swaps @ v[:-1]) ** 2)
+
+    at = np.append(w, b)
+    step = 1e-5 * np.eye(13)
+    assert max(abs(loss(at + e) - loss(at - e)) / 2e-5 for e in step) < 1e-2
+    assert all(loss(at) <= loss(at + rng.normal(0, 0.05, 13)) for _ in range(200))
+
+
+def test_swaps_are_added_up_where_they_are_made(spark):
+    texts = ["The women went. The men stayed! nobody", None, "", "women and girls", "no names here", "x " * 50_000 + "gay"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    features = sorted({w.encode() for g in toxicity.IDENTITIES for w in g} | {b"wom*", b"wome*", b"girl*"})
+    products, n = toxicity.swap_products(df, features)
+    group = {w.encode(): [o.encode() for o in g if o != w] for g in toxicity.IDENTITIES for w in g}
+    rows = []
+    for t in texts:
+        for before, after in toxicity.rewritten((t or "").encode(), group):
+            old, new = (toxicity.features_of(toxicity.words_of(v)) for v in (before, after))
+            rows.append([(f in new) - (f in old) for f in features])
+    assert n == len(rows) == 3 + 3 + 6 + 4 and np.array_equal(products, np.array(rows, float).T @ np.array(rows, float))
+    assert toxicity.swap_products(df.limit(0), features)[1] == 0
+
+
+def test_trees_as_walked_one_by_one():
+    """The trees' scores by a plain walk, and the first split by a search over all cuts."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 3))
+    y = (x[:, 1] + 0.2 * rng.normal(size=400) > 0.3).astype(float)
+    model = quality.Trees.grown(x, y, trees=5, depth=3)
+    want = []
+    for row in x:
+        z = model.bias
+        for t in range(5):
+            node = 0
+            for _ in range(3):
+                node = 2 * node + (2 if row[model.feature[t, node]] > model.cut[t, node] else 1)
+            z += model.leaf[t, node - 7]
+        want.append(1 / (1 + np.exp(-z)))
+    assert np.allclose(model.score(x), want)
+    p = 1 / (1 + np.exp(-model.bias))
+    grad, hess = p - y, np.full(400, p * (1 - p))
+    gain = lambda m: sum(grad[k].sum() ** 2 / (hess[k].sum() + 1.0) for k in (m, ~m))
+    best = max((gain(x[:, j] <= c), j) for j in range(3) for c in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)[1:-1])))
+    assert best[1] == model.feature[0, 0] == 1 and gain(x[:, 1] <= model.cut[0, 0]) == pytest.approx(best[0])
+
+
+def test_posterior_of_pages_as_brute_force(spark, small):
+    """Every factor recounted by plain loops, from the text evidence on."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r["lang"]: r["text"] for r in docs.filter("length(text) between 300 and 900").dropDuplicates(["lang"]).collect()}
+    rnd = random.Random(2)
+    rows = []
+    for i in range(60):
+        lang = rnd.choice(sorted(texts))
+        host = rnd.choice(["a.example.com", "b.example.com", "www.site.de", "site.fr", "X.Example.com"])
+        mark = rnd.choice([lang, lang, rnd.choice(sorted(texts)), None, "xx"])
+        rows.append((i, None if i % 13 == 0 else f"http://{host}/{rnd.choice([lang + '/', 'q/', ''])}{i}", f"<html{f' lang={mark}' if mark else ''}><p>{'' if i % 11 == 0 else texts[lang]}</p>"))
+    rows += [rows[5], (None, rows[6][1], rows[6][2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = language.identify_pages(pages, docs).collect()
+    read = pages.select("page_id", F.col("html").alias("_html"), language.label(F.regexp_extract("html", language._DECLARED, 1)).alias("declared"))
+    model = language.fitted(docs, read)
+    langs = model.languages
+    evidence = [model.log_likelihoods(language._MARKUP.sub(b" ", h.encode())) for _, _, h in rows]
+    first = lambda v: langs[int(np.argmax(v))]
+    facts = []
+    for (i, url, html), e in zip(rows, evidence):
+        found = [re.search(p, v or "") for p, v in ((language._HOST, url), (language._DECLARED, html), (language._ADDRESS, url))]
+        host, declared, place = (m.group(1).lower() if m else None for m in found)
+        facts.append((i, host, declared, place, first(e)))
+    want = collections.Counter()
+    for (i, host, declared, place, text), e in zip(facts, evidence):
+        prior = np.full(len(langs), 1 / len(langs))
+        for level in ([lambda h: ""] if host is None else [lambda h: "", lambda h: ".".join((h or "").split(".")[-2:]), lambda h: h]):
+            same = [f for f in facts if (level is not None) and (level(f[1]) == level(host)) and (f[1] is not None or level("a.b") == "")]
+            counts = np.array([sum(f[2] == k for f in same) for k in langs], float) - np.array([float(declared == k) for k in langs])
+            prior = (counts + 5 * prior) / (counts.sum() + 5)
+        score = e + np.log(prior)
+        if host is not None:
+            suffix = host.split(".")[-1]
+            kinds = len({f[1].split(".")[-1] for f in facts if f[1]})
+            for k, lang in enumerate(langs):
+                mine = [f for f in facts if f[1] and f[4] == lang]
+                score[k] += np.log((sum(f[1].split(".")[-1] == suffix for f in mine) + 1) / (len(mine) + kinds))
+        for said, at in ((declared, 2), (place, 3)):
+            if said in langs:
+                for k, lang in enumerate(langs):
+                    mine = [f for f in facts if f[4] == lang and f[at] in langs]
+                    score[k] += np.log((sum(f[at] == said for f in mine) + 1) / (len(mine) + len(langs)))
+        p = np.exp(score - score.max())
+        want[(i, first(score), round(float(p.max() / p.sum()), 6))] += 1
+    assert collections.Counter((r["page_id"], r["lang"], round(r["posterior"], 6)) for r in got) == want
+
+
+def test_language_is_learnt_from_half_the_documents(spark):
+    """Held-out accuracy of the text evidence alone, on documents that the model has not seen."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL AND length(text) > 60")
+    model = language.fitted(docs.filter("doc_id % 2 = 0"))
+    rows = [(r["lang"].lower(), model.languages[int(np.argmax(model.log_likelihoods(r["text"].encode())))]) for r in docs.filter("doc_id % 2 = 1").collect()]
+    assert len(rows) > 200 and np.mean([a == b for a, b in rows]) > 0.9
+
+
+def test_markup_that_never_ends_takes_no_longer(spark):
+    for hostile in (b"<script " * 50_000, b"<!--" * 100_000, b"<" * 400_000, b"<style>" * 50_000):
+        began = time.time()
+        language._MARKUP.sub(b" ", hostile)
+        assert time.time() - began < 5
+
+
 def test_language_of_pages(spark, small):
     rows = language.op1_language_id(spark, small).collect()
     assert np.mean([r["lang"] == r["declared"] for r in rows]) > 0.95 and all(0 < r["posterior"] <= 1 for r in rows)
@@ -286,8 +419,12 @@ def test_languages_are_those_of_all_rows(spark):
 
 
 def test_host_priors_are_shrunk_towards_levels_above(spark):
-    rows = spark.createDataFrame([("a.example.com", "fr")] * 30 + [("b.example.com", "de")] + [("z.org", "en")] * 100 + [(None, None)], "host string, said string")
-    got = {r["host"]: list(r["prior"]) for r in language.with_host_prior(rows, "host", "said", ["de", "en", "fr"]).distinct().collect()}
+    rows = spark.createDataFrame([("a.example.com", "fr")] * 30 + [("a.example.com", None), ("b.example.com", "de"), ("b.example.com", None)] + [("z.org", "en")] * 100 + [(None, None)], "host string, said string")
+    every = language.with_host_prior(rows, "host", "said", ["de", "en", "fr"]).distinct().collect()
+    got = {r["host"]: list(r["prior"]) for r in every if r["said"] is None}
+    # a page's own label is no part of its prior
+    (own,) = [r["prior"][0] for r in every if r["said"] == "de"]
+    assert own < got["b.example.com"][0] and len(every) == 6
     assert got["a.example.com"][2] > 0.9 and 0.1 < got["b.example.com"][0] < 0.6 and got["b.example.com"][2] > got["b.example.com"][1]
     assert all(sum(p) == pytest.approx(1.0) for p in got.values()) and got[None][1] > 0.5
 
@@ -309,6 +446,28 @@ def test_pipeline(spark, small):
     assert collections.Counter(out.columns) == collections.Counter(["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
 
+def test_pipeline_stages_take_odd_rows(spark, small):
+    """Nulls, repeated rows, ids that two texts share, columns with any name, very long texts, and no rows."""
+    import corpus_pipeline as P
+
+    extra = "toxic_score double, posterior string, segments int, `evidence` string, key string, row string, component string, size int, _words string"
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text), (1, text), (1, "an other text of six words"), (None, text + " more"), (None, None), (None, None), (5, ""), (6, "long words here " * 30_000), (7, "a short one")]
+    docs = spark.createDataFrame([(i, t, "en", "s" if i else None, None if t is None else len(t), 0.5, "p", 3, "e", "k", "r", "c", 9, "w") for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars int, {extra}").repartition(3)
+    kept = P.keep_identified(spark, docs, small)
+    assert kept.columns == docs.columns and kept.count() == 6 and {r["posterior"] for r in kept.collect()} == {"p"}
+    clean = P.drop_toxic(spark, docs, small)
+    assert clean.columns == docs.columns and clean.count() == len(rows) and {r["toxic_score"] for r in clean.collect()} == {0.5}
+    one = P.one_of_each_group(spark, docs, small)
+    assert one.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, len(r["text"] or "")) for r in one.collect()) == sorted((i or -1, len(t or "")) for i, t in [rows[0], rows[2], rows[4], *rows[6:]])
+    mixed = P.mix_sources(spark, one, small)
+    assert mixed.columns == docs.columns and {r["segments"] for r in mixed.collect()} == {3}
+    assert P.pack_sequences(spark, mixed, small).count() > 0
+    for stage in (P.drop_toxic, P.keep_identified, P.one_of_each_group, P.mix_sources, P.pack_sequences):
+        assert stage(spark, docs.limit(0), small).count() == 0
+
+
 def test_pipeline_keeps_documents_without_any_language(spark, small):
     import corpus_pipeline as P
 
