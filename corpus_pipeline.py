@@ -1,7 +1,8 @@
 """Corpus pipeline: STAGES in order, each written as Parquet and read again as the next one's documents.
 
 Every stage takes the columns of ``documents`` and works on all its predecessor kept; all but the last
-return the same columns.
+return the same columns.  Extra columns go along whatever their names.  Null, empty and very long texts and
+repeated rows are what each stage's operator says they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language, mixing, ngram_join, packing, toxicity
-from tessera.llm.common import read_table, written
+from tessera.llm.common import read_table, unused, written
 from tessera.llm.labelled import held_out
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; the classifier learns from labels of the whole table."""
     model = toxicity.fitted(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), held_out(3, 1))
-    return toxicity.scored(docs, model).filter(F.col("toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = unused(docs, "toxic_score")
+    return toxicity.scored(docs, model, score=score).filter(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +29,25 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     letters are kept with their null lang.
     """
     sure = F.coalesce(F.col("posterior") >= language.LEAST_POSTERIOR, F.lit(True))
-    found = language.identify_documents(docs).filter(F.col("has_letters") & sure)
-    return found.withColumn("lang", F.col("identified")).select(*docs.columns)
+    found = language.identified_rows(docs).filter(F.col("has_letters") & sure)
+    return found.select(*[F.col("identified").alias("lang") if c == "lang" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id, once; without an id, one of each text."""
-    groups = ngram_join.near_duplicates(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.filter("doc_id IS NULL").dropDuplicates(["text"])
-    return named.select(*docs.columns).unionByName(nameless)
+    """Of each group of near duplicates one row: the one with the smallest id, then the smallest hash; ids come before null.
+
+    Rows that share a doc_id are rows of their own, and stay where their texts are not alike.  Texts without
+    words are alike to nothing; of rows with the same id and text one stays.
+    """
+    rows = ngram_join.grouped(docs)
+    alone = rows.filter("component IS NULL").select("doc_id", "key")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least")
+    first = rows.filter("component IS NOT NULL").groupBy("component").agg(least).select("least.doc_id", "least.key").unionByName(alone)
+    first = first.distinct().select(F.col("doc_id").alias("_doc_id"), F.col("key").alias("_key"))
+    # other columns travel inside one struct, so none of their names can clash
+    named = docs.select(F.struct(*docs.columns).alias("row"), ngram_join.row_key(docs).alias("key"), F.col("doc_id").alias("id"))
+    kept = named.join(first, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_doc_id")), "left_semi")
+    return kept.groupBy("key", "id").agg(F.first("row").alias("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
