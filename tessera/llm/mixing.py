@@ -68,28 +68,27 @@ def source_targets(sizes: DataFrame, weights: tuple = (5, 2, 1), share: float =
     return out.withColumn("slots", F.least(slots, F.floor(F.lit(most) * F.col("blocks")))).drop("sum_slots")
 
 
-def permuted(i: Column, n: Column, key: Column) -> Column:
-    """i under a pseudorandom permutation of 0..n-1 for each key (below 2**32); n may be up to 2**60.
+def permuted(df: DataFrame, i: Column, n: Column, key: Column, out: str) -> DataFrame:
+    """Adds out: i under a pseudorandom permutation of 0..n-1 for each key (below 2**32); n may be up to 2**60.
 
     0..n-1 is a grid of rows and columns with a rest of less than a row.  Four Feistel rounds add a function of the
     column to the row and of the row to the column in turn; then all is rotated by the key, so that the rest moves
-    into the grid, and four more rounds follow.  Every step is a bijection.
+    into the grid, and four more rounds follow.  Every step is a bijection.  A step is a projection of its own, which
+    the optimizer must not push filters through (they would repeat all steps): write the result before joining by it.
     """
-    wide = F.ceil(F.sqrt(n))
-    tall = F.call_function("div", n, wide)
-    names = ("at", "n", "key", "wide", "tall")
-    first = F.struct(*[x.cast("long").alias(name) for name, x in zip(names, (i, n, key, wide, tall))])
-
-    def turn(a: Column, k: Column) -> Column:
-        at = F.when(k == 4, (a["at"] + a["key"]) % a["n"]).otherwise(a["at"])
-        row, col = F.call_function("div", at, a["wide"]), at % a["wide"]
-        mixed = lambda x: (x * FACTOR + (a["key"] * (k + 1) * 7919) % PRIME) % PRIME
-        square = lambda x: (mixed(x) * mixed(x)) % PRIME
-        moved = F.when(k % 2 == 0, ((row + square(col)) % a["tall"]) * a["wide"] + col).otherwise(row * a["wide"] + (col + square(row)) % a["wide"])
-        new = F.when(at < a["tall"] * a["wide"], moved).otherwise(at)
-        return F.struct(new.alias("at"), *[a[name].alias(name) for name in names[1:]])
-
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")), first, turn, lambda a: a["at"])
+    c, row, col = F.col, "_row", "_col"
+    df = df.withColumns({"_at": i.cast("long"), "_n": n.cast("long"), "_key": key.cast("long")}).withColumn("_wide", F.ceil(F.sqrt("_n")))
+    df = df.withColumn("_tall", F.call_function("div", c("_n"), c("_wide")))
+    for k in range(8):
+        if k % 4 == 0:
+            at = c("_at") if k == 0 else (c("_at") + c("_key")) % c("_n")
+            df = df.withColumn("_at", at).withColumns({row: F.call_function("div", c("_at"), c("_wide")), col: c("_at") % c("_wide")})
+        turn, other, modulus = (row, col, "_tall") if k % 2 == 0 else (col, row, "_wide")
+        df = df.withColumn("_mixed", (c(other) * FACTOR + (c("_key") * (k + 1) * 7919) % PRIME) % PRIME)
+        df = df.withColumn(turn, (c(turn) + (c("_mixed") * c("_mixed")) % PRIME) % c(modulus))
+        if k % 4 == 3:
+            df = df.withColumn("_at", F.when(c("_at") < c("_tall") * c("_wide"), c(row) * c("_wide") + c(col)).otherwise(c("_at")))
+    return df.withColumn(out, c("_at")).drop("_at", "_n", "_key", "_wide", "_tall", row, col, "_mixed")
 
 
 def shard_counts(targets: DataFrame, shard_slots: int = 1024, seed: int = 7) -> DataFrame:
@@ -122,24 +121,28 @@ def shard_counts(targets: DataFrame, shard_slots: int = 1024, seed: int = 7) ->
     under = under.withColumns({"high": F.sum("lack").over(upto), "all": F.sum("lack").over(everything)})
     total = under.agg(F.max("all")).first()[0] or 1
     taker = under.select("source_no", F.explode(F.sequence(F.col("high") - F.col("lack"), F.col("high") - 1)).alias("g"))
-    given = freed.withColumn("g", permuted(F.col("r"), F.lit(total), draw(seed, "freed"))).join(taker, "g")
+    given = written(permuted(freed, F.col("r"), F.lit(total), draw(seed, "freed"), "g").select("shard", "g"), "mix-freed").join(taker, "g")
     found = counts.select("shard", "source_no", F.col("stay").alias("slots")).unionByName(given.select("shard", "source_no", F.lit(1).cast("long").alias("slots")))
     return found.groupBy("shard", "source_no").agg(F.sum("slots").alias("slots")).filter("slots > 0")
 
 
-def draw_slots(targets: DataFrame, shard_slots: int = 1024, seed: int = 7) -> DataFrame:
-    """The slots of all shards: shard, position, source_no, block, epoch."""
+def draw_slots(targets: DataFrame, shard_slots: int = 1024, seed: int = 7, most: float = 2.0) -> DataFrame:
+    """The slots of all shards: shard, position, source_no, block, epoch; to be written before it is joined."""
     counts = written(shard_counts(targets, shard_slots, seed), "mix-counts")
     counts = running_sum(counts.withColumn("group", F.floor(F.col("shard") / GROUP)), ["source_no"], "group", ["shard"], "slots", "first")
     in_shard = Window.partitionBy("shard")
-    counts = counts.withColumns({"at": F.sum("slots").over(in_shard.orderBy("source_no")) - F.col("slots"), "in_shard": F.sum("slots").over(in_shard)})
-    # slots are made where their counts have been dealt evenly
-    counts = counts.join(targets.select("source_no", "blocks"), "source_no").repartition("source_no", "shard")
-    slots = counts.select("source_no", "shard", "blocks", "first", "at", "in_shard", F.explode(F.sequence("first", F.col("first") + F.col("slots") - 1)).alias("i"))
+    counts = counts.withColumns({"at": F.sum("slots").over(in_shard.orderBy("source_no")) - F.col("slots"), "in_shard": F.sum("slots").over(in_shard), "shard_key": draw(seed, "order", F.col("shard"))})
+    # a key for each pass over a source
+    keys = F.array(*[draw(seed, F.col("source_no"), F.lit(e)) for e in range(-int(-most // 1))])
+    counts = counts.join(targets.select("source_no", "blocks", keys.alias("keys")), "source_no")
+    # slots are made where their counts have been dealt evenly: a number of partitions that is stated is kept
+    n = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = counts.repartition(n, "source_no", "shard")
+    slots = counts.select("source_no", "shard", "blocks", "keys", "first", "at", "in_shard", "shard_key", F.explode(F.sequence("first", F.col("first") + F.col("slots") - 1)).alias("i"))
     slots = slots.withColumns({"epoch": F.expr("i div blocks"), "in_epoch": F.col("i") % F.col("blocks"), "nth": F.col("at") + F.col("i") - F.col("first")})
-    block = permuted(F.col("in_epoch"), F.col("blocks"), draw(seed, F.col("source_no"), F.col("epoch")))
-    position = permuted(F.col("nth"), F.col("in_shard"), draw(seed, "order", F.col("shard")))
-    return slots.select("shard", position.alias("position"), "source_no", block.alias("block"), "epoch")
+    slots = permuted(slots, F.col("in_epoch"), F.col("blocks"), F.element_at("keys", (F.col("epoch") + 1).cast("int")), "block")
+    slots = permuted(slots, F.col("nth"), F.col("in_shard"), F.col("shard_key"), "position")
+    return slots.select("shard", "position", "source_no", "block", "epoch")
 
 
 def mix_documents(docs: DataFrame, block_words: int = 64, shard_slots: int = 1024, seed: int = 7) -> DataFrame:
@@ -157,7 +160,7 @@ def _mixed(docs: DataFrame, block_words: int, shard_slots: int, seed: int) -> tu
     placed = sizes.join(targets.select("no_source", "source_key", "source_no", "source_size", "target"), ["no_source", "source_key"])
     placed = running_sum(placed, ["source_no"], "bucket", ["doc_id", "size", "text_key", "row_no"], "size", "start")
     parts = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)))))
-    takes = draw_slots(targets, shard_slots, seed).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
+    takes = written(draw_slots(targets, shard_slots, seed).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times")), "mix-takes")
     parts = parts.join(takes, ["source_no", "block"], "left")
     low = F.greatest(F.col("block") * block_words - F.col("start"), F.lit(0))
     high = F.least((F.col("block") + 1) * block_words - F.col("start"), F.col("size"))
@@ -228,7 +231,7 @@ def mixed_shards(docs: DataFrame, block_words: int = 64, shard_slots: int = 1024
     names = targets.select("source_no", "no_source", "source_key")
     parts = parts.join(names, ["no_source", "source_key"]).select("source_no", F.floor(at / block_words).alias("block"), part.alias("part"))
     blocks = parts.groupBy("source_no", "block").agg(F.flatten(F.sort_array(F.collect_list("part"))["words"]).alias("words"))
-    slots = draw_slots(targets, shard_slots, seed).join(names, "source_no")
+    slots = written(draw_slots(targets, shard_slots, seed), "mix-slots").join(names, "source_no")
     source = F.when(~F.col("no_source"), F.col("source_key")).alias("source")
     return slots.join(blocks, ["source_no", "block"]).select("shard", "position", source, "block", "epoch", "words")
 

@@ -175,7 +175,7 @@ def test_permutations_are_bijections(spark):
     from pyspark.sql import functions as F
 
     for n in (1, 2, 3, 10, 997, 1024, 5000):
-        rows = spark.range(n).withColumn("p", mixing.permuted(F.col("id"), F.lit(n), mixing.draw("k", n)))
+        rows = mixing.permuted(spark.range(n), F.col("id"), F.lit(n), mixing.draw("k", n), "p")
         got = {r["id"]: r["p"] for r in rows.collect()}
         assert sorted(got.values()) == list(range(n)) and rows.columns == ["id", "p"]
         key = int(hashlib.md5(f"k:{n}".encode()).hexdigest()[:8], 16)
@@ -184,7 +184,7 @@ def test_permutations_are_bijections(spark):
     steps = {got[i + 1] - got[i] for i in range(4999)}
     assert len(steps) > 2000
     big = 3 << 40
-    far = [r["p"] for r in spark.range(big - 1000, big).select(mixing.permuted(F.col("id"), F.lit(big), F.lit(12345)).alias("p")).collect()]
+    far = [r["p"] for r in mixing.permuted(spark.range(big - 1000, big), F.col("id"), F.lit(big), F.lit(12345), "p").collect()]
     assert len(set(far)) == 1000 and all(0 <= x < big for x in far)
 
 
