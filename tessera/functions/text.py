@@ -16,30 +16,19 @@ def salted_hash(value: Column, salt: str) -> Column:
     return F.sha2(F.concat(F.lit(salt), value.cast("string")), 256)
 
 
-def _ends(length: int, left: int, right: int, tolerance: int) -> tuple[int, int]:
-    """Characters kept at both ends of a value of this length: they shrink in turn until they are fewer than it shows."""
-    shown = length - tolerance
-    turn = 0
-    while left + right and left + right >= shown:
-        if turn % 2 == 0 and left or not right:
-            left -= 1
-        else:
-            right -= 1
-        turn += 1
-    return left, right
-
-
 def partial_mask(value: Column, left: int, mask: str, right: int, tolerance: int = 1) -> Column:
-    """The first and last characters around a mask; short values keep fewer of them."""
+    """The first and last characters around a mask; at least one more than the tolerance stays hidden.
+
+    What is too much of the ends is taken from both alike, the odd one from the left; what one end has not, the other gives.
+    """
     if not mask or left < 0 or right < 0 or tolerance < 0:
         raise ParameterError("a mask and no negative number is needed")
     text = value.cast("string")
-    out = F.concat(F.substring(text, 1, left), F.lit(mask), F.right(text, F.lit(right)) if right else F.lit(""))
-    for n in range(left + right + tolerance, -1, -1):
-        a, b = _ends(n, left, right, tolerance)
-        cut = F.concat(F.substring(text, 1, a) if a else F.lit(""), F.lit(mask), F.right(text, F.lit(b)) if b else F.lit(""))
-        out = F.when(F.length(text) == n, cut).otherwise(out)
-    return F.when(text.isNotNull(), out)
+    excess = F.greatest(F.lit(left + right) - F.greatest(F.length(text) - tolerance - 1, F.lit(0)), F.lit(0))
+    odd, even = F.ceil(excess / 2).cast("int"), F.floor(excess / 2).cast("int")
+    first = F.lit(left) - F.least(F.lit(left), odd + F.greatest(even - right, F.lit(0)))
+    last = F.lit(right) - F.least(F.lit(right), even + F.greatest(odd - left, F.lit(0)))
+    return F.concat(F.substring(text, F.lit(1), first), F.lit(mask), F.right(text, last))
 
 
 def normalized(value: Column, allow: str = "") -> Column:

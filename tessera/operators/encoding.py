@@ -2,19 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .neighbors import ks_one_sided, nearest
+from .ordered import numbered, running_sum, sort_value
 
 #: Most landmarks of a quantile transform.
 QUANTILES = 1000
 
 
+def quantiles(df: DataFrame, column: str, landmarks: int) -> list[float]:
+    """landmarks + 1 interpolated quantiles of a column; empty without values.
+
+    Distinct values are counted and their ranks added up range by range; only the values next to a landmark are collected.
+    """
+    counts = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    total = counts.agg(F.sum("c")).first()[0]
+    if not total:
+        return []
+    rows = running_sum(counts, [], F.col("c"), ["v"], F.col("v"), "first")
+    # the ranks that lie on either side of landmark i are floor and ceil of i (total - 1) / landmarks
+    place = lambda r, up: (F.ceil if up else F.floor)(r * F.lit(float(landmarks)) / F.lit(float(max(total - 1, 1))))
+    near = F.sequence(F.greatest(place(F.col("first") - 1, True), F.lit(0)), F.least(place(F.col("first") + F.col("c"), False), F.lit(landmarks)))
+    found = rows.withColumn("i", F.explode(F.when(F.element_at(near, 1) <= F.element_at(near, -1), near))).select("i", "v", "first", "c").collect()
+    low, high = {}, {}
+    for r in found:
+        at = r["i"] * (total - 1) / landmarks
+        if r["first"] <= math.floor(at) < r["first"] + r["c"]:
+            low[r["i"]] = r["v"]
+        if r["first"] <= math.ceil(at) < r["first"] + r["c"]:
+            high[r["i"]] = r["v"]
+    part = [(i * (total - 1) / landmarks) % 1 for i in range(landmarks + 1)]
+    return [low[i] + (high[i] - low[i]) * part[i] for i in range(landmarks + 1)]
+
+
 def quantile_scaled(df: DataFrame, fit: DataFrame, column: str, out: str, landmarks: int = QUANTILES) -> DataFrame:
-    """out: where a value lies in the fitted side's distribution, 0 to 1, by interpolation between landmarks."""
-    steps = [i / landmarks for i in range(landmarks + 1)]
-    cuts = fit.agg(F.percentile(column, F.array(*map(F.lit, steps))).alias("q")).first()["q"]
+    """out: where a value lies in the fitted side's distribution, 0 to 1, by interpolation between landmarks.
+
+    Landmarks are interpolated quantiles, exact: the values on both sides of each are found by their rank.
+    """
+    cuts = quantiles(fit, column, landmarks)
     if not cuts:
         return df.withColumn(out, F.lit(None).cast("double"))
     q, x, n = F.array(*map(F.lit, cuts)), F.col(column).cast("double"), len(cuts)
@@ -33,8 +63,8 @@ def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 def ordinal_bits(df: DataFrame, column: str, order: str) -> DataFrame:
     """column_0 (lowest bit) and so on: the bits of a value's rank by first appearance, from 1."""
     firsts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_first"))
-    ranks = firsts.withColumn("_rank", F.row_number().over(Window.orderBy("_first", column))).drop("_first")
-    bits = max(1, (ranks.count()).bit_length())
+    ranks = numbered(firsts, [], ["_first", column], sort_value(firsts, "_first"), "_rank").withColumn("_rank", F.col("_rank") + 1).drop("_first")
+    bits = max(1, firsts.count().bit_length())
     joined = df.join(ranks, column, "left")
     return joined.withColumns({f"{column}_{i}": F.coalesce(F.shiftright("_rank", i).bitwiseAND(1), F.lit(0)) for i in range(bits)}).drop("_rank")
 

@@ -1,106 +1,81 @@
-"""Personal data in texts: detection by patterns, merging, redaction and counts.
+"""Personal data in tables: detection by patterns, merging, redaction, counts, and whole tables at once.
 
-Positions of matches need one Python pass over the texts (an Arrow-batched UDF with the standard regular
-expressions); everything after it (merging, replacing, counting) is built from array functions.
+Which recognisers can match is decided by the column's name on the driver and by cheap patterns in the JVM;
+only texts that one of them fits go to Python, which finds the places of matches on Arrow batches.  Everything
+after that (merging, replacing, counting) is built from array functions.
 """
 
 from __future__ import annotations
 
-import ipaddress
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LOW, MEDIUM, HIGH = 0.2, 0.5, 0.8
-SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("text", T.StringType()), T.StructField("score", T.DoubleType())]))
-
-
-def luhn(s: str) -> bool:
-    digits = [int(c) for c in s if c.isdigit()][::-1]
-    return len(digits) > 1 and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
-
-
-def mod97(s: str) -> bool:
-    s = re.sub(r"\s", "", s).upper()
-    return s.isalnum() and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+from .recognizers import HIGH, LOW, MEDIUM, RECOGNIZERS, Recognizer, address, luhn, mod97, selected
 
+__all__ = ["HIGH", "LOW", "MEDIUM", "RECOGNIZERS", "Recognizer", "address", "luhn", "mod97", "selected"]
 
-def address(s: str) -> bool:
-    try:
-        ipaddress.ip_address(s)
-    except ValueError:
-        return False
-    return True
-
-
-@dataclass(frozen=True)
-class Recognizer:
-    """A pattern for one label.  ``header`` words in a column's name, or ``context`` words near a match, raise its score."""
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("text", T.StringType()), T.StructField("score", T.DoubleType())]))
+#: What is stripped from a value before it is searched.
+BLANKS = " \t\n\r\x0b\x0c"
 
-    label: str
-    pattern: str
-    score: float = HIGH
-    context_score: float = HIGH
-    header: tuple[str, ...] = ()
-    context: tuple[str, ...] = ()
-    context_only: bool = False
-    valid: object = field(default=None, compare=False)
 
-    def names(self, column: str) -> bool:
-        tokens = re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "_", column).lower())
-        return any(h in tokens for h in self.header)
+def stripped(value: Column) -> Column:
+    return F.btrim(value.cast("string"), F.lit(BLANKS))
 
 
-RECOGNIZERS = (
-    Recognizer("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b"),
-    Recognizer("ipv4", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])", valid=address),
-    Recognizer("phone_number", r"(?<![\d-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])", header=("phone", "tel", "mobile", "fax")),
-    Recognizer("ssn", r"(?<![\d-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])", header=("ssn",)),
-    Recognizer("credit_card", r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)", header=("card", "cc", "credit"), context=("card", "visa", "credit"), context_only=True, valid=luhn),
-    Recognizer("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,28}\b", header=("iban", "bank"), valid=mod97),
-    Recognizer("imei", r"(?<!\d)\d{15}(?!\d)", header=("imei",), context=("imei",), context_only=True, valid=luhn),
-    Recognizer("url", r"\bhttps?://[^\s<>\"']+", header=("url", "uri", "web")),
-    Recognizer("mac_address", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b"),
-    Recognizer("uuid", r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b"),
-    Recognizer("md5", r"\b(?=[0-9a-fA-F]*[a-fA-F])(?=[a-fA-F]*\d)[0-9a-fA-F]{32}\b"),
-    Recognizer("sha256", r"\b(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{64}\b"),
-    Recognizer("zip_code", r"(?<!\d)\d{5}(?:-\d{4})?(?!\d)", LOW, header=("zip", "postcode", "postal"), context=("zip", "postal"), context_only=True),
-    Recognizer("gps", r"(?<![\d.])-?\d{1,2}\.\d{3,}, ?-?\d{1,3}\.\d{3,}(?![\d.])", LOW, header=("gps", "location", "coords"), context_only=True),
-    Recognizer("date", r"\b\d{4}-\d{2}-\d{2}\b", LOW, header=("date", "dob", "birth"), context_only=True),
-)
+def _near(text: str, start: int, end: int, window: int) -> str:
+    """What stands within window characters of a match, to the ends of the words there."""
+    low, high = max(0, start - window), min(len(text), end + window)
+    while low and not text[low - 1].isspace():
+        low -= 1
+    while high < len(text) and not text[high].isspace():
+        high += 1
+    return text[low:high].casefold()
 
 
-def spans(column: str, recognizers: tuple[Recognizer, ...] = RECOGNIZERS, least: float = LOW, window: int = 24) -> Column:
-    """array<struct<start, end, label, text, score>> of the stripped value; headers are matched once, on the driver."""
-    plan = [(r, re.compile(r.pattern), r.names(column)) for r in recognizers]
+def spans(column: str, recognizers: tuple[Recognizer, ...] = RECOGNIZERS, least: float = LOW, window: int = 16) -> Column:
+    """array<struct<start, end, label, text, score>> of the stripped value; empty where nothing is found, null for null."""
+    plan = [(r, re.compile(r.pattern), r.names(column)) for r in recognizers if r.applies(column)]
+    value = stripped(F.col(column))
+    if not plan:
+        return F.when(value.isNotNull(), F.array().cast(SPANS))
 
     @F.pandas_udf(SPANS)
-    def find(values: pd.Series) -> pd.Series:
-        def one(value):
-            if value is None:
+    def find(values: pd.Series, fits: pd.Series) -> pd.Series:
+        def one(text, bits):
+            if text is None:
                 return None
-            text, found = value.strip(), {}
-            for r, pattern, named in plan:
-                for m in pattern.finditer(text):
+            found = {}
+            for i, (r, pattern, named) in enumerate(plan):
+                if not bits >> i & 1:
+                    continue
+                matches = pattern.finditer(text) if not r.whole else filter(None, [pattern.fullmatch(text)])
+                for m in matches:
                     if r.valid and not r.valid(m.group()):
                         continue
-                    near = text[max(0, m.start() - window) : m.end() + window].casefold() if r.context else ""
-                    told = named or any(c in near for c in r.context)
+                    told = named or bool(r.context) and any(c in _near(text, *m.span(), window) for c in r.context)
                     if r.context_only and not told:
                         continue
-                    score = r.context_score if told else r.score
-                    key = (m.start(), m.end(), r.label)
+                    score, key = r.context_score if told else r.score, (*m.span(), r.label)
                     if score >= least and score > found.get(key, (0.0,))[0]:
                         found[key] = (score, m.group())
             return [(s, e, label, t, score) for (s, e, label), (score, t) in sorted(found.items())]
 
-        return values.map(one)
+        return pd.Series([one(t, b) for t, b in zip(values, fits)], index=values.index, dtype=object)
 
-    return find(F.col(column).cast("string"))
+    def fits(r: Recognizer, named: bool) -> Column:
+        hit = value.rlike(r.hint) if r.hint else F.lit(True)
+        if r.context_only and not named:
+            hit = hit & F.lower(value).rlike("|".join(re.escape(c) for c in r.context))
+        return hit
+
+    bits = sum((F.when(fits(r, named), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (r, _, named) in enumerate(plan)), F.lit(0).cast("long"))
+    return F.when(value.isNotNull(), F.coalesce(find(F.when(bits > 0, value), bits), F.array().cast(SPANS)))
 
 
 def merged(found: Column) -> Column:
@@ -122,7 +97,7 @@ def merged(found: Column) -> Column:
 
 def replaced(text: Column, found: Column, by) -> Column:
     """The stripped text with each span as by(span); overlapping spans are merged first."""
-    body = F.trim(text)
+    body = stripped(text)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda acc, s: F.struct(F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), by(s)).alias("out"), s["end"].alias("at"))
     return F.aggregate(merged(found), start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
@@ -151,15 +126,120 @@ def faked(text: Column, found: Column, fakes: dict[str, list[str]], seed: int =
     return replaced(text, found, by)
 
 
-def entity_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+def best_scores(found: Column) -> Column:
+    """Of spans with the same text and place the one with the highest score, the first label of equals."""
+    same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"])
+    beats = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & (a["label"] < b["label"]))
+    return F.filter(found, lambda x: ~F.exists(found, lambda y: same(x, y) & beats(y, x)))
+
+
+def outermost(found: Column) -> Column:
+    """The spans that no other one contains."""
+    inside = lambda a, b: (b["start"] <= a["start"]) & (b["end"] >= a["end"]) & (b["end"] - b["start"] > a["end"] - a["start"])
+    return F.filter(found, lambda x: ~F.exists(found, lambda y: inside(x, y)))
+
+
+def chunked_spans(df: DataFrame, key: str, column: str, recognizers: tuple[Recognizer, ...] = RECOGNIZERS, length: int = 512, overlap: int = 128) -> DataFrame:
+    """key, found: spans of a long text, searched chunk by chunk; places are those in the stripped text.
+
+    Chunks overlap (not at all where they are no longer than the overlap); what two of them find counts once, and spans
+    that another one contains are dropped.
+    """
+    step = length - overlap if length > overlap else length
+    rows = df.select(key, stripped(F.col(column)).alias("_whole")).filter("_whole IS NOT NULL")
+    starts = F.sequence(F.lit(0), F.greatest(F.length("_whole") - 1, F.lit(0)), F.lit(step))
+    chunks = rows.select(key, "_whole", F.explode(starts).alias("_at")).select(key, "_at", F.substring("_whole", F.col("_at") + 1, F.lit(length)).alias(column))
+    lead = F.length(column) - F.length(F.ltrim(F.col(column)))
+    found = chunks.withColumn("_found", spans(column, recognizers)).select(key, (F.col("_at") + lead).alias("_at"), F.explode("_found").alias("s"))
+    moved = F.struct((F.col("s.start") + F.col("_at")).alias("start"), (F.col("s.end") + F.col("_at")).alias("end"), F.col("s.label").alias("label"), F.col("s.text").alias("text"), F.col("s.score").alias("score"))
+    return found.groupBy(key).agg(F.array_sort(F.collect_set(moved)).alias("found")).withColumn("found", outermost(F.col("found")))
+
+
+def cells(df: DataFrame, columns: Iterable[str], recognizers: tuple[Recognizer, ...] = RECOGNIZERS) -> DataFrame:
+    """column, value, found of every cell of the columns that isn't null; a column is searched by itself, under its own name."""
+    parts = [df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), spans(c, recognizers).alias("found")).filter("value IS NOT NULL") for c in columns]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def entity_counts(df: DataFrame, columns: list[str], recognizers: tuple[Recognizer, ...] = RECOGNIZERS) -> DataFrame:
     """column, label, n, n_values: detections and their distinct texts, per column."""
-    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), spans(c).alias("found")) for c in columns])))
-    return cells.select("column", F.inline("found")).groupBy("column", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("n_values"))
+    found = cells(df, columns, recognizers).select("column", F.inline("found"))
+    return found.groupBy("column", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("n_values"))
+
+
+def score_bands(found: DataFrame) -> DataFrame:
+    """label, band, fields: the columns in which a label was seen with a high, medium (or no) and low score."""
+    band = F.when(F.col("score") >= HIGH, "high").when(F.col("score").isNull() | (F.col("score") >= MEDIUM), "medium").otherwise("low")
+    return found.groupBy("label", band.alias("band")).agg(F.array_sort(F.collect_set("column")).alias("fields"))
+
+
+def field_metadata(df: DataFrame, columns: list[str], recognizers: tuple[Recognizer, ...] = RECOGNIZERS) -> DataFrame:
+    """column, n, n_missing, approx_distinct, label, share: how much of a column's values each label covers."""
+    totals = [df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")).groupBy("column").agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("n_missing"), F.approx_count_distinct("v").alias("approx_distinct")) for c in columns]
+    every = totals[0]
+    for t in totals[1:]:
+        every = every.unionByName(t)
+    seen = cells(df, columns, recognizers).select("column", F.explode(F.array_distinct(F.transform("found", lambda s: s["label"]))).alias("label"))
+    hits = seen.groupBy("column", "label").agg(F.count(F.lit(1)).alias("hits"))
+    return every.join(hits, "column", "left").select("column", "n", "n_missing", "approx_distinct", "label", F.try_divide("hits", "n").alias("share"))
+
+
+def merged_fragments(parts: DataFrame) -> DataFrame:
+    """record_id, field, found, first_seen: what several passes (record_id, field, found, at) say of a record's field."""
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("found"))))
+    return parts.groupBy("record_id", "field").agg(every.alias("found"), F.min("at").alias("first_seen"))
+
+
+def results_json(found: DataFrame, index: str) -> DataFrame:
+    """value: one JSON record a row, {"index", "entities"}; without the matched text."""
+    slim = F.transform("found", lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))
+    return found.select(F.to_json(F.struct(F.col(index).alias("index"), slim.alias("entities"))).alias("value"))
+
+
+def classified_columns(df: DataFrame, columns: list[str], share: float = 0.8, recognizers: tuple[Recognizer, ...] = RECOGNIZERS) -> DataFrame:
+    """column, label: the entity that covers at least this share of a column's values, nearly whole; the most frequent, then first, of several."""
+    rows = cells(df, columns, recognizers)
+    size = F.length(stripped(F.col("value")))
+    labels = F.array_distinct(F.transform(F.filter("found", lambda s: s["end"] - s["start"] >= 0.9 * size), lambda s: s["label"]))
+    totals = rows.groupBy("column").agg(F.count(F.lit(1)).alias("total"))
+    hits = rows.select("column", F.explode(labels).alias("label")).groupBy("column", "label").agg(F.count(F.lit(1)).alias("n"))
+    # one row a column
+    enough = hits.join(F.broadcast(totals), "column").filter(F.col("n") >= share * F.col("total"))
+    best = Window.partitionBy("column").orderBy(F.desc("n"), "label")
+    return enough.withColumn("_no", F.row_number().over(best)).filter("_no = 1").select("column", "label")
+
+
+def deidentified(df: DataFrame, columns: list[str], salt: str, fakes: dict[str, list[str]] | None = None, hash_labels: tuple[str, ...] = ("ssn", "credit_card", "iban"), recognizers: tuple[Recognizer, ...] = RECOGNIZERS) -> tuple[DataFrame, DataFrame]:
+    """The table with personal data replaced, and column, entity, label, n, n_values of what was found.
+
+    A column that is one entity as a whole has every value replaced: by a stand-in where there are some for its
+    label, else by a salted hash.  In other columns the found spans are replaced: hashed for hash_labels,
+    by stand-ins, or by <label>.
+    """
+    fakes = fakes or {}
+    entity = {r["column"]: r["label"] for r in classified_columns(df, columns, recognizers=recognizers).collect()}
+    report = entity_counts(df, columns, recognizers)
+    kinds = F.create_map(*[F.lit(x) for kv in entity.items() for x in kv]) if entity else F.create_map().cast("map<string,string>")
+    report = report.select("column", F.try_element_at(kinds, F.col("column")).alias("entity"), "label", "n", "n_values")
+
+    def stand_in(label: Column, text: Column, default: Column) -> Column:
+        out = default
+        for name, items in fakes.items():
+            pick = F.element_at(F.array(*map(F.lit, items)), (F.pmod(F.xxhash64(F.lit(salt), text), F.lit(len(items))) + 1).cast("int"))
+            out = F.when(label == name, pick).otherwise(out)
+        return out
 
+    digest = lambda text: F.substring(F.sha2(F.concat(F.lit(salt), text), 256), 1, 9)
 
-def classified_columns(df: DataFrame, columns: list[str], share: float = 0.8) -> DataFrame:
-    """column, label: the entity that covers at least this share of a column's values."""
-    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.array_distinct(F.transform(spans(c), lambda s: F.when(s["end"] - s["start"] >= 0.9 * F.length(F.trim(F.col(c).cast("string"))), s["label"]))).alias("labels")) for c in columns]))).filter("value IS NOT NULL")
-    totals = cells.groupBy("column").agg(F.count(F.lit(1)).alias("total"))
-    hits = cells.select("column", F.explode("labels").alias("label")).filter("label IS NOT NULL").groupBy("column", "label").agg(F.count(F.lit(1)).alias("n"))
-    return hits.join(F.broadcast(totals), "column").filter(F.col("n") >= share * F.col("total")).select("column", "label")
+    def by(s: Column) -> Column:
+        tag = F.when(s["label"].isin(*hash_labels), digest(s["text"])).otherwise(F.concat(F.lit("<"), s["label"], F.lit(">")))
+        return stand_in(s["label"], s["text"], tag)
+
+    new = {}
+    for c in columns:
+        text = F.col(c).cast("string")
+        new[c] = stand_in(F.lit(entity[c]), text, digest(text)) if c in entity else replaced(text, spans(c, recognizers), by)
+    return df.withColumns(new), report

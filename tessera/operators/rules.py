@@ -3,13 +3,12 @@
 A step is {"vars": {name: SQL over the whole table}, "columns": {"add" | "rename" | "drop": [...]},
 "rows": {"drop" | "update": [...]}}.  In an update's condition and value, ``this`` is the target column,
 ``row_index`` the row's number and ``var_<name>`` a variable.  Rules apply in order; each sees what the
-ones before wrote.
+ones before wrote.  ``fallback_value`` stands where the value is null; an expression that may fail says so with
+Spark's ``try_`` functions, whose failures are null.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,24 +32,25 @@ def _targets(df: DataFrame, rule: dict, entities: dict[str, str], types: dict[st
     return list(df.columns)
 
 
-def _bound(sql: str, column: str, values: dict) -> str:
-    sql = re.sub(r"\bthis\b", f"`{column}`", sql)
-    for name, v in values.items():
-        literal = "NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v)
-        sql = re.sub(rf"\bvar_{name}\b", literal, sql)
-    return sql
+def _with(df: DataFrame, values: dict, this: str | None = None) -> DataFrame:
+    """df with a column for every variable, and ``this`` for the target column: expressions name them, nothing is pasted into SQL."""
+    new = {f"var_{name}": F.lit(v) for name, v in values.items()} | ({"this": F.col(f"`{this}`")} if this is not None else {})
+    taken = [c for c in new if c in df.columns]
+    if taken:
+        raise ParameterError(f"a column has a name that rules use: {', '.join(taken)}")
+    return df.withColumns(new) if new else df
 
 
 def apply_step(df: DataFrame, step: dict, entities: dict[str, str] | None = None, types: dict[str, str] | None = None, locked: tuple[str, ...] = ()) -> DataFrame:
     entities, types = entities or {}, types or {}
     values: dict = {}
     for name, sql in step.get("vars", {}).items():
-        values[name] = df.agg(F.expr(_bound(sql, "", values)).alias("v")).first()["v"]
+        values[name] = _with(df, values).agg(F.expr(sql).alias("v")).first()["v"]
     columns = step.get("columns", {})
     for rule in columns.get("add", []):
         names = [c for c in df.columns if c != rule["name"]]
         names.insert(rule.get("position", len(names)), rule["name"])
-        df = df.withColumn(rule["name"], F.lit(None).cast(rule.get("dtype", "string"))).select(*names)
+        df = df.withColumn(rule["name"], F.lit(None).cast(rule.get("dtype", "string"))).select(*[f"`{c}`" for c in names])
     for rule in columns.get("rename", []):
         if rule["name"] not in locked and rule["value"] not in locked:
             df = df.withColumnRenamed(rule["name"], rule["value"])
@@ -58,18 +58,21 @@ def apply_step(df: DataFrame, step: dict, entities: dict[str, str] | None = None
         df = df.drop(*[c for c in _targets(df, rule, entities, types) if c not in locked])
     rows = step.get("rows", {})
     for rule in rows.get("drop", []):
-        df = df.filter(~F.coalesce(F.expr(_bound(rule["condition"], "", values)), F.lit(False)))
+        names = df.columns
+        df = _with(df, values).filter(~F.coalesce(F.expr(rule["condition"]), F.lit(False))).select(*[f"`{c}`" for c in names])
     for rule in rows.get("update", []):
         for c in _targets(df, rule, entities, types):
             if c in locked:
                 continue
-            value = F.expr(_bound(rule["value"], c, values))
+            names, seen = df.columns, _with(df, values, c)
             if "foreach" in rule:
-                value = F.aggregate(F.array(*map(F.lit, rule["foreach"])), F.col(c).cast("string"), lambda acc, item, rule=rule: F.call_function(rule["value"], acc, item))
+                value = F.aggregate(F.array(*map(F.lit, rule["foreach"])), F.col(f"`{c}`").cast("string"), lambda acc, item, rule=rule: F.call_function(rule["value"], acc, item))
+            else:
+                value = F.expr(rule["value"])
             if "fallback_value" in rule:
                 value = F.coalesce(value, F.lit(rule["fallback_value"]))
-            when = F.expr(_bound(rule["condition"], c, values)) if "condition" in rule else F.lit(True)
-            df = df.withColumn(c, F.when(when, value).otherwise(F.col(c)))
+            when = F.expr(rule["condition"]) if "condition" in rule else F.lit(True)
+            df = seen.withColumn(c, F.when(when, value).otherwise(F.col(f"`{c}`"))).select(*[f"`{x}`" for x in names])
     return df
 
 

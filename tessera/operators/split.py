@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations, islice
+from random import Random
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ParameterError
+from .ordered import numbered, running_sum, sort_value
 
 # The holdout's default share, its least and most rows, and the least rows of a table.
 DEFAULT_SHARE, LEAST_HOLDOUT, MOST_HOLDOUT, LEAST_ROWS = 0.05, 10, 2000, 200
@@ -43,13 +47,28 @@ def split_groups(df: DataFrame, test: float, group: str, seed: int = 1, tries: i
         test = DEFAULT_SHARE
     target = test if test > 1 else round(rows * test)
     take = int(test) if test > 1 else max(1, -(-groups * test // 1))
-    by = Window.partitionBy("attempt").orderBy(F.xxhash64(F.lit(seed), "attempt", F.col(group)), group)
-    ranked = sizes.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= take)
+    tried = sizes.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("_h", F.xxhash64(F.lit(seed), "attempt", F.col(group)))
+    ranked = first_by_hash(tried, "attempt", take, group)
     best = ranked.groupBy("attempt").agg(F.sum("n").alias("n")).orderBy(F.abs(F.col("n") - target), "attempt").first()["attempt"]
     chosen = ranked.filter(F.col("attempt") == best).select(group)
     return df.join(chosen, group, "left_anti"), df.join(chosen, group, "left_semi")
 
 
+def first_by_hash(df: DataFrame, part: str, n: int, tie: str, bits: int = 12) -> DataFrame:
+    """The n rows of each part with the smallest _h.
+
+    Rows are counted by the first bits of their hash; only those of the range in which the n-th falls are ranked.
+    """
+    rows = df.withColumn("_range", F.shiftright("_h", 64 - bits))
+    before = Window.partitionBy(part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(part, "_range").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    # at most 2 ** bits rows for each part
+    rows = rows.join(counts, [part, "_range"]).filter(F.col("_before") < n)
+    edge = Window.partitionBy(part).orderBy("_h", tie)
+    last = rows.filter(F.col("_before") + F.col("_c") > n).withColumn("_no", F.row_number().over(edge)).filter(F.col("_before") + F.col("_no") <= n).drop("_no")
+    return rows.filter(F.col("_before") + F.col("_c") <= n).unionByName(last).drop("_h", "_range", "_c", "_before")
+
+
 def holdout_size(rows: int, holdout: float = DEFAULT_SHARE, most: int = MOST_HOLDOUT) -> int:
     """Rows to hold out: a share or a number, at most ``most``; too little data or too small a holdout is an error."""
     if holdout == 0:
@@ -69,11 +88,11 @@ def holdout(df: DataFrame, key: str, share: float = DEFAULT_SHARE, group: str |
     return split_rows(df, n, key, seed)
 
 
-def cumulative_groups(df: DataFrame, group: str, target: int, order: list) -> DataFrame:
-    """group, n, rows_before: whole groups in order until their rows reach the target."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("rows_before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("rows_before") < target)
+def cumulative_groups(df: DataFrame, group: str, target: int, order: str | None = None) -> DataFrame:
+    """group, n, rows_before: whole groups in order (of the group's value) until their rows reach the target."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *([F.min(order).alias(order)] if order and order != group else []))
+    by = order or group
+    return running_sum(sizes, [], F.col("n"), [by, group], sort_value(sizes, by), "rows_before").filter(F.col("rows_before") < target).select(group, "n", "rows_before")
 
 
 def entity_rows(df: DataFrame, entity: str, row: str) -> DataFrame:
@@ -91,7 +110,30 @@ def poisson_batches(entities: DataFrame, entity: str, rate: float, steps: int, s
 def repeated(df: DataFrame, times: float, key: str, seed: int = 0) -> DataFrame:
     """copy_no and position: whole hash-ordered copies of a table, and a part of one more for the fraction."""
     whole = int(times)
-    copies = df.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.lit(whole))))
+    copies = df.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.lit(whole)))).withColumn("_h", F.xxhash64(F.lit(seed), "copy_no", F.col(key)))
     n = -(-(times - whole) * df.count() // 1)
-    by = Window.partitionBy("copy_no").orderBy(F.xxhash64(F.lit(seed), "copy_no", F.col(key)), key)
-    return copies.withColumn("position", F.row_number().over(by) - 1).filter((F.col("copy_no") < whole) | (F.col("position") < n))
+    placed = numbered(copies, ["copy_no"], ["_h", key], F.shiftright("_h", 16).cast("double"), "position").drop("_h")
+    return placed.filter((F.col("copy_no") < whole) | (F.col("position") < n))
+
+
+def with_replacement(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """draw (from 0) and the row: n rows, each drawn from the whole table.
+
+    A draw is a row number by hash; rows are numbered in hash order of their key.
+    """
+    rows = numbered(df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))), [], ["_h", key], F.shiftright(F.xxhash64(F.lit(seed), F.col(key)), 16).cast("double"), "_no").drop("_h")
+    size = df.count()
+    if not size:
+        return rows.withColumnRenamed("_no", "draw")
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(size)).alias("_no"))
+    return draws.join(rows, "_no").drop("_no")
+
+
+def column_sets(columns: list[str], size: int, most: int, seed: int = 5, wide: int = 500) -> list[tuple[str, ...]]:
+    """Sets of size columns in a seeded order, at most ``most``; neighbours in order where there are many columns."""
+    if len(columns) >= wide:
+        found = [tuple(columns[(i + j) % len(columns)] for j in range(size)) for i in range(len(columns))]
+    else:
+        found = list(islice(combinations(columns, size), 100_000))
+    Random(seed).shuffle(found)
+    return found[:most]

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from ..errors import ParameterError
 from ..operators import report as R
 from ..sources import tables as S
 from ..streaming import events as E
@@ -13,7 +14,10 @@ from .registry import query, table
 
 
 def _folder(spark) -> str:
+    """A folder that all executors share; only a local session may do without the setting that names it."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ParameterError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{(base or tempfile.gettempdir()).rstrip('/')}/flows-{spark.sparkContext.applicationId}"
 
 
@@ -31,11 +35,11 @@ def jsonl_roundtrip(spark, sf):
     return S.read_any(spark, path).select("c_custkey", "segment")
 
 
-@query("SELECT 'n_nationkey' AS \"column\", 'bigint' AS type UNION ALL SELECT 'n_name', 'string' UNION ALL SELECT 'n_regionkey', 'bigint'")
+@query("SELECT n_nationkey, n_name, n_regionkey, n_nationkey + n_regionkey AS total, NULLIF(n_nationkey, 3) AS holes FROM nation")
 def retyped_columns(spark, sf):
-    n = table(spark, sf, "nation")
-    strings = n.select(*[F.col(c).cast("string").alias(c) for c in n.columns])
-    return spark.createDataFrame(S.retyped(strings).dtypes, "column string, type string")
+    n = table(spark, sf, "nation").withColumn("holes", F.when(F.col("n_nationkey") != 3, F.col("n_nationkey")))
+    back = S.retyped(n.select(*[F.col(c).cast("string").alias(c) for c in ("n_nationkey", "n_name", "n_regionkey", "holes")]))
+    return back.select("n_nationkey", "n_name", "n_regionkey", (F.col("n_nationkey") + F.col("n_regionkey")).alias("total"), "holes")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -55,5 +59,5 @@ def session_windows(spark, sf):
 @query()
 def evaluation_report(spark, sf):
     x = table(spark, sf, "lineitem").withColumn("key", F.col("l_orderkey") * 10 + F.col("l_linenumber")).select("key", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
-    scores = R.evaluate(x.filter("key % 2 = 0"), x.filter("key % 2 = 1"), "key")
+    scores = R.evaluate(x.filter("key % 3 = 0"), x.filter("key % 3 = 1"), "key", test=x.filter("key % 30 = 2"), personal=("l_extendedprice",))
     return spark.createDataFrame([(s.component, s.raw, s.score, s.grade) for s in scores], "component string, raw double, score double, grade string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import columns as K
 from ..operators import joins as J
 from ..operators import split as S
 from .registry import query, table
@@ -76,7 +77,7 @@ SELECT l_orderkey, n, rows_before FROM (
   FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)) WHERE rows_before < 500
 """)
 def cumulative_groups_to_target(spark, sf):
-    return S.cumulative_groups(table(spark, sf, "lineitem"), "l_orderkey", 500, ["l_orderkey"])
+    return S.cumulative_groups(table(spark, sf, "lineitem"), "l_orderkey", 500)
 
 
 @query("SELECT o_custkey, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1")
@@ -85,7 +86,64 @@ def entity_mapping(spark, sf):
     return e.select("o_custkey", F.size("rows").cast("long").alias("n"), F.array_join(F.transform("rows", lambda x: x.cast("string")), ",").alias("orders"))
 
 
-@query("SELECT 2 * count(*) + CAST(ceil(0.5 * count(*)) AS BIGINT) AS n, 3 AS copies FROM supplier")
+@query("""
+SELECT c AS copy_no, count(*) AS n, count(DISTINCT s_suppkey) AS keys, CAST(sum(s_suppkey) AS BIGINT) AS key_sum, count(*) * (count(*) - 1) // 2 AS position_sum FROM supplier, (VALUES (0), (1)) v(c) GROUP BY 1
+UNION ALL SELECT 2, CAST(ceil(0.5 * count(*)) AS BIGINT), CAST(ceil(0.5 * count(*)) AS BIGINT), NULL, CAST(ceil(0.5 * count(*)) AS BIGINT) * (CAST(ceil(0.5 * count(*)) AS BIGINT) - 1) // 2 FROM supplier
+""")
 def repeated_rows(spark, sf):
     r = S.repeated(table(spark, sf, "supplier"), 2.5, "s_suppkey")
-    return r.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("copy_no").cast("int").alias("copies"))
+    key_sum = F.when(F.col("copy_no") < 2, F.sum(F.col("s_suppkey").cast("long")))
+    return r.groupBy("copy_no").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s_suppkey").alias("keys"), key_sum.alias("key_sum"), F.sum("position").alias("position_sum"))
+
+
+@query("SELECT 500 AS draws, 500 AS rows, 500 AS known")
+def drawn_with_replacement(spark, sf):
+    c = table(spark, sf, "customer")
+    d = S.with_replacement(c, 500, "c_custkey")
+    known = d.join(c.select("c_custkey", F.col("c_name").alias("n")), "c_custkey").filter("n = c_name")
+    return d.agg(F.countDistinct("draw").cast("int").alias("draws"), F.count(F.lit(1)).cast("int").alias("rows")).join(known.agg(F.count(F.lit(1)).cast("int").alias("known")))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'dear' WHEN o_orderpriority = '1-URGENT' THEN 'hasty' END AS reject_reason, NOT (o_totalprice > 300000 OR o_orderpriority = '1-URGENT') AS is_valid FROM orders
+""")
+def verdicts_on_records(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    verdicts = o.select("o_orderkey", F.when(F.col("o_totalprice") > 300000, "dear").when(F.col("o_orderpriority") == "1-URGENT", "hasty").alias("reject_reason"))
+    return K.with_verdicts(o, verdicts, "o_orderkey").select("o_orderkey", "reject_reason", "is_valid")
+
+
+@query("""
+SELECT conv_id, count(*) AS n_rows, string_agg(array_to_string(string_split(role || ' ' || turn, ' '), '+'), '+' ORDER BY turn) AS words FROM conversations GROUP BY 1
+""")
+def grouped_token_arrays(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.split(F.concat_ws(" ", "role", "turn"), " ").alias("ids"))
+    return K.grouped_arrays(c, "conv_id", "turn", "ids").select("conv_id", "n_rows", F.array_join("ids", "+").alias("words"))
+
+
+@query("""
+WITH c AS (SELECT label, i, avg(CAST(embedding AS DOUBLE[])[i]) AS x FROM embeddings, unnest(range(1, 65)) r(i) GROUP BY 1, 2)
+SELECT label, round(sum(x), 5) AS total, round(sum(x * i), 4) AS weighted, count(*)::INT AS dims FROM c GROUP BY 1
+""")
+def mean_embeddings(spark, sf):
+    m = K.mean_vectors(table(spark, sf, "embeddings").select("label", F.col("embedding")), ["label"], "embedding")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    weighted = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return m.select("label", F.round(total, 5).alias("total"), F.round(weighted, 4).alias("weighted"), F.size("embedding").alias("dims"))
+
+
+@query("SELECT o_orderkey, o_orderstatus AS a, CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE o_orderpriority END AS b, CASE WHEN o_orderkey % 2 = 0 THEN 'more' END AS c FROM orders")
+def merged_settings(spark, sf):
+    o = table(spark, sf, "orders")
+    base = F.create_map(F.lit("a"), F.col("o_orderstatus"), F.lit("b"), F.col("o_orderpriority"))
+    new = F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("b"), F.lit("new"), F.lit("c"), F.lit("more"))).otherwise(F.create_map().cast("map<string,string>"))
+    both = o.select("o_orderkey", K.merged_maps(base, new).alias("m"))
+    return both.select("o_orderkey", *[F.try_element_at("m", F.lit(k)).alias(k) for k in "abc"])
+
+
+@query("""
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'object' WHEN 1 THEN 'number' WHEN 2 THEN 'string' WHEN 3 THEN 'boolean' WHEN 4 THEN 'null' END AS kind FROM events
+""")
+def json_types(spark, sf):
+    texts = F.array(F.lit('{"k": 1}'), F.lit("-2.5e1"), F.lit('"x"'), F.lit("true"), F.lit("null"), F.lit("{no"))
+    return table(spark, sf, "events").select("event_id", K.json_type(F.element_at(texts, (F.col("event_id") % 6 + 1).cast("int"))).alias("kind"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import timeseries as W
@@ -59,6 +60,59 @@ def pack_greedy(spark, sf):
     return W.greedy_packed(c, "conv_id", "turn", "n", 600, 4).select("conv_id", "turn", "example_no")
 
 
+@query("""
+WITH RECURSIVE g AS (SELECT conv_id, sum(length(text))::BIGINT AS n, count(*) AS rows, row_number() OVER (ORDER BY conv_id) AS k FROM conversations GROUP BY 1),
+p AS (SELECT conv_id, rows, k, 0 AS example_no, n AS size, 1 AS held FROM g WHERE k = 1
+ UNION ALL SELECT g.conv_id, g.rows, g.k, CASE WHEN p.held = 3 OR p.size + g.n > 1500 THEN p.example_no + 1 ELSE p.example_no END,
+   CASE WHEN p.held = 3 OR p.size + g.n > 1500 THEN g.n ELSE p.size + g.n END, CASE WHEN p.held = 3 OR p.size + g.n > 1500 THEN 1 ELSE p.held + 1 END
+ FROM p JOIN g ON g.k = p.k + 1)
+SELECT conv_id, rows, example_no FROM p
+""")
+def pack_groups(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
+    return W.packed_groups(c, "conv_id", "turn", "n", 1500, 3).select("conv_id", F.size("records").cast("long").alias("rows"), "example_no")
+
+
+@query("""
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS row_index, (20 - turn) // 3 + 1 AS expected FROM conversations
+""")
+def rows_expected(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn")
+    return W.row_index(c, "conv_id", "turn").select("conv_id", "turn", "row_index", W.expected_records(F.col("turn"), F.lit(20), 3).alias("expected"))
+
+
+@query("""
+SELECT conv_id, arg_max(turn, length(text) * 1000000 - turn) AS turn FROM conversations GROUP BY 1
+""")
+def best_response_per_group(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("valid", F.length("text"))
+    return W.best_response(c, "conv_id", "valid", "turn").select("conv_id", "turn")
+
+
+@query("""
+WITH h AS (SELECT user_id, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS s, event_id % 2 AS late FROM events GROUP BY ALL), r AS (SELECT *, s - lag(s) OVER (PARTITION BY user_id ORDER BY s) AS step FROM h WHERE late = 1),
+l AS (SELECT user_id, max(s) AS last FROM h WHERE late = 0 AND user_id % 3 <> 0 GROUP BY 1)
+SELECT user_id, coalesce(bool_and(step = 3600), true) AND coalesce(min(s) - any_value(last) = 3600, true) AS chronological FROM r LEFT JOIN l USING (user_id) GROUP BY 1
+""")
+def chronological_groups(spark, sf):
+    h = table(spark, sf, "events").select("user_id", F.unix_timestamp(F.date_trunc("hour", "ts")).alias("s"), (F.col("event_id") % 2).alias("late")).distinct()
+    last = h.filter("late = 0 AND user_id % 3 <> 0").groupBy("user_id").agg(F.max("s").alias("s"))
+    return W.continues(h.filter("late = 1"), last, "user_id", "s", 3600)
+
+
+@query("""
+SELECT 'yyyy-MM-dd HH:mm:ss' AS format, 1800 AS interval, count(DISTINCT user_id) AS groups, count(DISTINCT user_id) AS consistent, 0 AS off_interval, count(*) AS n,
+ sum(epoch(TIMESTAMP '2024-01-01') + 1800 * k)::BIGINT AS seconds FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events QUALIFY count(*) OVER (PARTITION BY user_id) > 1)
+""")
+def time_series_preprocessed(spark, sf):
+    by = Window.partitionBy("user_id")
+    e = table(spark, sf, "events").withColumns({"k": F.row_number().over(by.orderBy("event_id")) - 1, "n": F.count(F.lit(1)).over(by)}).filter("n > 1")
+    start = F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    rows, facts = W.preprocessed(e.select("user_id", F.date_format(F.timestamp_seconds(start + 1800 * F.col("k")), "yyyy-MM-dd HH:mm:ss").alias("t")), "t", "user_id")
+    named = [F.lit(facts[k]).alias(k) for k in ("format", "interval", "groups", "consistent", "off_interval")]
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("seconds").alias("seconds")).select(*named, "n", "seconds")
+
+
 _BATCHES = "SELECT CAST(floor(event_id / 500) AS BIGINT) AS batch, avg(CASE WHEN event_type IN ('error', 'click') THEN 1.0 ELSE 0.0 END) AS invalid FROM events GROUP BY 1"
 
 

@@ -47,11 +47,12 @@ def one_hot_status(spark, sf):
 
 @query("""
 WITH r AS (SELECT p_brand, row_number() OVER (ORDER BY min(p_partkey), p_brand) AS k FROM part GROUP BY 1)
-SELECT p_partkey, CAST(k & 1 AS INT) AS b0, CAST((k >> 1) & 1 AS INT) AS b1, CAST((k >> 2) & 1 AS INT) AS b2 FROM part JOIN r USING (p_brand)
+SELECT p_partkey, list_aggregate(list_transform(range(len(bin((SELECT count(*) FROM r)))), lambda i: ((k >> i) & 1)::VARCHAR), 'string_agg', '') AS bits FROM part JOIN r USING (p_brand)
 """)
 def binary_encoding(spark, sf):
     p = E.ordinal_bits(table(spark, sf, "part"), "p_brand", "p_partkey")
-    return p.select("p_partkey", F.col("p_brand_0").alias("b0"), F.col("p_brand_1").alias("b1"), F.col("p_brand_2").alias("b2"))
+    bits = sorted((c for c in p.columns if c.startswith("p_brand_")), key=lambda c: int(c.rsplit("_", 1)[1]))
+    return p.select("p_partkey", F.concat(*[F.col(c).cast("string") for c in bits]).alias("bits"))
 
 
 @query("""

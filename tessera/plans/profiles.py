@@ -62,15 +62,30 @@ def infer_enum_columns(spark, sf):
     return P.enum_columns(table(spark, sf, "orders"), columns).select("column", "n_distinct", "n_singletons", "is_enum")
 
 
-@query("""
-SELECT 'p_brand' AS "column", 'enum' AS kind, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high WHERE (SELECT count(DISTINCT p_brand) <= sqrt(count(*)) FROM part)
-UNION ALL SELECT 'p_retailprice', 'number', min(p_retailprice), max(p_retailprice) FROM part
-UNION ALL SELECT 'p_partkey', 'integer', min(p_partkey), max(p_partkey) FROM part
-""")
+def _schema_sql(column: str, kind: str, t: str = "part", value: str = "") -> str:
+    """A column's row of infer_json_schema: enum by the two bounds, else bounds of numbers or of lengths."""
+    value = value or column
+    counts = f"SELECT count(*) AS d, count(*) FILTER (n = 1) AS ones, sum(n) AS rows, bool_or(v IS NULL) AS nulls, min(v) AS lo, max(v) AS hi FROM (SELECT {value} AS v, count(*) AS n FROM {t} GROUP BY 1)"
+    low, high = ("round_even(min(length({v})) / 1.5, 0)", "round_even(max(length({v})) * 1.5, 0)") if kind == "string" else ("min({v})", "max({v})")
+    bounds = f"SELECT CAST({low.format(v=value)} AS DOUBLE) AS low, CAST({high.format(v=value)} AS DOUBLE) AS high FROM {t}"
+    is_enum = "d <= sqrt(rows) AND ones <= pow(rows, CAST(1 AS DOUBLE) / 3)"
+    return f"""SELECT '{column}' AS "column", CASE WHEN {is_enum} THEN 'enum' ELSE '{kind}' END AS kind, NOT nulls AS required, CASE WHEN NOT ({is_enum}) THEN low END AS low, CASE WHEN NOT ({is_enum}) THEN high END AS high
+ FROM ({counts}), ({bounds})"""
+
+
+@query(" UNION ALL ".join([_schema_sql("p_brand", "string"), _schema_sql("p_name", "string"), _schema_sql("p_retailprice", "number"), _schema_sql("p_partkey", "integer"), _schema_sql("p_type", "string", value="CASE WHEN p_partkey % 3 <> 0 THEN p_type END")]))
 def infer_json_schema(spark, sf):
-    schema = P.json_schema(table(spark, sf, "part").select("p_brand", "p_retailprice", "p_partkey"))
-    rows = [(c, "enum" if "enum" in p else p["type"], None if "enum" in p else float(p["minimum"]), None if "enum" in p else float(p["maximum"])) for c, p in schema["properties"].items()]
-    return spark.createDataFrame(rows, "column string, kind string, low double, high double")
+    part = table(spark, sf, "part").withColumn("p_type", F.when(F.col("p_partkey") % 3 != 0, F.col("p_type")))
+    schema = P.json_schema(part.select("p_brand", "p_name", "p_retailprice", "p_partkey", "p_type"))
+
+    def row(c: str, p: dict) -> tuple:
+        if "enum" in p:
+            return c, "enum", c in schema["required"], None, None
+        kind = p["type"][0] if isinstance(p["type"], list) else p["type"]
+        low, high = ("minLength", "maxLength") if kind == "string" else ("minimum", "maximum")
+        return c, kind, c in schema["required"], float(p[low]), float(p[high])
+
+    return spark.createDataFrame([row(c, p) for c, p in schema["properties"].items()], "column string, kind string, required boolean, low double, high double")
 
 
 @query("""
