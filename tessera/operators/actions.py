@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.people import fake
+
 REASON = "reject_reason"
 
 
@@ -67,6 +69,54 @@ class Sampled(Action):
         return df.withColumn(self.column, F.randn(self.seed) * self.b + self.a if self.law == "gaussian" else F.rand(self.seed) * (self.b - self.a) + self.a)
 
 
+@dataclass(frozen=True)
+class SampledTimes(Action):
+    """A column of times between two seconds since 1970, evenly, or by Gauss around their middle; cut to a precision and written in a format.
+
+    precision: year, month, day, hour, minute or second.
+    """
+
+    column: str
+    low: int
+    high: int
+    law: str = "uniform"
+    precision: str = "second"
+    fmt: str = "yyyy-MM-dd HH:mm:ss"
+    seed: int = 0
+    kind = "gen_datetime_distribution"
+
+    def generate(self, df):
+        middle, width = (self.low + self.high) / 2, self.high - self.low
+        even = F.rand(self.seed) * width + self.low
+        around = F.greatest(F.lit(float(self.low)), F.least(F.lit(float(self.high)), F.randn(self.seed) * (width / 6) + middle))
+        at = F.timestamp_seconds(around if self.law == "gaussian" else even)
+        return df.withColumn(self.column, F.date_format(F.date_trunc(self.precision, at), self.fmt))
+
+
+@dataclass(frozen=True)
+class Derived(Action):
+    """Several columns at once, by SQL expressions that see the row as it was before any of them."""
+
+    columns: tuple[tuple[str, str], ...]
+    kind = "gen_raw_expression"
+
+    def generate(self, df):
+        return df.withColumns({name: F.expr(sql) for name, sql in self.columns})
+
+
+@dataclass(frozen=True)
+class StandIn(Action):
+    """A column of stand-ins of a kind (those of functions.people.fake), by the key column: equal keys, equal values."""
+
+    column: str
+    what: str
+    key: str
+    kind = "gen_faker"
+
+    def generate(self, df):
+        return df.withColumn(self.column, fake(self.what, F.col(self.key)))
+
+
 @dataclass(frozen=True)
 class Regenerated(Action):
     """A column that is left out before training and made again, in its place, behind it."""

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ParameterError
+from ..functions.dates import to_seconds
+from .timeseries import cascade
 
 #: A record: from a brace to the first brace that ends a line.
 RECORD = r"(\{.+?\})(?=\n|$)"
@@ -109,6 +111,23 @@ def grouped_responses(df: DataFrame, key: str, text: str, schema: dict, group: s
     return sums.withColumn("error", ladder).drop("_groups", "_back")
 
 
+def timed_responses(df: DataFrame, key: str, text: str, schema: dict, timestamp: str, fmt: str, interval: int) -> DataFrame:
+    """responses() of time series: a valid record is refused as well where its step is not the interval, and all later ones with it.
+
+    A format without a date may step over midnight.
+    """
+    found = responses(df, key, text, schema)
+    value = F.try_variant_get(F.try_parse_json("raw"), f"$['{timestamp}']", "string")
+    timed = found.filter("is_valid").withColumn("_s", to_seconds(value, fmt))
+    steps = cascade(timed, key, "record_no", "_s", interval, time_only=fmt != "elapsed_seconds" and "y" not in fmt).select(key, "record_no", F.col("error").alias("_error"))
+    joined = found.join(steps, [key, "record_no"], "left")
+    late = F.col("_error").isNotNull()
+    return joined.withColumns({
+        "error_message": F.when(late, F.concat(F.lit(f"{timestamp}: "), F.col("_error"))).otherwise(F.col("error_message")),
+        "error_kind": F.when(late, "interval").otherwise(F.col("error_kind")), "is_valid": F.col("is_valid") & ~late,
+    }).drop("_error")
+
+
 def error_statistics(errors: DataFrame, message: str, kind: str) -> DataFrame:
     """message, n, share: the most frequent messages, and every one of the data's configuration."""
     counts = errors.groupBy(message, kind).agg(F.count(F.lit(1)).alias("n"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import columns as K
 from ..operators import joins as J
 from ..operators import split as S
+from ..operators import timeseries as W
 from .registry import query, table
 
 
@@ -147,3 +149,33 @@ SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'object' WHEN 1 THEN 'number' WHE
 def json_types(spark, sf):
     texts = F.array(F.lit('{"k": 1}'), F.lit("-2.5e1"), F.lit('"x"'), F.lit("true"), F.lit("null"), F.lit("{no"))
     return table(spark, sf, "events").select("event_id", K.json_type(F.element_at(texts, (F.col("event_id") % 6 + 1).cast("int"))).alias("kind"))
+
+
+@query("""
+WITH u AS (SELECT 'customer' AS side, c_nationkey AS nation, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_nationkey, s_acctbal, NULL FROM supplier)
+SELECT side, count(*) AS n, count(DISTINCT nation) AS nations, count(segment) AS segments, (SELECT count(*) FROM (SELECT DISTINCT nation, segment FROM u)) AS pairs FROM u GROUP BY 1
+""")
+def stacked_tables(spark, sf):
+    """Tables of different columns by name, missing ones null, and their distinct rows."""
+    c = table(spark, sf, "customer").select(F.lit("customer").alias("side"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    u = c.unionByName(table(spark, sf, "supplier").select(F.lit("supplier").alias("side"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation")), allowMissingColumns=True)
+    pairs = u.select("nation", "segment").distinct().agg(F.count(F.lit(1)).alias("pairs"))
+    return u.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("nation").alias("nations"), F.count("segment").alias("segments")).join(pairs)
+
+
+@query("""
+SELECT o_orderkey, o_custkey, o_orderpriority, CAST(row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS INT) AS place FROM orders ORDER BY place LIMIT 50
+""")
+def sorted_head(spark, sf):
+    """The first rows by several keys, the row's own key settling ties."""
+    top = table(spark, sf, "orders").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").limit(50)
+    by = Window.orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey")
+    return top.select("o_orderkey", "o_custkey", "o_orderpriority", F.row_number().over(by).alias("place"))
+
+
+@query("""
+SELECT conv_id, turn, array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), '>') AS context FROM conversations
+""")
+def sliding_context(spark, sf):
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", F.array_join(W.last_records("role", "conv_id", "turn"), ">").alias("context"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import actions as A
@@ -76,3 +77,31 @@ def data_action_generation(spark, sf):
     rules = [A.Expression("twice", "round(p_retailprice * 2, 4)"), A.Regenerated("p_size", "p_size_kept", 2)]
     p = table(spark, sf, "part").withColumn("p_size_kept", F.col("p_size"))
     return A.finished(A.generated(A.prepared(p, rules), rules), rules).select("p_partkey", "twice", "p_size")
+
+
+@query("""
+SELECT o_orderkey, o_totalprice - o_orderkey AS less, o_orderkey + 1 AS o_next, true AS fits, true AS named FROM orders
+""")
+def derived_columns(spark, sf):
+    """Both new columns see the old ones; times lie between the bounds and on whole hours; equal keys have equal stand-ins."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 5).alias("who"))
+    rules = [A.Derived((("less", "o_totalprice - o_orderkey"), ("o_next", "o_orderkey + 1"))), A.SampledTimes("t", 1_700_000_000, 1_700_086_400, "gaussian", "hour"), A.StandIn("name", "name", "who"), A.StandIn("again", "name", "who")]
+    made = A.generated(o, rules)
+    at = F.unix_timestamp("t")
+    fits = (at >= 1_700_000_000 - 3600) & (at <= 1_700_086_400) & (at % 3600 == 0)
+    return made.select("o_orderkey", "less", "o_next", fits.alias("fits"), (F.col("name") == F.col("again")).alias("named"))
+
+
+@query("""
+WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, turn FROM conversations), s AS (SELECT conv_id, k, CASE WHEN conv_id % 3 = 0 AND k >= 2 THEN 60 * k + 1 ELSE 60 * k END AS t FROM r),
+b AS (SELECT conv_id, k, coalesce(t - lag(t) OVER w <> 60, false) AS bad FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+e AS (SELECT *, coalesce(bool_or(bad) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS earlier FROM b)
+SELECT conv_id, count(*) AS n, count(*) FILTER (NOT bad AND NOT earlier) AS n_valid, count(*) FILTER (bad OR earlier) AS late FROM e GROUP BY 1
+""")
+def timed_record_validation(spark, sf):
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", (F.row_number().over(by) - 1).alias("k"))
+    at = 60 * F.col("k") + F.when((F.col("conv_id") % 3 == 0) & (F.col("k") >= 2), 1).otherwise(0)
+    lines = c.withColumn("line", F.concat(F.lit('{"t": '), at, F.lit("}"))).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    found = G.timed_responses(lines, "conv_id", "text", {"properties": {"t": {"type": "integer"}}, "required": ["t"]}, "t", "elapsed_seconds", 60)
+    return found.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("n_valid"), F.count_if(F.col("error_kind") == "interval").alias("late"))
