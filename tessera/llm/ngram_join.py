@@ -268,8 +268,8 @@ def _open_edges(n, bits, label, side, percent):
 
 
 def _cluster_links(n, label, side, matches, heads, sets, percent):
-    """Pairs of places that link components of a cluster; two components that a pair has linked count as one."""
-    maps, label, links = _Bitmaps(n, [parity_bits(s, 8) for s in sets], percent), label.copy(), []
+    """Pairs of labels that links of a cluster connect; two labels that a link has connected count as one."""
+    maps, given, label, links = _Bitmaps(n, [parity_bits(s, 8) for s in sets], percent), label, label.copy(), []
     for i in range(1, len(n)):
         low, apart = maps.apart(i)
         both = n[low:i].astype(np.int64) + int(n[i])
@@ -280,7 +280,7 @@ def _cluster_links(n, label, side, matches, heads, sets, percent):
                 continue
             shared = len(np.intersect1d(sets[j], sets[i], assume_unique=True))
             if 100 * shared >= percent * (len(sets[j]) + len(sets[i]) - shared):
-                links.append((j, i))
+                links.append((given[j], given[i]))
                 label[label == label[j]] = label[i]
     return links
 
@@ -362,16 +362,13 @@ def in_parts(rows: DataFrame, key: str) -> DataFrame:
 
 
 def cluster_links(clusters: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between components, found cluster by cluster with whole sets."""
+    """a, b: labels that links connect, found cluster by cluster with whole sets."""
 
     def of_list(part: pa.Table) -> pa.RecordBatch | None:
-        n, rep, label, side, matches = (part.column(c).to_numpy() for c in ("n", "rep", "label", "side", "matches"))
+        n, label, side, matches = (part.column(c).to_numpy() for c in ("n", "label", "side", "matches"))
         heads, sets = ([x.values.to_numpy() for x in part.column(c)] for c in ("head", "s"))
         links = _cluster_links(n, label, side, matches, heads, sets, percent)
-        if not links:
-            return None
-        i, j = np.array(links).T
-        return pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"]) if links else None
 
     return _by_list(clusters, ["cluster", "low", "high"], of_list, "a long, b long")
 
@@ -451,11 +448,10 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFram
     edges = open_edges(in_parts(left, "shingle").join(maps, ["rep", "n"]), percent)
     clusters = components(edges).withColumnsRenamed({"node": "rep", "component": "cluster"})
     members = written(in_parts(labelled(clusters.join(classes.select("rep", "n"), "rep")), "cluster"), "clusters")
-    late = cluster_links(members.join(sets_of(members), "rep"), percent)
-    links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late)
-    final = components(links)
+    # components of the labels that late links connect; most inputs have none
+    merged = components(cluster_links(members.join(sets_of(members), "rep"), percent)).select(F.col("node").alias("label"), F.col("component").alias("merged"))
 
-    named = classes.select("k1", "k2", "n", "rep", "least").join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = labelled(classes.select("k1", "k2", "n", "rep", "least")).join(merged, "label", "left").withColumn("component", F.coalesce("merged", "label"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "component").select("k1", "k2", "n", "component", "component_id")
     out = rows.select("doc_id", "key", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")

@@ -145,8 +145,8 @@ def fit(x: np.ndarray, y: np.ndarray, products: np.ndarray, swaps: int, ridge: f
     """Newton steps on log loss + ridge |w|^2 + penalty * rows * w' products w / swaps.
 
     products is the sum over swaps of change' change, so the last term is the mean squared change of score a row.
-
-    Toxic rows weigh the square root of the other rows' number over theirs.
+    Toxic rows weigh the square root of the other rows' number over theirs.  x may be of bytes; only a
+    thousand rows at a time are numbers of eight.
     """
     p = (y.sum() + 0.5) / (len(y) + 1.0)
     w, b = np.zeros(x.shape[1]), float(np.log(p / (1 - p)))
@@ -154,20 +154,27 @@ def fit(x: np.ndarray, y: np.ndarray, products: np.ndarray, swaps: int, ridge: f
         return w, b
     extra = 2 * ridge * np.eye(len(w)) + 2 * penalty * len(y) / max(swaps, 1) * products
     weight = np.where(y > 0, np.sqrt(max(1.0, (len(y) - y.sum()) / y.sum())), 1.0)
-    xb = np.hstack([x, np.ones((len(x), 1))])
     full = np.zeros((len(w) + 1,) * 2)
     full[:-1, :-1] = extra
     v = np.append(w, b)
 
+    def parts():
+        for at in range(0, len(y), 1000):
+            rows = slice(at, at + 1000)
+            part = x[rows].astype(float)
+            yield np.hstack([part, np.ones((len(part), 1))]), y[rows], weight[rows]
+
     def loss(v: np.ndarray) -> float:
-        z = xb @ v
-        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + v @ full @ v / 2)
+        return sum(float((k * (np.logaddexp(0, z := xb @ v) - t * z)).sum()) for xb, t, k in parts()) + float(v @ full @ v / 2)
 
     now = loss(v)
     for _ in range(rounds):
-        q = 1 / (1 + np.exp(-np.clip(xb @ v, -500, 500)))
-        step = np.linalg.solve(xb.T @ (xb * (weight * q * (1 - q))[:, None]) + full + 1e-6 * np.eye(len(v)), xb.T @ (weight * (q - y)) + full @ v)
-        size = 1.0
+        curve, slope = full + 1e-6 * np.eye(len(v)), full @ v
+        for xb, t, k in parts():
+            q = 1 / (1 + np.exp(-np.clip(xb @ v, -500, 500)))
+            curve += xb.T @ (xb * (k * q * (1 - q))[:, None])
+            slope += xb.T @ (k * (q - t))
+        step, size = np.linalg.solve(curve, slope), 1.0
         while size > 1e-4 and loss(v - size * step) > now:
             size /= 2
         v = v - size * step
@@ -189,9 +196,9 @@ def fitted(docs: DataFrame, labels: DataFrame, held: Column, most: int = SAMPLE_
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.int32()))], ["y", "found"])
 
     rows = sorted(((r["y"], list(r["found"])) for r in sample.select("text", "y").mapInArrow(run, "y double, found array<int>").collect()))
-    x, y = np.zeros((len(rows), len(features))), np.array([r[0] for r in rows])
+    x, y = np.zeros((len(rows), len(features)), np.uint8), np.array([r[0] for r in rows])
     for i, (_, found) in enumerate(rows):
-        x[i, found] = 1.0
+        x[i, found] = 1
     return Model(features, *fit(x, y, *swap_products(sample, features, identities), penalty=penalty))
 
 
