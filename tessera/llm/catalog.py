@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_ngram_join": ngram_join.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op10_topk": topk.ORACLE,
 }
