@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Columns that steps add to rows for themselves.
 METADATA = ("row_idx", "reject_reason")
-# Words of a column's name that make its numbers labels.
+#: Words of a column's name that make its numbers labels.
 LABEL_WORDS = frozenset("category class code flag gender group id identifier index key label level number rank sex state status tag type year zip".split())
 
 
