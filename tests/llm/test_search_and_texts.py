@@ -172,7 +172,8 @@ def test_fingerprints_as_brute_force(spark):
 
 def located(spark, before, after):
     df = spark.createDataFrame([(before, after)], "x string, y string")
-    row = df.select(fingerprint.edits(fingerprint.tree(F.col("x")), fingerprint.tree(F.col("y"))).alias("e")).first()
+    trees = df.select(fingerprint.tree(F.col("x")).alias("a"), fingerprint.tree(F.col("y")).alias("b"))
+    row = trees.select(fingerprint.edits(F.col("a"), F.col("b")).alias("e")).first()
     return [tuple(e) for e in row["e"]]
 
 
