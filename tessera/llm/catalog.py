@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, mixing, ngram_join, packing, quality, separators, token_files, topk, toxicity
+from . import fingerprint, language, mixing, ngram_join, packing, quality, separators, token_files, topk, toxicity, vector_codes
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_topk": topk.op10_topk,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
 }
 
 ORACLES = {
     "op5_ngram_join": ngram_join.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op10_topk": topk.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
 }
