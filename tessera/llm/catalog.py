@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, mixing, ngram_join, packing, quality, separators, token_files, topk, toxicity, vector_codes
+from . import divergence, fingerprint, language, mixing, ngram_join, packing, quality, separators, token_files, topk, toxicity, vector_codes
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_topk": topk.op10_topk,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_source_divergence": divergence.op12_source_divergence,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op7_mixing": mixing.ORACLE,
     "op10_topk": topk.ORACLE,
     "op11_vector_codes": vector_codes.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
 }
