@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, fingerprint, language, mixing, ngram_join, packing, quality, separators, token_files, topk, toxicity, vector_codes
+from . import divergence, fingerprint, katz, language, mixing, ngram_join, packing, quality, separators, token_files, topk, toxicity, vector_codes
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_topk": topk.op10_topk,
     "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_katz_scores": katz.op13_katz_scores,
 }
 
 ORACLES = {
