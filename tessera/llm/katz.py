@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ ORDER = 2
 #: Good-Turing discounts counts up to this.
 RARE = 5
 #: Tokens of a block; n-grams that a bucket is asked for, about.
-BLOCK_TOKENS, BUCKET_ENTRIES = 2_000_000, 2_000_000
+BLOCK_TOKENS, BUCKET_ENTRIES = 1_500_000, 2_000_000
 #: A history is dealt over one salt more for so many of its occurrences, in powers of two.
 HOT = 1 << 20
 
@@ -388,10 +389,17 @@ def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted_ngrams(asks: DataFrame, below: Level, k: int, deal: Deal) -> DataFrame:
-    """Rows of kind 'model' (history, word, number, count), 'answer' for blocks, and 'part' with what salts of a history have."""
+    """Rows of kind 'model' (history, word, number, count), 'answer' for blocks, and 'part' with what salts of a history have.
+
+    Wants stand in a history's home and pass as they are.
+    """
 
     def count(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
+        wants = [("want", k, b, r["block"], r["data"], None) for r in table.filter(pc.equal(table.column("kind"), "want")).select(["block", "data"]).to_pylist()]
+        table = table.filter(pc.equal(table.column("kind"), "ask"))
+        if not table.num_rows:
+            return _rows(wants)
         parts = [unpacked(x) for x in table.column("data").to_pylist()]
         h, size, total, base, without, w, low, train = (np.concatenate(c) for c in zip(*parts))
         context = np.repeat(np.arange(len(h)), size)
@@ -418,9 +426,9 @@ def counted_ngrams(asks: DataFrame, below: Level, k: int, deal: Deal) -> DataFra
         for to in np.unique(at).tolist():
             x = hot[at == to]
             rows.append(("part", k, to, None, packed(h[found[x]], *[r[x] for r in rare], lower[x]), None))
-        return _rows(rows)
+        return _rows(rows + wants)
 
-    return asks.select("bucket", "block", "data").groupBy("bucket").applyInArrow(count, _ROWS)
+    return asks.select("kind", "bucket", "block", "data").groupBy("bucket").applyInArrow(count, _ROWS)
 
 
 def added_up(parts: DataFrame, wants: DataFrame) -> DataFrame:
@@ -489,13 +497,13 @@ def fitted(docs: DataFrame, held, order: int = ORDER, block_tokens: int = BLOCK_
     levels, answers = [Level(np.zeros(RARE + 1))], None
     for k in range(1, order + 1):
         if k > 1:
-            asks = _kinds(asked(blocks, answers, levels, k, deal), f"{root}/asks={k}")
-        made = counted_words(asks, buckets) if k == 1 else counted_ngrams(asks.filter("kind = 'ask'"), levels[k - 1], k, deal)
+            asks = asked(blocks, answers, levels, k, deal)
+        made = counted_words(asks, buckets) if k == 1 else counted_ngrams(asks, levels[k - 1], k, deal)
         made = _kinds(made, f"{root}/order={k}")
         levels.append(_level(made.filter("kind = 'model'")))
         new = made.filter("kind = 'answer'")
         if k > 1:
-            new = new.unionByName(written(added_up(made.filter("kind = 'part'"), asks.filter("kind = 'want'")), "katz-hot"))
+            new = new.unionByName(written(added_up(made.filter("kind = 'part'"), made.filter("kind = 'want'")), "katz-hot"))
         new = new.select("block", "level", "kind", "bucket", "data")
         answers = new if answers is None else answers.unionByName(new)
     return Model(root, order, deal, levels, blocks, answers)
