@@ -37,7 +37,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of each group of near duplicates one row: the one with the smallest id, then the smallest hash; ids come before null.
 
     Rows that share a doc_id are rows of their own, and stay where their texts are not alike.  Texts without
-    words are alike to nothing; of rows with the same id and text one stays.
+    words are alike to nothing; of rows with the same id and text the one stays whose other columns are first as JSON.
     """
     rows = ngram_join.grouped(docs)
     alone = rows.filter("component IS NULL").select("doc_id", "key")
@@ -47,7 +47,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     # other columns travel inside one struct, so none of their names can clash
     named = docs.select(F.struct(*docs.columns).alias("row"), ngram_join.row_key(docs).alias("key"), F.col("doc_id").alias("id"))
     kept = named.join(first, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_doc_id")), "left_semi")
-    return kept.groupBy("key", "id").agg(F.first("row").alias("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    others = [F.col("row").getField(c) for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.array(*[o.cast("string") for o in others])) if others else F.lit(0)
+    return kept.groupBy("key", "id").agg(F.min_by("row", order).alias("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
