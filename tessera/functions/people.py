@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import picked
+from .text import key_number, picked
 
 FEMALE = ["Alba", "Birgit", "Chloe", "Dalia", "Elena", "Freya", "Greta", "Hanna", "Ines", "Julia", "Kira", "Lena", "Mona", "Nora", "Olga", "Petra"]
 MALE = ["Anton", "Boris", "Carlos", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Luis", "Marco", "Nils", "Oscar", "Paul"]
@@ -31,7 +31,7 @@ def country_code(name: Column) -> Column:
 def persona(row: Column, seed: int = 0, email_format: str = "first.last", domain: str = "all_persons") -> Column:
     """struct<gender, first_name, last_name, name, email> of a row, all of one person."""
     key = lambda what: (F.lit(seed), F.lit(what), row)
-    female = F.pmod(F.xxhash64(*key("gender")), F.lit(2)) == 0
+    female = F.pmod(key_number(*key("gender")), F.lit(2)) == 0
     first = F.when(female, picked(FEMALE, *key("first"))).otherwise(picked(MALE, *key("first")))
     last = picked(LAST, *key("last"))
     user = {"first.last": F.concat(first, F.lit("."), last), "firstlast": F.concat(first, last), "flast": F.concat(F.substring(first, 1, 1), last), "first_last": F.concat(first, F.lit("_"), last)}[email_format]
@@ -43,17 +43,17 @@ def digits(pattern: str, *key) -> Column:
     """The pattern with each # as a digit and each ? as a lower-case letter, chosen by hash of the key."""
     out = []
     for i, c in enumerate(pattern):
-        h = F.xxhash64(F.lit(i), *key)
+        h = key_number(i, *key)
         out.append(F.pmod(h, F.lit(10)).cast("string") if c == "#" else F.char((F.pmod(h, F.lit(26)) + 97).cast("int")) if c == "?" else F.lit(c))
     return F.concat(*out)
 
 
 def fake(kind: str, *key) -> Column:
     """A stand-in of a kind (name, email, street_address, city, postcode, phone_number, ssn, credit_card, itin) by key."""
-    person = persona(F.xxhash64(*key))
+    person = persona(key_number(*key))
     return {
         "first_name": person["first_name"], "last_name": person["last_name"], "name": person["name"], "email": person["email"],
-        "street_address": F.concat(F.pmod(F.xxhash64(F.lit("no"), *key), F.lit(900)) + 1, F.lit(" "), picked(STREETS, F.lit("street"), *key)), "city": picked(CITIES, F.lit("city"), *key),
+        "street_address": F.concat(F.pmod(key_number("no", *key), F.lit(900)) + 1, F.lit(" "), picked(STREETS, F.lit("street"), *key)), "city": picked(CITIES, F.lit("city"), *key),
         "postcode": digits("#####", F.lit("zip"), *key), "phone_number": digits("###-###-####", F.lit("tel"), *key), "fax_number": digits("###-###-####", F.lit("fax"), *key), "ssn": digits("###-##-####", F.lit("ssn"), *key),
         "itin": F.concat(F.lit("9"), digits("##-7#-####", F.lit("itin"), *key)), "credit_card": digits("4###############", F.lit("card"), *key),
     }[kind]

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import ParameterError
+from .letters import ascii_of
 
 #: Marks that end a sentence in several scripts.
 SENTENCE_ENDS = r"[.!?。！？؟।]+"
@@ -32,10 +33,15 @@ def partial_mask(value: Column, left: int, mask: str, right: int, tolerance: int
 
 
 def normalized(value: Column, allow: str = "") -> Column:
-    """Latin letters without their marks; then only word characters and the allowed ones stay."""
-    plain = F.regexp_replace(F.translate(value, "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÇçÑñÝýÿŠšŽž", "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOOooooooUUUUuuuuCcNnYyySsZz"), "ß", "ss")
+    """Letters in ASCII (letters.ascii_of()); of these only word characters and the allowed ones stay."""
     kept = "".join("\\" + c for c in allow)
-    return F.regexp_replace(plain, f"[^\\w{kept}]", "")
+    return F.regexp_replace(ascii_of(value), f"[^\\w{kept}]", "")
+
+
+def scrubbed(value: Column) -> Column:
+    """Bytes as text without those that are no UTF-8; a string stays as it is."""
+    text = F.make_valid_utf8(value.cast("string"))
+    return F.when(F.is_valid_utf8(value.cast("string")), text).otherwise(F.replace(text, F.lit("\ufffd"), F.lit("")))
 
 
 def top_level_domain(country: Column) -> Column:
@@ -69,6 +75,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
+def key_number(*key) -> Column:
+    """A number from 0 to 2^60 of a key, equal for equal keys on every engine: the first 15 digits of an MD5."""
+    parts = [k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in key]
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 15), 16, 10).cast("long")
+
+
 def picked(items: list[str], *key) -> Column:
-    """One of the items by a hash of the key: equal keys give equal picks."""
-    return F.element_at(F.array(*map(F.lit, items)), (F.pmod(F.xxhash64(*key), F.lit(len(items))) + 1).cast("int"))
+    """One of the items by its key's number: equal keys give equal picks."""
+    return F.element_at(F.array(*map(F.lit, items)), (F.pmod(key_number(*key), F.lit(len(items))) + 1).cast("int"))

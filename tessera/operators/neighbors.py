@@ -1,7 +1,9 @@
-"""Exact nearest neighbours in blocks, the two-sample test, and privacy attacks.
+"""Exact nearest neighbours by cells around pivots, the two-sample test, and privacy attacks.
 
-Searches deal both sides over blocks of bounded size and score pairs of blocks with one matrix product;
-only the k best of each query and block leave a task.
+A search deals the base's distinct vectors to the cell of their nearest pivot, and sends a query to its nearest
+cells first.  Its k-th distance there bounds what can still win: by the triangle inequality a cell whose nearest
+possible vector is farther is never visited.  Vectors that many rows share are searched once, with as many of
+their smallest keys as can be among the k best.
 """
 
 from __future__ import annotations
@@ -14,46 +16,161 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import attack_grade
+from ..sources.shared import kept
+from .ordered import numbered
 
-QUERY_BLOCK, BASE_BLOCK = 512, 8192
+#: Distinct vectors of a cell, about; cells, at most, and numbers in all pivots, as these go to every task.
+CELL, MOST_CELLS, MOST_PIVOT_NUMBERS = 2048, 4096, 1 << 22
+#: Most visits of a cell that one task answers, about; a cell with more of them is copied.
+VISITS = 1 << 16
+#: Numbers of one tile of distances.
+TILE = 1 << 22
 
 
-def _blocks(df: DataFrame, key: str, vector: str, per_block: int, name: str) -> tuple[DataFrame, int]:
-    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.transform(vector, lambda x: x.cast("float")).alias("v"))
-    blocks = max(1, -(-rows.count() // per_block))
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    packed = dealt.groupBy(name).agg(F.collect_list(F.struct("key", "v")).alias("rows"))
-    return packed.select(name, F.col("rows.key").alias(f"{name}_keys"), F.flatten("rows.v").alias(f"{name}_flat")), blocks
+def _points(df: DataFrame, key: str, vector: str, metric: str, side: int) -> DataFrame:
+    """key and v: vectors as doubles; for cosine of length 1, with two numbers more that tell zero vectors of either side."""
+    x = F.transform(vector, lambda c: c.cast("float").cast("double"))
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), x.alias("v"))
+    if metric != "cosine":
+        return rows
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
+    flat = [(F.col("_n") == 0).cast("double") if side == s else F.lit(0.0) for s in (0, 1)]
+    return rows.withColumn("_n", norm).select("key", F.concat(F.transform("v", lambda c: F.when(F.col("_n") == 0, 0.0).otherwise(c / F.col("_n"))), F.array(*flat)).alias("v"))
+
+
+def _matrix(column) -> np.ndarray:
+    n = len(column)
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
+
+
+def _vectors(arrays: np.ndarray) -> pa.Array:
+    n, d = arrays.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * d, pa.int32()), pa.array(arrays.ravel()))
+
+
+def _ragged(values: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of rows, value): the values of the lists at rows, one after the other."""
+    starts, n = np.cumsum(sizes) - sizes, sizes[rows]
+    of = np.repeat(np.arange(len(rows)), n)
+    return of, values[np.repeat(starts[rows], n) + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)]
+
+
+def best_of_tile(x: np.ndarray, keys: np.ndarray, sizes: np.ndarray, y: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of y, key, squared distance) of the k best for each row of y, ties to the smaller key.
+
+    A partition by distance finds what can be among them; only that is measured exactly and ordered.
+    """
+    step = max(1, TILE // max(len(x), 1))
+    for at in range(0, len(y), step):
+        q = y[at : at + step]
+        cost = _squares(q, x)
+        kth = min(k, len(x)) - 1
+        limit = np.partition(cost, kth, axis=1)[:, kth]
+        limit = limit + 1e-9 * ((q * q).sum(1) + limit) + 1e-12
+        r, c = np.nonzero(cost <= limit[:, None])
+        exact = ((q[r] - x[c]) ** 2).sum(1)
+        of, key = _ragged(keys, sizes, c)
+        r, exact = r[of], exact[of]
+        order = np.lexsort((key, exact, r))
+        r = r[order]
+        first = np.searchsorted(r, r)
+        keep = np.arange(len(r)) - first < k
+        yield r[keep] + at, key[order][keep], exact[order][keep]
 
 
 def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, metric: str = "l2", skip_self: bool = False) -> DataFrame:
-    """query_id, rank, key, distance (l2) or similarity (cosine) of the k best; ties by key."""
-    b, _ = _blocks(base, key, vector, BASE_BLOCK, "base")
-    q, n = _blocks(queries, key, vector, QUERY_BLOCK, "query")
-    pairs = b.withColumn("query", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(q, "query")
+    """query_id, rank, key, distance (l2) or similarity (cosine) of the k best; ties by key.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Rows without a vector take no part.  The driver gets pivots, and a size and a radius for each.
+    """
+    most = k + skip_self
+    few = Window.partitionBy("v").orderBy("key")
+    points = _points(base, key, vector, metric, 0).withColumn("_no", F.row_number().over(few)).filter(F.col("_no") <= most)
+    points = kept(points.groupBy("v").agg(F.sort_array(F.collect_list("key")).alias("keys")), "points")
+    asking = _points(queries, key, vector, metric, 1)
+    n, dims = points.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    cells = max(1, min(n // CELL, MOST_CELLS, MOST_PIVOT_NUMBERS // max(dims or 1, 1)))
+    pivots = np.array([r["v"] for r in points.orderBy(F.xxhash64("v"), "v").limit(cells).select("v").collect()], dtype=np.float64).reshape(-1, dims or 0)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                col = lambda name, row=row, batch=batch: batch.column(name).slice(row, 1).flatten().to_numpy(zero_copy_only=False)
-                bk, qk = col("base_keys"), col("query_keys")
-                x, y = col("base_flat").reshape(len(bk), -1).astype(np.float64), col("query_flat").reshape(len(qk), -1).astype(np.float64)
-                if metric == "cosine":
-                    unit = lambda m: m / np.where((s := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, s)
-                    cost = -(unit(y) @ unit(x).T)
-                else:
-                    cost = np.maximum((y * y).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * y @ x.T, 0)
-                if skip_self:
-                    cost[qk[:, None] == bk[None]] = np.inf
-                order = np.lexsort((np.broadcast_to(bk, cost.shape), cost), axis=1)[:, :k]
-                best = np.take_along_axis(cost, order, axis=1)
-                keep = np.isfinite(best)
-                value = -best if metric == "cosine" else np.sqrt(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qk, keep.sum(1))), pa.array(bk[order][keep]), pa.array(value[keep])], ["query_id", "key", "value"])
-
-    local = pairs.mapInArrow(run, "query_id long, key long, value double")
-    by = Window.partitionBy("query_id").orderBy(F.desc("value") if metric == "cosine" else F.asc("value"), "key")
-    return local.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "key", F.col("value").alias("similarity" if metric == "cosine" else "distance"))
+            if batch.num_rows:
+                x = _matrix(batch.column("v"))
+                d = _squares(x, pivots)
+                cell = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.sqrt(d.min(1))), batch.column("v"), batch.column("keys")], ["cell", "far", "v", "keys"])
+
+    dealt = points.mapInArrow(assign, "cell int, far double, v array<double>, keys array<long>")
+    if cells > 1:
+        dealt = kept(dealt, "cells")
+    size, radius = np.zeros(max(cells, 1), dtype=np.int64), np.zeros(max(cells, 1))
+    for r in dealt.groupBy("cell").agg(F.sum(F.size("keys")).alias("n"), F.max("far").alias("far")).collect():
+        size[r["cell"]], radius[r["cell"]] = r["n"], r["far"]
+    largest = float(np.sqrt((pivots * pivots).sum(1).max(initial=0)) + radius.max(initial=0))
+
+    def nearest_cells(gap: np.ndarray) -> np.ndarray:
+        """True for the nearest cells of each query that have ``most`` keys together."""
+        order = np.argsort(gap, axis=1, kind="stable")
+        before = np.cumsum(size[order], axis=1) - size[order]
+        first = np.zeros(gap.shape, dtype=bool)
+        np.put_along_axis(first, order, before < most, axis=1)
+        return first & (size > 0)
+
+    def visits(bounded: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    y = _matrix(part.column("v"))
+                    gap = np.sqrt(_squares(y, pivots))
+                    go = nearest_cells(gap)
+                    if bounded:
+                        limit = part.column("limit").to_numpy(zero_copy_only=False)
+                        slack = 1e-6 * (np.sqrt((y * y).sum(1)) + largest)
+                        go = (gap - radius <= (np.nan_to_num(limit, nan=np.inf) + slack)[:, None]) & ~go & (size > 0)
+                    r, c = np.nonzero(go)
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), part.column("key").take(pa.array(r)), _vectors(y[r])], ["cell", "query_id", "v"])
+
+        return run
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            lists = left.column("keys").combine_chunks()
+            x, y, ids = _matrix(left.column("v")), _matrix(right.column("v")), right.column("query_id").to_numpy()
+            for r, found_key, d in best_of_tile(x, lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), y, most):
+                found.append((ids[r], found_key, np.sqrt(d)))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({c: pa.array(v) for c, v in zip(("query_id", "key", "distance"), columns)})
+
+    def search(asked: DataFrame, bounded: bool) -> DataFrame:
+        sent = asked.mapInArrow(visits(bounded), "cell int, query_id long, v array<double>")
+        copies = [1] * max(cells, 1)
+        if cells > 1:
+            sent = kept(sent, "visits")
+        for r in sent.groupBy("cell").count().collect():
+            copies[r["cell"]] = -(-r["count"] // VISITS)
+        n_copies = F.element_at(F.array(*map(F.lit, copies)), F.col("cell") + 1)
+        left = dealt.select("cell", "v", "keys", F.explode(F.sequence(F.lit(0), n_copies - 1)).alias("part"))
+        right = sent.withColumn("part", F.pmod(F.xxhash64("query_id"), n_copies.cast("long")).cast("int"))
+        return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(tile, "query_id long, key long, distance double")
+
+    found = search(asking, False)
+    if cells > 1:
+        found = kept(found, "near")
+        limits = found.groupBy("query_id").agg(F.element_at(F.sort_array(F.collect_list("distance")), most).alias("limit"))
+        found = found.unionByName(search(asking.join(limits, F.col("key") == F.col("query_id"), "left").select("key", "v", "limit"), True))
+    if skip_self:
+        found = found.filter("key <> query_id")
+    by = Window.partitionBy("query_id").orderBy("distance", "key")
+    ranked = found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    value = F.col("distance") if metric != "cosine" else 1 - F.col("distance") * F.col("distance") / 2
+    return ranked.select("query_id", "rank", "key", value.alias("similarity" if metric == "cosine" else "distance"))
 
 
 def ks_one_sided(df: DataFrame, value: str, side: str) -> DataFrame:
@@ -76,17 +193,24 @@ def ks_one_sided(df: DataFrame, value: str, side: str) -> DataFrame:
 
 
 def membership_attacks(distances: DataFrame, run: str, order: Column, member: str, distance: str, thresholds=(0.4, 0.3, 0.2, 0.1), shares=tuple(i / 10 for i in range(2, 11))) -> DataFrame:
-    """run, threshold, share, tp, fp, precision, accuracy, grade of every attack, in one aggregation.
+    """run, threshold, share, tp, fp, precision, accuracy, grade of every attack.
 
     A row is called a member where its distance, scaled by the run's largest, is below the threshold; a
-    share of the rows in order takes part.  Precision and accuracy have one decimal.
+    share of the rows in order (a number) takes part.  Precision and accuracy have one decimal.  Rows are counted once,
+    by how many thresholds they are below and how many shares they are beyond; the attacks add those counts up.
     """
-    by_run = Window.partitionBy(run)
-    rows = distances.withColumns({"_no": F.row_number().over(by_run.orderBy(order)), "_n": F.count(F.lit(1)).over(by_run), "_d": F.col(distance) / F.max(distance).over(by_run)})
-    combos = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(s).alias("share")) for t in thresholds for s in shares])
-    grid = rows.withColumn("combo", F.explode(combos)).select(run, member, "_d", "_no", "_n", "combo.*").filter(F.col("_no") <= F.floor(F.col("share") * F.col("_n")))
-    called, real = F.col("_d") < F.col("threshold"), F.col(member)
-    sums = grid.groupBy(run, "threshold", "share").agg(F.count_if(called & real).alias("tp"), F.count_if(called & ~real).alias("fp"), F.count_if(~called & ~real).alias("tn"), F.count(F.lit(1)).alias("n"))
+    runs = distances.groupBy(run).agg(F.count(F.lit(1)).alias("_n"), F.nullif(F.max(distance), F.lit(0.0)).alias("_most"))
+    rows = numbered(distances.withColumn("_order", order), [run], ["_order"], F.col("_order").cast("double"), "_no").join(runs, run)
+    scaled = F.coalesce(F.col(distance) / F.col("_most"), F.lit(0.0))
+    below = sum(((scaled < t).cast("int") for t in thresholds), F.lit(0))
+    beyond = sum(((F.col("_no") >= F.floor(F.lit(s) * F.col("_n"))).cast("int") for s in shares), F.lit(0))
+    counts = rows.groupBy(run, below.alias("_below"), beyond.alias("_beyond"), F.col(member).alias("_real")).agg(F.count(F.lit(1)).alias("_c"))
+    # a row that is below m thresholds is below the m largest; one that is beyond m shares is beyond the m smallest
+    combos = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(s).alias("share"), F.lit(sum(u > t for u in thresholds)).alias("_larger"), F.lit(sum(u < s for u in shares)).alias("_smaller")) for t in thresholds for s in shares])
+    grid = counts.withColumn("combo", F.explode(combos)).select(run, "_below", "_beyond", "_real", "_c", "combo.*").filter(F.col("_beyond") <= F.col("_smaller"))
+    called, real = F.col("_below") > F.col("_larger"), F.col("_real")
+    total = lambda fits: F.coalesce(F.sum(F.when(fits, F.col("_c"))), F.lit(0))
+    sums = grid.groupBy(run, "threshold", "share").agg(total(called & real).alias("tp"), total(called & ~real).alias("fp"), total(~called & ~real).alias("tn"), F.sum("_c").alias("n"))
     precision = F.bround(F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)), 1)
     accuracy = F.bround((F.col("tp") + F.col("tn")) / F.col("n"), 1)
     return sums.withColumns({"precision": precision, "accuracy": accuracy}).withColumn("grade", attack_grade(F.col("precision"), F.col("accuracy"))).drop("tn", "n")

@@ -8,6 +8,7 @@ after that (merging, replacing, counting) is built from array functions.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterable
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .recognizers import HIGH, LOW, MEDIUM, RECOGNIZERS, Recognizer, address, luhn, mod97, selected
+from .timings import Timings, moments
 
 __all__ = ["HIGH", "LOW", "MEDIUM", "RECOGNIZERS", "Recognizer", "address", "luhn", "mod97", "selected"]
 
@@ -38,15 +40,22 @@ def _near(text: str, start: int, end: int, window: int) -> str:
     return text[low:high].casefold()
 
 
-def spans(column: str, recognizers: tuple[Recognizer, ...] = RECOGNIZERS, least: float = LOW, window: int = 16) -> Column:
-    """array<struct<start, end, label, text, score>> of the stripped value; empty where nothing is found, null for null."""
+def spans(column: str, recognizers: tuple[Recognizer, ...] = RECOGNIZERS, least: float = LOW, window: int = 16, timings: Timings | None = None) -> Column:
+    """array<struct<start, end, label, text, score>> of the stripped value; empty where nothing is found, null for null.
+
+    timings, if given, gets the seconds of each search of a text, by label.
+    """
     plan = [(r, re.compile(r.pattern), r.names(column)) for r in recognizers if r.applies(column)]
     value = stripped(F.col(column))
     if not plan:
         return F.when(value.isNotNull(), F.array().cast(SPANS))
 
+    sums = timings.sums if timings is not None else None
+
     @F.pandas_udf(SPANS)
     def find(values: pd.Series, fits: pd.Series) -> pd.Series:
+        taken: dict[str, list[float]] = {}
+
         def one(text, bits):
             if text is None:
                 return None
@@ -54,6 +63,7 @@ def spans(column: str, recognizers: tuple[Recognizer, ...] = RECOGNIZERS, least:
             for i, (r, pattern, named) in enumerate(plan):
                 if not bits >> i & 1:
                     continue
+                began = time.perf_counter() if sums is not None else 0.0
                 matches = pattern.finditer(text) if not r.whole else filter(None, [pattern.fullmatch(text)])
                 for m in matches:
                     if r.valid and not r.valid(m.group()):
@@ -64,9 +74,14 @@ def spans(column: str, recognizers: tuple[Recognizer, ...] = RECOGNIZERS, least:
                     score, key = r.context_score if told else r.score, (*m.span(), r.label)
                     if score >= least and score > found.get(key, (0.0,))[0]:
                         found[key] = (score, m.group())
+                if sums is not None:
+                    taken.setdefault(r.label, []).append(time.perf_counter() - began)
             return [(s, e, label, t, score) for (s, e, label), (score, t) in sorted(found.items())]
 
-        return pd.Series([one(t, b) for t, b in zip(values, fits)], index=values.index, dtype=object)
+        out = pd.Series([one(t, b) for t, b in zip(values, fits)], index=values.index, dtype=object)
+        if taken:
+            sums.add({label: moments(seconds) for label, seconds in taken.items()})
+        return out
 
     def fits(r: Recognizer, named: bool) -> Column:
         hit = value.rlike(r.hint) if r.hint else F.lit(True)

@@ -13,16 +13,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .encoding import quantiles
 from .joins import replayed
 from .neighbors import attack_score, membership_attacks, nearest
 from .ordered import numbered
 from .split import column_sets, sample_rows
 
-#: Test rows that take part where both text and other columns count, and the runs of attacks.
-MOST_TEST, RUNS = 5000, 10
-#: Rows under attack, at most and with texts.
-MOST_ATTACKED, MOST_ATTACKED_TEXTS = 200, 100
+#: Runs of membership attacks.
+RUNS = 10
+#: Rows that the attribute attack goes for unless another number is stated.
+ATTACKED = 200
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -56,20 +57,21 @@ def _place(x: Column, cuts: list[float]) -> Column:
     return F.when(x.isNull(), 0.5).when(at == 0, 0.0).when(at >= n, 1.0).otherwise(inside)
 
 
-def membership_inference(train: DataFrame, output: DataFrame, test: DataFrame, key: str, columns: list[str], text: str | None = None, runs: int = RUNS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def membership_inference(train: DataFrame, output: DataFrame, test: DataFrame, key: str, columns: list[str], text: str | None = None, runs: int = RUNS, seed: int = 1, most_test: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(attacks, score): 4 thresholds times 9 shares times ``runs`` attacks, each graded.
 
     In run r an attacker sees the r-th block of training rows and all test rows, and calls those members that are
     near the output.  Rows in a run are shuffled by hash.  text names a vector column whose cosine distance is
     added to the other columns' distance, each scaled by its largest and weighted by its number of columns.
+    All test rows take part, unless most_test, which is off, says how many by hash of the key.
     """
+    if most_test is not None:
+        test = sample_rows(test, most_test, key, seed)
     size = test.count()
-    if text and columns and size > MOST_TEST:
-        test, size = sample_rows(test, MOST_TEST, key, seed), MOST_TEST
-    members = sample_rows(train, runs * size, key, seed)
-    ranked = members.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
-    # sample_rows bounds the rows that are ranked: runs * size, a stated multiple of the test table
-    blocks = ranked.select(key, (F.floor((F.row_number().over(Window.orderBy("_h", key)) - 1) / max(size, 1))).cast("int").alias("run"))
+    members = kept(sample_rows(train, runs * size, key, seed), "members")
+    ranked = members.select(key, F.xxhash64(F.lit(seed), F.col(key)).alias("_h"))
+    ranked = numbered(ranked, [], ["_h", key], F.shiftright("_h", 16).cast("double"), "_no")
+    blocks = ranked.select(key, F.floor(F.col("_no") / max(size, 1)).cast("int").alias("run"))
     attacked = members.select(key, *columns, *([text] if text else [])).withColumn("member", F.lit(True)).unionByName(test.select(key, *columns, *([text] if text else [])).withColumn("member", F.lit(False)))
     attacked = attacked.withColumn("_row", F.xxhash64("member", key))
     out = output.select(F.xxhash64(F.lit(2), F.col(key)).alias("_row"), *columns, *([text] if text else []))
@@ -83,10 +85,11 @@ def membership_inference(train: DataFrame, output: DataFrame, test: DataFrame, k
     rows = attacked.select(key, "member", "_row")
     for d, _ in found:
         rows = rows.join(d, "_row")
+    rows = kept(rows, "nearest")
     largest = rows.agg(*[F.max(f"d{i}").alias(f"d{i}") for i in range(len(found))]).first()
     weights = sum(w for _, w in found)
     distance = sum((F.col(f"d{i}") / F.lit(largest[f"d{i}"] or 1.0) * F.lit(w / weights) for i, (_, w) in enumerate(found)), F.lit(0.0))
-    rows = rows.select(key, "member", distance.alias("distance"))
+    rows = kept(rows.select(key, "member", distance.alias("distance")), "distances")
     inside = rows.filter("member").join(blocks, key)
     outside = rows.filter("NOT member").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     every = inside.select("run", key, "member", "distance").unionByName(outside.select("run", key, "member", "distance"))
@@ -94,20 +97,20 @@ def membership_inference(train: DataFrame, output: DataFrame, test: DataFrame, k
     return attacks, attack_score(attacks)
 
 
-def attribute_inference(train: DataFrame, output: DataFrame, key: str, columns: list[str], known: int = 3, k: int = 5, attacked: int | None = None, seed: int = 5) -> tuple[DataFrame, DataFrame]:
+def attribute_inference(train: DataFrame, output: DataFrame, key: str, columns: list[str], known: int = 3, k: int = 5, attacked: int = ATTACKED, seed: int = 5) -> tuple[DataFrame, DataFrame]:
     """(guesses, score): of each attacked row some columns are known, others are guessed from its k nearest output rows.
 
-    Every attacked row has a set of known columns of its own.  The attacked rows are a stated, bounded number, and they
-    are held against all output rows; only the k nearest of each leave a task.  A number is guessed by the
-    mean and right within one per cent, anything else by the mode.  guesses: column, n, accuracy, entropy.
+    Every attacked row has a set of known columns of its own.  ``attacked`` states how many rows, by hash of the key, are under
+    attack; they are held against all output rows, and only the k nearest of each leave a task.  A number is guessed by the
+    mean and right within one per cent, anything else by the mode.  guesses: column, n, accuracy, entropy; score has
+    the number of rows that were attacked beside it.
     """
     kinds = dict(train.dtypes)
-    n = attacked if attacked is not None else min(MOST_ATTACKED, max(1, train.count() // 100))
-    chosen = sample_rows(train, n, key, seed)
-    sets = column_sets(columns, known, n, seed)
+    chosen = kept(sample_rows(train, attacked, key, seed), "attacked")
+    sets = column_sets(columns, known, attacked, seed)
     fit = encoded_facts(output, columns)
     v = encoded_by_facts(columns, kinds, fit)
-    targets = chosen.select(key, v.alias("v"), *columns).collect()  # n rows, at most MOST_ATTACKED by default
+    targets = chosen.select(key, v.alias("v"), *columns).collect()  # as many as ``attacked`` states
     masks = np.array([[float(c in sets[i % len(sets)]) for c in columns] for i in range(len(targets))])
     points = np.array([r["v"] for r in targets], dtype=float).reshape(-1, len(columns))
     nominal = np.array([kinds[c] not in NUMBERS for c in columns])
@@ -120,7 +123,8 @@ def attribute_inference(train: DataFrame, output: DataFrame, key: str, columns:
             for i in range(len(points)):
                 gap = np.where(nominal, (x != points[i]).astype(float), (x - points[i]) ** 2)
                 d = gap @ masks[i]
-                order = np.lexsort((ids, d))[:k]
+                order = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                order = order[np.lexsort((ids[order], d[order]))][:k]
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(order), pa.int32()), pa.array(ids[order]), pa.array(d[order])], ["at", "id", "d"])
 
     rows = output.select(F.col(key).cast("long").alias("id"), v.alias("v"))
@@ -138,7 +142,7 @@ def attribute_inference(train: DataFrame, output: DataFrame, key: str, columns:
     guesses = cells.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("right").cast("double")).alias("accuracy")).join(entropy, "column")
     # columns with much to tell weigh more; from an accuracy of 0.7 on there is no protection
     mean = F.sum(F.col("accuracy") * F.col("entropy")) / F.nullif(F.sum("entropy"), F.lit(0.0))
-    score = guesses.agg(F.coalesce(mean, F.lit(0.0)).alias("accuracy")).withColumn("score", F.bround(10 * (1 - F.least(F.col("accuracy"), F.lit(0.7)) / 0.7), 1))
+    score = guesses.agg(F.coalesce(mean, F.lit(0.0)).alias("accuracy")).withColumns({"score": F.bround(10 * (1 - F.least(F.col("accuracy"), F.lit(0.7)) / 0.7), 1), "attacked": F.lit(len(targets))})
     return guesses, score
 
 

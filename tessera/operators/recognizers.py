@@ -42,16 +42,19 @@ class Recognizer:
     context_only: bool = False
     whole: bool = False
     hint: str = ""
+    #: patterns for a column's name in lower case, beside the words
+    header_patterns: tuple[str, ...] = ()
+    against_patterns: tuple[str, ...] = ()
     valid: Callable[[str], bool] | None = field(default=None, compare=False)
 
     def names(self, column: str) -> bool:
         """Whether the column's name speaks for the label; several words of a header stand one after the other."""
         tokens = f" {' '.join(header_tokens(column))} "
-        return any(f" {h} " in tokens for h in self.header)
+        return any(f" {h} " in tokens for h in self.header) or any(re.search(p, column.casefold()) for p in self.header_patterns)
 
     def applies(self, column: str) -> bool:
         tokens = f" {' '.join(header_tokens(column))} "
-        if any(f" {h} " in tokens for h in self.against):
+        if any(f" {h} " in tokens for h in self.against) or any(re.search(p, column.casefold()) for p in self.against_patterns):
             return False
         return not self.context_only or bool(self.context) or self.names(column)
 
@@ -179,8 +182,8 @@ RECOGNIZERS = (
     Recognizer("sha256", r"[0-9a-zA-Z]{64}", whole=True, hint=r"[0-9a-zA-Z]{64}", valid=letters_and_digits),
     Recognizer("sha512", r"[0-9a-zA-Z]{128}", whole=True, hint=r"[0-9a-zA-Z]{128}", valid=letters_and_digits),
     Recognizer("zip_code", r"(?<!\d)\d{5}(?:-\d{4})?(?!\d)", LOW, header=("zip", "zipcode", "postcode", "postal"), context=("zip", "postal"), context_only=True, hint=r"\d{5}"),
-    Recognizer("latitude", r"(?<![\d.])[-+]?\d{1,2}\.\d{2,}(?![\d.])", LOW, header=("lat", "latitude", "geo", "gis"), against=("latency",), context_only=True, hint=r"\d\.\d", valid=degrees(90)),
-    Recognizer("longitude", r"(?<![\d.])[-+]?\d{1,3}\.\d{2,}(?![\d.])", LOW, header=("lon", "lng", "long", "longitude", "geo", "gis"), context_only=True, hint=r"\d\.\d", valid=degrees(180)),
+    Recognizer("latitude", r"(?<![\d.])[-+]?\d{1,2}\.\d{2,}(?![\d.])", LOW, header=("lat", "latitude", "coordinate y"), against=("latency",), context_only=True, hint=r"\d\.\d", valid=degrees(90)),
+    Recognizer("longitude", r"(?<![\d.])[-+]?\d{1,3}\.\d{2,}(?![\d.])", LOW, header=("lon", "lng", "long", "longitude", "coordinate x"), context_only=True, hint=r"\d\.\d", valid=degrees(180)),
     Recognizer("gps", r"(?<![\d.])-?\d{1,3}\.\d{3,}, ?-?\d{1,3}\.\d{3,}(?![\d.])", LOW, header=("gps", "location", "coords"), context_only=True, hint=r"\d\.\d"),
     Recognizer("plus_code", r"[23456789CFGHJMPQRVWX]{8}\+[23456789CFGHJMPQRVWX]{2,3}", whole=True, hint=r"\+"),
     Recognizer("stripe_key", r"\b[rsp]k_live_[0-9a-zA-Z]{24}\b", hint="k_live_"),
@@ -193,9 +196,9 @@ RECOGNIZERS = (
     Recognizer("github_token", r"(?<![0-9a-zA-Z])[0-9a-f]{35,40}(?![0-9a-zA-Z])", MEDIUM, MEDIUM, header=("github", "git"), against=("commit", "hash", "head"), context_only=True, hint="[0-9a-f]{35}", valid=letters_and_digits),
     Recognizer("generic_key", r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]{20,255}(?![A-Za-z0-9_.-])", header=("api key", "apikey", "token", "secret"), context=("api key", "api_key", "api token", "secret"), context_only=True, hint=r"[A-Za-z0-9_.-]{20}", valid=letters_and_digits),
     Recognizer("jwt", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?", hint="eyJ", valid=web_token),
-    Recognizer("gender", r"(?i)non-?binary|trans(?:gender)?|intersex|female|male|[mf]", 1.0, 1.0, header=("gender", "genero", "identity"), context_only=True, whole=True),
-    Recognizer("sex", r"(?i)[mf]", 1.0, 1.0, header=("sex", "sexo", "sexe"), context_only=True, whole=True),
-    Recognizer("sex", r"(?i)female|male", header=("sex", "sexo", "sexe"), whole=True, hint=r"(?i)male"),
+    Recognizer("gender", r"(?i)non-?binary|trans(?:gender)?|intersex|female|male|[mf]", 1.0, 1.0, header=("gender",), context_only=True, whole=True),
+    Recognizer("sex", r"(?i)[mf]", 1.0, 1.0, header=("sex",), context_only=True, whole=True),
+    Recognizer("sex", r"(?i)female|male", header=("sex",), whole=True, hint=r"(?i)male"),
     Recognizer("age", r"\d{1,4}(?:\.\d)?|(?i:adult|teen(?:ager)?|child|infant|senior)", header=("age", "ages"), context_only=True, whole=True, valid=age),
     Recognizer("race", r"(?i)african[ -]american|native american|american indian|pacific islander|native hawaiian|alaska native", hint=r"(?i)american|islander|hawaiian|alaska"),
     Recognizer("race", r"(?i)\b(?:white|black|asian|caucasian)\b", header=("race", "ethnicity"), context_only=True),

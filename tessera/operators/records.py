@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ParameterError
 from ..functions.dates import to_seconds
+from .patterns import records_pattern
 from .timeseries import cascade
 
 #: A record: from a brace to the first brace that ends a line.
@@ -35,42 +36,39 @@ def extracted_groups(text: Column, begin: str, end: str) -> Column:
 
 
 def _json_type(v: Column) -> Column:
-    kind = F.schema_of_variant(v)
+    return _type_name(F.schema_of_variant(v))
+
+
+def _type_name(kind: Column) -> Column:
     return (
         F.when(kind.isNull(), None).when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "string").when(kind == "BIGINT", "integer")
         .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("number")
     )
 
 
-def first_error(raw: Column, schema: dict) -> Column:
-    """struct<message, kind> of the first rule that a record breaks, in the schema's order; null for a valid one.
-
-    Fields that the schema does not declare are accepted.
-    """
-    record = F.try_parse_json(raw)
+def _ladder(record: Column, shape: Column, schema: dict, value, kind) -> Column:
+    """struct<message, kind> of the first broken rule; value and kind give a property's variant and its type's name."""
     error = lambda message, kind: F.struct(F.lit(message).alias("message"), F.lit(kind).alias("kind"))
     required = set(schema.get("required", []))
-    out = F.when(record.isNull(), error("the record is not JSON", "Invalid JSON")).when(~F.schema_of_variant(record).startswith("OBJECT"), error("the record is not an object", "type"))
+    out = F.when(record.isNull(), error("the record is not JSON", "Invalid JSON")).when(~shape.startswith("OBJECT"), error("the record is not an object", "type"))
     for name, rule in schema.get("properties", {}).items():
-        path = f"$['{name}']"
-        v = F.try_variant_get(record, path, "variant")
-        kind = F.coalesce(_json_type(v), F.lit("absent"))
-        there = (kind != "absent")
+        v, is_kind = value(name), F.coalesce(kind(name), F.lit("absent"))
+        there = is_kind != "absent"
         if name in required:
             out = out.when(~there, error(f"{name}: is required", "required"))
         if "enum" in rule:
             allowed = [x if isinstance(x, str) else json.dumps(x) for x in rule["enum"] if x is not None]
-            fits = F.coalesce(F.try_variant_get(record, path, "string").isin(allowed), F.lit(False))
-            fits = fits | (kind == "null") if None in rule["enum"] else fits
+            fits = F.coalesce(F.try_variant_get(v, "$", "string").isin(allowed), F.lit(False))
+            fits = fits | (is_kind == "null") if None in rule["enum"] else fits
             out = out.when(there & ~fits, error(f"{name}: is not one of the values", "enum"))
             continue
         kinds = rule.get("type", [])
         kinds = [kinds] if isinstance(kinds, str) else list(kinds)
         if kinds:
-            fits = kind.isin([*kinds, "integer"] if "number" in kinds else kinds)
+            fits = is_kind.isin([*kinds, "integer"] if "number" in kinds else kinds)
             out = out.when(there & ~fits, error(f"{name}: is not of type {' or '.join(kinds)}", "type"))
-        number, text = F.try_variant_get(record, path, "double"), F.try_variant_get(record, path, "string")
-        numeric, is_text = kind.isin("integer", "number"), kind == "string"
+        number, text = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
+        numeric, is_text = is_kind.isin("integer", "number"), is_kind == "string"
         if {"integer", "number"} & set(kinds):
             out = out.when(numeric & (number.isNull() | (F.abs(number) == float("inf"))), error(f"{name}: is too large", "Float Conversion"))
         for key, broken in (("minimum", lambda x: numeric & (number < x)), ("maximum", lambda x: numeric & (number > x)), ("minLength", lambda x: is_text & (F.length(text) < x)), ("maxLength", lambda x: is_text & (F.length(text) > x))):
@@ -79,9 +77,30 @@ def first_error(raw: Column, schema: dict) -> Column:
     return out
 
 
+def first_error(raw: Column, schema: dict) -> Column:
+    """struct<message, kind> of the first rule that a record breaks, in the schema's order; null for a valid one.
+
+    Fields that the schema does not declare are accepted.  As one expression it parses the record for every rule; validated()
+    parses it once.
+    """
+    record = F.try_parse_json(raw)
+    value = lambda name: F.try_variant_get(record, f"$['{name}']", "variant")
+    return _ladder(record, F.schema_of_variant(record), schema, value, lambda name: _json_type(value(name)))
+
+
 def validated(df: DataFrame, raw: str, schema: dict) -> DataFrame:
-    """df with error_message, error_kind and is_valid of a column of records."""
-    return df.withColumn("_e", first_error(F.col(raw), schema)).withColumns({"error_message": F.col("_e")["message"], "error_kind": F.col("_e")["kind"], "is_valid": F.col("_e").isNull()}).drop("_e")
+    """df with error_message, error_kind and is_valid of a column of records.
+
+    The record is parsed in a projection of its own, each property taken out in the next, and its type in one more.
+    """
+    names = list(schema.get("properties", {}))
+    step = df.withColumn("_record", F.try_parse_json(raw))
+    step = step.withColumns({"_shape": F.schema_of_variant("_record"), **{f"_v{i}": F.try_variant_get("_record", f"$['{n}']", "variant") for i, n in enumerate(names)}})
+    step = step.withColumns({f"_s{i}": F.schema_of_variant(f"_v{i}") for i in range(len(names))})
+    at = {n: i for i, n in enumerate(names)}
+    error = _ladder(F.col("_record"), F.col("_shape"), schema, lambda n: F.col(f"_v{at[n]}"), lambda n: _type_name(F.col(f"_s{at[n]}")))
+    found = step.withColumn("_e", error)
+    return found.select(*df.columns, F.col("_e")["message"].alias("error_message"), F.col("_e")["kind"].alias("error_kind"), F.col("_e").isNull().alias("is_valid"))
 
 
 def responses(df: DataFrame, key: str, text: str, schema: dict) -> DataFrame:
@@ -131,10 +150,13 @@ def timed_responses(df: DataFrame, key: str, text: str, schema: dict, timestamp:
 def error_statistics(errors: DataFrame, message: str, kind: str) -> DataFrame:
     """message, n, share: the most frequent messages, and every one of the data's configuration."""
     counts = errors.groupBy(message, kind).agg(F.count(F.lit(1)).alias("n"))
-    total = F.broadcast(counts.agg(F.sum("n").alias("total")))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), message))
-    out = counts.join(total).withColumn("share", F.col("n") / F.col("total")).withColumn("rank", rank)
-    return out.filter((F.col("rank") <= SHOWN) | (F.col(kind) == "data_config")).select(message, kind, "n", "share")
+    # one row; and at most SHOWN rows, which no task has to sort all messages for
+    total = F.broadcast(counts.agg(F.sum("n").alias("_total")))
+    top = counts.orderBy(F.desc("n"), message, kind).limit(SHOWN)
+    named = top.select(F.col(message).alias("_m"), F.col(kind).alias("_k"))
+    same = F.col(message).eqNullSafe(F.col("_m")) & F.col(kind).eqNullSafe(F.col("_k"))
+    rest = counts.filter(F.col(kind) == "data_config").join(F.broadcast(named), same, "left_anti")
+    return top.unionByName(rest).join(total).select(message, kind, "n", (F.col("n") / F.col("_total")).alias("share"))
 
 
 def grouped_messages(errors: DataFrame, message: str, most: int = 5) -> DataFrame:
@@ -197,29 +219,8 @@ def unflattened(paths: dict[str, object]) -> object:
 
 
 def schema_pattern(schema: dict) -> str:
-    """A regular expression for one-line records of a schema (integers within bounds of zero or more by digits only)."""
-    def one(rule: dict) -> str:
-        if "enum" in rule:
-            return "(?:" + "|".join(re.escape(json.dumps(v, ensure_ascii=False)) for v in rule["enum"]) + ")"
-        kinds = rule.get("type", "string")
-        if isinstance(kinds, list):
-            return "(?:" + "|".join(one(rule | {"type": k}) for k in kinds) + ")"
-        if kinds == "string":
-            low, high = rule.get("minLength", 0), rule.get("maxLength", "")
-            return rf'"(?:[^"\\\n]|\\.){{{low},{high}}}"'
-        if kinds == "integer":
-            low, high = rule.get("minimum"), rule.get("maximum")
-            sign = "" if low is not None and low >= 0 else "-?"
-            digits = max(len(str(abs(int(x)))) for x in (low, high) if x is not None) if low is not None or high is not None else 19
-            return rf"{sign}(?:0|[1-9]\d{{0,{digits - 1}}})"
-        if kinds == "array":
-            return rf"\[(?:{one(rule.get('items', {}))}(?:, ?{one(rule.get('items', {}))})*)?\]"
-        if kinds == "object":
-            inner = ", ?".join(rf'"{re.escape(k)}": ?{one(v)}' for k, v in rule.get("properties", {}).items())
-            return rf"\{{{inner}\}}"
-        return {"number": r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?", "boolean": "(?:true|false)", "null": "null"}[kinds]
-
-    return one({"type": "object", **schema})
+    """A regular expression for one-line records of a schema; patterns.records_pattern() has groups and several lines."""
+    return records_pattern(schema, single=True)
 
 
 def estimated_tokens(row: list[Column]) -> Column:

@@ -39,13 +39,14 @@ def _graded(component: str, frame: DataFrame, raw: str, curve) -> Score:
 
 
 def evaluate(
-    reference: DataFrame, output: DataFrame, key: str, most_rows: int | None = None, most_columns: int | None = None, test: DataFrame | None = None, vector: str | None = None, personal: tuple[str, ...] = (),
+    reference: DataFrame, output: DataFrame, key: str, most_rows: int | None = None, most_columns: int | None = None, test: DataFrame | None = None, vector: str | None = None, personal: tuple[str, ...] = (), attacked: int = V.ATTACKED,
 ) -> list[Score]:
     """Scores of quality (distribution, correlation, structure, text) and of privacy, and both overall scores.
 
     All rows and shared columns are scored.  Sampling is an option: with most_rows, that many rows a side
     by hash of the key, and with most_columns the first of them by name.  With held-out test rows membership and, for a
     vector column of texts, semantic likeness are scored as well; replay counts the personal columns' values, of all rows.
+    The attribute attack goes for ``attacked`` rows, and its score says how many there were.
     """
     columns = sorted(c for c in J.shared_columns(reference, output) if c not in (key, vector))[:most_columns]
     sides = [P.clean(d.select(key, *columns)) for d in (reference, output)]
@@ -108,8 +109,8 @@ def evaluate(
     def attribute() -> Score:
         needs(len(numeric) + len(nominal) > 1, "fewer than two columns")
         known = min(3, len(numeric) + len(nominal) - 1)
-        row = V.attribute_inference(reference, output, key, numeric + nominal, known)[1].first()
-        return Score("attribute", row["accuracy"], row["score"], _grade(reference, row["score"], scoring.PRIVACY_GRADES))
+        row = V.attribute_inference(reference, output, key, numeric + nominal, known, attacked=attacked)[1].first()
+        return Score("attribute", row["accuracy"], row["score"], _grade(reference, row["score"], scoring.PRIVACY_GRADES), f"{row['attacked']} rows under attack")
 
     def replay() -> Score:
         needs(bool(personal), "no personal columns")

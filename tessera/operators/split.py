@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations, islice
+from math import comb
 from random import Random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ParameterError
@@ -13,6 +13,8 @@ from .ordered import numbered, running_sum, sort_value
 
 # The holdout's default share, its least and most rows, and the least rows of a table.
 DEFAULT_SHARE, LEAST_HOLDOUT, MOST_HOLDOUT, LEAST_ROWS = 0.05, 10, 2000, 200
+#: Samples up to this many rows are sorted in one task.
+SORTED_SAMPLE = 10_000
 
 
 def hash_order(key: str | list[str], seed: int):
@@ -20,9 +22,15 @@ def hash_order(key: str | list[str], seed: int):
 
 
 def sample_rows(df: DataFrame, n: int, key: str | list[str], seed: int = 424242) -> DataFrame:
-    """n rows without replacement."""
+    """n rows without replacement: those of the smallest hashes.
+
+    Up to SORTED_SAMPLE rows are picked by sorting; more are found range by range, so that no task holds them all.
+    """
     keys = [key] if isinstance(key, str) else key
-    return df.orderBy(hash_order(key, seed), *keys).limit(n)
+    if n <= SORTED_SAMPLE:
+        return df.orderBy(hash_order(key, seed), *keys).limit(n)
+    rows = df.withColumns({"_all": F.lit(0), "_h": hash_order(key, seed)})
+    return first_by_hash(rows, "_all", n, keys).drop("_all")
 
 
 def split_rows(df: DataFrame, test: int, key: str | list[str], seed: int = 1) -> tuple[DataFrame, DataFrame | None]:
@@ -54,7 +62,7 @@ def split_groups(df: DataFrame, test: float, group: str, seed: int = 1, tries: i
     return df.join(chosen, group, "left_anti"), df.join(chosen, group, "left_semi")
 
 
-def first_by_hash(df: DataFrame, part: str, n: int, tie: str, bits: int = 12) -> DataFrame:
+def first_by_hash(df: DataFrame, part: str, n: int, tie: str | list[str], bits: int = 12) -> DataFrame:
     """The n rows of each part with the smallest _h.
 
     Rows are counted by the first bits of their hash; only those of the range in which the n-th falls are ranked.
@@ -64,7 +72,7 @@ def first_by_hash(df: DataFrame, part: str, n: int, tie: str, bits: int = 12) ->
     counts = rows.groupBy(part, "_range").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     # at most 2 ** bits rows for each part
     rows = rows.join(counts, [part, "_range"]).filter(F.col("_before") < n)
-    edge = Window.partitionBy(part).orderBy("_h", tie)
+    edge = Window.partitionBy(part).orderBy("_h", *([tie] if isinstance(tie, str) else tie))
     last = rows.filter(F.col("_before") + F.col("_c") > n).withColumn("_no", F.row_number().over(edge)).filter(F.col("_before") + F.col("_no") <= n).drop("_no")
     return rows.filter(F.col("_before") + F.col("_c") <= n).unionByName(last).drop("_h", "_range", "_c", "_before")
 
@@ -107,6 +115,27 @@ def poisson_batches(entities: DataFrame, entity: str, rate: float, steps: int, s
     return drawn.filter(u < rate).select("step", entity)
 
 
+def shuffled_batches(entities: DataFrame, entity: str, batch: int, passes: int = 1, seed: int = 0, order: Column | None = None) -> DataFrame:
+    """step, entity: every pass shuffles the entities and cuts them into batches; what does not fill one is dropped.
+
+    order is a number for (pass, entity), by default a hash; the batches are found by rank over ranges of it.
+    """
+    by = F.xxhash64(F.lit(seed), "pass", F.col(entity)) if order is None else order
+    rows = entities.select(entity).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn("_by", by)
+    whole = F.floor(F.lit(entities.count()) / batch)
+    placed = numbered(rows, ["pass"], ["_by", entity], F.col("_by").cast("double"), "_no").withColumn("_batch", F.floor(F.col("_no") / batch))
+    return placed.filter(F.col("_batch") < whole).select((F.col("pass") * whole + F.col("_batch")).cast("long").alias("step"), entity)
+
+
+def drawn_rows(draws: DataFrame, rows: DataFrame, entity: str, row: str) -> DataFrame:
+    """step, entity, row: the record that each draw of an entity takes, its records in turn over the steps, from the first again after the last."""
+    turn = Window.partitionBy(entity).orderBy("step")  # an entity has at most one draw a step
+    placed = numbered(rows.select(entity, row), [entity], [row], sort_value(rows, row), "_at")
+    sizes = rows.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
+    taken = draws.withColumn("_turn", F.row_number().over(turn) - 1).join(sizes, entity).withColumn("_at", F.pmod("_turn", F.col("_n")).cast("long"))
+    return taken.join(placed.withColumn("_at", F.col("_at").cast("long")), [entity, "_at"]).select("step", entity, row)
+
+
 def repeated(df: DataFrame, times: float, key: str, seed: int = 0) -> DataFrame:
     """copy_no and position: whole hash-ordered copies of a table, and a part of one more for the fraction."""
     whole = int(times)
@@ -116,24 +145,39 @@ def repeated(df: DataFrame, times: float, key: str, seed: int = 0) -> DataFrame:
     return placed.filter((F.col("copy_no") < whole) | (F.col("position") < n))
 
 
-def with_replacement(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+def with_replacement(df: DataFrame, n: int, key: str, seed: int = 0, order: Column | None = None, number: Column | None = None) -> DataFrame:
     """draw (from 0) and the row: n rows, each drawn from the whole table.
 
-    A draw is a row number by hash; rows are numbered in hash order of their key.
+    Rows are numbered by order, a number, by default a hash of their key; a draw's row is number (of ``draw``) modulo the table's
+    size, by default a hash.
     """
-    rows = numbered(df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))), [], ["_h", key], F.shiftright(F.xxhash64(F.lit(seed), F.col(key)), 16).cast("double"), "_no").drop("_h")
+    by = F.xxhash64(F.lit(seed), F.col(key)) if order is None else order
+    rows = numbered(df.withColumn("_h", by), [], ["_h", key], F.col("_h").cast("double"), "_no").drop("_h")
     size = df.count()
     if not size:
         return rows.withColumnRenamed("_no", "draw")
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(size)).alias("_no"))
+    drawn = F.xxhash64(F.lit(seed + 1), "draw") if number is None else number
+    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").select("draw", F.pmod(drawn, F.lit(size)).alias("_no"))
     return draws.join(rows, "_no").drop("_no")
 
 
-def column_sets(columns: list[str], size: int, most: int, seed: int = 5, wide: int = 500) -> list[tuple[str, ...]]:
-    """Sets of size columns in a seeded order, at most ``most``; neighbours in order where there are many columns."""
-    if len(columns) >= wide:
-        found = [tuple(columns[(i + j) % len(columns)] for j in range(size)) for i in range(len(columns))]
-    else:
-        found = list(islice(combinations(columns, size), 100_000))
-    Random(seed).shuffle(found)
-    return found[:most]
+def column_sets(columns: list[str], size: int, most: int, seed: int = 5) -> list[tuple[str, ...]]:
+    """At most ``most`` different sets of size columns, drawn evenly from all there are; each keeps the columns' order.
+
+    A set is found from its number among all sets, so none has to be listed: the sets that do not begin with a
+    column come after those that do.
+    """
+    total, found = comb(len(columns), size), []
+    for number in Random(seed).sample(range(total), min(most, total)) if total < 1 << 62 else Random(seed).choices(range(1 << 62), k=most):
+        chosen, left, number = [], size, number % total
+        for i in range(len(columns)):
+            if not left:
+                break
+            begin = comb(len(columns) - i - 1, left - 1)
+            if number < begin:
+                chosen.append(columns[i])
+                left -= 1
+            else:
+                number -= begin
+        found.append(tuple(chosen))
+    return list(dict.fromkeys(found))

@@ -12,6 +12,7 @@ from pyspark.sql.types import IntegerType, StructType
 
 from ..errors import DataError
 from ..functions.dates import inferred_format, to_seconds
+from .ordered import numbered, running_sum, sort_value
 
 #: Seconds by which steps may differ and still be one interval.
 TOLERANCE = 0.1
@@ -116,12 +117,20 @@ def packed_groups(df: DataFrame, group: str, order: str, tokens: str, budget: in
 
 
 def patience_reached(batches: DataFrame, order: str, invalid: str, threshold: float = 0.8, patience: int = 3) -> DataFrame:
-    """running_mean, run (consecutive batches from the threshold on) and stop, per batch.  Batches are few."""
-    upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    b = batches.withColumn("running_mean", F.avg(invalid).over(upto)).withColumn("_bad", F.col("running_mean") >= threshold)
-    b = b.withColumn("_island", F.sum(F.when(~F.col("_bad"), 1).otherwise(0)).over(upto))
-    run = F.sum(F.when(F.col("_bad"), 1).otherwise(0)).over(Window.partitionBy("_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return b.withColumn("run", run).withColumn("stop", F.col("run") >= patience).drop("_bad", "_island")
+    """running_mean, run (consecutive batches from the threshold on) and stop, per batch; nulls do not count in the mean.
+
+    Sums and places come from ranges of the order, so no task sees all batches; a run's length is its distance from the
+    last batch below the threshold.
+    """
+    sort = sort_value(batches, order)
+    b = running_sum(batches, [], F.coalesce(F.col(invalid).cast("double"), F.lit(0.0)), [order], sort, "_sum")
+    b = numbered(running_sum(b, [], F.col(invalid).isNotNull().cast("long"), [order], sort, "_n"), [], [order], sort, "_no")
+    mean = F.try_divide(F.col("_sum") + F.coalesce(F.col(invalid), F.lit(0.0)), F.col("_n") + F.col(invalid).isNotNull().cast("long"))
+    b = b.withColumn("running_mean", mean).withColumn("_bad", F.coalesce(F.col("running_mean") >= threshold, F.lit(False)))
+    b = running_sum(b, [], (~F.col("_bad")).cast("long"), [order], sort, "_good").withColumn("_island", F.col("_good") + (~F.col("_bad")).cast("long"))
+    starts = b.groupBy("_island").agg(F.min("_no").alias("_first"))
+    run = F.col("_no") - F.col("_first") + F.when(F.col("_island") == 0, 1).otherwise(0)
+    return b.join(starts, "_island").withColumn("run", run).withColumn("stop", F.col("run") >= patience).select(*batches.columns, "running_mean", "run", "stop")
 
 
 def row_index(df: DataFrame, group: str, order: str) -> DataFrame:

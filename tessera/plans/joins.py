@@ -98,12 +98,26 @@ def repeated_rows(spark, sf):
     return r.groupBy("copy_no").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s_suppkey").alias("keys"), key_sum.alias("key_sum"), F.sum("position").alias("position_sum"))
 
 
-@query("SELECT 500 AS draws, 500 AS rows, 500 AS known")
+@query("""
+WITH r AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey * 7919 % 10007, c_custkey) - 1 AS no, count(*) OVER () AS n FROM customer)
+SELECT d AS draw, c_custkey, c_name FROM range(500) t(d) JOIN r ON no = (d * d * 31 + 7 * d) % n
+""")
 def drawn_with_replacement(spark, sf):
-    c = table(spark, sf, "customer")
-    d = S.with_replacement(c, 500, "c_custkey")
-    known = d.join(c.select("c_custkey", F.col("c_name").alias("n")), "c_custkey").filter("n = c_name")
-    return d.agg(F.countDistinct("draw").cast("int").alias("draws"), F.count(F.lit(1)).cast("int").alias("rows")).join(known.agg(F.count(F.lit(1)).cast("int").alias("known")))
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    return S.with_replacement(c, 500, "c_custkey", order=F.col("c_custkey") * 7919 % 10007, number=F.col("draw") * F.col("draw") * 31 + F.col("draw") * 7)
+
+
+@query("""
+WITH e AS (SELECT DISTINCT o_custkey FROM orders), n AS (SELECT count(*) // 32 AS whole FROM e),
+s AS (SELECT p, o_custkey, (row_number() OVER (PARTITION BY p ORDER BY (o_custkey * 7919 + p * 613) % 10007, o_custkey) - 1) // 32 AS b FROM e, range(3) t(p)),
+d AS (SELECT p * whole + b AS step, o_custkey FROM s, n WHERE b < whole), t AS (SELECT step, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY step) - 1 AS turn FROM d),
+r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS at, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT step, t.o_custkey, o_orderkey FROM t JOIN r ON r.o_custkey = t.o_custkey AND r.at = turn % r.n
+""")
+def drawn_records(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    steps = S.shuffled_batches(o.select("o_custkey").distinct(), "o_custkey", 32, 3, order=(F.col("o_custkey") * 7919 + F.col("pass") * 613) % 10007)
+    return S.drawn_rows(steps, o, "o_custkey", "o_orderkey")
 
 
 @query("""

@@ -10,17 +10,43 @@ from ..operators import encoding as E
 from .registry import query, table
 
 
-@query("SELECT count(*) AS n, count(*) AS fitting, count(DISTINCT c_custkey) AS keys FROM customer")
+def _number(*parts: str) -> str:
+    """SQL for text.key_number() of SQL texts."""
+    return f"CAST('0x' || substring(md5(concat_ws(chr(31), {', '.join(parts)})), 1, 15) AS BIGINT)"
+
+
+def _picked(items: list[str], *parts: str) -> str:
+    listed = ", ".join(f"'{i}'" for i in items)
+    return f"[{listed}][{_number(*parts)} % {len(items)} + 1]"
+
+
+def _digits(pattern: str, *parts: str) -> str:
+    one = lambda i, c: f"CAST({_number(repr(str(i)), *parts)} % 10 AS VARCHAR)" if c == "#" else f"'{c}'"
+    return " || ".join(one(i, c) for i, c in enumerate(pattern))
+
+
+_PERSON = f"""SELECT c_custkey, {_number("'7'", "'gender'", "k")} % 2 = 0 AS f, {_picked(Q.FEMALE, "'7'", "'first'", "k")} AS a, {_picked(Q.MALE, "'7'", "'first'", "k")} AS b,
+ {_picked(Q.LAST, "'7'", "'last'", "k")} AS last_name, {_picked(Q.DOMAINS["all_persons"], "'7'", "'domain'", "k")} AS d FROM (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS k FROM customer)"""
+
+
+@query(f"""WITH p AS ({_PERSON}), n AS (SELECT *, CASE WHEN f THEN a ELSE b END AS first_name FROM p)
+SELECT c_custkey, CASE WHEN f THEN 'female' ELSE 'male' END AS gender, first_name, last_name, first_name || ' ' || last_name AS name, lower(first_name || '.' || last_name || '@' || d) AS email FROM n""")
 def persona_consistency(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", Q.persona(F.col("c_custkey"), 7).alias("p"), Q.persona(F.col("c_custkey"), 7).alias("again"))
-    fits = (F.col("p.email").startswith(F.lower(F.concat_ws(".", F.col("p.first_name"), F.col("p.last_name"))))) & (F.col("p.name") == F.concat_ws(" ", "p.first_name", "p.last_name")) & (F.col("p") == F.col("again"))
-    return c.agg(F.count(F.lit(1)).alias("n"), F.count_if(fits).alias("fitting"), F.countDistinct("c_custkey").alias("keys"))
+    return table(spark, sf, "customer").select("c_custkey", Q.persona(F.col("c_custkey"), 7).alias("p")).select("c_custkey", "p.gender", "p.first_name", "p.last_name", "p.name", "p.email")
 
 
-@query("SELECT count(*) AS n, count(*) AS phones, count(*) AS itins FROM customer")
+@query(f"""SELECT c_custkey, {_digits("###-###-####", "'tel'", "c_name")} AS phone, '9' || {_digits("##-7#-####", "'itin'", "c_name")} AS itin,
+ CAST({_number("'no'", "c_name")} % 900 + 1 AS VARCHAR) || ' ' || {_picked(Q.STREETS, "'street'", "c_name")} AS street FROM customer""")
 def fake_formats(spark, sf):
-    c = table(spark, sf, "customer").select(Q.fake("phone_number", F.col("c_name")).alias("t"), Q.fake("itin", F.col("c_name")).alias("i"))
-    return c.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("t").rlike(r"^\d{3}-\d{3}-\d{4}$")).alias("phones"), F.count_if(F.col("i").rlike(r"^9\d{2}-7\d-\d{4}$")).alias("itins"))
+    key = F.col("c_name")
+    return table(spark, sf, "customer").select("c_custkey", Q.fake("phone_number", key).alias("phone"), Q.fake("itin", key).alias("itin"), Q.fake("street_address", key).alias("street"))
+
+
+@query("""
+SELECT doc_id, regexp_replace(regexp_replace(replace(strip_accents(text), 'ß', 'ss'), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9_ ]', '', 'g') AS plain FROM documents
+""")
+def ascii_texts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.normalized(F.col("text"), " ").alias("plain"))
 
 
 @query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN '.uk' WHEN 1 THEN '.fr' WHEN 2 THEN '.ru' END AS tld FROM nation")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates as T
+from ..operators import phrases as P
 from ..operators import pii
 from ..operators import rules as R
 from .registry import query, table
@@ -168,3 +169,16 @@ def date_shift(spark, sf):
     s = o.withColumn("s", T.shifted(F.col("d"), "yyyy-MM-dd", 30, "o_orderkey"))
     gap = F.abs(F.date_diff(F.to_date("s"), F.to_date("d")))
     return s.agg(F.count(F.lit(1)).alias("n"), F.count_if((gap >= 1) & (gap <= 30)).alias("moved"))
+
+
+@query(r"""
+WITH p AS (SELECT DISTINCT array_to_string(string_split(trim(text), ' ')[1:4], ' ') AS phrase FROM documents WHERE text IS NOT NULL AND len(string_split(trim(text), ' ')) >= 4)
+SELECT phrase AS "text", count(*) AS documents FROM documents d JOIN p ON phrase <> '' AND CASE WHEN contains(d.text, phrase) THEN regexp_matches(d.text, (CASE WHEN regexp_matches(phrase, '^[\p{L}\p{N}_]') THEN '(?:^|[^\p{L}\p{N}_])' ELSE '' END) || regexp_escape(phrase) || (CASE WHEN regexp_matches(phrase, '[\p{L}\p{N}_]$') THEN '(?:$|[^\p{L}\p{N}_])' ELSE '' END)) ELSE false END
+GROUP BY 1
+""")
+def phrase_documents(spark, sf):
+    """In how many documents each document's first four words stand."""
+    d = table(spark, sf, "documents")
+    words = F.split(F.trim("text"), " ", -1)
+    first = d.filter(F.size(words) >= 4).select(F.array_join(F.slice(words, 1, 4), " ").alias("phrase"))
+    return P.phrase_matches(d, "doc_id", "text", P.phrase_table(first)).select("doc_id", "text").distinct().groupBy("text").agg(F.count(F.lit(1)).alias("documents"))

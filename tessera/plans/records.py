@@ -6,7 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import actions as A
+from ..operators import nested as J
+from ..operators import patterns as P
 from ..operators import records as G
+from ..operators import tokens as K
 from .registry import query, table
 
 _SCHEMA = {"type": "object", "properties": {"event_type": {"enum": ["click", "view", "error", "purchase", "login"]}, "value": {"type": "number", "minimum": 1, "maximum": 40}, "user_id": {"type": "integer", "maximum": 100}}, "required": ["event_type", "value"]}
@@ -105,3 +108,43 @@ def timed_record_validation(spark, sf):
     lines = c.withColumn("line", F.concat(F.lit('{"t": '), at, F.lit("}"))).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("text"))
     found = G.timed_responses(lines, "conv_id", "text", {"properties": {"t": {"type": "integer"}}, "required": ["t"]}, "t", "elapsed_seconds", 60)
     return found.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("n_valid"), F.count_if(F.col("error_kind") == "interval").alias("late"))
+
+
+_ORDER = {"properties": {"k": {"type": "integer", "minimum": 37, "maximum": 41873}, "c": {"type": "integer", "minimum": -12, "maximum": 768}, "s": {"enum": ["O", "F"]}, "p": {"type": "string", "minLength": 5, "maxLength": 9}}, "required": ["k", "s"]}
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, o_orderkey - 50 AS k, o_custkey - 20 AS c, o_orderstatus AS s, o_orderpriority AS p FROM orders)
+SELECT o_orderkey, k BETWEEN 37 AND 41873 AND (o_orderkey % 3 = 0 OR c BETWEEN -12 AND 768) AND s IN ('O', 'F') AND (o_orderkey % 5 = 0 OR length(p) BETWEEN 5 AND 9) AS fits, true AS agrees FROM o
+""")
+def schema_pattern_rows(spark, sf):
+    """Records checked by one pattern; some lack members that need not be there.  agrees: the rules, one by one, say the same."""
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") - 50).alias("k"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey") - 20).alias("c"), F.col("o_orderstatus").alias("s"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("p"))
+    lines = o.select("o_orderkey", F.to_json(F.struct("k", "c", "s", "p")).alias("line"))
+    fits = F.col("line").rlike(f"^(?:{P.records_pattern(_ORDER, single=True)})$")
+    return G.validated(lines.withColumn("fits", fits), "line", _ORDER).select("o_orderkey", "fits", (F.col("fits") == F.col("is_valid")).alias("agrees"))
+
+
+@query("""
+SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, CASE WHEN event_id % 3 = 0 THEN 'late' ELSE event_type END AS kind, user_id AS id, CASE WHEN event_id % 3 = 0 THEN round(value) END AS amount, event_id % 4 <> 0 AS has_whole
+FROM events
+""")
+def merged_properties(spark, sf):
+    """Properties with what a second record says of the same event: inner members are merged, and on a clash of types the second wins."""
+    e = table(spark, sf, "events")
+    who = F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("id"))
+    base = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "a": '), F.to_json(F.struct(who.alias("who"))), F.lit(', "whole": {"x": [1]}}'))
+    late = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.struct(F.struct(F.lit("late").alias("kind"), F.round("value").alias("amount")).alias("who")).alias("a"))))
+    new = F.when(F.col("event_id") % 4 == 0, F.lit('{"whole": 5}'))
+    merged = J.merged_json(F.to_json(J.merged_json(base, late)), new)
+    at = lambda path, kind: F.try_variant_get(merged, path, kind)
+    return e.select("event_id", at("$.k", "long").alias("k"), at("$.a.who.kind", "string").alias("kind"), at("$.a.who.id", "long").alias("id"), at("$.a.who.amount", "double").alias("amount"), at("$.whole.x[0]", "long").isNotNull().alias("has_whole"))
+
+
+@query("""
+WITH w AS (SELECT conv_id, turn, len(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda x: x <> '')) AS n FROM conversations)
+SELECT conv_id, turn, CAST(least(n, 20) AS INT) AS n_tokens, n <= 20 AS fits FROM w
+""")
+def budgeted_tokens(spark, sf):
+    c = K.tokenized(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "text")
+    return K.within_budget(c, "input_ids", 32, 8, "cut").select("conv_id", "turn", "n_tokens", "fits")
