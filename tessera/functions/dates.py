@@ -15,8 +15,9 @@ FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "dd.MM.yyyy HH:mm:ss",
     "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "MMM dd, yyyy", "dd MMM yyyy", "yyyyMMdd", "HH:mm:ss", "HH:mm",
 )
-#: Most shapes of values (digits and letters by their number) that a format is inferred from, the most frequent first.
-SHAPES = 20
+#: Shapes (digits and letters by their number) that a date or a time can have; there are finitely many.
+_WORD, _MARK, _TIME = r"(?:9{1,2}|9{4}|A{3,9})", r"[/.\- ,]{1,2}", r"9{1,2}:99(?::99)?(?:\.9{1,9})?(?: ?AA)?(?:Z|[+-]99:?99)?"
+POSSIBLE = rf"^(?:(?:9{{8}}|{_WORD}{_MARK}{_WORD}{_MARK}{_WORD})(?:[T ]{_TIME})?|{_TIME})$"
 
 
 def shape(value: Column) -> Column:
@@ -70,12 +71,12 @@ def candidates(of_shape: str) -> list[str]:
 def inferred_format(df: DataFrame, column: str, formats: tuple[str, ...] | None = None) -> str | None:
     """The pattern that most values have; None where none fits any.
 
-    Without given formats, all orders of components are tried that the most frequent shapes of the values allow.
+    Without given formats, all orders of components are tried that the shapes of the values allow, whatever else the column holds.
     Equally good ones: the first, where year-month-day comes before month-day-year before day-month-year.
     """
     if formats is None:
         kept = F.regexp_replace(F.regexp_replace(shape(F.col(column)), r"(?<=99)A(?=99)", "T"), r"(?<=9)A$", "Z")
-        shapes = df.filter(F.col(column).isNotNull()).groupBy(kept.alias("s")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "s").limit(SHAPES).collect()
+        shapes = df.filter(F.col(column).isNotNull()).groupBy(kept.alias("s")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("s").rlike(POSSIBLE)).orderBy(F.desc("n"), "s").collect()
         formats = tuple(dict.fromkeys(f for r in shapes for f in candidates(r["s"])))
         if not formats:
             return None

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import DataError
+from ..functions.dates import inferred_format
 from ..functions.people import fake
 
 REASON = "reject_reason"
@@ -171,15 +173,24 @@ class DateConstraint(Action):
 
 @dataclass(frozen=True)
 class DateFormat(Action):
+    """Dates in one format; without one, in that which most of a column's values have.  A value of another format is refused."""
+
     column: str
-    fmt: str
+    fmt: str | None = None
     kind = "datetime"
 
+    def format_of(self, df) -> str:
+        fmt = self.fmt or inferred_format(df, self.column)
+        if fmt is None:
+            raise DataError(f"no date format fits {self.column}")
+        return fmt
+
     def postprocess(self, df):
-        return df.withColumn(self.column, F.date_format(F.try_to_timestamp(self.column, F.lit(self.fmt)), self.fmt))
+        fmt = self.format_of(df)
+        return df.withColumn(self.column, F.date_format(F.try_to_timestamp(self.column, F.lit(fmt)), fmt))
 
     def refuses(self, df):
-        return F.try_to_timestamp(self.column, F.lit(self.fmt)).isNull()
+        return F.try_to_timestamp(self.column, F.lit(self.format_of(df))).isNull()
 
 
 @dataclass(frozen=True)

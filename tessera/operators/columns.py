@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,4 +77,12 @@ def merged_maps(base: Column, new: Column) -> Column:
 
 def snapshots(total: int, parts: tuple[float, ...] = (0.25, 0.5, 0.75)) -> list[int]:
     """The counts of records at which partial output is kept, each once and none of them nothing."""
-    return sorted({n for n in (int(total * p) for p in parts) if n > 0})
+    return sorted({max(1, math.ceil(total * p)) for p in parts}) if total > 0 else []
+
+
+def side_by_side(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Both tables' columns for every key of either; a column that both have keeps the left one's value where there is one."""
+    both = [c for c in right.columns if c in left.columns and c != key]
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in both})
+    joined = left.join(renamed, key, "full")
+    return joined.select(key, *[F.coalesce(F.col(c), F.col(f"_right_{c}")).alias(c) if c in both else c for c in left.columns if c != key], *[c for c in right.columns if c not in both and c != key])

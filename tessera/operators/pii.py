@@ -10,12 +10,14 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import kept
 from .recognizers import HIGH, LOW, MEDIUM, RECOGNIZERS, Recognizer, address, luhn, mod97, selected
 from .timings import Timings, moments
 
@@ -181,7 +183,11 @@ def cells(df: DataFrame, columns: Iterable[str], recognizers: tuple[Recognizer,
 
 def entity_counts(df: DataFrame, columns: list[str], recognizers: tuple[Recognizer, ...] = RECOGNIZERS) -> DataFrame:
     """column, label, n, n_values: detections and their distinct texts, per column."""
-    found = cells(df, columns, recognizers).select("column", F.inline("found"))
+    return _counted(cells(df, columns, recognizers))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    found = rows.select("column", F.inline("found"))
     return found.groupBy("column", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("n_values"))
 
 
@@ -214,9 +220,21 @@ def results_json(found: DataFrame, index: str) -> DataFrame:
     return found.select(F.to_json(F.struct(F.col(index).alias("index"), slim.alias("entities"))).alias("value"))
 
 
+def response_json(records: DataFrame, found: Column, *columns: str) -> DataFrame:
+    """value: one JSON record a row, {"data", "model_metadata"}: the columns, and the spans with each entity's places by score band."""
+    slim = lambda s: F.struct(s["label"].alias("label"), s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))
+    band = lambda low, high: F.array_sort(F.array_distinct(F.transform(F.filter("_f", lambda s: (s["score"] >= low) & (s["score"] < high)), lambda s: s["label"])))
+    bands = F.struct(band(HIGH, 9.0).alias("high"), band(MEDIUM, HIGH).alias("medium"), band(0.0, MEDIUM).alias("low"))
+    rows = records.withColumn("_f", F.coalesce(found, F.array().cast(SPANS)))
+    return rows.select(F.to_json(F.struct(F.struct(*columns).alias("data"), F.struct(F.transform("_f", slim).alias("entities"), bands.alias("labels")).alias("model_metadata"))).alias("value"))
+
+
 def classified_columns(df: DataFrame, columns: list[str], share: float = 0.8, recognizers: tuple[Recognizer, ...] = RECOGNIZERS) -> DataFrame:
     """column, label: the entity that covers at least this share of a column's values, nearly whole; the most frequent, then first, of several."""
-    rows = cells(df, columns, recognizers)
+    return _classified(cells(df, columns, recognizers), share)
+
+
+def _classified(rows: DataFrame, share: float = 0.8) -> DataFrame:
     size = F.length(stripped(F.col("value")))
     labels = F.array_distinct(F.transform(F.filter("found", lambda s: s["end"] - s["start"] >= 0.9 * size), lambda s: s["label"]))
     totals = rows.groupBy("column").agg(F.count(F.lit(1)).alias("total"))
@@ -232,11 +250,16 @@ def deidentified(df: DataFrame, columns: list[str], salt: str, fakes: dict[str,
 
     A column that is one entity as a whole has every value replaced: by a stand-in where there are some for its
     label, else by a salted hash.  In other columns the found spans are replaced: hashed for hash_labels,
-    by stand-ins, or by <label>.
+    by stand-ins, or by <label>.  Every value is searched once: the table with its spans is written, and what a column is,
+    the counts and the new values come from there.
     """
     fakes = fakes or {}
-    entity = {r["column"]: r["label"] for r in classified_columns(df, columns, recognizers=recognizers).collect()}
-    report = entity_counts(df, columns, recognizers)
+    at = {c: f"_found_{i}" for i, c in enumerate(columns)}
+    searched = kept(df.withColumns({at[c]: spans(c, recognizers) for c in columns}), "searched")
+    parts = [searched.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.col(at[c]).alias("found")).filter("value IS NOT NULL") for c in columns]
+    rows = reduce(DataFrame.unionByName, parts)
+    entity = {r["column"]: r["label"] for r in _classified(rows).collect()}
+    report = _counted(rows)
     kinds = F.create_map(*[F.lit(x) for kv in entity.items() for x in kv]) if entity else F.create_map().cast("map<string,string>")
     report = report.select("column", F.try_element_at(kinds, F.col("column")).alias("entity"), "label", "n", "n_values")
 
@@ -256,5 +279,5 @@ def deidentified(df: DataFrame, columns: list[str], salt: str, fakes: dict[str,
     new = {}
     for c in columns:
         text = F.col(c).cast("string")
-        new[c] = stand_in(F.lit(entity[c]), text, digest(text)) if c in entity else replaced(text, spans(c, recognizers), by)
-    return df.withColumns(new), report
+        new[c] = stand_in(F.lit(entity[c]), text, digest(text)) if c in entity else replaced(text, F.col(at[c]), by)
+    return searched.withColumns(new).select(*df.columns), report

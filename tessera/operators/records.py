@@ -147,6 +147,18 @@ def timed_responses(df: DataFrame, key: str, text: str, schema: dict, timestamp:
     }).drop("_error")
 
 
+def response_processor(schema: dict, group: str | None = None, order: str | None = None, timestamp: str | None = None, fmt: str = "elapsed_seconds", interval: int | None = None):
+    """How responses are checked: as time series where there are a timestamp and an interval, else group by group where there is a group, else one by one.
+
+    A function of (df, key, text).
+    """
+    if timestamp is not None and interval is not None:
+        return lambda df, key, text: timed_responses(df, key, text, schema, timestamp, fmt, interval)
+    if group is not None:
+        return lambda df, key, text: grouped_responses(df, key, text, schema, group, order)
+    return lambda df, key, text: responses(df, key, text, schema)
+
+
 def error_statistics(errors: DataFrame, message: str, kind: str) -> DataFrame:
     """message, n, share: the most frequent messages, and every one of the data's configuration."""
     counts = errors.groupBy(message, kind).agg(F.count(F.lit(1)).alias("n"))

@@ -182,3 +182,18 @@ def phrase_documents(spark, sf):
     words = F.split(F.trim("text"), " ", -1)
     first = d.filter(F.size(words) >= 4).select(F.array_join(F.slice(words, 1, 4), " ").alias("phrase"))
     return P.phrase_matches(d, "doc_id", "text", P.phrase_table(first)).select("doc_id", "text").distinct().groupBy("text").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS four, lpad(CAST(c_custkey % 90 + 10 AS VARCHAR), 2, '0') AS two FROM customer)
+SELECT k AS c_custkey, 'mail <email> from <ipv4>, call <phone_number> or see <url> for ' || substring(sha256('s' || '123-' || two || '-' || four), 1, 9) || ' at <mac_address>' AS note,
+ substring(sha256('s' || '9' || four), 1, 9) AS zipcode, substring(sha256('s' || 'u' || k || '@mail.example.net'), 1, 9) AS contact, 'row ' || k AS plain FROM c WHERE four <> '0000'
+""")
+def deidentified_labels(spark, sf):
+    """Texts with six kinds of personal data, and columns that are one kind as a whole."""
+    k, c = F.col("c_custkey"), table(spark, sf, "customer")
+    four, two = F.lpad((k % 10000).cast("string"), 4, "0"), F.lpad((k % 90 + 10).cast("string"), 2, "0")
+    parts = ("mail u", k, "@example.org from 10.1.2.", k % 250, ", call 212-555-", four, " or see https://example.org/", k, " for 123-", two, "-", four, " at 00:1B:44:11:3A:", two)
+    note = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    rows = c.filter(four != "0000").select("c_custkey", note.alias("note"), F.concat(F.lit("9"), four).alias("zipcode"), F.concat(F.lit("u"), k, F.lit("@mail.example.net")).alias("contact"), F.concat(F.lit("row "), k).alias("plain"))
+    return pii.deidentified(rows, ["note", "zipcode", "contact", "plain"], "s")[0]

@@ -10,10 +10,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.errors import ParameterError
-from tessera.functions import privacy
+from tessera.errors import DataError, ParameterError
+from tessera.functions import letters, privacy
+from tessera.functions import text as text_functions
 from tessera.operators import actions as A
-from tessera.operators import neighbors, patterns, phrases, pii, recognizers, split, timings
+from tessera.operators import columns, neighbors, nested, patterns, phrases, pii, recognizers, records, split, timings, tokens
 from tessera.streaming import batches as B
 
 
@@ -331,3 +332,70 @@ def test_timings_merge_and_sum_up(spark, small):
     stages = {r["stage"]: r for r in run.table().collect()}
     assert stages["search"]["rows"] == len(rows) and stages["search"]["facts"]["spans"] == sum(len(r["s"] or []) for r in rows)
     assert stages["broken"]["status"] == "failed" and stages["broken"]["rows"] is None and stages["search"]["seconds"] > 0
+
+
+def deep_merge(a, b):
+    out = dict(a)
+    for k, v in b.items():
+        out[k] = deep_merge(out[k], v) if isinstance(out.get(k), dict) and isinstance(v, dict) else v
+    return out
+
+
+def test_nested_values_merge(spark):
+    rnd = random.Random(8)
+
+    def value(depth):
+        kind = rnd.choice("osnaxob") if depth else rnd.choice("snxb")
+        return {"o": lambda: {rnd.choice("abcd"): value(depth - 1) for _ in range(rnd.randint(0, 3))}, "s": lambda: rnd.choice(["1", "x"]), "n": lambda: rnd.randint(0, 3), "a": lambda: [value(depth - 1)], "x": lambda: None, "b": lambda: True}[kind]()
+
+    pairs = [({rnd.choice("abcd"): value(3) for _ in range(3)}, {rnd.choice("abcd"): value(3) for _ in range(3)}) for _ in range(60)]
+    df = spark.createDataFrame([(i, json.dumps(a), json.dumps(b)) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = {r["i"]: json.loads(r["m"]) for r in df.select("i", F.to_json(nested.merged_json(F.col("a"), F.col("b"))).alias("m")).collect()}
+    assert got == {i: deep_merge(a, b) for i, (a, b) in enumerate(pairs)}
+    odd = spark.createDataFrame([(0, None, '{"a": 1}'), (1, '{"a": 1}', None), (2, "[1]", '{"b": 2}'), (3, '{"b": 2}', "7"), (4, "{", "{")], "i int, a string, b string")
+    assert [r["m"] for r in odd.select(F.to_json(nested.merged_json(F.col("a"), F.col("b"))).alias("m"), "i").orderBy("i").collect()] == ['{"a":1}', '{"a":1}', '{"b":2}', "7", None]
+    flat = spark.createDataFrame([('[1, [2, ["x", {"k": [1]}]], []]',), ('"s"',), (None,), ("[1, [2]]",)], "j string").select(nested.leaves(F.try_parse_json("j")).alias("l"), nested.all_of_type(F.try_parse_json("j"), "BIGINT").alias("ints"))
+    assert [(r["n"], r["ints"]) for r in flat.select(F.size("l").alias("n"), "ints").collect()] == [(4, False), (1, False), (None, None), (2, True)]
+
+
+def test_letters_become_ascii(spark):
+    cases = {"Ærøskøbing": "Aeroskobing", "Щука ёж": "Shchuka yozh", "Θεσσαλονίκη": "Thessaloniki", "ﬁn Ångström": "fin Angstrom", "Łódź": "Lodz", "İstanbul": "Istanbul", "東京 x": " x", "été": "ete", "“q” – €5": '"q" - EUR5', "plain": "plain", "": ""}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", letters.ascii_of(F.col("t")).alias("a"))
+    assert {r["t"]: r["a"] for r in df.collect()} == cases | {None: None}
+    table = letters.ascii_table()
+    assert all(a.isascii() for a in table.values()) and all(table[c.upper()].lower() == table[c].lower() for c in "æøłжщψθ")
+    every = spark.range(1, 0x3000).filter("id NOT BETWEEN 55296 AND 57343").select("id", letters.ascii_of(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')")).alias("a")).collect()
+    assert all(r["a"] == (chr(r["id"]) if r["id"] < 128 else table.get(chr(r["id"]), "")) for r in every)
+
+
+def test_tokens_within_a_budget(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, None), (3, "x " * 9)], "i int, t string").transform(lambda d: tokens.tokenized(d, "t"))
+    assert {r["i"]: len(r["input_ids"]) for r in df.collect()} == {1: 3, 2: 0, 3: 9}
+    cut = tokens.within_budget(df, "input_ids", 20, 10, "cut").orderBy("i").collect()
+    assert [(r["n_tokens"], r["fits"]) for r in cut] == [(3, True), (0, True), (6, False)] and cut[2]["input_ids"] == df.filter("i = 3").first()["input_ids"][:6]
+    assert tokens.within_budget(df, "input_ids", 23, 10).count() == 3
+    assert tokens.token_statistics(tokens.within_budget(df, "input_ids", 20, 10, "mark")).first()["high"] == 9
+    with pytest.raises(DataError, match="1 records"):
+        tokens.within_budget(df, "input_ids", 20, 10)
+    with pytest.raises(ParameterError):
+        tokens.budget_of(8, 9)
+
+
+def test_small_operators(spark):
+    left = spark.createDataFrame([(1, "a", None), (2, "b", 5)], "k int, x string, y int")
+    right = spark.createDataFrame([(2, 7, 1.0), (3, 8, 2.0)], "k int, y int, z double")
+    assert sorted(map(tuple, columns.side_by_side(left, right, "k").collect())) == [(1, "a", None, None), (2, "b", 5, 1.0), (3, None, 8, 2.0)]
+    day = A.DateFormat("d")
+    dates = spark.createDataFrame([(f"{i:02}.03.2024",) for i in range(1, 25)] + [("junk!",), ("2024-01-01",), (None,)] + [(f"x{'y' * i}1",) for i in range(30)], "d string")
+    done = A.validated(A.finished(dates, [day]), [day])
+    assert day.format_of(dates) == "dd.MM.yyyy" and done.filter("reject_reason IS NULL").count() == 24
+    found = spark.createDataFrame([(1, "mail a@example.org")], "i int, t string").withColumn("s", pii.spans("t"))
+    record = json.loads(pii.response_json(found, F.col("s"), "i", "t").first()["value"])
+    assert record["data"] == {"i": 1, "t": "mail a@example.org"} and [e["label"] for e in record["model_metadata"]["entities"]] == ["email"] and record["model_metadata"]["labels"]["high"] == ["email"]
+    text = spark.createDataFrame([(1, '<s>{"t": 0}\n{"t": 9}\n</s>')], "i int, body string")
+    schema = {"properties": {"t": {"type": "integer"}}, "required": ["t"]}
+    assert "group_no" in records.response_processor(schema, group="t")(text, "i", "body").columns
+    assert [r["is_valid"] for r in records.response_processor(schema, timestamp="t", interval=5)(text, "i", "body").orderBy("record_no").collect()] == [True, False]
+    assert [r["is_valid"] for r in records.response_processor(schema)(text, "i", "body").collect()] == [True, True]
+    raw = spark.createDataFrame([(bytearray(b"ok\xff\xc3\xa9"),), (bytearray("fine�".encode()),)], "b binary")
+    assert [r["t"] for r in raw.select(text_functions.scrubbed(F.col("b")).alias("t")).collect()] == ["oké", "fine�"]
