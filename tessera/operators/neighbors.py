@@ -2,8 +2,8 @@
 
 A search deals the base's distinct vectors to the cell of their nearest pivot, and sends a query to its nearest
 cells first.  Its k-th distance there bounds what can still win: by the triangle inequality a cell whose nearest
-possible vector is farther is never visited.  Vectors that many rows share are searched once, with as many of
-their smallest keys as can be among the k best.
+possible vector is farther is never visited.  A task that searches a cell does the same with smaller cells inside it.
+Vectors that many rows share are searched once, with as many of their smallest keys as can be among the k best.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +21,11 @@ from ..sources.shared import kept
 from .ordered import numbered
 
 #: Distinct vectors of a cell, about; cells, at most, and numbers in all pivots, as these go to every task.
-CELL, MOST_CELLS, MOST_PIVOT_NUMBERS = 2048, 4096, 1 << 22
+CELL, MOST_CELLS, MOST_PIVOT_NUMBERS = 1 << 14, 4096, 1 << 22
 #: Most visits of a cell that one task answers, about; a cell with more of them is copied.
-VISITS = 1 << 16
+VISITS = 1 << 14
+#: Numbers of a cell's vectors, and of its visits, about, where vectors are long; vectors of the smaller cells, at least.
+CELL_NUMBERS, INNER = 1 << 21, 64
 #: Numbers of one tile of distances.
 TILE = 1 << 22
 
@@ -70,7 +73,7 @@ def best_of_tile(x: np.ndarray, keys: np.ndarray, sizes: np.ndarray, y: np.ndarr
         q = y[at : at + step]
         cost = _squares(q, x)
         kth = min(k, len(x)) - 1
-        limit = np.partition(cost, kth, axis=1)[:, kth]
+        limit = np.partition(cost, kth, axis=1)[:, kth] if kth else cost.min(axis=1)
         limit = limit + 1e-9 * ((q * q).sum(1) + limit) + 1e-12
         r, c = np.nonzero(cost <= limit[:, None])
         exact = ((q[r] - x[c]) ** 2).sum(1)
@@ -83,6 +86,81 @@ def best_of_tile(x: np.ndarray, keys: np.ndarray, sizes: np.ndarray, y: np.ndarr
         yield r[keep] + at, key[order][keep], exact[order][keep]
 
 
+def nearest_with(gap: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """True for the nearest cells of each row that have ``most`` keys together."""
+    first = np.zeros(gap.shape, dtype=bool)
+    gap, n = np.where(size > 0, gap, np.inf), min(most, gap.shape[1])
+    near = np.argpartition(gap, n - 1, axis=1)[:, :n] if n > 1 else gap.argmin(axis=1)[:, None]  # no more can be needed
+    near = np.take_along_axis(near, np.argsort(np.take_along_axis(gap, near, axis=1), axis=1, kind="stable"), axis=1)
+    before = np.cumsum(size[near], axis=1) - size[near]
+    np.put_along_axis(first, near, before < most, axis=1)
+    return first & (size > 0)
+
+
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of each row, and its distance."""
+    cell, far, step = np.zeros(len(x), np.int32), np.zeros(len(x)), max(1, TILE // max(len(pivots), 1))
+    for at in range(0, len(x), step):
+        d = _squares(x[at : at + step], pivots)
+        cell[at : at + step], far[at : at + step] = d.argmin(1), np.sqrt(d.min(1))
+    return cell, far
+
+
+def best_of_cell(x: np.ndarray, keys: np.ndarray, sizes: np.ndarray, y: np.ndarray, k: int, limit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As best_of_tile(), by smaller cells inside x; a vector farther than its query's limit may be left out.
+
+    Rows that have to see more than a quarter of the smaller cells see all of x at once.
+    """
+    m = min(len(x) // INNER, int(np.sqrt(len(x))))
+    if m < 4 or len(x) * len(y) <= TILE // 4:
+        yield from best_of_tile(x, keys, sizes, y, k)
+        return
+    pivots = x[np.arange(m) * len(x) // m]
+    cell, far = nearest_pivots(x, pivots)
+    order = np.argsort(cell, kind="stable")
+    x, keys, sizes = x[order], _ragged(keys, sizes, order)[1], sizes[order]
+    at, count = np.searchsorted(cell[order], np.arange(m + 1)), np.bincount(cell[order], sizes, m).astype(np.int64)
+    place, radius = np.append(0, np.cumsum(sizes)), np.zeros(m)
+    np.maximum.at(radius, cell, far)
+    largest = float(np.sqrt((x * x).sum(1).max()))
+
+    def visit(q: np.ndarray, go: np.ndarray) -> list:
+        c, r = np.nonzero(go.T)
+        cuts, found = np.searchsorted(c, np.arange(m + 1)), []
+        for i in np.flatnonzero(np.diff(cuts)):
+            rows, a, b = r[cuts[i] : cuts[i + 1]], at[i], at[i + 1]
+            found += [(rows[n], key, d) for n, key, d in best_of_tile(x[a:b], keys[place[a] : place[b]], sizes[a:b], q[rows], k)]
+        return found
+
+    def best(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        r, key, d = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((key, d, r))
+        r = r[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        return r[keep], key[order][keep], d[order][keep]
+
+    step = max(1, TILE // m)
+    for start in range(0, len(y), step):
+        q = y[start : start + step]
+        gap = np.sqrt(_squares(q, pivots))
+        first = nearest_with(gap, count, k)
+        r, key, d = best(visit(q, first))
+        full, kth = np.bincount(r, minlength=len(q)) >= k, np.zeros(len(q))
+        np.maximum.at(kth, r, np.sqrt(d))
+        bound = np.fmin(limit[start : start + step], np.where(full, kth, np.inf)) + 1e-6 * (np.sqrt((q * q).sum(1)) + largest)
+        rest = (gap - radius <= bound[:, None]) & ~first & (count > 0)
+        all_of = rest.sum(1) > m // 4
+        if all_of.any():
+            rows = np.flatnonzero(all_of)
+            for n, found_key, found_d in best_of_tile(x, keys, sizes, q[rows], k):
+                yield rows[n] + start, found_key, found_d
+        rest[all_of] = False
+        some = ~all_of[r]
+        if some.any():
+            r, key, d = best([(r[some], key[some], d[some]), *visit(q, rest)])
+            yield r + start, key, d
+
+
 def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, metric: str = "l2", skip_self: bool = False) -> DataFrame:
     """query_id, rank, key, distance (l2) or similarity (cosine) of the k best; ties by key.
 
@@ -94,16 +172,17 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
     points = kept(points.groupBy("v").agg(F.sort_array(F.collect_list("key")).alias("keys")), "points")
     asking = _points(queries, key, vector, metric, 1)
     n, dims = points.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    cells = max(1, min(n // CELL, MOST_CELLS, MOST_PIVOT_NUMBERS // max(dims or 1, 1)))
+    held = lambda most: min(most, max(1024, CELL_NUMBERS // max(dims or 1, 1)))
+    cells = max(1, min(n // held(CELL), MOST_CELLS, MOST_PIVOT_NUMBERS // max(dims or 1, 1)))
+    if cells > 1:
+        asking = kept(asking, "asking")
     pivots = np.array([r["v"] for r in points.orderBy(F.xxhash64("v"), "v").limit(cells).select("v").collect()], dtype=np.float64).reshape(-1, dims or 0)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column("v"))
-                d = _squares(x, pivots)
-                cell = d.argmin(1)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.sqrt(d.min(1))), batch.column("v"), batch.column("keys")], ["cell", "far", "v", "keys"])
+                cell, far = nearest_pivots(_matrix(batch.column("v")), pivots)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(far), batch.column("v"), batch.column("keys")], ["cell", "far", "v", "keys"])
 
     dealt = points.mapInArrow(assign, "cell int, far double, v array<double>, keys array<long>")
     if cells > 1:
@@ -113,28 +192,25 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
         size[r["cell"]], radius[r["cell"]] = r["n"], r["far"]
     largest = float(np.sqrt((pivots * pivots).sum(1).max(initial=0)) + radius.max(initial=0))
 
-    def nearest_cells(gap: np.ndarray) -> np.ndarray:
-        """True for the nearest cells of each query that have ``most`` keys together."""
-        order = np.argsort(gap, axis=1, kind="stable")
-        before = np.cumsum(size[order], axis=1) - size[order]
-        first = np.zeros(gap.shape, dtype=bool)
-        np.put_along_axis(first, order, before < most, axis=1)
-        return first & (size > 0)
-
     def visits(bounded: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, min(1024, TILE // cells))
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
                     y = _matrix(part.column("v"))
                     gap = np.sqrt(_squares(y, pivots))
-                    go = nearest_cells(gap)
+                    limit = np.full(len(y), np.inf)
                     if bounded:
-                        limit = part.column("limit").to_numpy(zero_copy_only=False)
+                        limit = np.nan_to_num(part.column("limit").to_numpy(zero_copy_only=False), nan=np.inf)
                         slack = 1e-6 * (np.sqrt((y * y).sum(1)) + largest)
-                        go = (gap - radius <= (np.nan_to_num(limit, nan=np.inf) + slack)[:, None]) & ~go & (size > 0)
+                        go = (gap - radius <= (limit + slack)[:, None]) & (size > 0)
+                        seen = part.column("seen")
+                        go[np.repeat(np.arange(len(y)), pa.compute.list_value_length(seen).to_numpy()), seen.flatten().to_numpy()] = False
+                    else:
+                        go = nearest_with(gap, size, most)
                     r, c = np.nonzero(go)
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), part.column("key").take(pa.array(r)), _vectors(y[r])], ["cell", "query_id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), part.column("key").take(pa.array(r)), _vectors(y[r]), pa.array(limit[r])], ["cell", "query_id", "v", "limit"])
 
         return run
 
@@ -143,28 +219,30 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
         if left.num_rows and right.num_rows:
             lists = left.column("keys").combine_chunks()
             x, y, ids = _matrix(left.column("v")), _matrix(right.column("v")), right.column("query_id").to_numpy()
-            for r, found_key, d in best_of_tile(x, lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), y, most):
+            for r, found_key, d in best_of_cell(x, lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), y, most, right.column("limit").to_numpy()):
                 found.append((ids[r], found_key, np.sqrt(d)))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({c: pa.array(v) for c, v in zip(("query_id", "key", "distance"), columns)})
+        at = left.column("cell")[0].as_py() if left.num_rows else 0
+        return pa.table({c: pa.array(v) for c, v in zip(("cell", "query_id", "key", "distance"), (np.full(len(columns[0]), at, np.int32), *columns))})
 
     def search(asked: DataFrame, bounded: bool) -> DataFrame:
-        sent = asked.mapInArrow(visits(bounded), "cell int, query_id long, v array<double>")
+        sent = asked.mapInArrow(visits(bounded), "cell int, query_id long, v array<double>, limit double")
         copies = [1] * max(cells, 1)
         if cells > 1:
             sent = kept(sent, "visits")
         for r in sent.groupBy("cell").count().collect():
-            copies[r["cell"]] = -(-r["count"] // VISITS)
+            copies[r["cell"]] = -(-r["count"] // held(VISITS))
         n_copies = F.element_at(F.array(*map(F.lit, copies)), F.col("cell") + 1)
         left = dealt.select("cell", "v", "keys", F.explode(F.sequence(F.lit(0), n_copies - 1)).alias("part"))
         right = sent.withColumn("part", F.pmod(F.xxhash64("query_id"), n_copies.cast("long")).cast("int"))
-        return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(tile, "query_id long, key long, distance double")
+        return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(tile, "cell int, query_id long, key long, distance double")
 
     found = search(asking, False)
     if cells > 1:
         found = kept(found, "near")
-        limits = found.groupBy("query_id").agg(F.element_at(F.sort_array(F.collect_list("distance")), most).alias("limit"))
-        found = found.unionByName(search(asking.join(limits, F.col("key") == F.col("query_id"), "left").select("key", "v", "limit"), True))
+        # a cell that was visited has shown at least one key; the others are looked at once more, each at most once
+        limits = found.groupBy("query_id").agg(F.element_at(F.sort_array(F.collect_list("distance")), most).alias("limit"), F.collect_set("cell").alias("seen"))
+        found = found.unionByName(search(asking.join(limits, F.col("key") == F.col("query_id")).select("key", "v", "limit", "seen"), True))
     if skip_self:
         found = found.filter("key <> query_id")
     by = Window.partitionBy("query_id").orderBy("distance", "key")

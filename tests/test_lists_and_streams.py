@@ -399,3 +399,30 @@ def test_small_operators(spark):
     assert [r["is_valid"] for r in records.response_processor(schema)(text, "i", "body").collect()] == [True, True]
     raw = spark.createDataFrame([(bytearray(b"ok\xff\xc3\xa9"),), (bytearray("fine�".encode()),)], "b binary")
     assert [r["t"] for r in raw.select(text_functions.scrubbed(F.col("b")).alias("t")).collect()] == ["oké", "fine�"]
+
+
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_cells_inside_a_cell_as_all_pairs(monkeypatch, spread):
+    """Clusters, where few of the smaller cells are seen, and a cloud, where most are; ties by key; limits that leave out."""
+    monkeypatch.setattr(neighbors, "INNER", 8)
+    monkeypatch.setattr(neighbors, "TILE", 4000)
+    rng = np.random.default_rng(4)
+    x = np.unique(np.round(np.concatenate([rng.normal(c, spread, (300, 2)) for c in range(-20, 21, 5)]), 2), axis=0)
+    rng.shuffle(x)
+    sizes = rng.integers(1, 4, len(x))
+    keys = rng.permutation(sizes.sum())
+    of = np.repeat(np.arange(len(x)), sizes)
+    y, k = np.concatenate([x[:400], rng.normal(0, 15, (200, 2))]), 5
+    cost = ((y[:, None] - x[None, of]) ** 2).sum(2)
+    want = [keys[o := np.lexsort((keys, cost[i]))[:k]].tolist() for i in range(len(y))]
+    kth = np.sqrt(np.sort(cost, axis=1)[:, k - 1])
+    seen = []
+    tile = neighbors.best_of_tile
+    monkeypatch.setattr(neighbors, "best_of_tile", lambda a, b, c, q, n: (seen.append(len(a) * len(q)), tile(a, b, c, q, n))[1])
+    for limit in (np.full(len(y), np.inf), kth):
+        got = {}
+        for r, key, d in neighbors.best_of_cell(x, keys, sizes, y, k, limit):
+            for i, j in zip(r.tolist(), key.tolist()):
+                got.setdefault(i, []).append(j)
+        assert [got[i] for i in range(len(y))] == want
+    assert spread > 1 or sum(seen) < len(x) * len(y)  # of both searches together
