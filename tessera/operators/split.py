@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ParameterError
+from ..sources.shared import kept
 from .ordered import numbered, running_sum, sort_value
 
 # The holdout's default share, its least and most rows, and the least rows of a table.
 DEFAULT_SHARE, LEAST_HOLDOUT, MOST_HOLDOUT, LEAST_ROWS = 0.05, 10, 2000, 200
 #: Samples up to this many rows are sorted in one task.
 SORTED_SAMPLE = 10_000
+#: Bits of a hash by which split_groups() counts groups first.
+RANGE_BITS = 10
 
 
 def hash_order(key: str | list[str], seed: int):
@@ -45,21 +48,42 @@ def split_rows(df: DataFrame, test: int, key: str | list[str], seed: int = 1) ->
 def split_groups(df: DataFrame, test: float, group: str, seed: int = 1, tries: int = 20) -> tuple[DataFrame, DataFrame]:
     """Groups stay whole.  Of ``tries`` hash orders the one whose test rows come nearest to the target is taken.
 
-    test: a share, or a number of groups; out of range it falls back to the default share.
+    test: a share, or a number of groups; out of range it falls back to the default share.  A group's side follows from its
+    hash and value alone, so the sides are filters.
     """
     if not df.filter(F.col(group).isNull()).isEmpty():
         raise ParameterError(f"{group} has nulls")
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    sizes = kept(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")), "sizes")
     groups, rows = sizes.agg(F.count(F.lit(1)), F.sum("n")).first()
     if test > groups or test in (0, 1):
         test = DEFAULT_SHARE
     target = test if test > 1 else round(rows * test)
     take = int(test) if test > 1 else max(1, -(-groups * test // 1))
-    tried = sizes.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("_h", F.xxhash64(F.lit(seed), "attempt", F.col(group)))
-    ranked = first_by_hash(tried, "attempt", take, group)
-    best = ranked.groupBy("attempt").agg(F.sum("n").alias("n")).orderBy(F.abs(F.col("n") - target), "attempt").first()["attempt"]
-    chosen = ranked.filter(F.col("attempt") == best).select(group)
-    return df.join(chosen, group, "left_anti"), df.join(chosen, group, "left_semi")
+    # orders are counted by ranges of the hash: no group leaves its task but those of the ranges in which an order's last group falls
+    place = lambda i: F.xxhash64(F.lit(seed), F.lit(i), F.col(group))
+    tried = sizes.select(group, "n", F.posexplode(F.array(*[place(i) for i in range(tries)])).alias("attempt", "_h")).withColumn("_range", F.shiftright("_h", 64 - RANGE_BITS))
+    counts = {}
+    for r in tried.groupBy("attempt", "_range").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).orderBy("attempt", "_range").collect():  # at most tries * 2 ** RANGE_BITS
+        counts.setdefault(r["attempt"], []).append((r["_range"], r["c"], r["n"]))
+    found = {}
+    for attempt, ranges in counts.items():
+        left, total = int(take), 0
+        for at, c, n in ranges:
+            if c >= left:
+                break
+            left, total = left - c, total + n
+        found[attempt] = (at, left, total)  # the last range, how many groups of it, and the rows of those before
+    if not found:
+        return df, df.limit(0)
+    edges = df.sparkSession.createDataFrame([(k, *v) for k, v in found.items()], "attempt int, _last long, _left long, _total long")
+    edge = Window.partitionBy("attempt").orderBy("_h", group)
+    last = tried.join(F.broadcast(edges), "attempt").filter("_range = _last").withColumn("_no", F.row_number().over(edge)).filter("_no <= _left")
+    ends = last.groupBy("attempt").agg((F.first("_total") + F.sum("n")).alias("n"), F.max(F.struct("_h", group)).alias("end"))
+    best = ends.orderBy(F.abs(F.col("n") - target), "attempt").first()
+    attempt, end = best["attempt"], best["end"]
+    inside = lambda h, g: (h < F.lit(end["_h"])) | ((h == F.lit(end["_h"])) & (g <= F.lit(end[group])))
+    chosen = inside(place(attempt), F.col(group))
+    return df.filter(~chosen), df.filter(chosen)
 
 
 def first_by_hash(df: DataFrame, part: str, n: int, tie: str | list[str], bits: int = 12) -> DataFrame:

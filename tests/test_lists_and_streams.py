@@ -426,3 +426,19 @@ def test_cells_inside_a_cell_as_all_pairs(monkeypatch, spread):
                 got.setdefault(i, []).append(j)
         assert [got[i] for i in range(len(y))] == want
     assert spread > 1 or sum(seen) < len(x) * len(y)  # of both searches together
+
+
+@pytest.mark.parametrize("test", [0.2, 5, 40])
+def test_group_split_as_all_orders_ranked(spark, monkeypatch, test):
+    """Of 20 hash orders, each ranked whole, the nearest to the target; and no table of groups times orders is shuffled."""
+    monkeypatch.setattr(split, "first_by_hash", None)
+    df = spark.createDataFrame([(f"g{i % 37 % (i % 5 + 8)}", i) for i in range(300)], "g string, i int")
+    sizes = {r["g"]: r["n"] for r in df.groupBy("g").agg(F.count("i").alias("n")).collect()}
+    share = test if test <= len(sizes) else split.DEFAULT_SHARE
+    take = int(share) if share > 1 else max(1, math.ceil(len(sizes) * share))
+    target = share if share > 1 else round(300 * share)
+    tried = df.select("g").distinct().withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(19)))).select("g", "a", F.xxhash64(F.lit(1), "a", "g").alias("h")).collect()
+    sides = [[r["g"] for r in sorted((r for r in tried if r["a"] == a), key=lambda r: (r["h"], r["g"]))[:take]] for a in range(20)]
+    want = min(sides, key=lambda s: abs(sum(sizes[g] for g in s) - target))
+    left, right = split.split_groups(df, test, "g")
+    assert {r["g"] for r in right.collect()} == set(want) and right.count() == sum(sizes[g] for g in want) and left.count() + right.count() == 300
