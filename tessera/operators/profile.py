@@ -1,10 +1,13 @@
 """Column profiles, semantic types, and schemas inferred from them.
 
-All columns of a table are profiled in one aggregation; only one row per column leaves it.
+A column is profiled from its distinct values, by itself, so a task holds values of one column at a time; only one row
+per column leaves it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,16 +57,18 @@ def profile(df: DataFrame) -> DataFrame:
     facts = []
     for f in df.schema:
         c, kind = F.col(f"`{f.name}`"), kind_of(f.dataType)
-        number = c.cast("double") if kind != "other" else F.lit(None).cast("double")
-        text = c.cast("string") if isinstance(f.dataType, T.StringType) else F.lit(None).cast("string")
-        value = c if not isinstance(f.dataType, (T.MapType, T.VariantType)) else F.to_json(c)
+        values = df.select((c if not isinstance(f.dataType, (T.MapType, T.VariantType)) else F.to_json(c)).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+        number = F.col("v").cast("double") if kind != "other" else F.lit(None).cast("double")
+        text = F.col("v") if isinstance(f.dataType, T.StringType) else F.lit(None).cast("string")
+        n = F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("c"))), F.lit(0))
+        mean = lambda size: F.try_divide(F.sum(size * F.col("c")), n)  # noqa: B023, E731
         facts.append(
-            F.struct(
-                F.lit(f.name).alias("column"), F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_rows"), F.count(c).alias("n"), F.countDistinct(value).alias("n_distinct"),
-                F.min(number).alias("low"), F.max(number).alias("high"), F.avg(F.length(text)).alias("mean_length"), F.avg(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).alias("mean_blanks"),
+            values.agg(
+                F.lit(f.name).alias("column"), F.lit(kind).alias("kind"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_rows"), n.alias("n"), F.count("v").alias("n_distinct"),
+                F.min(number).alias("low"), F.max(number).alias("high"), mean(F.length(text)).alias("mean_length"), mean(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).alias("mean_blanks"),
             )
         )
-    rows = df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
+    rows = reduce(DataFrame.unionByName, facts)
     return with_field_type(rows).withColumn("n_missing", F.col("n_rows") - F.col("n")).withColumn("percent_missing", F.bround(100 * F.try_divide(F.col("n_missing"), "n_rows"), 4))
 
 

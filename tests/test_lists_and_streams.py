@@ -14,7 +14,7 @@ from tessera.errors import DataError, ParameterError
 from tessera.functions import letters, privacy
 from tessera.functions import text as text_functions
 from tessera.operators import actions as A
-from tessera.operators import columns, neighbors, nested, patterns, phrases, pii, recognizers, records, split, timings, tokens
+from tessera.operators import columns, neighbors, nested, patterns, phrases, pii, profile, recognizers, records, split, timings, tokens
 from tessera.streaming import batches as B
 
 
@@ -442,3 +442,13 @@ def test_group_split_as_all_orders_ranked(spark, monkeypatch, test):
     want = min(sides, key=lambda s: abs(sum(sizes[g] for g in s) - target))
     left, right = split.split_groups(df, test, "g")
     assert {r["g"] for r in right.collect()} == set(want) and right.count() == sum(sizes[g] for g in want) and left.count() + right.count() == 300
+
+
+def test_profile_holds_one_column_at_a_time(spark):
+    """Facts of repeated, null, zero and nested values; and no row is copied for each column, as a plan with Expand does."""
+    rows = [(1, "a b c d", -0.0, {"k": 1}), (1, "a b c d", 0.0, {"k": 1}), (2, None, float("nan"), None), (None, "xy", 3.5, {"k": 2})]
+    df = spark.createDataFrame(rows, "i int, t string, d double, m map<string,int>")
+    made = profile.profile(df)
+    assert "Expand" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["column"]: (r["n_rows"], r["n_missing"], r["n_distinct"], r["low"], r["high"], r["mean_length"], r["mean_blanks"]) for r in made.collect()}
+    assert got == {"i": (4, 1, 2, 1.0, 2.0, None, None), "t": (4, 1, 2, None, None, 16 / 3, 2.0), "d": (4, 1, 2, 0.0, 3.5, None, None), "m": (4, 1, 2, None, None, None, None)}
