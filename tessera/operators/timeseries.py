@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -119,14 +119,18 @@ def packed_groups(df: DataFrame, group: str, order: str, tokens: str, budget: in
 def patience_reached(batches: DataFrame, order: str, invalid: str, threshold: float = 0.8, patience: int = 3) -> DataFrame:
     """running_mean, run (consecutive batches from the threshold on) and stop, per batch; nulls do not count in the mean.
 
+    Rates, their mean and the threshold are whole billionths, halves up, so that neither depends on the order of a sum.
     Sums and places come from ranges of the order, so no task sees all batches; a run's length is its distance from the
     last batch below the threshold.
     """
     sort = sort_value(batches, order)
-    b = running_sum(batches, [], F.coalesce(F.col(invalid).cast("double"), F.lit(0.0)), [order], sort, "_sum")
-    b = numbered(running_sum(b, [], F.col(invalid).isNotNull().cast("long"), [order], sort, "_n"), [], [order], sort, "_no")
-    mean = F.try_divide(F.col("_sum") + F.coalesce(F.col(invalid), F.lit(0.0)), F.col("_n") + F.col(invalid).isNotNull().cast("long"))
-    b = b.withColumn("running_mean", mean).withColumn("_bad", F.coalesce(F.col("running_mean") >= threshold, F.lit(False)))
+    units = batches.withColumn("_units", F.floor(F.col(invalid).cast("double") * 1e9 + 0.5).cast("long"))
+    here, known = F.coalesce(F.col("_units"), F.lit(0)), F.col("_units").isNotNull().cast("long")
+    b = running_sum(units, [], here, [order], sort, "_sum")
+    b = numbered(running_sum(b, [], known, [order], sort, "_n"), [], [order], sort, "_no")
+    b = b.withColumns({"_sum": F.col("_sum") + here, "_n": F.nullif(F.col("_n") + known, F.lit(0))})
+    b = b.withColumn("running_mean", F.expr("(2 * _sum + _n) div (2 * _n)") / 1e9)
+    b = b.withColumn("_bad", F.coalesce(F.col("_sum") >= F.lit(math.floor(threshold * 1e9 + 0.5)) * F.col("_n"), F.lit(False)))
     b = running_sum(b, [], (~F.col("_bad")).cast("long"), [order], sort, "_good").withColumn("_island", F.col("_good") + (~F.col("_bad")).cast("long"))
     starts = b.groupBy("_island").agg(F.min("_no").alias("_first"))
     run = F.col("_no") - F.col("_first") + F.when(F.col("_island") == 0, 1).otherwise(0)

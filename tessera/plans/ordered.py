@@ -113,13 +113,15 @@ def time_series_preprocessed(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("seconds").alias("seconds")).select(*named, "n", "seconds")
 
 
-_BATCHES = "SELECT CAST(floor(event_id / 500) AS BIGINT) AS batch, avg(CASE WHEN event_type IN ('error', 'click') THEN 1.0 ELSE 0.0 END) AS invalid FROM events GROUP BY 1"
+# rates, their running sums and the threshold are whole billionths, so no sum depends on its order
+_BATCHES = "SELECT CAST(floor(event_id / 500) AS BIGINT) AS batch, CAST(floor(avg(CASE WHEN event_type IN ('error', 'click') THEN 1.0 ELSE 0.0 END) * 1e9 + 0.5) AS BIGINT) AS invalid FROM events GROUP BY 1"
 
 
 @query(f"""
-WITH b AS ({_BATCHES}), m AS (SELECT batch, avg(invalid) OVER (ORDER BY batch) AS running_mean FROM b), i AS (SELECT *, sum(CASE WHEN running_mean >= 0.4 THEN 0 ELSE 1 END) OVER (ORDER BY batch) AS island FROM m)
-SELECT batch, round(running_mean, 6) AS running_mean, sum(CASE WHEN running_mean >= 0.4 THEN 1 ELSE 0 END) OVER (PARTITION BY island ORDER BY batch)::BIGINT AS run,
- sum(CASE WHEN running_mean >= 0.4 THEN 1 ELSE 0 END) OVER (PARTITION BY island ORDER BY batch) >= 3 AS stop FROM i
+WITH b AS ({_BATCHES}), s AS (SELECT batch, sum(invalid) OVER (ORDER BY batch) AS s, count(*) OVER (ORDER BY batch) AS n FROM b),
+m AS (SELECT batch, (2 * s + n) // (2 * n) AS running_mean, s >= 400000000 * n AS bad FROM s), i AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (ORDER BY batch) AS island FROM m)
+SELECT batch, ((running_mean + 500) // 1000) / 1e6 AS running_mean, sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY island ORDER BY batch)::BIGINT AS run,
+ sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY island ORDER BY batch) >= 3 AS stop FROM i
 """)
 def stop_condition_scan(spark, sf):
     e = table(spark, sf, "events")

@@ -14,7 +14,8 @@ from tessera.errors import DataError, ParameterError
 from tessera.functions import letters, privacy
 from tessera.functions import text as text_functions
 from tessera.operators import actions as A
-from tessera.operators import columns, neighbors, nested, patterns, phrases, pii, profile, recognizers, records, split, timings, tokens
+from tessera.operators import columns, neighbors, nested, patterns, phrases, pii, profile, recognizers, records, split, timeseries, timings, tokens
+from tessera.plans.catalog import ORACLES, QUERIES
 from tessera.streaming import batches as B
 
 
@@ -452,3 +453,24 @@ def test_profile_holds_one_column_at_a_time(spark):
     assert "Expand" not in made._jdf.queryExecution().optimizedPlan().toString()
     got = {r["column"]: (r["n_rows"], r["n_missing"], r["n_distinct"], r["low"], r["high"], r["mean_length"], r["mean_blanks"]) for r in made.collect()}
     assert got == {"i": (4, 1, 2, 1.0, 2.0, None, None), "t": (4, 1, 2, None, None, 16 / 3, 2.0), "d": (4, 1, 2, 0.0, 3.5, None, None), "m": (4, 1, 2, None, None, None, None)}
+
+
+def test_patience_at_the_threshold_itself(spark, tmp_path):
+    """Means of exactly 0.4 whose sums of doubles are below it; the query over such batches as its SQL."""
+    rates = [0.1, 0.7, 0.4, None, 0.3, 0.5, 0.2]
+    got = timeseries.patience_reached(spark.createDataFrame(list(enumerate(rates)), "i int, x double"), "i", "x", 0.4, 2).orderBy("i").collect()
+    assert [(r["running_mean"], r["run"], r["stop"]) for r in got] == [(0.1, 0, False), (0.4, 1, False), (0.4, 2, True), (0.4, 3, True), (0.375, 0, False), (0.4, 1, False), (0.366666667, 0, False)]
+    (tmp_path / "sf").mkdir()
+    bad = [50, 350, 200, 133, 267, 200, 7, 393, 200, 200]
+    rows = [(500 * b + i, "error" if i < n else "view") for b, n in enumerate(bad) for i in range(500)] + [(5000 + i, "click" if i < 1 else "view") for i in range(3)]
+    spark.createDataFrame(rows, "event_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/sf/events.parquet")
+    import glob
+
+    import duckdb
+
+    sql = ORACLES["stop_condition_scan"]
+    duckdb_rows = duckdb.connect()
+    duckdb_rows.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{glob.glob(f'{tmp_path}/sf/events.parquet/*.parquet')[0]}')")
+    want = sorted(duckdb_rows.sql(sql).fetchall())
+    mine = sorted(tuple(r) for r in QUERIES["stop_condition_scan"](spark, f"{tmp_path}/sf").collect())
+    assert mine == want and [r[2] for r in mine] == [0, 1, 2, 0, 1, 2, 0, 1, 2, 3, 0]
