@@ -9,7 +9,6 @@ straight to the library's BPE model; every other word goes through the library's
 
 from __future__ import annotations
 
-import re
 from array import array
 
 #: Words whose ids one Python worker remembers, and as many from the generation before.
@@ -19,16 +18,15 @@ CACHE_WORD_BYTES = 64
 
 #: ASCII marks that make one pretoken with each other (the apostrophe starts contractions and is left out).
 _MARKS = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
-_AFTER_WORD = re.compile(rb"(?<=[a-z])([.,]+)(?=[ \n])")
 _LETTERS = frozenset(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 
 
 class _Store(dict):
     """A dict that computes what it misses and keeps two generations of what it computed."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, most: int):
         super().__init__()
-        self.compute, self.old = compute, {}
+        self.compute, self.most, self.old = compute, most, {}
 
     def __missing__(self, key):
         got = self.old.get(key)
@@ -36,7 +34,7 @@ class _Store(dict):
             got = self.compute(key)
             if len(key) > CACHE_WORD_BYTES:
                 return got
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = got
@@ -46,14 +44,14 @@ class _Store(dict):
 class _Words:
     """word (bytes, ASCII letters in lower case) -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.pieces = self.tok.model.tokenize
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.table = {ord(c): level.pre_tokenize_str(c)[0][0] for c in _LETTERS if not c.isascii()}
-        self.words = _Store(self._word)
+        self.words = _Store(self._word, most)
 
     def _word(self, word: bytes) -> bytes:
         if word.isalpha():
@@ -73,20 +71,27 @@ class _Words:
     def encode(self, text: bytes) -> bytes:
         if b"<|" in text:  # special tokens are found before the case is folded
             return b"".join(map(self.plain, text.split()))
-        return b"".join(map(self.words.__getitem__, _AFTER_WORD.sub(rb" \1", text.lower()).split()))
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
-_LOADED: dict[str, _Words] = {}
+_LOADED: dict[tuple[str, int], _Words] = {}
 
 
-def encoder(path: str):
-    """Returns encode(text: bytes) -> bytes: the text's ids as little-endian unsigned 32-bit integers."""
-    words = _LOADED.get(path)
+def encoder(path: str, most: int = CACHE_WORDS):
+    """Returns encode(text: bytes) -> bytes: the text's ids as little-endian unsigned 32-bit integers; most words are remembered twice over."""
+    words = _LOADED.get((path, most))
     if words is None:
-        words = _LOADED[path] = _Words(path)
+        words = _LOADED[path, most] = _Words(path, most)
     return words.encode
 
 
+def forget() -> None:
+    """Lets go of the words that this Python worker remembers, before work that encodes nothing."""
+    for loaded in _LOADED.values():
+        loaded.words.clear()
+        loaded.words.old = {}
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Path of a public vocabulary file; resolved where it is called, so executors find their own copy."""
     import public_tokenizers

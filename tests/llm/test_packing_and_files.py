@@ -307,3 +307,18 @@ def test_mixed_shards_hold_the_words_of_blocks(spark):
     for w in (w for r in got for w in r["words"]):
         counts[int(w.split(".")[0].lstrip("ab"))] += 1
     assert counts == taken
+
+
+def test_word_store_is_bounded_and_let_go(monkeypatch):
+    """Marks behind words and few remembered words change no ids; forget() empties the stores."""
+    from tessera.llm import tokens
+
+    monkeypatch.setattr(tokens, "_LOADED", {})
+    texts = ["one two, three. four... five., six.\nseven, don't. (eight). nine), ten", "a.b c,d. e.,f one two, three!", "Étude. naïve, straße... one"]
+    encode = tokens.encoder(vocabulary(), 5)
+    for t in texts * 2:
+        assert np.frombuffer(encode(t.encode()), "<u4").tolist() == plain_ids(t)
+    store = next(iter(tokens._LOADED.values())).words
+    assert 0 < len(store) <= 5 and len(store.old) <= 5
+    tokens.forget()
+    assert not store and not store.old
