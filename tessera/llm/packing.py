@@ -25,6 +25,8 @@ from .tokens import encoder, vocabulary
 
 CAPACITY = 2048
 END_ID = 0
+#: Words that a worker remembers here, and as many from before: the pipeline's stages before have left less room than op4 has.
+PACKING_WORDS = 200_000
 #: Items that one task packs at a time.
 SHARD_ITEMS = 16384
 
@@ -38,7 +40,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = EN
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = encoder(vocabulary(vocab)), np.uint32(end_id).tobytes()
+        encode, end = encoder(vocabulary(vocab), PACKING_WORDS), np.uint32(end_id).tobytes()
         no = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows: list[list] = [[] for _ in names]

@@ -28,6 +28,7 @@ from pyspark.sql.types import StructType
 
 from .common import long_texts, read_table, written
 from .labelled import held_out, labelled_sample
+from .tokens import forget
 
 SAMPLE_ROWS = 8_000
 FEATURES = 600
@@ -208,6 +209,7 @@ def scored(docs: DataFrame, model: Model, keep_text: bool = True, score: str = "
         raise ValueError(f"there is a column {score} already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # a worker that has encoded before
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
