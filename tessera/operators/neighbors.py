@@ -3,7 +3,8 @@
 A search deals the base's distinct vectors to the cell of their nearest pivot, and sends a query to its nearest
 cells first.  Its k-th distance there bounds what can still win: by the triangle inequality a cell whose nearest
 possible vector is farther is never visited.  A task that searches a cell does the same with smaller cells inside it.
-Vectors that many rows share are searched once, with as many of their smallest keys as can be among the k best.
+Vectors that many rows share are searched once, with as many of their smallest keys as can be among the k best;
+vectors that many queries share are looked for once.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ CELL, MOST_CELLS, MOST_PIVOT_NUMBERS = 1 << 14, 4096, 1 << 22
 VISITS = 1 << 14
 #: Numbers of a cell's vectors, and of its visits, about, where vectors are long; vectors of the smaller cells, at least.
 CELL_NUMBERS, INNER = 1 << 21, 64
+#: Queries are searched by distinct vectors where these are at most this share of them.
+SHARED = 0.5
 #: Numbers of one tile of distances.
 TILE = 1 << 22
 
@@ -167,15 +170,24 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
     Rows without a vector take no part.  The driver gets pivots, and a size and a radius for each.
     """
     most = k + skip_self
-    few = Window.partitionBy("v").orderBy("key")
-    points = _points(base, key, vector, metric, 0).withColumn("_no", F.row_number().over(few)).filter(F.col("_no") <= most)
-    points = kept(points.groupBy("v").agg(F.sort_array(F.collect_list("key")).alias("keys")), "points")
+    points = _points(base, key, vector, metric, 0)
+    if most == 1:
+        points = points.groupBy("v").agg(F.array(F.min("key")).alias("keys"))
+    else:
+        few = Window.partitionBy("v").orderBy("key")
+        points = points.withColumn("_no", F.row_number().over(few)).filter(F.col("_no") <= most).groupBy("v").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    points = kept(points, "points")
     asking = _points(queries, key, vector, metric, 1)
     n, dims = points.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     held = lambda most: min(most, max(1024, CELL_NUMBERS // max(dims or 1, 1)))
     cells = max(1, min(n // held(CELL), MOST_CELLS, MOST_PIVOT_NUMBERS // max(dims or 1, 1)))
+    askers = None
     if cells > 1:
         asking = kept(asking, "asking")
+        rows, different = asking.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("v"))).first()
+        if different <= SHARED * rows:  # a vector that many queries share is looked for once
+            askers = asking
+            asking = kept(askers.select("v").distinct().select(F.monotonically_increasing_id().alias("key"), "v"), "asked")
     pivots = np.array([r["v"] for r in points.orderBy(F.xxhash64("v"), "v").limit(cells).select("v").collect()], dtype=np.float64).reshape(-1, dims or 0)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +255,11 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
         # a cell that was visited has shown at least one key; the others are looked at once more, each at most once
         limits = found.groupBy("query_id").agg(F.element_at(F.sort_array(F.collect_list("distance")), most).alias("limit"), F.collect_set("cell").alias("seen"))
         found = found.unionByName(search(asking.join(limits, F.col("key") == F.col("query_id")).select("key", "v", "limit", "seen"), True))
+    if askers is not None:
+        by = Window.partitionBy("query_id").orderBy("distance", "key")
+        best = found.withColumn("_no", F.row_number().over(by)).filter(F.col("_no") <= most).groupBy("query_id").agg(F.collect_list(F.struct("key", "distance")).alias("_best"))
+        asked = asking.join(best, F.col("key") == F.col("query_id")).select("v", "_best")
+        found = askers.join(asked, "v").select(F.col("key").alias("query_id"), F.inline("_best"))
     if skip_self:
         found = found.filter("key <> query_id")
     by = Window.partitionBy("query_id").orderBy("distance", "key")

@@ -6,9 +6,10 @@ by the bits of its value's number, text columns by vectors that the caller gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,37 +25,62 @@ from .split import column_sets, sample_rows
 RUNS = 10
 #: Rows that the attribute attack goes for unless another number is stated.
 ATTACKED = 200
+#: Distinct values up to this many are numbered in one task.
+FEW_VALUES = 10_000
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
-def encoded_rows(df: DataFrame, fit: DataFrame, key: str, columns: list[str], landmarks: int = 1000) -> DataFrame:
-    """key and v (array<double>): the columns of a row as numbers from 0 to 1.
+def encoder(fit: DataFrame, columns: list[str], landmarks: int = 1000) -> Callable[[DataFrame, str], DataFrame]:
+    """What gives key and v (array<double>) of a table: the columns of a row as numbers from 0 to 1; fitted once for all tables.
 
     A null number is the median; a value that fit doesn't have is all zero bits, as null is.
     """
-    kinds, parts = dict(fit.dtypes), []
+    kinds, cuts, codes = dict(fit.dtypes), {}, {}
     for c in columns:
         if kinds[c] in NUMBERS:
-            cuts = quantiles(fit, c, landmarks)
-            parts.append(F.array(_place(F.col(c).cast("double"), cuts) if cuts else F.lit(0.0)))
+            cuts[c] = np.array(quantiles(fit, c, landmarks))
             continue
         # what is joined has one row for each distinct value
-        values = fit.select(F.col(c).cast("string").alias("_v")).filter("_v IS NOT NULL").distinct().withColumn("_h", F.xxhash64("_v"))
-        n = max(1, values.count().bit_length())
-        codes = numbered(values, [], ["_h", "_v"], F.shiftright("_h", 16).cast("double"), "_code").select("_v", (F.col("_code") + 1).alias("_code"))
-        df = df.join(codes.withColumnsRenamed({"_v": f"_v_{c}", "_code": f"_code_{c}"}), F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
-        code = F.coalesce(F.col(f"_code_{c}"), F.lit(0)).cast("long")
-        parts.append(F.array(*[F.shiftright(code, i).bitwiseAND(1).cast("double") for i in range(n)]))
-    return df.select(key, F.flatten(F.array(*parts)).alias("v"))
+        values = kept(fit.select(F.col(c).cast("string").alias("_v")).filter("_v IS NOT NULL").distinct().withColumn("_h", F.xxhash64("_v")), "values")
+        n = values.count()
+        if n <= FEW_VALUES:
+            placed = values.withColumn("_code", F.row_number().over(Window.orderBy("_h", "_v")) - 1)
+        else:
+            placed = numbered(values, [], ["_h", "_v"], F.shiftright("_h", 16).cast("double"), "_code")
+        codes[c] = placed.select("_v", (F.col("_code") + 1).alias("_code")), max(1, n.bit_length())
+
+    @F.pandas_udf("array<double>")
+    def places(*values: pd.Series) -> pd.Series:
+        found = [_place(x.to_numpy(np.float64, na_value=np.nan), x.isna().to_numpy(), q) for x, q in zip(values, cuts.values())]
+        return pd.Series(list(np.stack(found, axis=1)))
+
+    def encoded(df: DataFrame, key: str) -> DataFrame:
+        parts = {}
+        if cuts:
+            df = df.withColumn("_places", places(*[F.col(c).cast("double") for c in cuts]))
+            parts = {c: F.array(F.col("_places")[i]) for i, c in enumerate(cuts)}
+        for c, (known, n) in codes.items():
+            df = df.join(known.withColumnsRenamed({"_v": f"_v_{c}", "_code": f"_code_{c}"}), F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
+            code = F.coalesce(F.col(f"_code_{c}"), F.lit(0)).cast("long")
+            parts[c] = F.array(*[F.shiftright(code, i).bitwiseAND(1).cast("double") for i in range(n)])
+        return df.select(key, F.flatten(F.array(*[parts[c] for c in columns])).alias("v"))
+
+    return encoded
+
+
+def encoded_rows(df: DataFrame, fit: DataFrame, key: str, columns: list[str], landmarks: int = 1000) -> DataFrame:
+    """encoder() of one table."""
+    return encoder(fit, columns, landmarks)(df, key)
 
 
-def _place(x: Column, cuts: list[float]) -> Column:
-    n, table = len(cuts), F.array(*map(F.lit, cuts))
-    halves = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
-    at = F.aggregate(halves, F.lit(0), lambda a, s: F.when((a + s <= n) & (F.element_at(table, F.least(a + s, F.lit(n))) <= x), a + s).otherwise(a))
-    low, high = F.element_at(table, F.greatest(at, F.lit(1))), F.element_at(table, F.least(at + 1, F.lit(n)))
-    inside = (at - 1 + F.coalesce(F.try_divide(x - low, high - low), F.lit(0.0))) / (n - 1)
-    return F.when(x.isNull(), 0.5).when(at == 0, 0.0).when(at >= n, 1.0).otherwise(inside)
+def _place(x: np.ndarray, missing: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    n = len(cuts)
+    if not n:
+        return np.zeros(len(x))
+    at = np.searchsorted(cuts, x, side="right")
+    low, high = cuts[np.maximum(at, 1) - 1], cuts[np.minimum(at + 1, n) - 1]
+    inside = (at - 1 + np.divide(x - low, high - low, out=np.zeros(len(x)), where=high != low)) / (n - 1)
+    return np.where(missing, 0.5, np.where(at == 0, 0.0, np.where(at >= n, 1.0, inside)))
 
 
 def membership_inference(train: DataFrame, output: DataFrame, test: DataFrame, key: str, columns: list[str], text: str | None = None, runs: int = RUNS, seed: int = 1, most_test: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +103,8 @@ def membership_inference(train: DataFrame, output: DataFrame, test: DataFrame, k
     out = output.select(F.xxhash64(F.lit(2), F.col(key)).alias("_row"), *columns, *([text] if text else []))
     found = []
     if columns:
-        near = nearest(encoded_rows(out, train, "_row", columns), encoded_rows(attacked, train, "_row", columns), "_row", "v", 1)
+        encoded = encoder(train, columns)
+        near = nearest(encoded(out, "_row"), encoded(attacked, "_row"), "_row", "v", 1)
         found.append((near.select(F.col("query_id").alias("_row"), F.col("distance").alias("d0")), len(columns)))
     if text:
         near = nearest(out, attacked, "_row", text, 1, "cosine")
@@ -92,7 +119,7 @@ def membership_inference(train: DataFrame, output: DataFrame, test: DataFrame, k
     rows = kept(rows.select(key, "member", distance.alias("distance")), "distances")
     inside = rows.filter("member").join(blocks, key)
     outside = rows.filter("NOT member").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    every = inside.select("run", key, "member", "distance").unionByName(outside.select("run", key, "member", "distance"))
+    every = kept(inside.select("run", key, "member", "distance").unionByName(outside.select("run", key, "member", "distance")), "runs")
     attacks = membership_attacks(every, "run", F.xxhash64("run", "member", key), "member", "distance")
     return attacks, attack_score(attacks)
 

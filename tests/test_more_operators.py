@@ -120,3 +120,35 @@ def test_report_has_every_component(spark):
     assert scores["text_structure"].grade == scores["text_semantic"].grade == "Unavailable" and scores["text_structure"].notes == "no text column"
     assert all(0 <= scores[c].score <= 10 for c in ("distribution", "correlation", "structure", "membership", "attribute", "quality", "privacy"))
     assert scores["replay"].raw == 4 and set(json.loads(report.as_json(list(scores.values())))) == set(scores)
+
+
+def test_shared_queries_are_searched_once(spark, monkeypatch):
+    """Queries that share a vector visit cells once and get what each would get alone; also beside themselves."""
+    from tessera.operators import neighbors
+
+    visits, keep = [], neighbors.kept
+    monkeypatch.setattr(neighbors, "CELL", 20)
+    monkeypatch.setattr(neighbors, "kept", lambda df, name: [t := keep(df, name), visits.append(t.count()) if name == "visits" else None][0])
+    point = F.array(*[(F.pmod(F.xxhash64(F.col("id") % 90, F.lit(i)), F.lit(1000)) / 1000).cast("float") for i in range(3)])
+    rows = spark.range(1800).select("id", point.alias("v")).unionByName(spark.sql("SELECT 5000L AS id, CAST(NULL AS ARRAY<FLOAT>) AS v"))
+    for k, own in ((1, False), (3, True)):
+        found = []
+        for share in (0.5, 0.0):
+            monkeypatch.setattr(neighbors, "SHARED", share)
+            visits.clear()
+            found.append(sorted(map(tuple, neighbors.nearest(rows.filter("id < 900"), rows, "id", "v", k, skip_self=own).collect())))
+            assert (sum(visits) <= 90 * 5) == (share > 0), visits
+        assert found[0] == found[1] and len(found[0]) == 1800 * k
+
+
+def test_rows_are_encoded_by_one_fit(spark, monkeypatch):
+    fits, fit = [], privacy.quantiles
+    monkeypatch.setattr(privacy, "quantiles", lambda df, c, n: [fits.append(c), fit(df, c, n)][1])
+    base = spark.range(300).select(F.col("id").alias("k"), F.col("id").cast("double").alias("a"), (F.col("id") % 3).cast("string").alias("b"))
+    privacy.membership_inference(base.filter("k < 200"), base.filter("k >= 240"), base.filter("k >= 200 AND k < 240"), "k", ["a", "b"], runs=2)
+    assert fits == ["a"]
+    given = spark.createDataFrame([(1, 0.0, "x"), (2, 2.5, "y"), (3, None, None), (4, -1.0, "new"), (5, 10.0, "x"), (6, 99.0, "y")], "k long, a double, b string")
+    ends = spark.createDataFrame([(0.0, "x"), (10.0, "y")], "a double, b string")
+    got = {r["k"]: r["v"] for r in privacy.encoded_rows(given, ends, "k", ["a", "b"], 4).collect()}
+    assert [got[i][0] for i in range(1, 7)] == [0.0, 0.25, 0.5, 0.0, 1.0, 1.0]
+    assert got[3][1:] == got[4][1:] == [0.0, 0.0] and got[1][1:] == got[5][1:] != got[2][1:] == got[6][1:]
