@@ -1,8 +1,8 @@
 """Recognisers from the user's own lists: phrases of any number, patterns from YAML, and token patterns.
 
-Phrases are found by an automaton that goes over a text once whatever their number.  A list of bounded size goes to
-every executor; a longer one is dealt over parts by hash of the phrase, and each part's automaton meets the texts in
-tasks of bounded size.  What is found is every place where a phrase stands, as it is written or in any case, and
+A list of bounded size goes to every executor as an automaton that goes over a text once.  Of a longer one only a filter of
+bounded size does: a phrase starts and ends where tokens do (runs of letters, digits and underscores, and single other
+characters), so the filter is asked for runs of tokens, and what it lets pass is joined with the list.  What is found is every place where a phrase stands, as it is written or in any case, and
 not inside a longer word: where it begins or ends with a letter, digit or underscore, none stands beside it.
 """
 
@@ -12,15 +12,22 @@ import re
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ParameterError
+from ..sources.shared import kept
 from .recognizers import HIGH, LOW, MEDIUM, Recognizer
 
-#: Characters of a list that goes to every executor, and of a part of a longer one; rows of texts that meet a part at a time.
-MOST_CHARACTERS, MOST_ROWS = 32_000_000, 50_000
+#: Characters of a list whose automaton goes to every executor, and of one that the driver may hold.
+MOST_CHARACTERS, MOST_LISTED = 1_000_000, 32_000_000
+#: Bits of the filter of a longer list: its own a phrase, at least and at most as powers of two, in one piece, and asked for a run.
+FILTER_BITS, LEAST_BITS, MOST_BITS, PIECE_BITS, PROBES = 64, 18, 27, 18, 4
+#: Characters, and texts, that are looked at together; a longer text is looked at alone.
+BLOCK, MOST_ROWS = 1 << 19, 50_000
 SPAN = "struct<start:int,end:int,label:string,text:string,score:double>"
 _SCORES = {"low": LOW, "med": MEDIUM, "high": HIGH}
 
@@ -73,6 +80,156 @@ class Automaton:
         return [(s, e, label, text[s:e], score) for (s, e, label), score in sorted(found.items())]
 
 
+class Tokens:
+    """Texts as one row of characters, and hashes of runs of their tokens.
+
+    A hash is that of a run's characters: a sum over powers, from sums over all characters before.
+    """
+
+    FACTOR = 0x9E3779B97F4A7C15
+    _powers: tuple[np.ndarray, np.ndarray] | None = None
+    _word: np.ndarray | None = None
+
+    def __init__(self, texts: list[str]):
+        if Tokens._word is None:
+            Tokens._word = np.array([_word(chr(c)) for c in range(0x110000)] + [False])
+        codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
+        sizes = np.array([len(c) for c in codes], dtype=np.int64)
+        self.starts = np.cumsum(sizes + 1) - sizes - 1
+        row = np.full(int(sizes.sum()) + len(texts), 0x110000, dtype=np.uint32)  # what ends a text stands in no phrase
+        for at, c in zip(self.starts, codes):
+            row[at : at + len(c)] = c
+        if Tokens._powers is None or len(Tokens._powers[0]) <= len(row):
+            factors = np.full(max(len(row), 2 * BLOCK), Tokens.FACTOR, dtype=np.uint64), np.full(max(len(row), 2 * BLOCK), pow(Tokens.FACTOR, -1, 1 << 64), dtype=np.uint64)
+            Tokens._powers = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(f)]) for f in factors)
+        word = Tokens._word[row]
+        self.at = np.append(np.flatnonzero(~(word & np.concatenate([[False], word[:-1]]))), len(row))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(row.astype(np.uint64)) * Tokens._powers[0][: len(row)])])
+        self.sums, self.back = sums[self.at], Tokens._powers[1][self.at]
+
+    def runs(self, first: np.ndarray, n: int) -> np.ndarray:
+        """The hashes of n tokens from the token first."""
+        return mixed((self.sums[first + n] - self.sums[first]) * self.back[first])
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x + np.uint64(Tokens.FACTOR)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _slots(hashes: np.ndarray, bits: int, probe: int) -> np.ndarray:
+    return ((hashes + np.uint64(probe) * ((hashes >> np.uint64(32)) | np.uint64(1))) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _passed(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes that the filter has."""
+    bits, left = int(len(table) * 8).bit_length() - 1, np.arange(len(hashes))
+    for probe in range(PROBES):
+        slots = _slots(hashes[left], bits, probe)
+        left = left[(table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0]
+    return left
+
+
+def _beginning(n: int) -> int:
+    """Tokens by which phrases of n tokens are looked for first."""
+    return 1 << n.bit_length() - 1
+
+
+def _listed(phrases: DataFrame) -> DataFrame:
+    """form (what stands in a text, in lower case where any case fits), cased, n (its tokens), hashes: of all and of its first tokens."""
+    step = min(MOST_ROWS, 1000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cased = batch.column("cased").to_pylist()
+            forms = [p if c else lowered(p) for p, c in zip(batch.column("phrase").to_pylist(), cased)]
+            for low in range(0, len(forms), step):
+                part = forms[low : low + step]
+                t = Tokens(part)
+                first = np.searchsorted(t.at, t.starts)
+                n = np.diff(np.append(first, len(t.at) - 1)) - 1
+                hashes = np.zeros((len(part), 2), dtype=np.uint64)
+                for size in np.unique(n):
+                    rows = np.flatnonzero(n == size)
+                    hashes[rows, 0], hashes[rows, 1] = t.runs(first[rows], size), t.runs(first[rows], _beginning(int(size)))
+                of = batch.slice(low, len(part))
+                pairs = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * 2, pa.int32()), pa.array(hashes.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), of.column("cased"), of.column("label"), of.column("score"), pa.array(n, pa.int32()), pairs], ["form", "cased", "label", "score", "n", "hashes"])
+
+    return phrases.select("phrase", "label", "score", "cased").filter("phrase <> ''").mapInArrow(run, "form string, cased boolean, label string, score double, n int, hashes array<long>")
+
+
+def _filter(listed: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of the list's hashes; pieces are made by tasks, and at most 2 ** MOST_BITS bits reach the driver."""
+    bits = min(max((FILTER_BITS * n).bit_length(), LEAST_BITS), MOST_BITS)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column("hashes").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            found = np.unique(np.concatenate([_slots(hashes, bits, p) for p in range(PROBES)]))
+            yield pa.RecordBatch.from_arrays([pa.array((found >> PIECE_BITS).astype(np.int32)), pa.array((found & (1 << PIECE_BITS) - 1).astype(np.int32))], ["piece", "slot"])
+
+    def piece(rows: pd.DataFrame) -> pd.DataFrame:
+        marks = np.zeros(1 << PIECE_BITS, dtype=bool)
+        marks[rows["slot"].to_numpy()] = True
+        return pd.DataFrame({"piece": [rows["piece"].iloc[0]], "bits": [np.packbits(marks, bitorder="little").tobytes()]})
+
+    table, size = np.zeros(1 << bits - 3, dtype=np.uint8), 1 << PIECE_BITS - 3
+    for r in listed.select("hashes").mapInArrow(slots, "piece int, slot int").groupBy("piece").applyInPandas(piece, "piece int, bits binary").toLocalIterator():
+        table[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return table
+
+
+def _of_long_list(texts: DataFrame, phrases: DataFrame, n: int) -> DataFrame:
+    """key, start, end, label, text, score for a list that no task can hold."""
+    listed = kept(_listed(phrases), "phrases")
+    lengths: dict[bool, dict[int, list[int]]] = {}
+    for r in listed.select("cased", "n").distinct().orderBy("cased", "n").collect():  # at most as many as the longest phrase has tokens
+        lengths.setdefault(r["cased"], {}).setdefault(_beginning(r["n"]), []).append(r["n"])
+    kind = dict(texts.dtypes)["key"]
+    sent, most = texts.sparkSession.sparkContext.broadcast(_filter(listed, n)), MOST_ROWS
+
+    def found(part: list[str], cased: bool) -> Iterator[tuple[int, int, int, str]]:
+        """(text, start, end, form) of the runs that the filter lets pass."""
+        forms = part if cased else [lowered(t) for t in part]
+        tokens, table = Tokens(forms), sent.value
+        count = len(tokens.at) - 1
+        for begin, sizes in lengths[cased].items():
+            if begin > count:
+                continue
+            first = np.arange(count - begin + 1)
+            first = first[_passed(table, tokens.runs(first, begin))]
+            for size in sizes:
+                some = first[: np.searchsorted(first, count - size, side="right")]
+                some = some[_passed(table, tokens.runs(some, size))] if size != begin else some
+                low, high = tokens.at[some], tokens.at[some + size]
+                of = np.searchsorted(tokens.starts, low, side="right") - 1
+                low, high = low - tokens.starts[of], high - tokens.starts[of]
+                yield from ((i, a, b, forms[i][a:b]) for i, a, b in zip(of.tolist(), low.tolist(), high.tolist()) if b <= len(forms[i]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("text").to_pylist()
+            ends = np.cumsum([len(t) for t in values])
+            at = 0
+            while at < len(values):
+                upto = min(at + most, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, side="right"))))
+                rows = [(at + i, a, b, cased, form, values[at + i][a:b]) for cased in lengths for i, a, b, form in found(values[at:upto], cased)]
+                columns = [list(c) for c in zip(*rows)] or [[]] * 6
+                of = pa.array(columns[0], pa.int64())
+                types = (pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(of), batch.column("row").take(of), *[pa.array(c, t) for c, t in zip(columns[1:], types)]], ["key", "row", "start", "end", "cased", "form", "text"])
+                at = upto
+
+    runs = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(search, f"key {kind}, row long, start int, end int, cased boolean, form string, text string")
+    labels = listed.groupBy("form", "cased", "label").agg(F.max("score").alias("score"))
+    places = runs.join(labels, ["form", "cased"])
+    if len(lengths) > 1:  # two phrases may say the same of a place: one in this case, one in any
+        places = places.groupBy("row", "start", "end", "label").agg(F.any_value("key").alias("key"), F.any_value("text").alias("text"), F.max("score").alias("score"))
+    return places.select("key", "start", "end", "label", "text", "score")
+
+
 _BUILT: dict[object, Automaton] = {}
 
 
@@ -117,29 +274,12 @@ def phrase_matches(df: DataFrame, key: str, column: str, phrases: DataFrame, mos
 
         return texts.mapInArrow(search, schema).withColumnRenamed("key", key)
 
-    # parts of the list by hash of the phrase, texts by hash of their number, each pair of them in one task
-    parts, shares = -(-size // most), max(1, -(-texts.count() // MOST_ROWS))
-    listed = phrases.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts))).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    asked = texts.withColumn("row", F.monotonically_increasing_id()).withColumn("share", F.pmod(F.xxhash64("row"), F.lit(shares)).cast("int"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        automaton = Automaton(zip(*[left.column(c).to_pylist() for c in ("phrase", "label", "score", "cased")]))
-        right = right.combine_chunks()
-        made = [rows(automaton, pa.StructArray.from_arrays([b.column("key"), b.column("row")], ["key", "row"]), b.column("text")) for b in right.to_batches()]
-        empty = pa.struct([right.schema.field("key"), right.schema.field("row")])
-        return pa.Table.from_batches(made) if made else pa.table({n: pa.array([], t) for n, t in zip(names, (empty, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64()))})
-
-    numbered = schema.replace(f"key {kind}", f"key struct<key:{kind},row:bigint>", 1)
-    found = listed.groupBy("part", "share").cogroup(asked.groupBy("part", "share")).applyInArrow(meet, numbered)
-    # phrases of two parts may say the same of a place: one in this case, one in any
-    once = found.groupBy("key.row", "start", "end", "label").agg(F.any_value("key.key").alias(key), F.any_value("text").alias("text"), F.max("score").alias("score"))
-    return once.select(key, "start", "end", "label", "text", "score")
+    return _of_long_list(texts, phrases, n).withColumnRenamed("key", key)
 
 
 def phrase_spans(column: str, phrases: list[tuple[str, str, float, bool]]) -> Column:
     """Spans as those of pii.spans(), of the stripped value, for a list (phrase, label, score, cased) that the driver holds."""
-    if sum(len(p[0]) for p in phrases) > MOST_CHARACTERS:
+    if sum(len(p[0]) for p in phrases) > MOST_LISTED:
         raise ParameterError("a list of this size is for phrase_matches()")
     from .pii import SPANS, stripped
 

@@ -136,6 +136,20 @@ def test_phrases_as_naive_search(spark, most, monkeypatch):
     assert phrases.phrase_matches(df, "id", "text", table.limit(0)).count() == 0
 
 
+def test_long_phrase_list_is_held_nowhere(spark, monkeypatch):
+    """Of a list above a million characters the driver gets a filter's pieces and lengths, not the phrases."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    got, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: [rows := collect(df), got.append(len(rows))][0])
+    listed = spark.range(30_000).select(F.concat(F.lit("number "), "id", F.lit(" of the list of phrases: "), F.expr("id * id"), F.lit(" (end)")).alias("phrase"))
+    docs = spark.range(400).select("id", F.concat(F.lit("_ number "), "id", F.lit(" of the list of phrases: "), F.expr("id * id + id % 2"), F.lit(" (end)x, "), F.repeat(F.lit("é_ "), F.lit(50))).alias("text"))
+    found = phrases.phrase_matches(docs, "id", "text", phrases.phrase_table(listed))
+    assert max(got, default=0) < 1000
+    rows = {r["id"]: (r["start"], r["text"]) for r in found.collect()}
+    assert rows == {i: (2, f"number {i} of the list of phrases: {i * i} (end)") for i in range(0, 400, 2)}
+
+
 def test_hundred_thousand_phrases(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").filter("text IS NOT NULL")
     words = [w for r in docs.limit(100).collect() for w in r["text"].split()]
