@@ -42,6 +42,10 @@ def _near(text: str, start: int, end: int, window: int) -> str:
     return text[low:high].casefold()
 
 
+def _any_of(text: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+
 def spans(column: str, recognizers: tuple[Recognizer, ...] = RECOGNIZERS, least: float = LOW, window: int = 16, timings: Timings | None = None) -> Column:
     """array<struct<start, end, label, text, score>> of the stripped value; empty where nothing is found, null for null.
 
@@ -85,11 +89,26 @@ def spans(column: str, recognizers: tuple[Recognizer, ...] = RECOGNIZERS, least:
             sums.add({label: moments(seconds) for label, seconds in taken.items()})
         return out
 
+    lower, digits, size = F.lower(value), value.rlike("[0-9]"), F.length(value)
+
     def fits(r: Recognizer, named: bool) -> Column:
-        hit = value.rlike(r.hint) if r.hint else F.lit(True)
+        """Whether the hint is there, and a word near; what is cheap and follows from a match is asked first."""
+        asked = []
+        if r.whole:
+            asked.append(size.between(*r.width()))
         if r.context_only and not named:
-            hit = hit & F.lower(value).rlike("|".join(re.escape(c) for c in r.context))
-        return hit
+            asked.append(_any_of(lower, list(r.context)))
+        if r.hint:
+            words = r.hint_words()
+            if words and not r.hint.startswith("(?i)"):
+                asked.append(_any_of(value, words))
+            else:
+                if words:
+                    asked.append(_any_of(lower, words))
+                if r.needs_digit():
+                    asked.append(digits)
+                asked.append(value.rlike(r.hint))
+        return reduce(lambda a, b: a & b, asked, F.lit(True)) if asked else F.lit(True)
 
     bits = sum((F.when(fits(r, named), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (r, _, named) in enumerate(plan)), F.lit(0).cast("long"))
     return F.when(value.isNotNull(), F.coalesce(find(F.when(bits > 0, value), bits), F.array().cast(SPANS)))

@@ -152,3 +152,15 @@ def test_rows_are_encoded_by_one_fit(spark, monkeypatch):
     got = {r["k"]: r["v"] for r in privacy.encoded_rows(given, ends, "k", ["a", "b"], 4).collect()}
     assert [got[i][0] for i in range(1, 7)] == [0.0, 0.25, 0.5, 0.0, 1.0, 1.0]
     assert got[3][1:] == got[4][1:] == [0.0, 0.0] and got[1][1:] == got[5][1:] != got[2][1:] == got[6][1:]
+
+
+def test_what_is_asked_before_a_hint_follows_from_it(spark):
+    """Words, digits and sizes rule out no text that the hint and the pattern would find."""
+    by = {r.label: r for r in recognizers.RECOGNIZERS}
+    assert by["google_key"].hint_words() == ["AIza", "ya29"] and by["sendgrid_key"].hint_words() == ["SG."] and by["race"].hint_words() == [] and by["ipv4"].hint_words() == []
+    assert by["ssn"].needs_digit() and by["iban"].needs_digit() and not by["md5"].needs_digit() and by["md5"].width() == (32, 32) and by["plus_code"].width() == (11, 12)
+    assert not recognizers.Recognizer("x", "a", hint=r"a\d?|b\d").needs_digit() and not recognizers.Recognizer("x", "a", hint=r"a\d*").needs_digit()
+    texts = [("an AMERICAN indian", "race"), ("Hispanic or LATINO", "ethnicity"), ("9e107d9d372bb6826bd81d3542a419d6", "md5"), (" 849VCWC8+R9\n", "plus_code"), ("849VCWC8+R9 x", None), ("AC" + "0a" * 16, "twilio_key"), ("MAIL a@b.org", "email"), ("CARD 4111-1111-1111-1111", "credit_card"), ("male", "sex"), ("MALES", None), ("latin1", None), ("", None)]
+    found = spark.createDataFrame(texts, "note string, label string").select("label", pii.spans("note").alias("s")).collect()
+    for r in found:
+        assert {s["label"] for s in r["s"]} == ({r["label"]} if r["label"] else set()), r
