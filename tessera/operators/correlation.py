@@ -5,11 +5,14 @@ Pairs of columns are processed by class of pair, each class in one aggregation o
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .encoding import quantiles
+
 #: Share of distinct values above which a nominal column is highly unique; the value that stands for a missing one.
 HIGH_UNIQUE, MISSING = 0.1, "\0missing"
 
@@ -38,14 +41,21 @@ def pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
 
 
-def _pair_cells(df: DataFrame, pairs: list[tuple[str, str]], y_type: str) -> DataFrame:
-    return df.select(F.inline(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.coalesce(F.col(x).cast("string"), F.lit(MISSING)).alias("a"), (F.coalesce(F.col(y).cast("string"), F.lit(MISSING)) if y_type == "string" else F.col(y).cast(y_type)).alias("b")) for x, y in pairs])))
+def _category(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
 
 
 def correlation_ratio(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """x (nominal), y (numeric), eta: the root of the share of y's variance between categories of x."""
-    cells = _pair_cells(df, pairs, "double").filter("b IS NOT NULL")
-    groups = cells.groupBy("x", "y", "a").agg(F.count(F.lit(1)).alias("n"), F.avg("b").alias("mean"), F.var_pop("b").alias("var"))
+    """x (nominal), y (numeric), eta: the root of the share of y's variance between categories of x.
+
+    The numeric columns of a nominal one are summed up in one aggregation.
+    """
+    parts = []
+    for x in dict.fromkeys(x for x, _ in pairs):
+        fact = lambda y: F.struct(F.lit(y).alias("y"), F.count(F.col(y).cast("double")).alias("n"), F.avg(F.col(y).cast("double")).alias("mean"), F.var_pop(F.col(y).cast("double")).alias("var"))
+        facts = df.groupBy(_category(x).alias("a")).agg(F.array(*[fact(y) for z, y in pairs if z == x]).alias("facts"))
+        parts.append(facts.select(F.lit(x).alias("x"), "a", F.inline("facts")).filter("n > 0"))
+    groups = reduce(DataFrame.unionByName, parts)
     whole = groups.groupBy("x", "y").agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
     sums = groups.join(F.broadcast(whole), ["x", "y"]).groupBy("x", "y").agg(F.first("total").alias("total"), F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), F.lit(2))).alias("between"), F.sum(F.col("n") * F.col("var")).alias("within"))
     eta = F.when((F.col("total") < 2) | (F.col("between") + F.col("within") <= 0), 0.0).otherwise(F.sqrt(F.col("between") / (F.col("between") + F.col("within"))))
@@ -53,8 +63,13 @@ def correlation_ratio(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def theils_u(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """x, y, u = U(x|y) and u_back = U(y|x), from one table of joint counts; a constant side gives 1."""
-    joint = _pair_cells(df, pairs, "string").groupBy("x", "y", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    """x, y, u = U(x|y) and u_back = U(y|x), from one table of joint counts; a constant side gives 1.
+
+    Rows that are alike in all these columns are counted before they are taken apart into pairs.
+    """
+    alike = df.groupBy(*dict.fromkeys(c for p in pairs for c in p)).agg(F.count(F.lit(1)).alias("_n"))
+    cells = alike.select("_n", F.inline(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), _category(x).alias("a"), _category(y).alias("b")) for x, y in pairs])))
+    joint = cells.groupBy("x", "y", "a", "b").agg(F.sum("_n").alias("n"))
     part = lambda side: joint.groupBy("x", "y", side).agg(F.sum("n").alias("n")).withColumn("side", F.lit(side)).select("x", "y", "side", "n")
     every = joint.select("x", "y", F.lit("ab").alias("side"), "n").unionByName(part("a")).unionByName(part("b"))
     plogp = F.sum(F.col("n") * F.ln("n"))
@@ -71,9 +86,12 @@ def mixed_correlation(df: DataFrame, nominal: list[str], numeric: list[str]) ->
     numbers as categories where the nominal column is highly unique; numeric x numeric: Pearson's r.  A
     column with one value: 0, and 1 with itself.
     """
-    facts = df.agg(F.count(F.lit(1)).alias("n"), *[F.countDistinct(F.coalesce(F.col(c).cast("string"), F.lit(MISSING))).alias(c) for c in [*nominal, *numeric]]).first()
-    constant = {c for c in [*nominal, *numeric] if facts[c] <= 1}
-    unique = {c for c in nominal if facts[c] > HIGH_UNIQUE * facts["n"]} - constant
+    one = lambda c: (F.count(c) == 0) | ((F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c)))
+    n, flat = df.agg(F.count(F.lit(1)), F.array(*[one(c) for c in numeric]).cast("array<boolean>")).first()
+    values = [df.select(F.col(c).alias("v")).distinct().agg(F.lit(c).alias("c"), F.count(F.lit(1)).alias("n")) for c in nominal]
+    distinct = {r["c"]: r["n"] for r in reduce(DataFrame.unionByName, values).collect()} if values else {}
+    constant = {c for c, fits in zip(numeric, flat) if fits} | {c for c in nominal if distinct[c] <= 1}
+    unique = {c for c in nominal if distinct[c] > HIGH_UNIQUE * n} - constant
     nom, num = [c for c in nominal if c not in constant], [c for c in numeric if c not in constant]
     as_category = list(combinations(nom, 2)) + [(c, y) for c in nom if c in unique for y in num]
     parts = []
@@ -108,7 +126,7 @@ def count_encoded(df: DataFrame, fit: DataFrame, column: str, out: str) -> DataF
 
 
 def median_filled(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls of numeric columns as their median, cut to a whole number for integers."""
-    medians = F.broadcast(df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns]))
-    kinds = dict(df.dtypes)
-    return df.join(medians).withColumns({c: F.coalesce(c, F.col(f"_m_{c}").cast(kinds[c])) for c in columns}).select(*df.columns)
+    """Nulls of numeric columns as their median, cut to a whole number for integers.  Columns without nulls need none."""
+    nulls = df.agg(F.lit(0).alias("_"), *[F.count_if(F.col(c).isNull()).alias(f"_m_{c}") for c in columns]).first()
+    medians, kinds = {c: quantiles(df, c, 2) for c in columns if nulls[f"_m_{c}"]}, dict(df.dtypes)
+    return df.withColumns({c: F.coalesce(c, F.lit(m[1]).cast(kinds[c])) for c, m in medians.items() if m}) if medians else df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,10 @@ from .profile import long_form
 EMPTY_SIDE, MOST_BINS = 0.5887, 500
 
 
-def doane_bins(df: DataFrame, column: str) -> DataFrame:
-    """low, high, width, bins of one column: Doane's rule over all rows; one bin for a constant."""
-    c = F.col(column)
-    s = df.agg(F.count(c).alias("n"), F.min(c).alias("low"), F.max(c).alias("high"), F.skewness(c).alias("g"), F.stddev_pop(c).alias("sd"))
+def _doane(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, low, high, width, bins of each column, from one pass over the rows."""
+    facts = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"), F.skewness(c).alias("g"), F.stddev_pop(c).alias("sd")) for c in columns]
+    s = df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
     spread = F.sqrt(6.0 * (F.col("n") - 2) / ((F.col("n") + 1.0) * (F.col("n") + 3.0)))
     parts = 1 + F.log2(F.col("n")) + F.log2(1 + F.abs("g") / spread)
     width = F.when((F.col("n") > 2) & (F.col("sd") > 0), (F.col("high") - F.col("low")) / parts).otherwise(0.0)
@@ -23,7 +25,12 @@ def doane_bins(df: DataFrame, column: str) -> DataFrame:
     flat = F.col("low") == F.col("high")
     low = F.when(flat, F.col("low") - 0.5).otherwise(F.col("low"))
     high = F.when(flat, F.col("high") + 0.5).otherwise(F.col("high"))
-    return s.select(low.cast("double").alias("low"), high.cast("double").alias("high"), bins.alias("bins")).withColumn("width", (F.col("high") - F.col("low")) / F.col("bins"))
+    return s.select("column", low.alias("low"), high.alias("high"), bins.alias("bins")).withColumn("width", (F.col("high") - F.col("low")) / F.col("bins"))
+
+
+def doane_bins(df: DataFrame, column: str) -> DataFrame:
+    """low, high, width, bins of one column: Doane's rule over all rows; one bin for a constant."""
+    return _doane(df, [column]).drop("column")
 
 
 def bucket(x: Column, low: Column, width: Column, bins: Column) -> Column:
@@ -38,6 +45,16 @@ def histogram(df: DataFrame, column: str, side: str) -> DataFrame:
     return x.groupBy("side", bucket(F.col("x"), F.col("low"), F.col("width"), F.col("bins")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def histograms(df: DataFrame, columns: list[str], side: str) -> DataFrame:
+    """column, side, bucket, n: histogram() of each column, the bins of all from one pass.  One row a column reaches the driver."""
+    bins = {r["column"]: r for r in _doane(df, columns).collect()}
+    parts = []
+    for c in columns:
+        at = bucket(F.col(c).cast("double"), *[F.lit(bins[c][k]) for k in ("low", "width", "bins")])
+        parts.append(df.filter(F.col(c).isNotNull()).groupBy(F.lit(c).alias("column"), F.col(side).alias("side"), at.alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def categorical_distribution(df: DataFrame, columns: list[str], side: str | None = None) -> DataFrame:
     """column, (side,) value, n, percent; missing is a value of its own, 'nan'."""
     extra = [] if side is None else [side]
@@ -78,4 +95,4 @@ def running_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
 
 
-__all__ = ["bucket", "categorical_distribution", "doane_bins", "histogram", "js_distance", "long_form", "mean_divergence", "missing", "running_statistics"]
+__all__ = ["bucket", "categorical_distribution", "doane_bins", "histogram", "histograms", "js_distance", "long_form", "mean_divergence", "missing", "running_statistics"]

@@ -1,8 +1,9 @@
 """Exact nearest neighbours by cells around pivots, the two-sample test, and privacy attacks.
 
 A search deals the base's distinct vectors to the cell of their nearest pivot, and sends a query to its nearest
-cells first.  Its k-th distance there bounds what can still win: by the triangle inequality a cell whose nearest
-possible vector is farther is never visited.  A task that searches a cell does the same with smaller cells inside it.
+cell first.  Its k-th distance there bounds what can still win: a cell is never visited if it ends, by its radius, before that distance, or if
+the plane midway between its pivot and the query's nearest pivot is farther, as no vector of the cell lies on the query's side.
+The task that searches the first cell says which others are left.  Inside a cell the same is done with smaller cells.
 Vectors that many rows share are searched once, with as many of their smallest keys as can be among the k best;
 vectors that many queries share are looked for once.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import attack_grade
 from ..sources.shared import kept
-from .ordered import numbered
+from .ordered import at_ranks
 
 #: Distinct vectors of a cell, about; cells, at most, and numbers in all pivots, as these go to every task.
 CELL, MOST_CELLS, MOST_PIVOT_NUMBERS = 1 << 14, 4096, 1 << 22
@@ -100,6 +101,20 @@ def nearest_with(gap: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
     return first & (size > 0)
 
 
+def left_of(y: np.ndarray, gap: np.ndarray, pivots: np.ndarray, radius: np.ndarray, limit: np.ndarray, scale: float, go: np.ndarray) -> np.ndarray:
+    """Which of the cells in go can have a vector within limit of each row of y; gap holds the distances to their pivots."""
+    bound = limit + 1e-6 * (np.sqrt((y * y).sum(1)) + scale)
+    go = go & (gap - radius <= bound[:, None])
+    r, c = np.nonzero(go)
+    if len(r):
+        home = gap.argmin(1)
+        apart = np.sqrt(((pivots[c] - pivots[home[r]]) ** 2).sum(1))
+        # squares are right to some 1e-15 of the scale's; pivots that lie close together make that larger
+        excess = gap[r, c] ** 2 - gap[r, home[r]] ** 2 - 1e-12 * (bound[r] + scale) ** 2
+        go[r, c] = ~(excess > 2 * apart * bound[r])
+    return go
+
+
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest pivot of each row, and its distance."""
     cell, far, step = np.zeros(len(x), np.int32), np.zeros(len(x)), max(1, TILE // max(len(pivots), 1))
@@ -150,8 +165,7 @@ def best_of_cell(x: np.ndarray, keys: np.ndarray, sizes: np.ndarray, y: np.ndarr
         r, key, d = best(visit(q, first))
         full, kth = np.bincount(r, minlength=len(q)) >= k, np.zeros(len(q))
         np.maximum.at(kth, r, np.sqrt(d))
-        bound = np.fmin(limit[start : start + step], np.where(full, kth, np.inf)) + 1e-6 * (np.sqrt((q * q).sum(1)) + largest)
-        rest = (gap - radius <= bound[:, None]) & ~first & (count > 0)
+        rest = left_of(q, gap, pivots, radius, np.fmin(limit[start : start + step], np.where(full, kth, np.inf)), largest, ~first & (count > 0))
         all_of = rest.sum(1) > m // 4
         if all_of.any():
             rows = np.flatnonzero(all_of)
@@ -199,71 +213,83 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
     dealt = points.mapInArrow(assign, "cell int, far double, v array<double>, keys array<long>")
     if cells > 1:
         dealt = kept(dealt, "cells")
-    size, radius = np.zeros(max(cells, 1), dtype=np.int64), np.zeros(max(cells, 1))
-    for r in dealt.groupBy("cell").agg(F.sum(F.size("keys")).alias("n"), F.max("far").alias("far")).collect():
-        size[r["cell"]], radius[r["cell"]] = r["n"], r["far"]
+    size, held_by, radius = np.zeros(max(cells, 1), dtype=np.int64), np.zeros(max(cells, 1), dtype=np.int64), np.zeros(max(cells, 1))
+    for r in dealt.groupBy("cell").agg(F.sum(F.size("keys")).alias("n"), F.count(F.lit(1)).alias("vectors"), F.max("far").alias("far")).collect():
+        size[r["cell"]], held_by[r["cell"]], radius[r["cell"]] = r["n"], r["vectors"], r["far"]
     largest = float(np.sqrt((pivots * pivots).sum(1).max(initial=0)) + radius.max(initial=0))
+    # a query starts where k are to be found, if there is such a cell
+    first_of = size >= (most if size.max(initial=0) >= most else 1)
+    carried = askers is not None
+    step = max(1, min(1024, TILE // cells))
 
-    def visits(bounded: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            step = max(1, min(1024, TILE // cells))
-            for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    y = _matrix(part.column("v"))
-                    gap = np.sqrt(_squares(y, pivots))
-                    limit = np.full(len(y), np.inf)
-                    if bounded:
-                        limit = np.nan_to_num(part.column("limit").to_numpy(zero_copy_only=False), nan=np.inf)
-                        slack = 1e-6 * (np.sqrt((y * y).sum(1)) + largest)
-                        go = (gap - radius <= (limit + slack)[:, None]) & (size > 0)
-                        seen = part.column("seen")
-                        go[np.repeat(np.arange(len(y)), pa.compute.list_value_length(seen).to_numpy()), seen.flatten().to_numpy()] = False
-                    else:
-                        go = nearest_with(gap, size, most)
-                    r, c = np.nonzero(go)
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), part.column("key").take(pa.array(r)), _vectors(y[r]), pa.array(limit[r])], ["cell", "query_id", "v", "limit"])
-
-        return run
-
-    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        if left.num_rows and right.num_rows:
-            lists = left.column("keys").combine_chunks()
-            x, y, ids = _matrix(left.column("v")), _matrix(right.column("v")), right.column("query_id").to_numpy()
-            for r, found_key, d in best_of_cell(x, lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), y, most, right.column("limit").to_numpy()):
-                found.append((ids[r], found_key, np.sqrt(d)))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        at = left.column("cell")[0].as_py() if left.num_rows else 0
-        return pa.table({c: pa.array(v) for c, v in zip(("cell", "query_id", "key", "distance"), (np.full(len(columns[0]), at, np.int32), *columns))})
-
-    def search(asked: DataFrame, bounded: bool) -> DataFrame:
-        sent = asked.mapInArrow(visits(bounded), "cell int, query_id long, v array<double>, limit double")
+    def first_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and first_of.any():
+                at = np.flatnonzero(first_of)
+                cell = at[nearest_pivots(_matrix(batch.column("v")), pivots[at])[0]] if cells > 1 else np.zeros(batch.num_rows, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column("key"), batch.column("v"), pa.array(np.full(batch.num_rows, np.inf))], ["cell", "id", "v", "limit"])
+
+    def lists(ids: np.ndarray, n: np.ndarray, keys: np.ndarray, d: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+        ends = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+        return pa.array(ids), pa.ListArray.from_arrays(ends, pa.array(keys)), pa.ListArray.from_arrays(ends, pa.array(d))
+
+    def tile(left: pa.Table, right: pa.Table, first: bool) -> pa.Table:
+        """Each query with its best of the cell; of a first visit also with the cells that are left, and its vector where it is needed."""
+        names = ["id", "keys", "distances", "rest", "v"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64()))], names)
+        held = left.column("keys").combine_chunks()
+        x, y, limit = _matrix(left.column("v")), _matrix(right.column("v")), right.column("limit").to_numpy()
+        r, key, d = (np.concatenate(c) for c in zip(*best_of_cell(x, held.flatten().to_numpy(), np.diff(held.offsets.to_numpy()), y, most, limit)))
+        d = np.sqrt(d)
+        order = np.lexsort((key, d, r))
+        key, d = key[order], d[order]
+        n = np.bincount(r, minlength=len(y))
+        kth = np.full(len(y), np.inf)
+        full = np.flatnonzero(n >= most)
+        kth[full] = d[np.cumsum(n)[full] - 1]
+        more = []
+        for at in range(0, len(y) if first and cells > 1 else 0, step):
+            q = y[at : at + step]
+            go = np.repeat((size > 0)[None], len(q), axis=0)
+            go[:, left.column("cell")[0].as_py()] = False
+            more.append(left_of(q, np.sqrt(_squares(q, pivots)), pivots, radius, kth[at : at + step], largest, go))
+        at, cell = (np.concatenate(c) for c in zip(*[(i * step + r, c) for i, (r, c) in enumerate(map(np.nonzero, more))])) if more else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        rest = np.bincount(at, minlength=len(y))
+        sent = rest > 0 if not carried else np.full(len(y), first)
+        vectors = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sent * y.shape[1])), pa.int32()), pa.array(y[sent].ravel()))
+        return pa.table([*lists(right.column("id").to_numpy(), n, key, d), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rest)), pa.int32()), pa.array(cell.astype(np.int32))), vectors], names)
+
+    def search(sent: DataFrame, first: bool) -> DataFrame:
         copies = [1] * max(cells, 1)
         if cells > 1:
             sent = kept(sent, "visits")
         for r in sent.groupBy("cell").count().collect():
-            copies[r["cell"]] = -(-r["count"] // held(VISITS))
+            copies[r["cell"]] = -(-r["count"] // max(held(VISITS), int(held_by[r["cell"]])))
         n_copies = F.element_at(F.array(*map(F.lit, copies)), F.col("cell") + 1)
         left = dealt.select("cell", "v", "keys", F.explode(F.sequence(F.lit(0), n_copies - 1)).alias("part"))
-        right = sent.withColumn("part", F.pmod(F.xxhash64("query_id"), n_copies.cast("long")).cast("int"))
-        return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(tile, "cell int, query_id long, key long, distance double")
+        right = sent.withColumn("part", F.pmod(F.xxhash64("id", "v"), n_copies.cast("long")).cast("int"))
+        return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(lambda a, b: tile(a, b, first), "id long, keys array<long>, distances array<double>, rest array<int>, v array<double>")
 
-    found = search(asking, False)
+    best = F.arrays_zip("distances", "keys").alias("best")
+    found = search(asking.mapInArrow(first_visits, "cell int, id long, v array<double>, limit double"), True)
     if cells > 1:
+        # rows of a query's key need not be one, so those that go on get a number of their own
         found = kept(found, "near")
-        # a cell that was visited has shown at least one key; the others are looked at once more, each at most once
-        limits = found.groupBy("query_id").agg(F.element_at(F.sort_array(F.collect_list("distance")), most).alias("limit"), F.collect_set("cell").alias("seen"))
-        found = found.unionByName(search(asking.join(limits, F.col("key") == F.col("query_id")).select("key", "v", "limit", "seen"), True))
+        open_ = kept(found.filter("size(rest) > 0").withColumn("at", F.monotonically_increasing_id()), "open")
+        limit = F.when(F.size("distances") >= most, F.element_at("distances", -1)).otherwise(float("inf"))
+        again = search(open_.select(F.explode("rest").alias("cell"), F.col("at").alias("id"), "v", limit.alias("limit")), False)
+        every = open_.select(F.col("at").alias("id"), best).unionByName(again.select("id", best)).select("id", F.inline("best"))
+        merged = every.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distances", "keys"))), 1, most).alias("best"))
+        merged = open_.select("at", F.col("id").alias("own"), "v").join(merged, F.col("at") == F.col("id")).select(F.col("own").alias("id"), "v", "best")
+        found = found.filter("size(rest) = 0").select("id", "v", best).unionByName(merged)
+    else:
+        found = found.select("id", "v", best)
     if askers is not None:
-        by = Window.partitionBy("query_id").orderBy("distance", "key")
-        best = found.withColumn("_no", F.row_number().over(by)).filter(F.col("_no") <= most).groupBy("query_id").agg(F.collect_list(F.struct("key", "distance")).alias("_best"))
-        asked = asking.join(best, F.col("key") == F.col("query_id")).select("v", "_best")
-        found = askers.join(asked, "v").select(F.col("key").alias("query_id"), F.inline("_best"))
-    if skip_self:
-        found = found.filter("key <> query_id")
-    by = Window.partitionBy("query_id").orderBy("distance", "key")
-    ranked = found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+        found = askers.withColumn("_h", F.xxhash64("v")).join(found.select(F.xxhash64("v").alias("_h"), "v", "best"), ["_h", "v"]).select(F.col("key").alias("id"), "best")
+    wanted = F.slice(F.filter("best", lambda b: b["keys"] != F.col("id")) if skip_self else F.col("best"), 1, k)
+    ranked = found.select(F.col("id").alias("query_id"), wanted.alias("best")).select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", F.col("rank") + 1, F.col("b.keys").alias("key"), F.col("b.distances").alias("distance"))
+    ranked = ranked.toDF("query_id", "rank", "key", "distance")
     value = F.col("distance") if metric != "cosine" else 1 - F.col("distance") * F.col("distance") / 2
     return ranked.select("query_id", "rank", "key", value.alias("similarity" if metric == "cosine" else "distance"))
 
@@ -287,22 +313,36 @@ def ks_one_sided(df: DataFrame, value: str, side: str) -> DataFrame:
     return gaps.agg(F.greatest(F.max("d"), F.lit(0.0)).alias("less"), F.greatest(F.max(-F.col("d")), F.lit(0.0)).alias("greater"))
 
 
-def membership_attacks(distances: DataFrame, run: str, order: Column, member: str, distance: str, thresholds=(0.4, 0.3, 0.2, 0.1), shares=tuple(i / 10 for i in range(2, 11))) -> DataFrame:
+def membership_attacks(distances: DataFrame, run: str, order: Column, member: str, distance: str, thresholds=(0.4, 0.3, 0.2, 0.1), shares=tuple(i / 10 for i in range(2, 11)), weight: str | None = None, even: bool = False) -> DataFrame:
     """run, threshold, share, tp, fp, precision, accuracy, grade of every attack.
 
     A row is called a member where its distance, scaled by the run's largest, is below the threshold; a
     share of the rows in order (a number) takes part.  Precision and accuracy have one decimal.  Rows are counted once,
-    by how many thresholds they are below and how many shares they are beyond; the attacks add those counts up.
+    by how many thresholds they are below and how many shares they are beyond; the attacks add those counts up.  Only the rows around
+    the end of a share are put in order.  weight names how many times a row stands; even says that order is spread over all long numbers.
     """
-    runs = distances.groupBy(run).agg(F.count(F.lit(1)).alias("_n"), F.nullif(F.max(distance), F.lit(0.0)).alias("_most"))
-    rows = numbered(distances.withColumn("_order", order), [run], ["_order"], F.col("_order").cast("double"), "_no").join(runs, run)
-    scaled = F.coalesce(F.col(distance) / F.col("_most"), F.lit(0.0))
-    below = sum(((scaled < t).cast("int") for t in thresholds), F.lit(0))
-    beyond = sum(((F.col("_no") >= F.floor(F.lit(s) * F.col("_n"))).cast("int") for s in shares), F.lit(0))
-    counts = rows.groupBy(run, below.alias("_below"), beyond.alias("_beyond"), F.col(member).alias("_real")).agg(F.count(F.lit(1)).alias("_c"))
+    rows = distances.select(run, order.alias("_order"), F.col(member).alias("_real"), F.col(distance).alias("_d"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
+    runs = kept(rows.groupBy(run).agg(F.sum("_w").alias("_n"), F.nullif(F.max("_d"), F.lit(0.0)).alias("_most")), "runs")
+    sort = F.col("_order").cast("double")
+    cuts = F.array(*[F.struct(F.lit(i).alias("no"), F.floor(F.lit(s) * F.col("_n")).alias("rank")) for i, s in enumerate(shares)])
+    ends = at_ranks(rows, run, ["_order", "_real", "_d"], "_w", runs.select(run, F.inline(cuts)), F.shiftright("_order", 52) if even else sort, even)
+    ends = kept(ends.join(runs, run), "ends")
+    by_run = kept(ends.groupBy(run).agg(*[F.max(F.when(F.col("no") == i, F.struct("_order", "_real", "_d"))).alias(f"_e{i}") for i in range(len(shares))]), "ends")
+    below = sum(((F.coalesce(F.col("_d") / F.col("_most"), F.lit(0.0)) < t).cast("int") for t in thresholds), F.lit(0))
+    rows = rows.join(runs, run).join(by_run, run, "left")
+
+    def after(end: str) -> Column:
+        here, there = F.struct("_real", "_d"), F.struct(F.col(f"{end}._real"), F.col(f"{end}._d"))
+        return F.coalesce((F.col("_order") > F.col(f"{end}._order")) | ((F.col("_order") == F.col(f"{end}._order")) & (here >= there)), F.lit(False))
+
+    beyond = sum((after(f"_e{i}").cast("int") for i in range(len(shares))), F.lit(0))
+    counts = rows.groupBy(run, below.alias("_below"), beyond.alias("_beyond"), "_real").agg(F.sum("_w").alias("_c"))
     # a row that is below m thresholds is below the m largest; one that is beyond m shares is beyond the m smallest
     combos = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(s).alias("share"), F.lit(sum(u > t for u in thresholds)).alias("_larger"), F.lit(sum(u < s for u in shares)).alias("_smaller")) for t in thresholds for s in shares])
     grid = counts.withColumn("combo", F.explode(combos)).select(run, "_below", "_beyond", "_real", "_c", "combo.*").filter(F.col("_beyond") <= F.col("_smaller"))
+    # of the rows that are alike at a share's end some still take part
+    alike = ends.filter("_before > 0").select(run, below.alias("_below"), "_real", F.col("_before").alias("_c"), F.element_at(F.array(*map(F.lit, shares)), F.col("no") + 1).alias("share"), F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(sum(u > t for u in thresholds)).alias("_larger")) for t in thresholds])).alias("combo"))
+    grid = grid.unionByName(alike.select(run, "_below", "_real", "_c", "share", "combo.*"), allowMissingColumns=True)
     called, real = F.col("_below") > F.col("_larger"), F.col("_real")
     total = lambda fits: F.coalesce(F.sum(F.when(fits, F.col("_c"))), F.lit(0))
     sums = grid.groupBy(run, "threshold", "share").agg(total(called & real).alias("tp"), total(called & ~real).alias("fp"), total(~called & ~real).alias("tn"), F.sum("_c").alias("n"))

@@ -12,6 +12,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 #: Most buckets; also how many bounds reach the driver.
 BUCKETS = 1024
 
@@ -58,3 +60,25 @@ def running_sum(df: DataFrame, group: list[str], value: Column, order: list, sor
 def numbered(df: DataFrame, group: list[str], order: list, sort: Column, out: str) -> DataFrame:
     """Adds out: the row's number within group, from 0."""
     return running_sum(df, group, F.lit(1), order, sort, out)
+
+
+def at_ranks(df: DataFrame, group: str | None, order: list[str], weight: str, ranks: DataFrame, sort: Column, ranges: bool = False) -> DataFrame:
+    """ranks with order and _before: the row at each rank (from 0) of its group, and how many that are alike in order come before that rank.
+
+    ranks: (group,) no, rank.  A row stands as many times as weight says.  sort never goes down along order; with ranges it is a whole
+    number that names a row's range already.  Rows are counted by ranges, and only those of ranges with a wanted rank are put in order.
+    """
+    rows = df.withColumn("_bucket", sort) if ranges else bucketed(df, sort)
+    by = [group] if group else []
+    before = lambda *keys: Window.partitionBy(*keys)
+    counts = rows.groupBy(*by, "_bucket").agg(F.sum(weight).alias("_s"))
+    counts = counts.withColumn("_base", F.coalesce(F.sum("_s").over(before(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # one row for each wanted rank
+    inside = (F.col("rank") >= F.col("_base")) & (F.col("rank") < F.col("_base") + F.col("_s"))
+    wanted = kept(counts.join(ranks, by).filter(inside) if by else counts.join(F.broadcast(ranks), inside), "wanted")
+    found = rows.join(wanted.select(*by, "_bucket", "_base").distinct(), [*by, "_bucket"])
+    found = found.groupBy(*by, "_bucket", "_base", *order).agg(F.sum(weight).alias("_here"))
+    found = found.withColumn("_first", F.col("_base") + F.coalesce(F.sum("_here").over(before(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = (F.col("rank") >= F.col("_first")) & (F.col("rank") < F.col("_first") + F.col("_here"))
+    found = found.join(wanted.select(*by, "_bucket", "no", "rank"), [*by, "_bucket"]).filter(inside)
+    return found.select(*by, "no", "rank", *order, (F.col("rank") - F.col("_first")).alias("_before"))

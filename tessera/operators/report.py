@@ -72,7 +72,7 @@ def evaluate(
             raise DataError(what)
 
     def distribution() -> Score:
-        cells = [D.histogram(both, c, "side").select(F.lit(c).alias("column"), F.col("bucket").cast("string").alias("value"), "side", "n") for c in numeric]
+        cells = [D.histograms(both, numeric, "side").withColumn("value", F.col("bucket").cast("string")).drop("bucket")] if numeric else []
         if nominal:
             cells.append(D.categorical_distribution(both, nominal, "side").select("column", "value", "side", "n"))
         needs(bool(cells), "no numeric or categorical column")
@@ -89,8 +89,8 @@ def evaluate(
         needs(len(numeric) > 1, "fewer than two numeric columns")
         filled = C.median_filled(both.select("side", *[F.col(c).cast("double").alias(c) for c in numeric]), numeric)
         points = PC.projected(filled, PC.principal_components(filled.filter("side = 0"), numeric), ["side"])
-        parts = [D.histogram(points, c, "side").withColumn("column", F.lit(c)) for c in ("pc1", "pc2")]
-        return _graded("structure", D.mean_divergence(D.js_distance(parts[0].unionByName(parts[1]), ["column"], "bucket")), "divergence", scoring.structure_score)
+        cells = D.histograms(points, ["pc1", "pc2"], "side")
+        return _graded("structure", D.mean_divergence(D.js_distance(cells, ["column"], "bucket")), "divergence", scoring.structure_score)
 
     def text_structure() -> Score:
         needs(bool(texts), "no text column")

@@ -164,3 +164,99 @@ def test_what_is_asked_before_a_hint_follows_from_it(spark):
     found = spark.createDataFrame(texts, "note string, label string").select("label", pii.spans("note").alias("s")).collect()
     for r in found:
         assert {s["label"] for s in r["s"]} == ({r["label"]} if r["label"] else set()), r
+
+
+def test_cells_beyond_the_plane_between_are_not_visited(spark, monkeypatch):
+    """In a cloud of few dimensions a query sees few cells, and finds what all pairs give."""
+    from tessera.operators import neighbors
+
+    visits, keep = [], neighbors.kept
+    monkeypatch.setattr(neighbors, "CELL", 100)
+    monkeypatch.setattr(neighbors, "kept", lambda df, name: [t := keep(df, name), visits.append(t.count()) if name == "visits" else None][0])
+    point = F.array(*[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1 << 16)) / (1 << 16)).cast("float") for i in range(3)])
+    rows = spark.range(4500).select("id", point.alias("v"))
+    got = {(r["query_id"], r["rank"]): (r["key"], r["distance"]) for r in neighbors.nearest(rows.filter("id < 4000"), rows.filter("id >= 4000"), "id", "v", 2).collect()}
+    x = np.array([r["v"] for r in rows.orderBy("id").collect()])
+    for i in range(4000, 4500):
+        d = np.sqrt(((x[:4000] - x[i]) ** 2).sum(1))
+        best = np.argsort(d, kind="stable")[:2]
+        assert [got[i, r][0] for r in (1, 2)] == best.tolist() and np.allclose([got[i, r][1] for r in (1, 2)], d[best])
+    assert sum(visits) < 500 * 5, visits
+
+
+def test_attacks_by_weight_as_rows_repeated(spark):
+    """A row that stands for many counts as they would, also at the end of a share; ties in order count by member and distance."""
+    from tessera.operators import neighbors
+
+    rng = np.random.default_rng(6)
+    rows = [(int(run), int(i), bool(m), float(d), int(w)) for run in range(3) for i, m, d, w in zip(rng.integers(0, 25, 60), rng.integers(0, 2, 60), rng.integers(0, 5, 60) / 4, rng.integers(1, 9, 60))]
+    df = spark.createDataFrame(rows, "run int, i long, member boolean, d double, w long")
+    thresholds, shares = (0.8, 0.3), (0.2, 0.21, 0.5, 1.0)
+    got = {(r["run"], r["threshold"], r["share"]): (r["tp"], r["fp"]) for r in neighbors.membership_attacks(df, "run", F.col("i"), "member", "d", thresholds, shares, weight="w").collect()}
+    assert len(got) == 3 * 2 * 4
+    for run in range(3):
+        mine = [r[1:4] for r in sorted(rows) if r[0] == run for _ in range(r[4])]
+        top = max(r[2] for r in mine)
+        for t in thresholds:
+            for s in shares:
+                part = [r for r in sorted(mine)[: int(np.floor(s * len(mine)))] if r[2] / top < t]
+                assert got[run, t, s] == (sum(r[1] for r in part), sum(not r[1] for r in part))
+
+
+def test_members_are_dealt_to_runs_by_rank(spark):
+    """Blocks of members end at exact ranks of their hash, where keys are shared too; the attacks count all of them."""
+    base = spark.range(400).select((F.col("id") % 130).alias("k"), (F.pmod(F.xxhash64("id"), F.lit(97)) / 10).alias("a"))
+    train, test = base.filter("k >= 30"), base.filter("k < 30 AND k % 2 = 0")
+    size = test.count()
+    attacks = privacy.membership_inference(train, base, test, "k", ["a"], runs=3)[0].filter("threshold = 0.4 AND share = 1.0").collect()
+    ranked = [r["k"] for r in train.orderBy(F.xxhash64(F.lit(1), "k"), "k").collect()]
+    n = {k: ranked.count(k) for k in ranked}
+    outside = sum(1 for _ in range(size))
+    for r in attacks:  # the output has every row, so all are near, and are called members
+        block = ranked[r["run"] * size : (r["run"] + 1) * size]
+        assert (r["tp"], r["fp"]) == (sum(n[k] for k in block), outside), r
+
+
+def test_attributes_as_by_all_distances(spark, monkeypatch):
+    """The rows that are held against the points in slices give the k nearest of all, nulls and equal rows among them."""
+    monkeypatch.setattr(privacy, "SLICE", 50)
+    rng = np.random.default_rng(2)
+    data = [(i, None if i % 41 == 0 else float(a), float(b), "xyz"[c]) for i, (a, b, c) in enumerate(zip(rng.integers(0, 30, 900), rng.normal(0, 50, 900).round(1), rng.integers(0, 3, 900)))]
+    df = spark.createDataFrame(data, "k long, a double, b double, c string")
+    train, output = df.filter("k % 3 = 0"), df.filter("k % 3 <> 0")
+    got = {r["column"]: (r["n"], r["accuracy"]) for r in privacy.attribute_inference(train, output, "k", ["a", "b", "c"], known=2, attacked=40)[0].collect()}
+    out, chosen = [r for r in data if r[0] % 3], [tuple(r) for r in privacy.sample_rows(train, 40, "k", 5).collect()]
+    sets, facts = privacy.column_sets(["a", "b", "c"], 2, 40, 5), {i: (np.mean(v), np.std(v)) for i in (1, 2) for v in [[r[i] for r in out if r[i] is not None]]}
+    scaled = lambda r, i: 0.0 if r[i] is None else (r[i] - facts[i][0]) / facts[i][1]
+    hits = {c: [] for c in "abc"}
+    for at, p in enumerate(chosen):
+        known = sets[at % len(sets)]
+        cost = [(sum(float(r[3] != p[3]) if c == "c" else (scaled(r, "abc".index(c) + 1) - scaled(p, "abc".index(c) + 1)) ** 2 for c in known), r[0], r) for r in out]
+        near = [r for _, _, r in sorted((round(d, 9), k, r) for d, k, r in cost)[:5]]
+        for i, c in enumerate("abc", 1):
+            if c in known or p[i] is None:
+                continue
+            seen = [r[i] for r in near if r[i] is not None]
+            hits[c].append(sorted(set(seen), key=lambda v: (-seen.count(v), v))[0] == p[i] if c == "c" else abs(np.mean(seen) - p[i]) <= 0.01 * abs(p[i]))
+    assert got == {c: (len(v), pytest.approx(np.mean(v))) for c, v in hits.items() if v}
+
+
+def test_correlation_of_few_passes_as_pairs(spark, monkeypatch):
+    """No row of the table is taken apart into pairs of columns; medians are looked for where something is missing only."""
+    from tessera.operators import correlation
+
+    x = spark.range(600).select((F.col("id") % 3).cast("string").alias("n"), F.when(F.col("id") % 7 > 0, (F.col("id") % 2).cast("string")).alias("m"), (F.col("id") % 11).cast("double").alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") * 1.5).alias("b"), F.lit(2.0).alias("c"))
+    got = {(r["x"], r["y"]): r["value"] for r in correlation.mixed_correlation(x, ["n", "m"], ["a", "b", "c"]).collect()}
+    data = x.collect()
+    for nominal in ("n", "m"):
+        for number in ("a", "b"):
+            rows = [(r[nominal], r[number]) for r in data if r[number] is not None]
+            v = np.array([b for _, b in rows])
+            within = sum(len(g) * np.var(g) for k in {k for k, _ in rows} for g in [[b for a, b in rows if a == k]])
+            assert [got[p] ** 2 for p in ((nominal, number), (number, nominal))] == pytest.approx([1 - within / (len(v) * np.var(v))] * 2, abs=1e-6)
+    assert got["c", "c"] == 1.0 and got["a", "c"] == got["c", "n"] == 0.0 and len(got) == 25
+    fits, fit = [], correlation.quantiles
+    monkeypatch.setattr(correlation, "quantiles", lambda df, c, n: [fits.append(c), fit(df, c, n)][1])
+    filled = correlation.median_filled(x.select("a", "b", "c"), ["a", "b", "c"]).collect()
+    middle = float(np.median([r["b"] for r in data if r["b"] is not None]))
+    assert fits == ["b"] and sorted(r["b"] for r in filled) == sorted(middle if r["b"] is None else r["b"] for r in data)
