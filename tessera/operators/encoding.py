@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .neighbors import ks_one_sided, nearest
 from .ordered import numbered, running_sum, sort_value
 
@@ -19,7 +20,7 @@ def quantiles(df: DataFrame, column: str, landmarks: int) -> list[float]:
 
     Distinct values are counted and their ranks added up range by range; only the values next to a landmark are collected.
     """
-    counts = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    counts = kept(df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("c")), "counts")
     total = counts.agg(F.sum("c")).first()[0]
     if not total:
         return []

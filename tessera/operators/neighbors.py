@@ -24,6 +24,8 @@ from .ordered import at_ranks
 
 #: Distinct vectors of a cell, about; cells, at most, and numbers in all pivots, as these go to every task.
 CELL, MOST_CELLS, MOST_PIVOT_NUMBERS = 1 << 14, 4096, 1 << 22
+#: Every vector is held against all pivots, so more cells than this are made only to keep the numbers of a cell below the second.
+ENOUGH_CELLS, MOST_CELL_NUMBERS = 1024, 1 << 24
 #: Most visits of a cell that one task answers, about; a cell with more of them is copied.
 VISITS = 1 << 14
 #: Numbers of a cell's vectors, and of its visits, about, where vectors are long; vectors of the smaller cells, at least.
@@ -52,7 +54,15 @@ def _matrix(column) -> np.ndarray:
 
 
 def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
+    out = (x * -2) @ y.T  # in place from here on: a tile is large
+    out += (x * x).sum(1)[:, None]
+    out += (y * y).sum(1)
+    return np.maximum(out, 0, out=out)
+
+
+def _true(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns where mask is true, by row; numpy is fastest at it in one dimension."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1]) if mask.shape[1] else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _vectors(arrays: np.ndarray) -> pa.Array:
@@ -72,14 +82,15 @@ def best_of_tile(x: np.ndarray, keys: np.ndarray, sizes: np.ndarray, y: np.ndarr
 
     A partition by distance finds what can be among them; only that is measured exactly and ordered.
     """
-    step = max(1, TILE // max(len(x), 1))
+    step, kth = max(1, TILE // max(len(x), 1)), min(k, len(x)) - 1
+    wide = np.concatenate([x * -2, (x * x).sum(1)[:, None]], axis=1).T
     for at in range(0, len(y), step):
         q = y[at : at + step]
-        cost = _squares(q, x)
-        kth = min(k, len(x)) - 1
+        own = (q * q).sum(1)
+        cost = np.concatenate([q, np.ones((len(q), 1))], axis=1) @ wide  # squared distances less the query's own square
         limit = np.partition(cost, kth, axis=1)[:, kth] if kth else cost.min(axis=1)
-        limit = limit + 1e-9 * ((q * q).sum(1) + limit) + 1e-12
-        r, c = np.nonzero(cost <= limit[:, None])
+        limit = limit + 1e-9 * (own + np.maximum(limit + own, 0)) + 1e-12
+        r, c = _true(cost <= limit[:, None])
         exact = ((q[r] - x[c]) ** 2).sum(1)
         of, key = _ragged(keys, sizes, c)
         r, exact = r[of], exact[of]
@@ -101,17 +112,17 @@ def nearest_with(gap: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
     return first & (size > 0)
 
 
-def left_of(y: np.ndarray, gap: np.ndarray, pivots: np.ndarray, radius: np.ndarray, limit: np.ndarray, scale: float, go: np.ndarray) -> np.ndarray:
-    """Which of the cells in go can have a vector within limit of each row of y; gap holds the distances to their pivots."""
-    bound = limit + 1e-6 * (np.sqrt((y * y).sum(1)) + scale)
+def left_of(gap: np.ndarray, home: np.ndarray, near: np.ndarray, pivots: np.ndarray, radius: np.ndarray, bound: np.ndarray, scale: float, go: np.ndarray) -> np.ndarray:
+    """Which of the cells in go can have a vector within bound of each query.
+
+    gap: distances to the cells' pivots; home and near: another pivot of each query, best its nearest, and the distance to it.
+    """
     go = go & (gap - radius <= bound[:, None])
-    r, c = np.nonzero(go)
-    if len(r):
-        home = gap.argmin(1)
-        apart = np.sqrt(((pivots[c] - pivots[home[r]]) ** 2).sum(1))
-        # squares are right to some 1e-15 of the scale's; pivots that lie close together make that larger
-        excess = gap[r, c] ** 2 - gap[r, home[r]] ** 2 - 1e-12 * (bound[r] + scale) ** 2
-        go[r, c] = ~(excess > 2 * apart * bound[r])
+    r, c = _true(go)
+    apart = np.sqrt(((pivots[c] - home[r]) ** 2).sum(1))
+    # squares are right to some 1e-15 of the scale's; pivots that lie close together make that larger
+    excess = gap[r, c] ** 2 - near[r] ** 2 - 1e-12 * (bound[r] + scale) ** 2
+    go[r, c] = ~(excess > 2 * apart * bound[r])
     return go
 
 
@@ -143,7 +154,9 @@ def best_of_cell(x: np.ndarray, keys: np.ndarray, sizes: np.ndarray, y: np.ndarr
     largest = float(np.sqrt((x * x).sum(1).max()))
 
     def visit(q: np.ndarray, go: np.ndarray) -> list:
-        c, r = np.nonzero(go.T)
+        r, c = _true(go)
+        order = np.argsort(c, kind="stable")
+        r, c = r[order], c[order]
         cuts, found = np.searchsorted(c, np.arange(m + 1)), []
         for i in np.flatnonzero(np.diff(cuts)):
             rows, a, b = r[cuts[i] : cuts[i + 1]], at[i], at[i + 1]
@@ -165,7 +178,8 @@ def best_of_cell(x: np.ndarray, keys: np.ndarray, sizes: np.ndarray, y: np.ndarr
         r, key, d = best(visit(q, first))
         full, kth = np.bincount(r, minlength=len(q)) >= k, np.zeros(len(q))
         np.maximum.at(kth, r, np.sqrt(d))
-        rest = left_of(q, gap, pivots, radius, np.fmin(limit[start : start + step], np.where(full, kth, np.inf)), largest, ~first & (count > 0))
+        bound = np.fmin(limit[start : start + step], np.where(full, kth, np.inf)) + 1e-6 * (np.sqrt((q * q).sum(1)) + largest)
+        rest = left_of(gap, pivots[gap.argmin(1)], gap.min(1), pivots, radius, bound, largest, ~first & (count > 0))
         all_of = rest.sum(1) > m // 4
         if all_of.any():
             rows = np.flatnonzero(all_of)
@@ -194,7 +208,7 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
     asking = _points(queries, key, vector, metric, 1)
     n, dims = points.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     held = lambda most: min(most, max(1024, CELL_NUMBERS // max(dims or 1, 1)))
-    cells = max(1, min(n // held(CELL), MOST_CELLS, MOST_PIVOT_NUMBERS // max(dims or 1, 1)))
+    cells = max(1, min(n // held(CELL), max(ENOUGH_CELLS, n * (dims or 1) // MOST_CELL_NUMBERS), MOST_CELLS, MOST_PIVOT_NUMBERS // max(dims or 1, 1)))
     askers = None
     if cells > 1:
         asking = kept(asking, "asking")
@@ -233,6 +247,23 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
         ends = pa.array(np.append(0, np.cumsum(n)), pa.int32())
         return pa.array(ids), pa.ListArray.from_arrays(ends, pa.array(keys)), pa.ListArray.from_arrays(ends, pa.array(d))
 
+    def others(y: np.ndarray, own: int, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of y, cell) of the cells beside own that can have a vector within kth, by row."""
+        apart, near = np.sqrt(((pivots - pivots[own]) ** 2).sum(1)), np.sqrt(((y - pivots[own]) ** 2).sum(1))
+        bound = kth + 1e-6 * (np.sqrt((y * y).sum(1)) + largest)
+        # the plane between is at least half the pivots' distance less near away; queries that reach about as far go together
+        reach, found = near + bound, []
+        order = np.argsort(reach, kind="stable")
+        for start in range(0, len(y), step):
+            rows = order[start : start + step]
+            cell = np.flatnonzero((apart <= 2 * (reach[rows[-1]] + 1e-6 * largest)) & (size > 0) & (np.arange(cells) != own))
+            gap = np.sqrt(_squares(y[rows], pivots[cell]))
+            r, c = _true(left_of(gap, np.repeat(pivots[own][None], len(rows), axis=0), near[rows], pivots[cell], radius[cell], bound[rows], largest, np.ones(gap.shape, dtype=bool)))
+            found.append((rows[r], cell[c].astype(np.int32)))
+        at, cell = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(at, kind="stable")
+        return at[order], cell[order]
+
     def tile(left: pa.Table, right: pa.Table, first: bool) -> pa.Table:
         """Each query with its best of the cell; of a first visit also with the cells that are left, and its vector where it is needed."""
         names = ["id", "keys", "distances", "rest", "v"]
@@ -248,17 +279,11 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
         kth = np.full(len(y), np.inf)
         full = np.flatnonzero(n >= most)
         kth[full] = d[np.cumsum(n)[full] - 1]
-        more = []
-        for at in range(0, len(y) if first and cells > 1 else 0, step):
-            q = y[at : at + step]
-            go = np.repeat((size > 0)[None], len(q), axis=0)
-            go[:, left.column("cell")[0].as_py()] = False
-            more.append(left_of(q, np.sqrt(_squares(q, pivots)), pivots, radius, kth[at : at + step], largest, go))
-        at, cell = (np.concatenate(c) for c in zip(*[(i * step + r, c) for i, (r, c) in enumerate(map(np.nonzero, more))])) if more else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        at, cell = others(y, left.column("cell")[0].as_py(), kth) if first and cells > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int32))
         rest = np.bincount(at, minlength=len(y))
         sent = rest > 0 if not carried else np.full(len(y), first)
         vectors = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sent * y.shape[1])), pa.int32()), pa.array(y[sent].ravel()))
-        return pa.table([*lists(right.column("id").to_numpy(), n, key, d), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rest)), pa.int32()), pa.array(cell.astype(np.int32))), vectors], names)
+        return pa.table([*lists(right.column("id").to_numpy(), n, key, d), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rest)), pa.int32()), pa.array(cell)), vectors], names)
 
     def search(sent: DataFrame, first: bool) -> DataFrame:
         copies = [1] * max(cells, 1)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import DataError
 from ..functions import scoring
 from ..functions import text as X
+from ..sources.shared import kept
 from . import components as PC
 from . import correlation as C
 from . import distribution as D
@@ -53,6 +54,8 @@ def evaluate(
     if most_rows is not None:
         sides = [s.orderBy(F.xxhash64(F.lit(424242), F.col(key)), key).limit(most_rows) for s in sides]
     columns = [c for c in columns if all(c in s.columns for s in sides)]
+    # some thirty passes follow, and each reads a few columns of these
+    sides = [kept(s.select(*[F.col(c).cast("string" if t == "void" else t).alias(c) for c, t in s.dtypes]), "side") for s in sides]
     types = {r["column"]: r["field_type"] for r in P.profile(sides[0].drop(key)).collect()}
     numeric = [c for c in columns if types[c] == "numeric"]
     nominal = [c for c in columns if types[c] in ("categorical", "binary")]
